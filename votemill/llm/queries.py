@@ -29,9 +29,23 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(read_table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path(), END_ID)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from votemill.llm.quality import quality
+
+    return quality(read_table(spark, sf_dir, "documents", "doc_id", "source", "text"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from votemill.llm.mixing import mixing
+
+    return mixing(read_table(spark, sf_dir, "documents", "doc_id", "source", "lang", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op5_token_store)}
+    return {f.__name__: f for f in (op1_bpe, op5_token_store, op6_quality, op8_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from votemill.llm import mixing, quality
+
+    return {"op6_quality": quality.SQL, "op8_mixing": mixing.sql()}
