@@ -41,8 +41,14 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing(read_table(spark, sf_dir, "documents", "doc_id", "source", "lang", "text"))
 
 
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from votemill.llm.lm import lm_scores
+
+    return lm_scores(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op5_token_store, op6_quality, op8_mixing)}
+    return {f.__name__: f for f in (op1_bpe, op5_token_store, op6_quality, op8_mixing, op10_lm)}
 
 
 def oracle_sql() -> dict[str, str]:
