@@ -47,8 +47,14 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from votemill.llm.substring_dedup import deduplicated
+
+    return deduplicated(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op5_token_store, op6_quality, op8_mixing, op10_lm)}
+    return {f.__name__: f for f in (op1_bpe, op5_token_store, op6_quality, op8_mixing, op10_lm, op3_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

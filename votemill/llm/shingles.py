@@ -37,19 +37,28 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+class Words:
+    """The words of many texts in one buffer: hash h, byte range [start, end) and, by text, the offsets off."""
+
+    def __init__(self, texts: list[bytes]):
+        lengths = np.array([len(t) for t in texts], np.int64)
+        raw = np.frombuffer(b"\n".join(texts).lower() + b"\n", np.uint8)
+        space = _SPACE[raw]
+        before = np.concatenate([[True], space[:-1]])
+        start, end = np.flatnonzero(~space & before), np.flatnonzero(space & ~before)
+        total = np.zeros(len(raw) + 1, U)
+        np.cumsum(_BYTES[raw] * _power(_P, len(raw)), out=total[1:])
+        h = (total[end] - total[start]) * _power(_INV, len(raw))[start]
+        self.h = mix(h + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
+        self.raw, self.start, self.end = raw, start, end
+        self.first = np.cumsum(lengths + 1) - (lengths + 1)  # the byte at which each text starts
+        self.off = np.append(np.searchsorted(start, self.first), len(start))
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts in order, and the offsets of each text's words."""
-    lengths = np.array([len(t) for t in texts], np.int64)
-    raw = np.frombuffer(b"\n".join(texts).lower() + b"\n", np.uint8)
-    space = _SPACE[raw]
-    before = np.concatenate([[True], space[:-1]])
-    start, end = np.flatnonzero(~space & before), np.flatnonzero(space & ~before)
-    total = np.zeros(len(raw) + 1, U)
-    np.cumsum(_BYTES[raw] * _power(_P, len(raw)), out=total[1:])
-    h = (total[end] - total[start]) * _power(_INV, len(raw))[start]
-    h = mix(h + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
-    first = np.cumsum(lengths + 1) - (lengths + 1)
-    return h, np.append(np.searchsorted(start, first), len(start))
+    words = Words(texts)
+    return words.h, words.off
 
 
 def ngrams(h: np.ndarray, n: int) -> np.ndarray:
