@@ -43,3 +43,8 @@ def restrict(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     return df.join(ids, key)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it was counted to be small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df

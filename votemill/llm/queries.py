@@ -53,8 +53,14 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from votemill.llm.ngram_join import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op5_token_store, op6_quality, op8_mixing, op10_lm, op3_substring_dedup)}
+    return {f.__name__: f for f in (op1_bpe, op5_token_store, op6_quality, op8_mixing, op10_lm, op3_substring_dedup, op2_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
