@@ -32,9 +32,8 @@ from votemill.llm.common import materialize
 from votemill.llm.shingles import U, mix, ngrams, word_hashes
 
 ORDER, MU = 2, (0.0, 60.0, 8.0)
-GROUP_BYTES, BUCKET_ENTRIES = 12_000_000, 1_500_000
+GROUP_BYTES, BUCKET_ENTRIES = 8_000_000, 1_500_000
 END = mix(np.array([1], U))[0]
-UNKNOWN = U(0)
 
 
 def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -61,13 +60,16 @@ def all_ngrams(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate(hashes), np.concatenate(orders), np.concatenate(owners)
 
 
-def distinct(hashes: np.ndarray, orders: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct n-grams, their orders and how often they stand in training texts."""
+def distinct(hashes: np.ndarray, orders: np.ndarray, trained: np.ndarray):
+    """Sorted distinct n-grams, their orders, how often they stand in training texts, and the place of each n-gram among them."""
     order = np.argsort(hashes)
     s = hashes[order]
-    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+    fresh = np.concatenate([[True], s[1:] != s[:-1]])[: len(s)]
+    first = np.flatnonzero(fresh)
     counts = np.add.reduceat(trained[order].astype(np.int64), first) if len(s) else np.zeros(0, np.int64)
-    return s[first], orders[order][first], counts
+    place = np.empty(len(s), np.int64)
+    place[order] = np.cumsum(fresh) - 1
+    return s[first], orders[order][first], counts, place
 
 
 def held_out(doc_id) -> bool:
@@ -108,10 +110,12 @@ def group_batch(tables) -> tuple[list, list[str]]:
 
 
 def asked(ids: list, texts: list[str]):
+    """Offsets of the tokens, then distinct n-grams, orders and own counts, then place and order of every n-gram."""
     h, off = tokens_of(texts)
     hashes, orders, owner = all_ngrams(h, off)
     train = np.array([not held_out(i) for i in ids], bool)
-    return (h, off, *distinct(hashes, orders, train[owner]))
+    keys, kinds, counts, place = distinct(hashes, orders, train[owner])
+    return off, keys, kinds, counts, place, orders
 
 
 def ask(buckets: int):
@@ -119,14 +123,12 @@ def ask(buckets: int):
 
     def run(table: pa.Table) -> pa.Table:
         ids, texts = group_batch([table])
-        _, _, keys, orders, counts = asked(ids, texts)
+        _, keys, orders, counts, *_ = asked(ids, texts)
         cut = bucket_cuts(keys, buckets)
         rows = {"bucket": [], "g": [], "keys": [], "orders": [], "counts": []}
         for b in range(buckets):
             s, e = int(cut[b]), int(cut[b + 1])
             if e > s:
-                step = np.diff(keys[s:e], prepend=U(0))
-                step[0] = keys[s]
                 for name, value in (("bucket", b), ("g", table.column("g")[0].as_py()), ("keys", pack_keys(keys[s:e])), ("orders", pack(orders[s:e])), ("counts", pack(counts[s:e]))):
                     rows[name].append(value)
         return pa.table(rows, schema=pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("keys", pa.binary()), ("orders", pa.binary()), ("counts", pa.binary())]))
@@ -169,88 +171,75 @@ def answer(table: pa.Table) -> pa.Table:
 
 
 class Automaton:
-    """States are histories (a hash each, 0 the empty one); arcs are n-grams with a count, sorted by hash."""
+    """The part of the model that a group of texts can reach.
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, tokens: int, types: int, singles: int):
-        seen = counts > 0
-        self.keys, self.counts = keys[seen], counts[seen].astype(np.float64)
-        self.n = float(tokens)
-        unknown = (singles + 1.0) / (tokens + singles + 1.0)
-        self.unknown = unknown
-        self.types = types
-
-    def count(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(keys))
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.counts[at], 0.0)
-
-    def unigram(self, c: np.ndarray) -> np.ndarray:
-        return np.where(c > 0, (1 - self.unknown) * c / max(self.n, 1.0), self.unknown)
-
-    def step(self, history: np.ndarray, length: np.ndarray, word: np.ndarray, seen: np.ndarray) -> np.ndarray:
-        """log10 p of the arcs that words take from states; history holds the last ORDER-1 words' hashes by column."""
-        out = np.zeros(len(word))
-        open_, k = np.ones(len(word), bool), length.copy()
-        low = self.unigram(seen)
-        while open_.any():
-            at_root = open_ & (k == 0)
-            out[at_root] += np.log10(low[at_root])
-            open_ &= ~at_root
-            for size in range(ORDER - 1, 0, -1):
-                i = np.flatnonzero(open_ & (k == size))
-                if not len(i):
-                    continue
-                c_h = self.count(gram(history[i, -size:]))
-                c_hw = self.count(gram(np.column_stack([history[i, -size:], word[i]])))
-                hit = (c_hw > 0) & (c_h > 0)
-                out[i[hit]] += np.log10(self.probability(history[i[hit]], word[i[hit]], size, low[i[hit]]))
-                miss = ~hit
-                out[i[miss]] += np.log10(MU[size] / (c_h[miss] + MU[size]))  # the failure arc
-                open_[i[hit]] = False
-                k[i[miss]] = size - 1
-        return out
+    An n-gram of the group that has a training count is an arc, and the state that the arc leads to; its
+    weight is log10 p(last word | the words before). As a history it has a failure arc to the next shorter one.
+    """
 
-    def probability(self, history: np.ndarray, word: np.ndarray, size: int, low: np.ndarray) -> np.ndarray:
-        if size == 0:
-            return low
-        lower = self.probability(history, word, size - 1, low)
-        c_h = self.count(gram(history[:, -size:]))
-        c_hw = self.count(gram(np.column_stack([history[:, -size:], word])))
-        return (c_hw + MU[size] * lower) / (c_h + MU[size])
-
-    def score(self, h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability of each text and the training count of each token.
+    def __init__(self, off: np.ndarray, counts: np.ndarray, place: np.ndarray, orders: np.ndarray, tokens: int, singles: int):
+        n, self.off = int(off[-1]), off
+        left = np.repeat(off[1:], np.diff(off)) - np.arange(n)  # tokens of the text from here on
+        unknown = (singles + 1.0) / (tokens + singles + 1.0)
+        self.unknown = np.log10(unknown)
+        self.weight, self.failure = np.full(len(counts), -np.inf), np.zeros(len(counts))
+        #: For each order, the arc of the n-gram that starts at each token, -1 where there is none.
+        self.arc = [np.full(n, -1, np.int64) for _ in range(ORDER + 1)]
+        p = None
+        for k in range(1, ORDER + 1):
+            at = np.flatnonzero(left >= k)
+            arc = place[orders == k]
+            c = counts[arc].astype(np.float64)
+            if k == 1:
+                own = np.where(c > 0, (1 - unknown) * c / max(tokens, 1), unknown)
+                self.seen = counts[arc]
+            else:
+                state = self.arc[k - 1][at]
+                c_h = np.where(state >= 0, counts[state], 0)
+                own = (c + MU[k - 1] * p[at + 1]) / (c_h + MU[k - 1])
+            p = np.full(n, unknown) if k == 1 else p.copy()
+            p[at] = own
+            self.weight[arc] = np.log10(own)
+            if k < ORDER:
+                self.failure[arc] = np.log10(MU[k] / (c + MU[k]))
+            self.arc[k][at] = np.where(c > 0, arc, -1)
+
+    def score(self) -> np.ndarray:
+        """log10 probability of each text.
 
         All texts advance together, a token a step, the longest first, so that those still open are a prefix.
+        Each carries its state, the longest known history; where no arc leaves it, its failure arc is taken.
         """
-        n = np.diff(off)
-        seen = self.count(ngrams(h, 1))
+        n = np.diff(self.off)
         order = np.argsort(-n, kind="stable")
-        start, left = off[:-1][order], n[order]
-        total = np.zeros(len(n))
-        history = np.zeros((len(n), max(ORDER - 1, 1)), U)
+        start, left = self.off[:-1][order], n[order]
+        total, size = np.zeros(len(n)), np.zeros(len(n), np.int64)
         live = len(n)
         for t in range(int(left[0]) if len(left) else 0):
             while live and left[live - 1] <= t:
                 live -= 1
-            at = start[:live] + t
-            word = h[at]
-            length = np.full(live, min(t, ORDER - 1))
-            total[:live] += self.step(history[:live], length, word, seen[at])
-            history[:live, :-1] = history[:live, 1:]
-            history[:live, -1] = word
+            at, k, gain = start[:live] + t, size[:live], total[:live]
+            for length in range(ORDER - 1, 0, -1):
+                here = np.flatnonzero(k == length)
+                if len(here):
+                    pos = at[here] - length
+                    miss = self.arc[length + 1][pos] < 0
+                    gain[here[~miss]] += self.weight[self.arc[length + 1][pos[~miss]]]
+                    gain[here[miss]] += self.failure[self.arc[length][pos[miss]]]
+                    k[here[miss]] -= 1
+                    k[here[~miss]] = -length - 1  # done, with a known n-gram of length + 1 words
+            root = np.flatnonzero(k == 0)
+            arc = self.arc[1][at[root]]
+            gain[root] += np.where(arc >= 0, self.weight[arc], self.unknown)
+            k[root] = np.where(arc >= 0, -1, 0)
+            np.minimum(-k, ORDER - 1, out=k)
+            if ORDER > 2:  # the longest suffix of the n-gram just read that is a state
+                for length in range(ORDER - 1, 1, -1):
+                    here = np.flatnonzero(k == length)
+                    k[here[self.arc[length][at[here] - length + 1] < 0]] -= 1
         out = np.zeros(len(n))
         out[order] = total
-        return out, seen
-
-
-def gram(columns: np.ndarray) -> np.ndarray:
-    """The hash of the n-gram in each row, as ngrams() has it."""
-    out = columns[:, 0].copy()
-    for k in range(1, columns.shape[1]):
-        out = out * U(0xA0761D6478BD642F) + columns[:, k]
-    return mix(out ^ U(columns.shape[1]))
+        return out
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -263,11 +252,11 @@ def scorer(tokens: int, types: int, singles: int):
         if not docs.num_rows:
             return schema.empty_table()
         ids, texts = group_batch([docs])
-        h, off, keys, _, _ = asked(ids, texts)
+        off, _, _, _, place, orders = asked(ids, texts)
         parts = sorted(zip(replies.column("bucket").to_pylist(), replies.column("counts").to_pylist()))
-        counts = np.concatenate([unpack(p) for _, p in parts])
-        model = Automaton(keys, counts, tokens, types, singles)
-        score, seen = model.score(h, off)
+        counts = np.concatenate([unpack(p) for _, p in parts]).astype(np.int64)
+        model = Automaton(off, counts, place, orders, tokens, singles)
+        score, seen = model.score(), model.seen
         base = np.log10((seen + 1.0) / (tokens + 1.0 * (types + 1.0)))
         base_score = np.add.reduceat(base, off[:-1])
         known = np.add.reduceat((seen > 0).astype(np.int64), off[:-1])
