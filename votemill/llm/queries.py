@@ -59,8 +59,15 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from votemill.llm.nearest import nearest
+
+    rows = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return nearest(rows, rows.filter("vec_id % 100 = 0"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op5_token_store, op6_quality, op8_mixing, op10_lm, op3_substring_dedup, op2_ngram_join)}
+    return {f.__name__: f for f in (op1_bpe, op5_token_store, op6_quality, op8_mixing, op10_lm, op3_substring_dedup, op2_ngram_join, op4_nearest)}
 
 
 def oracle_sql() -> dict[str, str]:
