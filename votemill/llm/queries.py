@@ -66,8 +66,14 @@ def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(rows, rows.filter("vec_id % 100 = 0"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from votemill.llm.toxicity import scored
+
+    return scored(read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op5_token_store, op6_quality, op8_mixing, op10_lm, op3_substring_dedup, op2_ngram_join, op4_nearest)}
+    return {f.__name__: f for f in (op1_bpe, op5_token_store, op6_quality, op8_mixing, op10_lm, op3_substring_dedup, op2_ngram_join, op4_nearest, op7_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
