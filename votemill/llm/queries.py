@@ -72,8 +72,14 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from votemill.llm.html_text import main_text
+
+    return main_text(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op5_token_store, op6_quality, op8_mixing, op10_lm, op3_substring_dedup, op2_ngram_join, op4_nearest, op7_toxicity)}
+    return {f.__name__: f for f in (op1_bpe, op5_token_store, op6_quality, op8_mixing, op10_lm, op3_substring_dedup, op2_ngram_join, op4_nearest, op7_toxicity, op9_html)}
 
 
 def oracle_sql() -> dict[str, str]:
