@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import importlib
+
+from votemill.plans import registry
+
+for _name in ("voting", "evaluation", "corpus", "texts", "systems", "contracts", "resampling", "streams"):
+    importlib.import_module(f"votemill.plans.{_name}")
+
 
 def queries():
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(registry.SQL)
