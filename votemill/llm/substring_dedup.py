@@ -29,12 +29,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from votemill.llm.bpe import chunks
-from votemill.llm.common import materialize
 from votemill.llm.shingles import U, Words, mix, ngrams
 
-WINDOW, CONTEXT = 12, 8
-#: Up to so many repeated digests are broadcast (about 100 bytes each); more are joined by shuffle.
-BROADCAST_DIGESTS = 500_000
+WINDOW, CONTEXT = 14, 8
 
 
 def spread(h: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,12 +103,10 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 def removed_units(docs: DataFrame) -> DataFrame:
     """doc_id, s, e of the units that go. A digest that occurs once leaves with the first aggregate."""
-    found = materialize(occurrences(docs), "units")
+    found = occurrences(docs)  # hashed twice rather than stored: units take more room than texts
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("s").alias("s"))
     first = found.groupBy("hi", "lo").agg(F.min(rank).alias("keep"), F.count("*").alias("n")).filter("n > 1")
-    first = materialize(first.select("hi", "lo", F.col("keep.doc_id").alias("k_doc"), F.col("keep.s").alias("k_s")), "repeated")
-    if first.count() <= BROADCAST_DIGESTS:
-        first = F.broadcast(first)
+    first = first.select("hi", "lo", F.col("keep.doc_id").alias("k_doc"), F.col("keep.s").alias("k_s"))
     gone = found.join(first, ["hi", "lo"]).filter(~(F.col("doc_id").eqNullSafe(F.col("k_doc")) & (F.col("s") == F.col("k_s"))))
     return gone.filter("doc_id IS NOT NULL OR k_doc IS NOT NULL").select("doc_id", "s", "e")
 
