@@ -1 +1,267 @@
-"""Queries of this group."""
+"""Accuracy, ranks, shares, rewards and token confidence over the ballots of orders."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from votemill.operators import metrics, rewards, votes
+from votemill.plans.registry import query
+from votemill.plans.voting import SHIFT, W
+from votemill.sources.adapters import BALLOTS_SQL, GOLD_SQL, ballots, gold
+
+BG = f"{BALLOTS_SQL}, {GOLD_SQL}, j AS (SELECT b.*, gold, category, coalesce(ans = gold, false) AS hit FROM b JOIN g USING (id))"
+TALLY = "t AS (SELECT id, gold, ans, count(*) AS n, min(pos) AS f FROM j WHERE ans IS NOT NULL GROUP BY id, gold, ans), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, f) AS r FROM t)"
+
+
+def both(spark, d):
+    return ballots(spark, d), gold(spark, d)
+
+
+@query("pass_at_n", f"WITH {BG}, a AS (SELECT id, min(CASE WHEN hit THEN pos END) AS at_ FROM j GROUP BY id) SELECT n, count(*) AS problems, sum(coalesce(at_ < n, false)::INT)::BIGINT AS passed FROM a, (VALUES (1), (2), (4), (8)) v(n) GROUP BY n")
+def pass_at_n(spark, d):
+    return metrics.pass_at_n(*both(spark, d))
+
+
+@query("topk_hit", f"WITH {BG}, {TALLY}, a AS (SELECT id, min(CASE WHEN ans = gold THEN r END) AS at_ FROM k GROUP BY id) SELECT k, count(*) AS problems, sum(coalesce(at_ <= k, false)::INT)::BIGINT AS hits FROM a, (VALUES (1), (2), (3), (5)) v(k) GROUP BY k")
+def topk_hit(spark, d):
+    return metrics.topk_hits(*both(spark, d))
+
+
+@query(
+    "diversity",
+    f"""WITH {BALLOTS_SQL}, c AS (SELECT id, ans, count(*) AS n FROM b GROUP BY id, ans), p AS (SELECT id, count(ans) AS d, max(n) FILTER (ans IS NOT NULL) AS top, sum(n) FILTER (ans IS NOT NULL) AS every FROM c GROUP BY id)
+  SELECT count(*) AS problems, round(avg(d) FILTER (every > 0), 9) AS distinct_avg, round(avg(top / every), 9) AS top1_share, count(*) FILTER (coalesce(every, 0) = 0) AS no_answer FROM p""",
+)
+def diversity(spark, d):
+    return metrics.diversity(ballots(spark, d))
+
+
+@query(
+    "truncation_report",
+    f"""WITH {BG}, p AS (SELECT id, bool_or(hit) AS h, bool_or(trunc) AS t, bool_and(trunc) AS a FROM j GROUP BY id),
+  x AS (SELECT round(avg(trunc::INT), 9) AS rate, round(avg(trunc::INT) FILTER (hit), 9) AS rate_right, round(avg(trunc::INT) FILTER (NOT hit), 9) AS rate_wrong FROM j)
+  SELECT x.*, (SELECT count(*) FROM p WHERE NOT h AND t) AS recoverable, (SELECT count(*) FROM p WHERE h OR t) AS ceiling, (SELECT count(*) FROM p WHERE a) AS all_truncated FROM x""",
+)
+def truncation_report(spark, d):
+    return metrics.truncation(*both(spark, d))
+
+
+@query(
+    "answer_tally",
+    f"""WITH {BALLOTS_SQL}, {SHIFT.format('s', 'b')}, t AS (SELECT id, ans, min(pos) AS first, count(*) AS votes, round(sum(exp(shift * 2)), 9) AS weight, round(sum(logp), 6) AS logp_sum, sum("len")::BIGINT AS len_sum, sum(trunc::INT)::BIGINT AS n_trunc FROM s WHERE ans IS NOT NULL GROUP BY id, ans)
+  SELECT * REPLACE (round(weight, 6) AS weight), row_number() OVER ({W} ORDER BY t.weight DESC, first)::INT AS rank FROM t""",
+)
+def answer_tally(spark, d):
+    return metrics.ranked_answers(ballots(spark, d), "weight").withColumn("weight", F.round("weight", 6))
+
+
+@query(
+    "region_counts",
+    f"WITH {BG}, {TALLY}, p AS (SELECT id, max(CASE WHEN hit THEN 1 ELSE 0 END) AS has FROM j GROUP BY id) SELECT CASE WHEN k.ans = k.gold THEN 'vote_correct' WHEN has = 1 THEN 'recoverable' ELSE 'no_correct' END AS region, count(*) AS problems FROM p LEFT JOIN k ON p.id = k.id AND k.r = 1 GROUP BY 1",
+)
+def region_counts(spark, d):
+    return metrics.regions(*both(spark, d))
+
+
+@query(
+    "share_stats",
+    f"""WITH {BG}, {SHIFT.format('s', 'j')}, t AS (SELECT id, gold, ans, sum(exp(shift * 2)) AS w FROM s WHERE ans IS NOT NULL GROUP BY ALL)
+  SELECT id, round(coalesce(sum(w) FILTER (ans = gold), 0) / sum(w), 6) AS gold_share, round(coalesce(max(w) FILTER (ans <> gold), 0) / sum(w), 6) AS wrong_share, count(*) AS n_unique FROM t GROUP BY id""",
+)
+def share_stats(spark, d):
+    return metrics.shares(*both(spark, d))
+
+
+PER_SEED = """v AS (SELECT seed, category, id, gold, ans, count(*) AS n, min(pos) AS f FROM j GROUP BY ALL), q AS (SELECT seed, category, id, gold, arg_max(ans, ROW(n, -f)) FILTER (ans IS NOT NULL) AS answer, bool_or(coalesce(ans = gold, false)) AS has FROM v GROUP BY seed, category, id, gold)"""
+
+
+@query(
+    "category_accuracy",
+    f"WITH {BG}, {PER_SEED} SELECT coalesce(category, 'ALL') AS category, coalesce(seed, -1) AS seed, count(*) AS problems, sum(coalesce(answer = gold, false)::INT)::BIGINT AS correct, sum(has::INT)::BIGINT AS passed FROM q GROUP BY ROLLUP (category, seed)",
+)
+def category_accuracy(spark, d):
+    return metrics.category_accuracy(*both(spark, d))
+
+
+@query(
+    "cum_failures",
+    f"""WITH {BG}, p AS (SELECT category, id, bool_or(hit) AS h FROM j GROUP BY category, id), f AS (SELECT category, sum((NOT h)::INT)::BIGINT AS failures FROM p GROUP BY category)
+  SELECT category, failures, round(sum(failures) OVER (ORDER BY failures DESC, category ROWS UNBOUNDED PRECEDING) / sum(failures) OVER (), 9) AS cum_share FROM f""",
+)
+def cum_failures(spark, d):
+    return metrics.cumulative_failures(*both(spark, d))
+
+
+RULES = ("majority", "weighted2", "trim25", "drop_trunc")
+
+
+@query("category_rule_stability")
+def category_rule_stability(spark, d):
+    """Per category the best rule of each seed, and whether all seeds agree on it."""
+    from functools import reduce
+
+    from pyspark.sql import DataFrame, Window
+
+    b, g = both(spark, d)
+    parts = [votes.RULES[r](b.filter(F.col("seed") == s)).select("id", "answer", F.lit(r).alias("rule"), F.lit(s).alias("seed")) for r in RULES for s in range(3)]
+    cells = reduce(DataFrame.unionByName, parts).join(g, "id").groupBy("category", "rule", "seed").agg(F.sum((F.col("answer") == F.col("gold")).cast("long")).alias("correct"))
+    best = F.row_number().over(Window.partitionBy("category", "seed").orderBy(F.desc("correct"), "rule"))
+    return cells.withColumn("r", best).filter("r = 1").groupBy("category").agg(F.min("rule").alias("winner"), (F.countDistinct("rule") == 1).alias("stable"), F.sum("correct").alias("correct"))
+
+
+@query(
+    "error_homogeneity",
+    f"""WITH {BG}, t AS (SELECT id, gold, ans, min(pos) AS f, count(*) AS n, stddev_samp("len") / avg("len") AS cv, stddev_samp(logp) AS sd FROM j WHERE ans IS NOT NULL GROUP BY id, gold, ans),
+  k AS (SELECT *, row_number() OVER ({W} ORDER BY n DESC, f) AS r FROM t), q AS (SELECT *, CASE WHEN ans = gold THEN 'gold' WHEN r = 1 THEN 'wrong_winner' END AS kind FROM k WHERE n >= 2)
+  SELECT kind, count(*) AS groups, round(avg(cv), 6) AS len_cv, round(avg(sd), 6) AS logp_sd FROM q WHERE kind IS NOT NULL GROUP BY kind""",
+)
+def error_homogeneity(spark, d):
+    return metrics.homogeneity(*both(spark, d))
+
+
+@query("right_histogram", f"WITH {BG}, p AS (SELECT id, sum(hit::INT)::BIGINT AS n_right FROM j GROUP BY id) SELECT n_right, count(*) AS problems FROM p GROUP BY n_right")
+def right_histogram(spark, d):
+    return metrics.histogram(*both(spark, d))
+
+
+@query(
+    "logp_moments",
+    f"""WITH {BALLOTS_SQL}, s AS (SELECT *, count(*) OVER ({W}) AS size FROM b) SELECT size, round(avg(logp), 9) AS mean, round(var_pop(logp), 9) AS var_pop, round(stddev_samp(logp), 9) AS sd, round(stddev_pop(logp), 9) AS pstdev, round(corr(logp, "len"), 6) AS corr FROM s GROUP BY size HAVING count(*) > 20""",
+)
+def logp_moments(spark, d):
+    out = metrics.moments(ballots(spark, d).withColumn("one", F.lit(1)))
+    sizes = ballots(spark, d).groupBy("id").agg(F.count("*").alias("size")).groupBy("size").agg((F.count("*") * F.col("size")).alias("rows")).filter("rows > 20")
+    return out.join(F.broadcast(sizes.select("size")), "size")  # a row for each size of a problem
+
+
+@query("length_quantile", f"""WITH {BALLOTS_SQL}, s AS (SELECT "len" AS l, row_number() OVER (ORDER BY "len") - 1 AS i, count(*) OVER () AS n FROM b) SELECT max(l) AS quantile, max(n) AS n FROM s WHERE i = floor(n * 0.9)""")
+def length_quantile(spark, d):
+    return metrics.index_quantile(ballots(spark, d), "len", 0.9)
+
+
+@query(
+    "auc_global",
+    f"""WITH {BG}, v AS (SELECT round(logp, 6) AS s, hit FROM j WHERE ans IS NOT NULL), k AS (SELECT s, hit, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS r FROM v)
+  SELECT sum(hit::INT)::BIGINT AS n_pos, sum((NOT hit)::INT)::BIGINT AS n_neg, round((sum(r) FILTER (hit) - sum(hit::INT) * (sum(hit::INT) + 1) / 2.0) / (sum(hit::INT) * sum((NOT hit)::INT)), 9) AS auc FROM k""",
+)
+def auc_global(spark, d):
+    b, g = both(spark, d)
+    return metrics.auc(b.filter(votes.valid()).join(g, "id").withColumn("s", F.round("logp", 6)), "s", metrics.right())
+
+
+@query(
+    "auc_paired",
+    f"""WITH {BG}, v AS (SELECT id, round(logp, 6) AS s, hit FROM j WHERE ans IS NOT NULL), p AS (SELECT a.id, avg(CASE WHEN a.s > b.s THEN 1.0 WHEN a.s = b.s THEN 0.5 ELSE 0.0 END) AS auc FROM v a JOIN v b ON a.id = b.id AND a.hit AND NOT b.hit GROUP BY a.id)
+  SELECT count(*) AS problems, round(avg(auc), 9) AS auc FROM p""",
+)
+def auc_paired(spark, d):
+    b, g = both(spark, d)
+    per = metrics.auc(b.filter(votes.valid()).join(g, "id").withColumn("s", F.round("logp", 6)), "s", metrics.right(), ("id",))
+    return per.filter("auc IS NOT NULL").agg(F.count("*").alias("problems"), F.round(F.avg("auc"), 9).alias("auc"))
+
+
+CURVE = f"""WITH {BG}, {TALLY}, p AS (SELECT id, gold, max(CASE WHEN r = 1 THEN ans END) AS a, max(CASE WHEN r = 2 THEN ans END) AS b, max(CASE WHEN r = 1 THEN n END) - max(CASE WHEN r = 2 THEN n END) AS gap FROM k GROUP BY id, gold),
+  q AS (SELECT id, -gap AS score, (a <> gold AND b = gold)::INT AS rescued, (a = gold AND b <> gold)::INT AS harmed FROM p WHERE b IS NOT NULL),
+  c AS (SELECT *, row_number() OVER o AS k, sum(rescued) OVER o AS rescued_cum, sum(harmed) OVER o AS harmed_cum FROM q WINDOW o AS (ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING))"""
+
+
+def contested(spark, d):
+    b, g = both(spark, d)
+    k = metrics.ranked_answers(b).join(g, "id").filter("rank <= 2")
+    pick = lambda r, c: F.max(F.when(F.col("rank") == r, F.col(c)))
+    p = k.groupBy("id", "gold").agg(pick(1, "ans").alias("a"), pick(2, "ans").alias("b"), (pick(1, "votes") - pick(2, "votes")).alias("gap")).filter("b IS NOT NULL")
+    return p.select("id", (-F.col("gap")).alias("score"), ((F.col("a") != F.col("gold")) & (F.col("b") == F.col("gold"))).cast("int").alias("rescued"), ((F.col("a") == F.col("gold")) & (F.col("b") != F.col("gold"))).cast("int").alias("harmed"))
+
+
+@query("net_gain_curve", f"{CURVE} SELECT id, k, rescued_cum::BIGINT AS rescued_cum, harmed_cum::BIGINT AS harmed_cum, (rescued_cum - harmed_cum)::BIGINT AS net FROM c")
+def net_gain_curve(spark, d):
+    return metrics.gain_curve(contested(spark, d), "score").select("id", "k", "rescued_cum", "harmed_cum", "net")
+
+
+@query("precision_at_k", f"{CURVE} SELECT k, rescued_cum::BIGINT AS rescued, round(rescued_cum / k, 9) AS precision FROM c WHERE k IN (10, 25, 50, 100, 250)")
+def precision_at_k(spark, d):
+    return metrics.gain_curve(contested(spark, d), "score").filter(F.col("k").isin(10, 25, 50, 100, 250)).select("k", F.col("rescued_cum").alias("rescued"), F.round(F.col("rescued_cum") / F.col("k"), 9).alias("precision"))
+
+
+ADV = f"""{BG}, r AS (SELECT *, hit::INT::DOUBLE AS reward FROM j), m AS (SELECT *, avg(reward) OVER ({W}) AS mu, stddev_pop(reward) OVER ({W}) AS sd FROM r),
+  a AS (SELECT *, CASE WHEN sd > 1e-12 THEN (reward - mu) / (sd + 1e-8) ELSE 0 END AS adv FROM m)"""
+
+
+@query("grpo_advantage", f"WITH {ADV} SELECT id, pos, reward, round(adv, 6) AS advantage FROM a")
+def grpo_advantage(spark, d):
+    return rewards.grpo(*both(spark, d)).select("id", "pos", "reward", F.round("advantage", 6).alias("advantage"))
+
+
+@query(
+    "edas_shaping",
+    f"""WITH {ADV}, w AS (SELECT *, coalesce(ans, 'NONE') AS cls FROM a WHERE reward = 0), c AS (SELECT *, count(*) OVER (PARTITION BY id, cls) AS nc, count(*) OVER ({W}) AS nw, avg(abs(adv)) OVER ({W}) AS s, min(cls) OVER ({W}) = max(cls) OVER ({W}) AS one FROM w),
+  e AS (SELECT id, -sum(p * ln(p)) AS h FROM (SELECT DISTINCT id, cls, nc / nw AS p FROM c) GROUP BY id),
+  d AS (SELECT c.*, CASE WHEN nw <= 1 THEN 0 WHEN one THEN -0.2 * s ELSE 0.4 * s * (-ln(nc / nw) - h) / ln(nw) END AS delta FROM c JOIN e USING (id))
+  SELECT id, pos, round(adv, 6) AS advantage, round(adv + sign(delta) * least(abs(delta), abs(adv) / 2.0), 6) AS shaped FROM d UNION ALL SELECT id, pos, round(adv, 6), round(adv, 6) FROM a WHERE reward <> 0""",
+)
+def edas_shaping(spark, d):
+    return rewards.edas(rewards.grpo(*both(spark, d)))
+
+
+@query(
+    "sc_marginal_credit",
+    f"""WITH {BG}, c AS (SELECT id, ans, count(*) AS n, bool_or(hit) AS is_gold FROM j WHERE ans IS NOT NULL GROUP BY id, ans),
+  m AS (SELECT id, coalesce(sum(n) FILTER (is_gold), 0) - coalesce(max(n) FILTER (NOT is_gold), 0) AS base FROM c GROUP BY id),
+  w AS (SELECT a.id, a.ans, coalesce(sum(CASE WHEN x.is_gold THEN x.n - (x.ans = a.ans)::INT END), 0) - coalesce(max(CASE WHEN NOT x.is_gold THEN x.n - (x.ans = a.ans)::INT END), 0) AS less FROM c a JOIN c x USING (id) GROUP BY a.id, a.ans),
+  r AS (SELECT j.id, j.pos, coalesce(m.base - w.less, 0)::DOUBLE AS credit FROM j LEFT JOIN m ON j.id = m.id LEFT JOIN w ON j.id = w.id AND j.ans = w.ans),
+  z AS (SELECT *, avg(credit) OVER ({W}) AS mu, stddev_pop(credit) OVER ({W}) AS sd FROM r)
+  SELECT id, pos, credit, round(CASE WHEN sd > 1e-12 THEN (credit - mu) / sd ELSE 0 END, 6) AS advantage FROM z""",
+)
+def sc_marginal_credit(spark, d):
+    return rewards.marginal_credit(*both(spark, d))
+
+
+TOKENS = 'k AS (SELECT *, list_transform(range(8), lambda i: logp * (1 + ((i * 7 + pos * 3 + "len") % 5) / 4.0)) AS tlp FROM b)'
+MEAN = "list_sum({0}) / len({0})"
+KEYS = {
+    "worst": MEAN.format("list_sort(tlp)[1:greatest(1, floor(len(tlp) * 0.25)::INT)]"),
+    "tail": MEAN.format("tlp[greatest(1, len(tlp) - 2):]"),
+    "min": "list_min(tlp)",
+}
+for _key, _sql in KEYS.items():
+    query(
+        f"token_conf_vote_{_key}",
+        f"""WITH {BALLOTS_SQL}, {TOKENS}, q AS (SELECT *, {_sql} AS key FROM k WHERE ans IS NOT NULL), s AS (SELECT *, key - max(key) OVER ({W}) AS shift FROM q), t AS (SELECT id, ans, min(pos) AS f, round(sum(exp(shift * 2)), 9) AS w FROM s GROUP BY id, ans),
+  r AS (SELECT *, row_number() OVER ({W} ORDER BY w DESC, f) AS n FROM t) SELECT id, r.ans AS answer FROM (SELECT DISTINCT id FROM b) LEFT JOIN (SELECT * FROM r WHERE n = 1) r USING (id)""",
+    )(lambda s, d, k=_key: rewards.token_vote(rewards.with_tokens(ballots(s, d)), {"worst": rewards.worst_mean(0.25), "tail": rewards.tail_mean(3), "min": F.array_min("tlp")}[k]))
+
+
+@query("prefix_conf", f"WITH {BALLOTS_SQL}, {TOKENS}, q AS (SELECT *, row_number() OVER ({W} ORDER BY round({MEAN.format('tlp[1:3]')}, 9) DESC, pos) AS r FROM k WHERE ans IS NOT NULL) SELECT id, q.ans AS answer FROM (SELECT DISTINCT id FROM b) LEFT JOIN (SELECT * FROM q WHERE r = 1) q USING (id)")
+def prefix_conf(spark, d):
+    return rewards.prefix_pick(rewards.with_tokens(ballots(spark, d)), 3)
+
+
+@query(
+    "cdg_vote",
+    f"""WITH {BALLOTS_SQL}, {TOKENS}, q AS (SELECT *, exp({MEAN.format('tlp')}) + exp(tlp[8]) - exp(tlp[1]) AS c FROM k WHERE ans IS NOT NULL), t AS (SELECT id, ans, min(pos) AS f, round(pow(count(*), 0.5) * avg(c), 9) AS w FROM q GROUP BY id, ans),
+  r AS (SELECT *, row_number() OVER ({W} ORDER BY w DESC, f) AS n FROM t) SELECT id, r.ans AS answer FROM (SELECT DISTINCT id FROM b) LEFT JOIN (SELECT * FROM r WHERE n = 1) r USING (id)""",
+)
+def cdg_vote(spark, d):
+    return rewards.dynamics_vote(rewards.with_tokens(ballots(spark, d)))
+
+
+SAMPLE_FEATURES = f"""WITH {BALLOTS_SQL}, {SHIFT.format('s', 'b')}, t AS (SELECT id, ans, min(pos) AS f, count(*) AS c, round(sum(exp(shift * 2)), 9) AS w, avg(logp) AS lp, coalesce(var_pop("len"), 0) AS lv, avg(trunc::INT) AS tr FROM s WHERE ans IS NOT NULL GROUP BY id, ans),
+  r AS (SELECT *, row_number() OVER ({W} ORDER BY w DESC, f) AS k, sum(w) OVER ({W}) AS tw, sum(c) OVER ({W}) AS tc, count(*) OVER ({W}) AS u FROM t)"""
+
+
+@query(
+    "meta_features",
+    f"""{SAMPLE_FEATURES} SELECT a.id, round(a.w / a.tw, 6) AS share1, round(b.w / b.tw, 6) AS share2, round((a.w - b.w) / a.tw, 6) AS w_gap, round((a.c - b.c) / a.tc, 6) AS c_gap, round(a.lp - b.lp, 6) + 0.0 AS lp_gap, round(a.lv, 6) AS len_var1, round(b.lv, 6) AS len_var2, round(a.tr - b.tr, 6) AS trunc_gap, a.u AS n_unique
+  FROM r a JOIN r b ON a.id = b.id AND a.k = 1 AND b.k = 2""",
+)
+def meta_features(spark, d):
+    """Contrast of the two heaviest answers of each contested problem."""
+    t = votes.shifted(ballots(spark, d)).filter(votes.valid()).groupBy("id", "ans").agg(
+        F.min("pos").alias("f"), F.count("*").alias("c"), votes.rounded(votes.weight()).alias("w"), F.avg("logp").alias("lp"), F.var_pop("len").alias("lv"), F.avg(F.col("trunc").cast("int")).alias("tr")
+    )
+    r = t.withColumns({"k": F.row_number().over(votes.by_id().orderBy(F.desc("w"), "f")), "tw": F.sum("w").over(votes.by_id()), "tc": F.sum("c").over(votes.by_id()), "u": F.count("*").over(votes.by_id())}).filter("k <= 2")
+    x = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
+    return r.groupBy("id").agg(
+        F.round(x(1, "w") / F.max("tw"), 6).alias("share1"), F.round(x(2, "w") / F.max("tw"), 6).alias("share2"), F.round((x(1, "w") - x(2, "w")) / F.max("tw"), 6).alias("w_gap"), F.round((x(1, "c") - x(2, "c")) / F.max("tc"), 6).alias("c_gap"),
+        (F.round(x(1, "lp") - x(2, "lp"), 6) + 0.0).alias("lp_gap"), F.round(x(1, "lv"), 6).alias("len_var1"), F.round(x(2, "lv"), 6).alias("len_var2"), F.round(x(1, "tr") - x(2, "tr"), 6).alias("trunc_gap"), F.max("u").alias("n_unique"),
+    ).filter("share2 IS NOT NULL")
