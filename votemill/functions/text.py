@@ -106,7 +106,7 @@ def boxed_balanced(text: Column) -> Column:
 
 def is_pure_integer(box: Column) -> Column:
     t = box
-    for junk in ("\\,", "\\!", "\;", "~", "{,}", ",", " ", "$"):
+    for junk in ("\\,", "\\!", "\\;", "~", "{,}", ",", " ", "$"):
         t = F.replace(t, F.lit(junk), F.lit(""))
     return F.coalesce(t.rlike(r"^-?\d+$"), F.lit(False))
 

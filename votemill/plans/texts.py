@@ -94,7 +94,7 @@ def boxed_balanced(spark, d):
 
 
 PURE = "box"
-for _junk in ("\\,", "\\!", "\;", "~", "{,}", ",", " ", "$"):
+for _junk in ("\\,", "\\!", "\\;", "~", "{,}", ",", " ", "$"):
     PURE = f"replace({PURE}, '{_junk}', '')"
 
 
