@@ -1 +1,119 @@
-"""Queries of this group."""
+"""Systems (a supplier line's seed stands for one) on the problems of orders."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from votemill.operators import metrics, systems, votes
+from votemill.plans.evaluation import BG
+from votemill.plans.registry import query
+from votemill.plans.voting import RULE_SQL, SHIFT
+from votemill.sources.adapters import GOLD_SQL, ballots, gold
+
+A = f"{BG}, a AS (SELECT id, 's' || seed AS system, coalesce(arg_max(ans, ROW(n, -f)) FILTER (ans IS NOT NULL), '0') AS answer, any_value(gold) AS gold, any_value(category) AS category FROM (SELECT id, seed, ans, gold, category, count(*) AS n, min(pos) AS f FROM j GROUP BY ALL) GROUP BY id, seed), k AS (SELECT *, answer = gold AS ok FROM a), s AS (SELECT * FROM k WHERE id IN (SELECT id FROM k GROUP BY id HAVING count(*) = 3))"
+
+
+def by_seed(spark, d):
+    b = ballots(spark, d).withColumn("system", F.concat(F.lit("s"), F.col("seed").cast("string")))
+    return systems.covered(systems.answers_by_system(b, gold(spark, d)), 50)
+
+
+@query("system_rescue_harm", f"WITH {A} SELECT x.system, count(*) AS n, sum((x.ok AND NOT y.ok)::INT)::BIGINT AS rescued, sum((NOT x.ok AND y.ok)::INT)::BIGINT AS harmed, sum((x.answer <> y.answer)::INT)::BIGINT AS differing FROM s x JOIN s y ON x.id = y.id AND y.system = 's0' AND x.system <> 's0' GROUP BY x.system")
+def system_rescue_harm(spark, d):
+    return systems.rescue_harm(by_seed(spark, d), "s0")
+
+
+@query("union_oracle", f"WITH {A}, p AS (SELECT id, bool_or(ok) AS x, bool_and(ok) AS y FROM s GROUP BY id) SELECT count(*) AS n, sum(x::INT)::BIGINT AS any_right, sum(y::INT)::BIGINT AS all_right FROM p")
+def union_oracle(spark, d):
+    return systems.union_oracle(by_seed(spark, d))
+
+
+@query("greedy_cover")
+def greedy_cover(spark, d):
+    return systems.greedy_cover(by_seed(spark, d))
+
+
+@query("wrong_agreement", f"WITH {A} SELECT x.system AS a, y.system AS b, count(*) AS both_wrong, round(avg((x.answer = y.answer)::INT), 9) AS same FROM s x JOIN s y ON x.id = y.id AND x.system <> y.system AND NOT x.ok AND NOT y.ok GROUP BY ALL")
+def wrong_agreement(spark, d):
+    return systems.wrong_agreement(by_seed(spark, d))
+
+
+@query(
+    "amateur_score",
+    f"""WITH {A}, p AS (SELECT x.system, sum((NOT x.ok AND NOT y.ok AND x.answer = y.answer)::INT) / sum((NOT x.ok AND NOT y.ok)::INT) AS wa, avg((x.ok AND NOT y.ok)::INT) AS rr, avg(y.ok::INT) - avg(x.ok::INT) AS gap FROM s x JOIN s y ON x.id = y.id AND y.system = 's0' AND x.system <> 's0' GROUP BY x.system)
+  SELECT system, round(wa, 6) AS wrong_same, round(rr, 6) AS rescue_rate, round(wa - 2 * rr, 6) AS score, gap >= 0.08 AS contrasts FROM p""",
+)
+def amateur_score(spark, d):
+    return systems.pair_scores(by_seed(spark, d), "s0")
+
+
+@query(
+    "family_vote",
+    f"""WITH {BG}, w AS (SELECT *, seed AS fam, exp((logp - max(logp) OVER (PARTITION BY id, seed)) * 2) AS w FROM j WHERE ans IS NOT NULL), t AS (SELECT id, fam, ans, gold, min(pos) AS f, round(sum(w), 9) AS w FROM w GROUP BY ALL),
+  p AS (SELECT id, fam, any_value(gold) AS gold, arg_max(ans, ROW(w, -f)) AS ans, max(w) / sum(w) AS share FROM t GROUP BY id, fam), c AS (SELECT fam, id % 5 AS fold, sum((ans = gold)::INT) AS c, count(*) AS n FROM p GROUP BY ALL),
+  o AS (SELECT fam, fold, greatest(0, ln(p / (1 - p)) + 3) AS odds FROM (SELECT fam, fold, (sum(c) OVER (PARTITION BY fam) - c + 1) / (sum(n) OVER (PARTITION BY fam) - n + 2) AS p FROM c)),
+  q AS (SELECT p.*, odds, row_number() OVER (PARTITION BY id ORDER BY p.fam) AS pos FROM p JOIN o ON p.fam = o.fam AND p.id % 5 = o.fold), e AS (SELECT id, ans, min(pos) AS f, round(sum(share), 9) AS s, round(sum(share * odds), 9) AS r FROM q GROUP BY id, ans)
+  SELECT id, arg_max(ans, ROW(s, -f)) AS equal, arg_max(ans, ROW(r, -f)) AS reliable FROM e GROUP BY id""",
+)
+def family_vote(spark, d):
+    return systems.family_vote(ballots(spark, d), gold(spark, d), "seed")
+
+
+@query(
+    "specialist_cells",
+    f"""WITH {A}, c AS (SELECT x.category, x.system, count(*) AS n, sum(x.ok::INT - y.ok::INT)::BIGINT AS net FROM s x JOIN s y ON x.id = y.id AND y.system = 's0' AND x.system <> 's0' GROUP BY ALL)
+  SELECT category, system, n, net, round(net / n - coalesce((sum(net) OVER (PARTITION BY system) - net) / nullif(sum(n) OVER (PARTITION BY system) - n, 0), 0), 6) AS diff FROM c QUALIFY n >= 15""",
+)
+def specialist_cells(spark, d):
+    return systems.specialists(by_seed(spark, d), "s0")
+
+
+@query("mcnemar", f"WITH {A}, p AS (SELECT sum((x.ok AND NOT y.ok)::INT)::BIGINT AS b, sum((NOT x.ok AND y.ok)::INT)::BIGINT AS c FROM s x JOIN s y ON x.id = y.id AND x.system = 's0' AND y.system = 's1') SELECT b, c, b - c AS diff, round((abs(b - c) - 1) / sqrt(b + c), 6) AS z, round(1.96 * sqrt(b + c) + 1, 6) AS mdd FROM p")
+def mcnemar(spark, d):
+    return systems.mcnemar(by_seed(spark, d), "s0", "s1")
+
+
+@query(
+    "marginal_se",
+    f"WITH won AS ({RULE_SQL['weighted2']}), {GOLD_SQL} SELECT count(*) AS n, round(avg((answer = gold)::INT), 9) AS p, round(sqrt(avg((answer = gold)::INT) * (1 - avg((answer = gold)::INT)) / count(*)), 9) AS se FROM won JOIN g USING (id)",
+)
+def marginal_se(spark, d):
+    hit = (F.col("answer") == F.col("gold")).cast("int")
+    p = F.avg(hit)
+    return votes.weighted(ballots(spark, d)).join(gold(spark, d), "id").agg(F.count("*").alias("n"), F.round(p, 9).alias("p"), F.round(F.sqrt(p * (1 - p) / F.count("*")), 9).alias("se"))
+
+
+@query("paired_seed_gate")
+def paired_seed_gate(spark, d):
+    return systems.paired_seed_gate(ballots(spark, d), gold(spark, d), votes.RULES["trim25"], votes.RULES["majority"])
+
+
+@query(
+    "corrected_rescore",
+    f"WITH {A} SELECT system, count(*) AS n, sum(ok::INT)::BIGINT AS raw, sum(coalesce(answer = CASE WHEN id % 9 = 0 THEN CASE WHEN id % 18 = 0 THEN NULL ELSE '1' END ELSE gold END, false)::INT)::BIGINT AS corrected, sum(coalesce(answer = CASE WHEN id % 9 = 0 THEN CASE WHEN id % 18 = 0 THEN NULL ELSE '1' END ELSE gold END, false)::INT) >= 383 AS passed FROM s GROUP BY system",
+)
+def corrected_rescore(spark, d):
+    key = gold(spark, d).filter("id % 9 = 0").select("id", F.when(F.col("id") % 18 != 0, "1").alias("truth"))
+    return systems.corrected(by_seed(spark, d), key, 383)
+
+
+def sharesql(name: str, where: str) -> str:
+    return f"""{name}0 AS (SELECT * FROM j WHERE {where}), {SHIFT.format(name + '1', name + '0')}, {name}2 AS (SELECT id, gold, ans, sum(exp(shift * 2)) AS w, count(*) AS n, min(pos) AS f FROM {name}1 WHERE ans IS NOT NULL GROUP BY ALL),
+  {name} AS (SELECT id, coalesce(sum(w) FILTER (ans = gold), 0) / sum(w) AS gs, coalesce(max(w) FILTER (ans <> gold), 0) / sum(w) AS ws, coalesce(arg_max(ans, ROW(n, -f)) = any_value(gold), false) AS ok FROM {name}2 GROUP BY id)"""
+
+
+@query(
+    "strata_gate",
+    f"""WITH {BG}, {sharesql('x', "system = 'O'")}, {sharesql('y', "system = 'F'")}
+  SELECT id % 3 AS stratum, count(*) AS n, round(avg(round(y.gs, 6) - round(x.gs, 6)), 6) + 0.0 AS gold_change, round(avg(round(y.ws, 6) - round(x.ws, 6)), 6) + 0.0 AS wrong_change, sum(y.ok::INT - x.ok::INT)::BIGINT AS net, sum((x.ok AND NOT y.ok)::INT)::BIGINT AS harm,
+  round(avg(round(y.gs, 6) - round(x.gs, 6)), 6) > 0 AND round(avg(round(y.ws, 6) - round(x.ws, 6)), 6) < 0 AND sum(y.ok::INT - x.ok::INT) >= 2 AND sum((x.ok AND NOT y.ok)::INT) <= 2 AS go FROM x JOIN y USING (id) GROUP BY id % 3""",
+)
+def strata_gate(spark, d):
+    b, g = ballots(spark, d), gold(spark, d)
+
+    def side(s):
+        own = b.filter(F.col("system") == s)
+        ok = votes.majority(own, None).join(g, "id").select("id", F.coalesce(F.col("answer") == F.col("gold"), F.lit(False)).alias("ok"))
+        return metrics.shares(own, g).join(ok, "id")
+
+    return systems.strata_gate(side("O"), side("F"), g.select("id", (F.col("id") % 3).alias("stratum")))
