@@ -1 +1,91 @@
-"""Queries of this group."""
+"""Resampling and iterative estimators over the ballots of orders."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from votemill.operators import resampling, retrieval, votes
+from votemill.plans.evaluation import contested, meta_features
+from votemill.plans.registry import query
+from votemill.plans.voting import RULE_SQL
+from votemill.sources.adapters import GOLD_SQL, ballots, gold, table
+
+
+def correct(spark, d):
+    won = votes.weighted(ballots(spark, d)).join(gold(spark, d), "id")
+    return won.select("id", "category", (F.col("answer") == F.col("gold")).cast("double").alias("v"))
+
+
+UNIFORM = "('0x' || substr(md5({0}), 1, 13))::BIGINT / 4503599627370496.0"
+STEPS = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)
+HITS = f"won AS ({RULE_SQL['weighted2']}), {GOLD_SQL}, u AS (SELECT id, category, (answer = gold)::INT::DOUBLE AS v FROM won JOIN g USING (id))"
+
+
+@query(
+    "bootstrap_ci",
+    f"""WITH {HITS}, r AS (SELECT rep, v, {UNIFORM.format("'b|' || rep || '|' || id")} AS x FROM u, range(100) t(rep)), w AS (SELECT rep, v, {' + '.join(f'(x >= {s})::INT' for s in STEPS)} AS w FROM r),
+  m AS (SELECT rep, sum(v * w) / sum(w) AS m FROM w GROUP BY rep), o AS (SELECT m, row_number() OVER (ORDER BY m, rep) - 1 AS i FROM m)
+  SELECT count(*) AS n, round(avg(v), 6) AS mean, round((SELECT m FROM o WHERE i = 2), 6) AS low, round((SELECT m FROM o WHERE i = 96), 6) AS high FROM u""",
+)
+def bootstrap_ci(spark, d):
+    return resampling.bootstrap_ci(correct(spark, d), "v", 100).select("n", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
+
+
+@query(
+    "permutation_max",
+    f"""WITH {HITS}, c AS (SELECT id, category AS cell, v - 0.2 AS v FROM u), o AS (SELECT max(m) AS m FROM (SELECT avg(v) AS m FROM c GROUP BY cell)), t AS (SELECT rep, cell, avg(v * CASE WHEN {UNIFORM.format("'p|' || rep || '|' || id")} < 0.5 THEN 1 ELSE -1 END) AS m FROM c, range(50) t(rep) GROUP BY rep, cell),
+  x AS (SELECT rep, max(m) AS top FROM t GROUP BY rep) SELECT round(any_value(o.m), 6) AS observed, count(*) AS trials, round((count(*) FILTER (top >= o.m) + 1) / (count(*) + 1), 6) AS p FROM x, o""",
+)
+def permutation_max(spark, d):
+    units = correct(spark, d).select("id", F.col("category").alias("cell"), (F.col("v") - 0.2).alias("v"))
+    return resampling.permutation_max(units, 50).select(F.round("observed", 6).alias("observed"), "trials", F.round("p", 6).alias("p"))
+
+
+@query("power_grid")
+def power_grid(spark, d):
+    return resampling.power_grid(spark)
+
+
+@query("vote_bootstrap")
+def vote_bootstrap(spark, d):
+    return resampling.bootstrap_vote(ballots(spark, d), 20)
+
+
+@query("subset_mc")
+def subset_mc(spark, d):
+    return resampling.subset_accuracy(ballots(spark, d), gold(spark, d), draws=5)
+
+
+@query("reranker_sim")
+def reranker_sim(spark, d):
+    return resampling.reranker(ballots(spark, d), gold(spark, d))
+
+
+NESTED = ("majority", "weighted2", "trim25", "drop_trunc", "prefer_short")
+
+
+@query(
+    "nested_cv",
+    f"WITH {GOLD_SQL}, w AS (" + " UNION ALL ".join(f"SELECT '{r}' AS rule, id, answer FROM ({RULE_SQL[r]})" for r in NESTED) + "), c AS (SELECT rule, id % 5 AS fold, sum((answer = gold)::INT)::BIGINT AS c, count(*) AS n FROM w JOIN g USING (id) GROUP BY ALL), "
+    "r AS (SELECT *, sum(c) OVER (PARTITION BY rule) - c AS rest FROM c) SELECT fold::INT AS fold, rule, c AS correct, n FROM r QUALIFY row_number() OVER (PARTITION BY fold ORDER BY rest DESC, rule) = 1",
+)
+def nested_cv(spark, d):
+    b = ballots(spark, d)
+    won = reduce(DataFrame.unionByName, [votes.RULES[r](b).select("id", "answer", F.lit(r).alias("rule")) for r in NESTED]).join(gold(spark, d), "id")
+    return resampling.nested_selection(won.select("id", "rule", (F.col("answer") == F.col("gold")).cast("long").alias("ok"), (F.col("id") % 5).cast("int").alias("fold")))
+
+
+@query("meta_selector")
+def meta_selector(spark, d):
+    """Out-of-fold chance that the second answer of a contested problem is the right one."""
+    rows = meta_features(spark, d).join(contested(spark, d).select("id", F.col("rescued").cast("double").alias("y")), "id").withColumn("fold", (F.col("id") % 5).cast("int"))
+    return resampling.logistic_cv(rows, ["share1", "share2", "w_gap", "c_gap", "lp_gap", "len_var1", "len_var2", "trunc_gap", "n_unique"], "y")
+
+
+@query("replicator")
+def replicator(spark, d):
+    v = retrieval.unit(table(spark, d, "embeddings")).select(F.floor(F.col("vec_id") / 16).alias("id"), F.col("label").alias("ans"), (F.col("vec_id") % 16).alias("pos"), "v")
+    return resampling.replicator(v)
