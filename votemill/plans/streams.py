@@ -1 +1,55 @@
-"""Queries of this group."""
+"""Streams over the events table, drained into a table, and their batch forms."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from votemill.plans.registry import query
+from votemill.sources.adapters import table
+from votemill.streaming.completion import completed, completed_batch
+from votemill.streaming.ingest import ingest, sink_rows, todo
+
+
+def work(spark) -> str:
+    """A folder for a query's sink and checkpoint, in the shared folder where there is one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="votemill-")
+    return f"{base.rstrip('/')}/streams-{uuid.uuid4().hex}"
+
+
+def stream(spark, d):
+    batch = table(spark, d, "events")
+    return spark.readStream.schema(batch.schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/[e]vents.parquet"), batch
+
+
+@query("stream_ingest", "SELECT event_id, user_id, event_type, value FROM events")
+def stream_ingest(spark, d):
+    events, batch = stream(spark, d)
+    home = work(spark)
+    rows = events.select("event_id", "user_id", "event_type", "value")
+    ingest(rows, f"{home}/sink", f"{home}/checkpoint", "event_id")
+    return sink_rows(spark, f"{home}/sink", batch.select("event_id", "user_id", "event_type", "value").schema)
+
+
+@query("stream_resume", "SELECT event_id FROM events WHERE event_id % 7 <> 0")
+def stream_resume(spark, d):
+    batch = table(spark, d, "events").select("event_id")
+    return todo(batch, batch.filter("event_id % 7 = 0"), "event_id")
+
+
+@query("group_complete", "SELECT user_id AS key, count(*)::INT AS n, round(sum(value), 6) AS total, count(*) < 5 AS partial FROM events GROUP BY user_id")
+def group_complete(spark, d):
+    return completed_batch(table(spark, d, "events"), "user_id", 5).withColumn("total", F.round("total", 6))
+
+
+@query("stream_group_complete")
+def stream_group_complete(spark, d):
+    """Complete groups of a drained stream; those still open at its end are in the state, not in the result."""
+    events, _ = stream(spark, d)
+    home = work(spark)
+    out = completed(events, "user_id", 5)
+    q = out.writeStream.format("parquet").option("path", f"{home}/sink").option("checkpointLocation", f"{home}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema("key long, n int, total double, partial boolean").parquet(f"{home}/sink")
