@@ -32,8 +32,9 @@ def cascade(docs: DataFrame, held_out: DataFrame, low: int = 50, high: int = 300
     rows = rows.join(known, "key", "left")
     reason = F.when(F.col("n") < low, "too_short").when(F.col("n") > high, "too_long").when(~F.col("ok"), "no_sentence").when(F.col("known"), "contaminated")
     rows = rows.withColumn("reason", reason)
-    nth = F.row_number().over(Window.partitionBy("key", F.col("reason").isNull()).orderBy("doc_id"))
-    return rows.select("doc_id", "source", F.coalesce("reason", F.when(nth > 1, "duplicate")).alias("drop_reason"))
+    first = rows.filter("reason IS NULL").groupBy("key").agg(F.min("doc_id").alias("first"))  # partial sums: a frequent text is no hot group
+    rows = rows.join(first, "key", "left")
+    return rows.select("doc_id", "source", F.coalesce("reason", F.when(F.col("doc_id") > F.col("first"), "duplicate")).alias("drop_reason"))
 
 
 def exact_first(docs: DataFrame) -> DataFrame:

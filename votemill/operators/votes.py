@@ -350,13 +350,15 @@ RULES: dict[str, Rule] = {
 
 
 def sweep(ballots: DataFrame, gold: DataFrame, rules: dict[str, Rule] = RULES) -> DataFrame:
-    """rule, n, correct of every rule over the same ballots."""
+    """rule, n, correct of every rule over the same ballots, which are kept (already dealt by id) as all rules read them."""
+    ballots = ballots.repartition("id").persist()
     won = reduce(DataFrame.unionByName, [f(ballots).select("id", "answer", F.lit(k).alias("rule")) for k, f in rules.items()])
     return won.join(gold, "id").groupBy("rule").agg(F.count("*").alias("n"), F.sum((F.col("answer") == F.col("gold")).cast("long")).alias("correct"))
 
 
 def rule_ensemble(ballots: DataFrame, members: tuple[str, ...] = ("majority", "weighted2", "weighted1", "weighted4", "trim25", "drop_trunc", "len_trim20")) -> DataFrame:
     """The answer that most member rules give; of tied ones the weighted rule's, or else the first member's."""
+    ballots = ballots.repartition("id").persist()
     won = reduce(DataFrame.unionByName, [RULES[k](ballots).select("id", F.lit(i).alias("pos"), F.col("answer").alias("ans")) for i, k in enumerate(members)])
     heavy = F.max(F.when(F.col("pos") == members.index("weighted2"), F.col("ans"))).over(by_id())
     won = won.withColumn("own", (F.col("ans") == heavy).cast("int"))
