@@ -17,6 +17,39 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
     return df.select(*columns) if columns else df
 
 
+#: Rows and bytes of a batch that goes to a Python worker; texts are long, and Spark's own limit is 10,000 rows.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+
+def in_batches(df: DataFrame, function, schema) -> DataFrame:
+    """df.mapInArrow with batches of bounded size, and with freed memory given back when a task ends."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def run(batches):
+        yield from function(batches)
+        release_memory()
+
+    return df.mapInArrow(run, schema)
+
+
+def release_memory() -> None:
+    """Workers live on between tasks: what they have freed goes back to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where none is set (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -48,3 +81,17 @@ def restrict(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 def small(df: DataFrame) -> DataFrame:
     """df, to be broadcast if it was counted to be small."""
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
+def first_by_hash(df: DataFrame, key: str, n: int) -> DataFrame:
+    """The n rows of df with the smallest hashes of their key (n is a fixed bound).
+
+    Each task of a top-n sends n rows, so rows that cannot be among them are left out first: those whose hash is
+    above twice the share wanted.
+    """
+    spread = 1 << 40
+    place = F.pmod(F.xxhash64(key), F.lit(spread))
+    total = df.count()
+    if total > 2 * n + 1000:
+        df = df.filter(place < int(spread * (2 * n + 1000) / total))
+    return df.orderBy(place, key).limit(n)

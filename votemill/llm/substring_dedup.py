@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from votemill.llm.bpe import chunks
+from votemill.llm.bpe import slices
+from votemill.llm.common import in_batches
 from votemill.llm.shingles import U, Words, mix, ngrams
 
 WINDOW, CONTEXT = 14, 8
@@ -92,13 +93,13 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in chunks(texts):
-                text, s, e, hi, lo = units(texts[a:b])
+            ids = batch.column(0)
+            for a, b, texts in slices(batch.column(1)):
+                text, s, e, hi, lo = units(texts)
                 own = ids.slice(a, b - a).take(pa.array(text, pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo), own, pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], names=["hi", "lo", "doc_id", "s", "e"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "hi long, lo long, doc_id long, s int, e int")
+    return in_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "hi long, lo long, doc_id long, s int, e int")
 
 
 def removed_units(docs: DataFrame) -> DataFrame:
@@ -121,7 +122,7 @@ def deduplicated(docs: DataFrame, spans: str = "removed_spans") -> DataFrame:
 
     def run(batches):
         kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
-        for batch in batches:
+        for batch in (whole.slice(a, 512) for whole in batches for a in range(0, whole.num_rows, 512)):
             texts, cuts = batch.column("text").to_pylist(), batch.column("__cut").to_pylist()
             cleaned, merged = [], []
             for t, cut in zip(texts, cuts):
@@ -143,4 +144,4 @@ def deduplicated(docs: DataFrame, spans: str = "removed_spans") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(merged, kind)], names=[*names, spans])
 
     span = T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())])
-    return joined.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(spans, T.ArrayType(span))]))
+    return in_batches(joined, run, T.StructType([*docs.schema.fields, T.StructField(spans, T.ArrayType(span))]))
