@@ -16,18 +16,19 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct()
     edges = materialize(edges, "edges")
-    if edges.isEmpty():
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    while True:
+    while not is_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.unionByName(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct(), "edges")
-        # Done when every node has one link, to a node that is no one's child.
-        parents = new.select(F.col("v").alias("u")).distinct()
-        if new.groupBy("u").count().filter("count > 1").isEmpty() and new.join(parents, "u", "left_semi").isEmpty():
-            return new.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        edges = new
+        edges = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct(), "edges")
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def is_stars(edges: DataFrame) -> bool:
+    """Whether every node has one link, to a node that has none itself."""
+    several = edges.groupBy("u").count().filter("count > 1").select("u")
+    chained = edges.join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u")
+    return several.unionByName(chained).isEmpty()

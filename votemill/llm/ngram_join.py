@@ -34,17 +34,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from votemill.llm.bpe import chunks
-from votemill.llm.common import BROADCAST_IDS, materialize, restrict, small
+from votemill.llm.bpe import slices
+from votemill.llm.common import BROADCAST_IDS, in_batches, materialize, restrict, small
 from votemill.llm.components import components
 from votemill.llm.shingles import U, mix, overlap, shingle_sets
 
 N, NUM, DEN = 5, 75, 100
 BANDS, ROWS = 4, 2
-#: A shingle in this share of all documents counts as frequent. As a document has some hundred shingles, the
-#: list has at most that many times 1 / FREQUENT entries, however large the corpus; above FREQUENT_MOST entries
-#: the share is doubled until they fit. Frequent shingles come last in the order; results do not depend on it.
-FREQUENT, FREQUENT_MOST = 0.0005, 1_000_000
+#: A shingle in so many documents counts as frequent; the number is doubled until the list has at most
+#: FREQUENT_MOST entries (8 MB), however large the corpus. Frequent shingles come last in the order; results do
+#: not depend on it, but the number of candidates does.
+FREQUENT, FREQUENT_MOST = 8, 500_000
 SALT_ROWS = 256
 
 
@@ -54,10 +54,10 @@ def need(n: np.ndarray | int):
 
 
 def sets_of(batch: pa.RecordBatch, id_at: int = 0, text_at: int = 1):
-    """ids and shingle sets of a batch, some megabytes of text at a time."""
-    ids, texts = batch.column(id_at).to_pylist(), [t or "" for t in batch.column(text_at).to_pylist()]
-    for a, b in chunks(texts):
-        yield ids[a:b], shingle_sets([t.encode("utf-8", "surrogatepass") for t in texts[a:b]], N)
+    """ids and shingle sets of a batch, a few hundred rows and a megabyte of text at a time."""
+    ids = batch.column(id_at)
+    for a, b, texts in slices(batch.column(text_at)):
+        yield ids.slice(a, b - a).to_pylist(), shingle_sets([t.encode("utf-8", "surrogatepass") for t in texts], N)
 
 
 def band_keys(sets: list[np.ndarray]) -> np.ndarray:
@@ -76,11 +76,10 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         seen: list[np.ndarray] = []
-        rows = 0
 
-        def often(seen, rows) -> pa.RecordBatch:
+        def often(seen) -> pa.RecordBatch:
             token, count = np.unique(np.concatenate(seen), return_counts=True)
-            take = count >= max(4, int(FREQUENT * rows))
+            take = count > 1
             k = int(take.sum())
             return pa.RecordBatch.from_arrays(
                 [pa.nulls(k, pa.int64()), pa.array(np.full(k, -1, np.int32)), pa.array(token[take].view(np.int64)), pa.array(count[take]), pa.nulls(k, pa.list_(pa.int64()))],
@@ -100,20 +99,19 @@ def signatures(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "n", "hi", "lo", "bands"],
                 )
                 seen.append(np.concatenate(sets))
-                rows += len(sets)
-                if sum(map(len, seen)) > 4_000_000:
-                    yield often(seen, rows)
-                    seen, rows = [], 0
+                if sum(map(len, seen)) > 1_000_000:
+                    yield often(seen)
+                    seen = []
         if seen:
-            yield often(seen, rows)
+            yield often(seen)
 
-    return docs.mapInArrow(run, "doc_id long, n int, hi long, lo long, bands array<long>")
+    return in_batches(docs, run, "doc_id long, n int, hi long, lo long, bands array<long>")
 
 
-def frequent_tokens(sig: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
+def frequent_tokens(sig: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted frequent shingles and the place of each in the order of counts."""
     counts = materialize(sig.filter("n = -1").groupBy("hi").agg(F.sum("lo").alias("c")), "frequent")
-    least = max(20, int(FREQUENT * rows))
+    least = FREQUENT
     while counts.filter(F.col("c") >= least).count() > FREQUENT_MOST:
         least *= 2
     found = counts.filter(F.col("c") >= least).toPandas()
@@ -149,7 +147,7 @@ def prefixes(docs: DataFrame, frequent) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(own)), pa.array(np.concatenate(pos))], names=["token", "doc_id", "pos"])
 
-    return docs.mapInArrow(run, "token long, doc_id long, pos int")
+    return in_batches(docs, run, "token long, doc_id long, pos int")
 
 
 def exploded(docs: DataFrame) -> DataFrame:
@@ -161,7 +159,7 @@ def exploded(docs: DataFrame) -> DataFrame:
                 own = np.repeat(np.array(ids, np.int64), [len(s) for s in sets])
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.concatenate(sets).view(np.int64))], names=["doc_id", "token"])
 
-    return docs.mapInArrow(run, "doc_id long, token long")
+    return in_batches(docs, run, "doc_id long, token long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -199,7 +197,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             a, b = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return in_batches(rows, run, "a long, b long").distinct()
 
 
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -209,6 +207,22 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
     return DEN * both >= NUM * (len(x) + len(y) - both)
 
 
+def enough(q_min: str, q_max: str, x_min: str, x_max: str, shared: str = "shared"):
+    """Whether the prefix tokens shared leave room for a link between a set of q_min..q_max and one of x_min..x_max.
+
+    Two sets need an overlap of t / (1 + t) of the sum of their sizes. What they share beyond both prefixes is
+    less than t times the larger size, so the prefixes must share the difference at least.
+    """
+    return (F.col(q_min) != F.col(q_max)) | (F.col(shared) + 1e-6 >= fewest(q_min, x_min, x_max))
+
+
+def fewest(n: str, x_min: str, x_max: str):
+    """The least number of shared prefix tokens with which a set of n can link to one of x_min..x_max (maybe below 1)."""
+    t, n = NUM / DEN, F.col(n)
+    f = lambda x: t / (1 + t) * (n + x) - t * F.greatest(n, x)  # noqa: E731  least at an end of the range
+    return F.least(f(F.greatest(F.col(x_min), F.floor(n * t))), f(F.least(F.col(x_max), F.ceil(n / t))))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id (smallest id with an equal set) of every row."""
     spark = docs.sparkSession
@@ -235,7 +249,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = components(links)
 
     # 3. The token-group matrix, of shingles that two documents or more have in their prefixes.
-    frequent = spark.sparkContext.broadcast(frequent_tokens(sig, rows.count()))
+    frequent = spark.sparkContext.broadcast(frequent_tokens(sig))
     by_token = Window.partitionBy("token")
     entry = prefixes(docs, frequent).repartition("token")
     entry = entry.withColumns({"x": F.min("doc_id").over(by_token), "y": F.max("doc_id").over(by_token)}).filter("x != y").drop("x", "y")
@@ -250,8 +264,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     room = (F.col("pos") * total <= F.col("n_max") * total - NUM * (F.col("n_max") + F.col("g_min"))) & (F.col("g_pos") * total <= F.col("g_max") * total - NUM * (F.col("n_min") + F.col("g_max")))
     fits = (F.col("g_min") * NUM <= F.col("n_max") * DEN) & (F.col("g_max") * DEN >= F.col("n_min") * NUM)
     smaller = F.struct("size", "grp") < F.struct("g_size", "g")
-    pairs = entry.join(matrix, "token").filter(smaller & fits & room)
-    pairs = materialize(pairs.groupBy("doc_id", "n_min", "grp", "g", "g_size").agg(F.count("*").alias("shared")), "candidates")
+    pairs = entry.join(matrix, "token").filter(smaller & fits)
+    pairs = pairs.groupBy("doc_id", "n_min", "n_max", "grp", "g", "g_size").agg(F.count("*").alias("shared"), F.max(room).alias("room"), F.min("g_min").alias("g_min"), F.max("g_max").alias("g_max"))
+    pairs = materialize(pairs.filter(F.col("room") & enough("n_min", "n_max", "g_min", "g_max")), "candidates")
 
     # 4. Bound, then open.
     wide = bounded(pairs.filter("g_size > 1"), group, docs)
@@ -271,7 +286,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         still = wide.join(at, "doc_id").join(at.select(F.col("doc_id").alias("g"), F.col("c").alias("d")), "g").filter("c != d").select("doc_id", "g")
         still = materialize(still, "apart")
         if not still.isEmpty():
-            rest = opened.join(still.withColumnRenamed("doc_id", "q"), ["q", "g"]).join(inside, ["token", "g"]).filter(fits)
+            # A link to a member needs some number of shared prefix tokens, so one at least is among the tokens that the
+            # query shares with the group without that many less one: the rarest in the group are taken.
+            common = opened.join(still.withColumnRenamed("doc_id", "q"), ["q", "g"]).join(inside.groupBy("token", "g").agg(F.count("*").alias("docs")), ["token", "g"])
+            ends = Window.partitionBy("q", "g")
+            common = common.withColumns({"shared": F.count("*").over(ends), "nth": F.row_number().over(ends.orderBy("docs", "token"))})
+            exact = (F.col("q_min") == F.col("q_max")) & (F.col("n_min") == F.col("n_max"))
+            spare = F.when(exact, F.greatest(F.lit(1), F.ceil(fewest("q_min", "n_min", "n_max") - 1e-6))).otherwise(1)
+            rest = common.drop("g_min", "g_max").join(inside, ["token", "g"]).filter(fits & (F.col("nth") <= F.col("shared") - spare + 1))
             links = links.unionByName(materialize(verified(rest.select(F.col("x").alias("a"), F.col("q").alias("b")), docs), "links"))
 
     found = components(links).select(F.col("node").alias("rep"), "component")
