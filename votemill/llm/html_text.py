@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from votemill.llm.common import first_by_hash, in_batches
+
 TRAIN_PAGES, EPOCHS, HIDDEN, RATE, SEED = 400, 10, 20, 0.01, 5
 PATH_DIM, WORD_DIM, SHAPE_DIM = 192, 32, 6
 DIM = PATH_DIM + WORD_DIM + SHAPE_DIM
@@ -92,8 +94,6 @@ def blocks(page: str) -> list[Node]:
         at = m.end()
         tag = m[3]
         if not tag:
-            if m[1]:
-                continue
             continue
         tag = tag.lower()
         if m[2]:
@@ -116,7 +116,7 @@ def blocks(page: str) -> list[Node]:
                     if stack[i][0] in ends:
                         close(i)
                         break
-                    if stack[i][0] not in INLINE and not (tag in BLOCKS_CLOSE_P and stack[i][0] in ends):
+                    if stack[i][0] not in INLINE:
                         break
         if tag not in VOID and not m[4].rstrip().endswith("/"):
             stack.append((tag, names(tag, m[4])))
@@ -352,7 +352,8 @@ def extract(model: Labeller, pages: list[str | None]) -> list[str]:
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    sample = pages.filter(F.length("html") > 0).orderBy(F.xxhash64("page_id"), "page_id").select("html").limit(TRAIN_PAGES)
+    chosen = first_by_hash(pages.filter(F.length("html") > 0).select("page_id"), "page_id", TRAIN_PAGES).distinct()
+    sample = pages.filter(F.length("html") > 0).join(F.broadcast(chosen), "page_id").select("html").limit(TRAIN_PAGES)  # TRAIN_PAGES ids at most
     model = pages.sparkSession.sparkContext.broadcast(train([r[0] for r in sample.collect()]))
 
     def run(batches):
@@ -362,4 +363,4 @@ def main_text(pages: DataFrame) -> DataFrame:
                 texts = extract(model.value, part.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return in_batches(pages, run, "page_id long, url string, text string, n_chars long")
