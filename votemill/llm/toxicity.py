@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from votemill.llm.bpe import chunks
-from votemill.llm.common import materialize
+from votemill.llm.bpe import slices
+from votemill.llm.common import first_by_hash, in_batches, materialize
 from votemill.llm.shingles import U, Words, _BYTES, _INV, _P, _power, mix
 
 TRAIN_ROWS, TERMS, MIN_DOCS, STRENGTH, FACTORS = 20_000, 8192, 3, 10.8, 6
@@ -115,7 +115,7 @@ def held_out(doc_id) -> bool:
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text, y of at most TRAIN_ROWS labelled rows that are not held out."""
     y = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
-    y = y.filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
+    y = first_by_hash(y.filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2), "doc_id", TRAIN_ROWS)
     return docs.select("doc_id", "text").join(F.broadcast(y), "doc_id")
 
 
@@ -125,9 +125,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Machine]:
 
     def counts(batches):
         for batch in batches:
-            texts, y = batch.column("text").to_pylist(), np.array(batch.column("y").to_pylist(), np.int64)
-            for a, b in chunks([t or "" for t in texts]):
-                h, owner = terms([(t or "").encode("utf-8", "surrogatepass") for t in texts[a:b]])
+            y = np.array(batch.column("y").to_pylist(), np.int64)
+            for a, b, texts in slices(batch.column("text")):
+                h, owner = terms([t.encode("utf-8", "surrogatepass") for t in texts])
                 order = np.lexsort((owner, h))
                 h, owner = h[order], owner[order]
                 new = np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])[: len(h)]
@@ -140,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Machine]:
     positive = positive or 0
     if not n or positive in (0, n):
         return np.zeros(0, U), Machine(0, (positive + 1) / (n + 2))
-    stats = rows.mapInArrow(counts, "term long, n long, p long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
+    stats = in_batches(rows, counts, "term long, n long, p long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
     expected = F.col("n") * (positive / n)
     strength = (F.col("p") - expected) * (F.col("p") - expected) / (expected + 0.5)
     kept = stats.filter((F.col("n") >= MIN_DOCS) & (F.col("p") > expected) & (strength > STRENGTH)).orderBy(F.desc(strength), "term").limit(TERMS).select("term").toPandas()
@@ -149,14 +149,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Machine]:
 
     def features(batches):
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in chunks([t or "" for t in texts]):
-                place, text = known(texts[a:b], shared.value)
+            for a, b, texts in slices(batch.column("text")):
+                place, text = known(texts, shared.value)
                 cut = np.searchsorted(text, np.arange(b - a + 1))
                 lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(place, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a).cast(pa.int64()), batch.column("y").slice(a, b - a), lists], names=["doc_id", "y", "terms"])
 
-    found = rows.mapInArrow(features, "doc_id long, y int, terms array<int>").orderBy("doc_id").toPandas()
+    found = in_batches(rows, features, "doc_id long, y int, terms array<int>").orderBy("doc_id").toPandas()
     size = found.terms.map(len).to_numpy(np.int64)
     term = np.concatenate([*found.terms, np.zeros(0, np.int64)]).astype(np.int64)
     machine = Machine(len(vocabulary), positive / n)
@@ -172,15 +171,15 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def run(batches):
         vocabulary, machine = model.value
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in chunks([t or "" for t in texts]):
-                score = sigmoid(machine.margins(*known(texts[a:b], vocabulary), b - a)[0])
+            ids = batch.column(0).to_pylist()
+            for a, b, texts in slices(batch.column(1)):
+                score = sigmoid(machine.margins(*known(texts, vocabulary), b - a)[0])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[a:b], pa.int64()), pa.array([held_out(i) for i in ids[a:b]], pa.bool_()), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))],
                     names=["doc_id", "held_out", "score", "predicted"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return in_batches(docs, run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -190,9 +189,8 @@ def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches):
         vocabulary, machine = model.value
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in chunks([t or "" for t in texts]):
-                score = sigmoid(machine.margins(*known(texts[a:b], vocabulary), b - a)[0])
+            for a, b, texts in slices(batch.column("text")):
+                score = sigmoid(machine.margins(*known(texts, vocabulary), b - a)[0])
                 yield batch.slice(a, b - a).filter(pa.array(score < THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs, run, docs.schema)
