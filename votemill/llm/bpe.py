@@ -13,19 +13,26 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from votemill.llm.common import in_batches
+
 #: Bytes of text that one chunk of the encoder takes, and words that its memo holds before it starts anew.
-CHUNK_CHARS = 2_000_000
-MEMO_WORDS = 400_000
+CHUNK_CHARS = 1_000_000
+MEMO_WORDS = 250_000
 NO_PAIR = np.int64(1 << 62)
+#: White space for str.split() but not for the vocabulary.
+_STOPS = frozenset(".,;:!?")
+_CONTROL = re.compile("[\x1c-\x1f]")
 
 
 def byte_symbols() -> list[str]:
@@ -63,21 +70,47 @@ class WordBpe:
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern)
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))))
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
-        self.memo: dict[str, int] = {}
+    def forget(self) -> None:
+        """The memo: words, and the pieces that they are cut into, by their place in one flat array of ids."""
+        self.at: dict[str, int] = {}
         self.flat, self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for content, i in self.added.items():
-            self._store([content], np.array([i], np.int32), np.array([1], np.int64))
 
-    def _store(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+    def _store(self, keys: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         n = len(self.lengths)
-        self.memo.update(zip(words, range(n, n + len(words))))
+        self.at.update(zip(keys, range(n, n + len(keys))))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.flat = np.concatenate([self.flat, ids])
 
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the memo's entries at, in one array, and where each entry ends."""
+        size = self.lengths[at]
+        upto = np.cumsum(size)
+        total = int(upto[-1]) if len(upto) else 0
+        return self.flat[np.arange(total) + np.repeat(self.starts[at] - (upto - size), size)], upto
+
+    def _learn(self, words: list[str]) -> None:
+        """Put words in normal form, and their pieces, into the memo."""
+        other = list(filterfalse(str.isalpha, words))
+        cut = list(zip(other, map(self.pieces, other)))
+        new = set(filter(str.isalpha, words))
+        new.update(chain.from_iterable(pieces for _, pieces in cut))
+        new = list(new.difference(self.at))
+        special = [p for p in self.added if p in new] if any("<|" in w for w in other) else []
+        if special:
+            self._store(special, np.array([self.added[p] for p in special], np.int32), np.ones(len(special), np.int64))
+            new = [p for p in new if p not in self.added]
+        if new:
+            self._store(new, *self.merge_words([p.encode() for p in new]))
+        cut = [(w, pieces) for w, pieces in cut if w not in self.at]
+        if cut:
+            at = np.array([self.at[p] for _, pieces in cut for p in pieces], np.int64)
+            ids, upto = self._gather(at)
+            ends = np.concatenate([[0], upto])[np.cumsum([0, *(len(pieces) for _, pieces in cut)])]
+            self._store([w for w, _ in cut], ids, np.diff(ends))
+
     def merge_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in one array, and how many each word has."""
         lengths = np.array([len(w) for w in words], np.int64)
@@ -119,16 +152,27 @@ class WordBpe:
         order = np.argsort(word, kind="stable")
         return sym[order].astype(np.int32), np.bincount(word, minlength=len(words))
 
-    def pieces(self, text: str) -> list[str]:
-        """The words of a text as the vocabulary sees them; its special tokens stay whole."""
-        if "<|" in text and self.special.search(text):
+    def pieces(self, word: str) -> list[str]:
+        """A word (or a whole text) cut as the vocabulary cuts it; special tokens stay whole."""
+        if word[-1:] in _STOPS and word[:-1].isalpha():
+            return [word[:-1], word[-1]] if word.islower() else [self.normal(word[:-1]), word[-1]]
+        if "<|" in word and self.special.search(word):
             out, at = [], 0
-            for m in self.special.finditer(text):
-                out += self.words.findall(self.normal(text[at : m.start()]))
+            for m in self.special.finditer(word):
+                out += self.words.findall(self.normal(word[at : m.start()]))
                 out.append(m[0])
                 at = m.end()
-            return out + self.words.findall(self.normal(text[at:]))
-        return self.words.findall(self.normal(text))
+            return out + self.words.findall(self.normal(word[at:]))
+        return self.words.findall(self.normal(word))
+
+    def parts(self, text: str) -> list[str]:
+        """A text's words in normal form, by white space: no piece reaches over it. A text with special tokens or controls stays whole."""
+        if _CONTROL.search(text) or "<|" in text:
+            return [text]
+        lower = self.normal(text)
+        if not lower.isascii() and not unicodedata.is_normalized("NFC", lower):
+            return [text]  # its words would change if they came to normal form again
+        return lower.split()
 
     @staticmethod
     def normal(text: str) -> str:
@@ -140,19 +184,15 @@ class WordBpe:
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and the offsets at which each text starts and the last ends."""
-        split = [self.pieces(t) for t in texts]
-        if len(self.memo) > MEMO_WORDS:
-            self._forget()
-        new = list({w for words in split for w in words if w not in self.memo})
+        split = [self.parts(t) for t in texts]
+        if len(self.at) > MEMO_WORDS:
+            self.forget()
+        words = list(chain.from_iterable(split))
+        new = set(words).difference(self.at)
         if new:
-            self._store(new, *self.merge_words([w.encode() for w in new]))
-        at = np.fromiter((self.memo[w] for words in split for w in words), np.int64)
-        size = self.lengths[at]
-        upto = np.cumsum(size)
-        total = int(upto[-1]) if len(upto) else 0
-        ids = self.flat[np.arange(total) + np.repeat(self.starts[at] - (upto - size), size)]
-        words = np.cumsum([0, *map(len, split)])
-        return ids, np.concatenate([[0], upto])[words]
+            self._learn(list(new))
+        ids, upto = self._gather(np.array(list(map(self.at.__getitem__, words)), np.int64))
+        return ids, np.concatenate([[0], upto])[np.cumsum([0, *map(len, split)])]
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_batch([text])[0]
@@ -179,6 +219,14 @@ def chunks(texts: list[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, in
         yield start, len(texts)
 
 
+def slices(column: pa.Array, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int, list[str]]]:
+    """Ranges of a column's texts (null as empty) and the texts: some hundred rows and about limit characters at a time."""
+    for row in range(0, len(column), 512):
+        texts = [t or "" for t in column.slice(row, 512).to_pylist()]
+        for a, b in chunks(texts, limit):
+            yield row + a, row + b, texts[a:b]
+
+
 def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """One row a document: its id, ids (array) and decoded text; with digests, their counts and SHA-256 instead."""
     columns = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
@@ -189,9 +237,8 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
         numbers = [str(i) for i in range(len(bpe.tokens))]
         for batch in batches:
             keys, column = batch.column(0), batch.column(1)
-            texts = [t or "" for t in column.to_pylist()]
-            for a, b in chunks(texts):
-                flat, off = bpe.encode_batch(texts[a:b])
+            for a, b, texts in slices(column):
+                flat, off = bpe.encode_batch(texts)
                 rows = [flat[s:e].tolist() for s, e in zip(off[:-1], off[1:])]
                 decoded = [bpe.decode(r) for r in rows]
                 if digests:
@@ -203,5 +250,6 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
                     made = [pa.array(rows, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
                     names = ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), *made], names=[id_col, *names])
+        bpe.forget()
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {columns}")
+    return in_batches(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, {columns}")

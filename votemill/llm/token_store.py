@@ -15,66 +15,92 @@ gives no shard and no row; extra columns are ignored. Frames hold whole document
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
-import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from votemill.llm.bpe import WordBpe, chunks
-from votemill.llm.common import materialize, scratch_path
+from votemill.llm.bpe import WordBpe, slices
+from votemill.llm.common import in_batches, materialize, scratch_path
 
 SKIPPABLE = 0x184D2A5E
 ENTRY = struct.Struct("<QQQI")
 TAIL = struct.Struct("<QQQIQBI")
 FRAME_IDS = 1 << 16
-_PLAIN = re.compile("[^\x00-ɏ‐-⁞€]")
+#: Characters outside plain Latin text; Latin letters up to U+024F and these signs are their own normal form.
+_OTHER = re.compile("[^\x00-\x1b\x20-\u024f\u2010-\u2027\u2030-\u205e\u20ac]")
+_WHOLE = "\x1c"
 
 
 class LibraryBpe(WordBpe):
     """The tokenizers library as encoder, with a memo of the words of plain Latin texts.
 
-    The vocabulary cuts texts at word borders before it merges, so a word has the same ids in every text.
-    Texts with other characters go through the library whole.
+    The vocabulary cuts texts at word borders before it merges, so a word has the same ids in every text. New
+    words go through the library many at a time, and the tokens that end a word tell their ids apart. Texts with
+    other characters go through it whole, under a key that no word can have.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__(path)
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-
-    def _forget(self) -> None:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.added: dict[str, int] = {}  # the library finds them itself
+        self.size = self.library.get_vocab_size()
+        self.ends = np.zeros(self.size, bool)
+        suffix = spec["model"]["end_of_word_suffix"]
+        self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
+        self.words = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
+        self.forget()
+
+    def forget(self) -> None:
         self.held = 0
-        super()._forget()
+        super().forget()
+
+    def parts(self, text: str) -> list[str]:
+        if _OTHER.search(text) or "<|" in text:
+            return [_WHOLE + text]
+        return text.lower().split()
 
-    def pieces(self, text: str) -> list[str]:
-        if _PLAIN.search(text) or not unicodedata.is_normalized("NFC", text):
-            return [text]
-        return super().pieces(text)
+    def pieces(self, word: str) -> list[str]:
+        return [word] if word[0] == _WHOLE else super().pieces(word)
 
     def merge_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        words = [w.decode() for w in words]
         self.held += sum(map(len, words))
-        lengths = np.array(list(map(len, ids)), np.int64)
-        return np.fromiter((i for x in ids for i in x), np.int32, int(lengths.sum())), lengths
+        texts = [w[1:] for w in words if w[0] == _WHOLE]
+        if not texts:
+            joined = [" ".join(words[i : i + 1000]) for i in range(0, len(words), 1000)]
+            flat = self._encode(joined)[0]
+            last = np.flatnonzero(self.ends[flat])
+            if len(last) == len(words):
+                return flat, np.diff(last, prepend=-1)
+        return self._encode([w[1:] if w[0] == _WHOLE else w for w in words])
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array(list(chain.from_iterable(ids)), np.int32), np.array(list(map(len, ids)), np.int64)
 
     def encode_batch(self, texts):
-        if self.held > 32_000_000:
-            self._forget()
+        if self.held > 16_000_000:
+            self.forget()
         return super().encode_batch(texts)
 
 
@@ -176,20 +202,20 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
 
     def run(batches):
         bpe, sink, shard = library(tokenizer), None, TaskContext.get().partitionId()
-        width = 2 if len(bpe.tokens) <= 1 << 16 and end_id < 1 << 16 else 4
+        width = 2 if bpe.size <= 1 << 16 and end_id < 1 << 16 else 4
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            texts = [t or "" for t in batch.column(1).to_pylist()]
             if sink is None and keys:
                 fs, root = filesystem(folder)
                 fs.create_dir(root, recursive=True)
                 name = f"{shard:06d}-{uuid.uuid4().hex}.tok"
                 sink = fs.open_output_stream(f"{root}/{name}")
                 out = ShardWriter(sink, width)
-            for a, b in chunks(texts):
-                flat, off = bpe.encode_batch(texts[a:b])
+            for a, b, texts in slices(batch.column(1)):
+                flat, off = bpe.encode_batch(texts)
                 for key, s, e in zip(keys[a:b], off[:-1].tolist(), off[1:].tolist()):
                     out.add(key, np.append(flat[s:e], end_id))
+        bpe.forget()
         if sink is not None:
             out.close()
             sink.close()
@@ -197,7 +223,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
 
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = ordered.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions("doc_id", "text")
-    return materialize(ordered.mapInArrow(run, "shard int, name string, n_docs long, n_tokens long"), "shards")
+    return materialize(in_batches(ordered, run, "shard int, name string, n_docs long, n_tokens long"), "shards")
 
 
 def read_shards(shards: DataFrame, folder: str) -> DataFrame:
@@ -220,7 +246,7 @@ def read_shards(shards: DataFrame, folder: str) -> DataFrame:
     before = F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     plan = shards.select("shard", "name", F.coalesce(before, F.lit(0)).alias("start"))
     plan = plan.repartition(max(1, shards.count()), "shard").select("name", "start")
-    return plan.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return in_batches(plan, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_store(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None) -> DataFrame:
