@@ -188,6 +188,38 @@ def test_substring_dedup_finds_pasted_passages(spark):
     assert np.mean(left) < 25
 
 
+def uncut_lines(items, got):
+    """Of lines of CONTEXT words or more that equal an earlier one: how many, and how many keep a word (plain lines, no hashes)."""
+    seen, repeated, left = set(), 0, 0
+    for i, text in sorted(items):
+        gone = np.zeros(len(text), bool)
+        for x in got[i]["removed_spans"]:
+            gone[x["s"] : x["e"]] = True
+        at = 0
+        for line in text.split("\n"):
+            key = " ".join(line.lower().split())
+            if len(key.split()) >= substring_dedup.CONTEXT:
+                if key in seen:
+                    repeated += 1
+                    left += not all(gone[at + k] for k, c in enumerate(line) if not c.isspace())
+                seen.add(key)
+            at += len(line) + 1
+    return repeated, left
+
+
+def test_substring_dedup_cuts_equal_lines(spark):
+    rng = np.random.default_rng(12)
+    words = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(n))
+    shared = [words(int(n)) for n in rng.integers(8, 13, 60)] + [words(30) for _ in range(20)]
+    items = [(i, "\n".join([words(int(rng.integers(2, 40))), line, words(int(rng.integers(2, 40)))])) for i, line in enumerate(shared + shared)]
+    got = {r["doc_id"]: r for r in substring_dedup.deduplicated(spark.createDataFrame(items, "doc_id long, text string")).collect()}
+    assert uncut_lines(items, got) == (80, 0)
+    assert all(got[i]["text"] == t for i, t in items[:80])
+    for i, t in items[80:]:
+        before, _, after = t.split("\n")
+        assert got[i]["text"] == f"{before}\n{after}"
+
+
 def test_substring_dedup_edges(odd, empty):
     got = substring_dedup.deduplicated(odd, "spans").collect()
     assert len(got) == len(ODD) and got[0].__fields__[-1] == "spans"

@@ -1,13 +1,15 @@
 """Substring deduplication: units of a text are hashed, and of equal units only the first one stays.
 
-Units are lines, and long lines are cut further at borders that the words themselves decide: a border stands
-before a pair of words whose hash is the smallest of WINDOW neighbouring ones. Plain lines would miss a passage
+Units are lines, and lines of more than WINDOW words are cut further at borders that the line's own words decide: a
+border stands before a pair of words whose hash is the smallest of WINDOW neighbouring ones of the line. Equal lines of
+CONTEXT words or more thus have equal units, whatever stands next to them. Plain lines would miss a passage
 that was pasted into the middle of a line; with these borders both copies of a passage are cut alike, wherever
 it stands, and the part between the first and the last border that its own words decide is removed (of any
 passage of 50 words at least 50 - 2 * WINDOW). Units are compared in normal form (A-Z in lower case, white space
-runs as one space). A unit of fewer than CONTEXT words says little on its own, so its digest also covers the
-words before it in the text up to CONTEXT words, and it goes only where these repeat too; where a text has fewer
-words up to the unit's end, the unit stays. Digests are grouped over the whole corpus, the occurrence with the
+runs as one space). A unit of fewer than CONTEXT words says little on its own, so its digest also covers words
+before it up to CONTEXT words, and it goes only where these repeat too: words of its line (for one that ends within
+the line's first CONTEXT words, these words instead), or in a line of fewer words those of the lines before; where
+a text has fewer words up to the end of such a line, the unit stays. Digests are grouped over the whole corpus, the occurrence with the
 smallest (doc_id, position) is kept and every other one is removed.
 
 Results keep the original offsets: spans are [start, end) in code points of the original text, neighbours
@@ -43,20 +45,24 @@ def spread(h: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[U(0)], np.cumsum(h * power, dtype=U)]), inverse
 
 
-def borders(words: Words) -> np.ndarray:
+def line_starts(words: Words) -> np.ndarray:
+    """The first word of every line that has words, and the number of words at the end."""
+    line = np.cumsum(words.raw == 10)[words.start]  # texts are joined by line ends
+    return np.concatenate([[0], np.flatnonzero(line[1:] != line[:-1]) + 1, [len(line)]])
+
+
+def borders(words: Words, lines: np.ndarray) -> np.ndarray:
     """For each word, whether a unit starts there."""
-    h, off = words.h, words.off
+    h = words.h
     n = len(h)
     out = np.zeros(n, bool)
-    out[off[:-1][off[:-1] < n]] = True
-    lines = np.cumsum(words.raw == 10)
-    out[1:] |= lines[words.start[1:] - 1] > lines[words.end[:-1] - 1]
+    out[lines[:-1]] = True
     pair = ngrams(h, 2)
     if len(pair) >= WINDOW:
         view = np.lib.stride_tricks.sliding_window_view(pair, WINDOW)
         best = np.argmin(view, 1) + np.arange(len(view))
-        text = np.repeat(np.arange(len(off) - 1), np.diff(off))
-        out[best[text[: len(view)] == text[WINDOW : WINDOW + len(view)]]] = True  # windows within one text
+        line = np.repeat(np.arange(len(lines) - 1), np.diff(lines))
+        out[best[line[: len(view)] == line[WINDOW : WINDOW + len(view)]]] = True  # windows within one line
     return out
 
 
@@ -69,22 +75,27 @@ def units(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     if not n:
         none = np.zeros(0, np.int64)
         return none, none, none, none, none
-    first = np.flatnonzero(borders(words))
+    lines = line_starts(words)
+    first = np.flatnonzero(borders(words, lines))
     last = np.append(first[1:], n)
     text = np.searchsorted(off, first, "right") - 1
-    begin = np.minimum(first, np.maximum(last - CONTEXT, off[text]))
-    size = (last - first).astype(U)
+    line = np.searchsorted(lines, first, "right") - 1
+    whole = lines[line + 1] - lines[line] >= CONTEXT
+    begin = np.minimum(first, np.maximum(last - CONTEXT, np.where(whole, lines[line], off[text])))
+    ahead = whole & (last - begin < CONTEXT)  # the line's first words
+    stop = np.where(ahead, begin + CONTEXT, last)
+    size = (last - first + (ahead * (first - begin + 1) << 40)).astype(U)  # and which of these words
     digest = []
     for base in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
         total, inverse = spread(mix(h ^ U(base)), base)
-        digest.append(mix((total[last] - total[begin]) * inverse[begin] + mix(size * U(base) + (last - begin).astype(U))).view(np.int64))
+        digest.append(mix((total[stop] - total[begin]) * inverse[begin] + mix(size * U(base) + (stop - begin).astype(U))).view(np.int64))
     points = np.concatenate([[0], np.cumsum((words.raw & 0xC0) != 0x80)])
     zero = points[words.first[text]]
     ends = points[words.first + np.array([len(r) for r in raw])][text]
     s = points[words.start[first]] - zero
     same = np.append(text[1:] == text[:-1], False)
     e = np.where(same, np.append(s[1:], 0), ends - zero)
-    ok = last - begin >= CONTEXT
+    ok = stop - begin >= CONTEXT
     return text[ok], s[ok], e[ok], digest[0][ok], digest[1][ok]
 
 
