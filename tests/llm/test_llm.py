@@ -220,6 +220,35 @@ def test_substring_dedup_cuts_equal_lines(spark):
         assert got[i]["text"] == f"{before}\n{after}"
 
 
+def test_substring_dedup_tells_texts_apart(spark):
+    rng = np.random.default_rng(13)
+    words = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(n))
+    line, other, last = words(10), words(10), words(9)
+    items = [
+        (1, f"{line}\n{words(20)}"),
+        (None, f"{words(12)}\n{line}\n{last}"),
+        (None, f"{words(60)}\n{last}"),
+        (2, f"{words(9)}\n{line}\n{other}"),
+        (2, f"{words(40)}\n{words(3)}"),
+        (2, f"{words(11)}\n{words(20)}\n{other}"),
+        (2, f"{words(11)}\n{words(9)}"),
+    ]
+    items.append(items[3])
+    got = {r["before"]: r for r in substring_dedup.deduplicated(spark.createDataFrame([(*x, x[1]) for x in items], "doc_id long, text string, before string")).collect()}
+    a, b, c = items[1][1], items[3][1], items[5][1]
+    assert got[a]["text"] == a.replace(line + "\n", "")
+    assert all(got[items[i][1]]["text"] == items[i][1] for i in (0, 2, 4, 6))
+    cut = b.replace(line + "\n", "")
+    assert {got[b]["text"], got[c]["text"]} in ({cut, c.replace(other, "")}, {cut.replace(other, ""), c})
+    for i, t in items:
+        parts, at = [], 0
+        for x in got[t]["removed_spans"]:
+            assert x["s"] >= at
+            parts.append(t[at : x["s"]])
+            at = x["e"]
+        assert "".join([*parts, t[at:]]) == got[t]["text"]
+
+
 def test_substring_dedup_edges(odd, empty):
     got = substring_dedup.deduplicated(odd, "spans").collect()
     assert len(got) == len(ODD) and got[0].__fields__[-1] == "spans"

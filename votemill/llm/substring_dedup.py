@@ -16,9 +16,9 @@ Results keep the original offsets: spans are [start, end) in code points of the
 merged, and cutting them out of it gives the kept text. White space after a unit belongs to it.
 
 Edge cases: a null text stays null without spans; an empty text or one of white space only has no units; a
-null doc_id ranks after all others, and its units are removed only where a document with an id has them (rows
-without an id cannot be told apart); rows that share a doc_id count as one document, so that an occurrence is
-(doc_id, position) and equal rows lose the same spans; an empty table gives no row; extra columns stay, but for
+null doc_id ranks after all others, and its units are removed only where a document with an id has them (rows without
+an id have no order); a document is a (doc_id, text digest), so rows that share a doc_id but not a text are cut each at its own
+spans (the smaller digest first), while equal rows count as one and lose the same spans; an empty table gives no row; extra columns stay, but for
 one with the name of the spans column, which is replaced. Texts are read whole. Digests have 128 bits.
 """
 
@@ -35,6 +35,8 @@ from votemill.llm.common import in_batches
 from votemill.llm.shingles import U, Words, mix, ngrams
 
 WINDOW, CONTEXT = 14, 8
+#: What tells documents apart.
+DOCUMENT = ("doc_id", "text_id")
 
 
 def spread(h: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,36 +101,41 @@ def units(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return text[ok], s[ok], e[ok], digest[0][ok], digest[1][ok]
 
 
+def text_id():
+    return F.xxhash64(F.col("text")).alias("text_id")
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
-    """hi, lo (the digest), doc_id, s, e of every unit."""
+    """hi, lo (the digest), doc_id, text_id, s, e of every unit."""
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0)
-            for a, b, texts in slices(batch.column(1)):
+            keys = batch.select([0, 1])
+            for a, b, texts in slices(batch.column(2)):
                 text, s, e, hi, lo = units(texts)
-                own = ids.slice(a, b - a).take(pa.array(text, pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo), own, pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], names=["hi", "lo", "doc_id", "s", "e"])
+                own = keys.slice(a, b - a).take(pa.array(text, pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo), *own.columns, pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], names=["hi", "lo", *DOCUMENT, "s", "e"])
 
-    return in_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "hi long, lo long, doc_id long, s int, e int")
+    return in_batches(docs.select(F.col("doc_id").cast("long"), text_id(), "text"), run, "hi long, lo long, doc_id long, text_id long, s int, e int")
 
 
 def removed_units(docs: DataFrame) -> DataFrame:
-    """doc_id, s, e of the units that go. A digest that occurs once leaves with the first aggregate."""
+    """doc_id, text_id, s, e of the units that go. A digest that occurs once leaves with the first aggregate."""
     found = occurrences(docs)  # hashed twice rather than stored: units take more room than texts
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("s").alias("s"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), *DOCUMENT, "s")
     first = found.groupBy("hi", "lo").agg(F.min(rank).alias("keep"), F.count("*").alias("n")).filter("n > 1")
-    first = first.select("hi", "lo", F.col("keep.doc_id").alias("k_doc"), F.col("keep.s").alias("k_s"))
-    gone = found.join(first, ["hi", "lo"]).filter(~(F.col("doc_id").eqNullSafe(F.col("k_doc")) & (F.col("s") == F.col("k_s"))))
-    return gone.filter("doc_id IS NOT NULL OR k_doc IS NOT NULL").select("doc_id", "s", "e")
+    first = first.select("hi", "lo", F.col("keep.doc_id").alias("k_doc"), F.col("keep.text_id").alias("k_text"), F.col("keep.s").alias("k_s"))
+    same = F.col("doc_id").eqNullSafe(F.col("k_doc")) & (F.col("text_id") == F.col("k_text"))
+    gone = found.join(first, ["hi", "lo"]).filter(~(same & (F.col("s") == F.col("k_s"))))
+    return gone.filter("doc_id IS NOT NULL OR k_doc IS NOT NULL").select(*DOCUMENT, "s", "e")
 
 
 def deduplicated(docs: DataFrame, spans: str = "removed_spans") -> DataFrame:
     """docs with text replaced by what is kept, and the removed spans of the original text in a column of that name."""
     docs = docs.drop(spans)
-    gone = removed_units(docs).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("__cut"))
-    gone = gone.withColumnRenamed("doc_id", "__key")
-    joined = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__key")), "left").drop("__key")
+    gone = removed_units(docs).groupBy(*DOCUMENT).agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("__cut"))
+    gone = gone.select(F.col("doc_id").alias("__doc"), F.col("text_id").alias("__text"), "__cut")
+    joined = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (text_id() == F.col("__text")), "left").drop("__doc", "__text")
     names = docs.columns
 
     def run(batches):
