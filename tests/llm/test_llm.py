@@ -220,6 +220,27 @@ def test_substring_dedup_cuts_equal_lines(spark):
         assert got[i]["text"] == f"{before}\n{after}"
 
 
+def test_substring_dedup_share_cut_of_a_passage():
+    rng = np.random.default_rng(14)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, n))
+    shares = []
+    for _ in range(500):
+        passage = words(52)
+        texts = [f"{words(20)} {passage} {words(20)}" for _ in range(2)]
+        text, s, e, hi, lo = (x.tolist() for x in substring_dedup.units(texts))
+        first = {d for t, d in zip(text, zip(hi, lo)) if t == 0}
+        cut = " ".join(texts[1][x:y] for t, x, y, d in zip(text, s, e, zip(hi, lo)) if t == 1 and d in first)
+        shares.append(len(set(cut.split()) & set(passage.split())) / 52)
+    assert min(shares) >= 28 / 52 and np.mean(shares) > 0.77
+
+
+def test_substring_dedup_filter_leaves_no_repeat_out(spark, docs, monkeypatch):
+    key = lambda f: {(r["doc_id"], *map(tuple, r["removed_spans"])) for r in f.collect()}
+    some = key(substring_dedup.deduplicated(docs))
+    monkeypatch.setattr(substring_dedup, "repeated_bits", lambda _: np.full(1, -1))
+    assert key(substring_dedup.deduplicated(docs)) == some
+
+
 def test_substring_dedup_tells_texts_apart(spark):
     rng = np.random.default_rng(13)
     words = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(n))

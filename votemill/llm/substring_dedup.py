@@ -17,9 +17,14 @@ merged, and cutting them out of it gives the kept text. White space after a unit
 
 Edge cases: a null text stays null without spans; an empty text or one of white space only has no units; a
 null doc_id ranks after all others, and its units are removed only where a document with an id has them (rows without
-an id have no order); a document is a (doc_id, text digest), so rows that share a doc_id but not a text are cut each at its own
-spans (the smaller digest first), while equal rows count as one and lose the same spans; an empty table gives no row; extra columns stay, but for
-one with the name of the spans column, which is replaced. Texts are read whole. Digests have 128 bits.
+an id have no order); a document is a (doc_id, text digest), so rows that share a doc_id but not a text are cut each at
+its own spans (the smaller digest first), while equal rows count as one and lose the same spans; an empty table gives
+no row; extra columns stay, but for one with the name of the spans column, which is replaced. Texts are read whole.
+Digests have 128 bits.
+
+Most units occur once. They are left out early: a first pass counts half of each digest alone, a filter of bits (a
+few for each digest that repeats, BITS_MOST at most) tells the second pass which units may repeat, and only these are
+stored with their places and compared by whole digests. The filter lets some others through, but none that repeats out.
 """
 
 from __future__ import annotations
@@ -31,10 +36,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from votemill.llm.bpe import slices
-from votemill.llm.common import in_batches
+from votemill.llm.common import in_batches, materialize
 from votemill.llm.shingles import U, Words, mix, ngrams
 
-WINDOW, CONTEXT = 14, 8
+WINDOW, CONTEXT = 12, 8
+#: Bits of the filter: one for so many bytes of text, about 8 for each digest that repeats.
+BYTES_A_BIT, BITS_LEAST, BITS_MOST = 64, 1 << 16, 1 << 28
 #: What tells documents apart.
 DOCUMENT = ("doc_id", "text_id")
 
@@ -105,23 +112,47 @@ def text_id():
     return F.xxhash64(F.col("text")).alias("text_id")
 
 
+def repeated_bits(docs: DataFrame) -> np.ndarray:
+    """A filter of bits: that at lo modulo its size is set for every lo that occurs twice or more."""
+
+    def run(batches):
+        for batch in batches:
+            for _, _, texts in slices(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(units(texts)[4])], names=["lo"])
+
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = min(max(size // BYTES_A_BIT, BITS_LEAST), BITS_MOST) // 64 * 64
+    at = in_batches(docs.select("text"), run, "lo long").groupBy("lo").count().filter("count > 1").select(F.pmod("lo", F.lit(n)).alias("at"))
+    words = at.groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 AS int))")).alias("bits")).toArrow()
+    out = np.zeros(n // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out
+
+
+def has_bit(bits: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    at = lo % (len(bits) * 64)
+    return (bits[at >> 6] >> (at & 63)) & 1 == 1
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
-    """hi, lo (the digest), doc_id, text_id, s, e of every unit."""
+    """hi, lo (the digest), doc_id, text_id, s, e of the units that may repeat, all that do among them."""
+    bits = docs.sparkSession.sparkContext.broadcast(repeated_bits(docs))
 
     def run(batches):
         for batch in batches:
             keys = batch.select([0, 1])
             for a, b, texts in slices(batch.column(2)):
                 text, s, e, hi, lo = units(texts)
-                own = keys.slice(a, b - a).take(pa.array(text, pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo), *own.columns, pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], names=["hi", "lo", *DOCUMENT, "s", "e"])
+                may = has_bit(bits.value, lo)
+                own = keys.slice(a, b - a).take(pa.array(text[may], pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(hi[may]), pa.array(lo[may]), *own.columns, pa.array(s[may].astype(np.int32)), pa.array(e[may].astype(np.int32))], names=["hi", "lo", *DOCUMENT, "s", "e"])
 
     return in_batches(docs.select(F.col("doc_id").cast("long"), text_id(), "text"), run, "hi long, lo long, doc_id long, text_id long, s int, e int")
 
 
 def removed_units(docs: DataFrame) -> DataFrame:
     """doc_id, text_id, s, e of the units that go. A digest that occurs once leaves with the first aggregate."""
-    found = occurrences(docs)  # hashed twice rather than stored: units take more room than texts
+    found = materialize(occurrences(docs), "units")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), *DOCUMENT, "s")
     first = found.groupBy("hi", "lo").agg(F.min(rank).alias("keep"), F.count("*").alias("n")).filter("n > 1")
     first = first.select("hi", "lo", F.col("keep.doc_id").alias("k_doc"), F.col("keep.text_id").alias("k_text"), F.col("keep.s").alias("k_s"))
