@@ -400,6 +400,18 @@ def test_toxicity_interactions():
     assert score[2] > 0.5 > max(score[0], score[1], score[3]) and machine.v[0] @ machine.v[1] > 0
 
 
+def test_toxicity_training_rows_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_ROWS", 50)
+    free = [i for i in range(100) if not toxicity.held_out(i)][:31]
+    hot, ids = free[0], free[1:]
+    items = [(hot, f"row {i} of a hot id") for i in range(300)] + [(hot, "a hot row")] * 300 + [(i, f"text {i}") for i in ids]
+    frame = spark.createDataFrame(items, "doc_id long, text string")
+    labels = spark.createDataFrame([(hot, 1), *((i, 0) for i in ids)], "doc_id long, toxic int")
+    got = [tuple(r) for r in toxicity.training_rows(frame, labels).select("doc_id", "text", "y").collect()]
+    assert len(got) == len(set(got)) == 50 and {i for i, *_ in got} == {hot, *ids} and {y for i, _, y in got if i == hot} == {1}
+    assert toxicity.scored(frame, labels).count() == len(items)
+
+
 def test_toxicity_edges(odd, empty, spark):
     labels = spark.createDataFrame([(1, 1), (2, None), (None, 1), (7, 0), (7, 1)], "doc_id long, toxic int")
     got = toxicity.scored(odd, labels).collect()
@@ -436,6 +448,32 @@ def test_lm_brute_force(spark, docs, monkeypatch):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_lm_groups_of_a_hot_id_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(lm, "GROUP_BYTES", 2_000)
+    monkeypatch.setattr(lm, "COPIES", 7)
+    texts = [f"some words of text number {i} for a row" for i in range(400)]
+    items = [(None, t) for t in texts[:200]] + [(5, t) for t in texts[200:]] + [(5, "the same row again")] * 300 + [(6, None)] * 2 + [(7, "own text")]
+    seen, plain = spark.sparkContext.accumulator(0), lm.ask
+
+    def ask(buckets):
+        run = plain(buckets)
+
+        def spied(table):
+            assert sum(len(t or "") for t in table.column("text").to_pylist()) < 4 * 2_000
+            seen.add(1)
+            return run(table)
+
+        return spied
+
+    monkeypatch.setattr(lm, "ask", ask)
+    got = lm.lm_scores(spark.createDataFrame(items, "doc_id long, text string")).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in items) and seen.value > 5
+    one = Counter(w for i, t in items if not lm.held_out(i) for w in [*(t or "").split(), None])
+    assert {r["train_tokens"] for r in got} == {sum(one.values())}
+    base = sum(math.log10((one[w] + 1) / (sum(one.values()) + len(one) + 1)) for w in [*"the same row again".split(), None])
+    assert sum(math.isclose(r["base_score"], base, rel_tol=1e-9) for r in got) == 300
+
+
 def test_lm_longer_histories(monkeypatch):
     monkeypatch.setattr(lm, "ORDER", 3)
     texts = ["a b c a b c d", "a b d", "x", "a b c d"]

@@ -9,13 +9,13 @@ log10(MU_k / (c(h) + MU_k)). Since the numerator is interpolated, this automaton
 A document is read once from left to right; its state goes along and the log-probabilities add up.
 
 Scale: the model grows with the corpus and is never held whole. Documents are dealt into groups of about
-GROUP_BYTES by a hash of their id. Each group asks for the n-grams that it holds, as sorted hashes cut into
+GROUP_BYTES by a hash of id and text; equal rows are one document with a number. Each group asks for the n-grams that it holds, as sorted hashes cut into
 buckets; a bucket adds up the training counts of all groups and answers each with counts in the order asked;
 each group then builds the part of the automaton that its own texts can reach. N-grams are counted within a
 group before they move, so a frequent one is one entry a group, not a row an occurrence.
 
 Edge cases: a null text is an empty one, whose only token is the end; a null id counts as training (its
-remainder is none) and held_out is false; repeated rows count each; without training tokens every token is
+remainder is none) and held_out is false; repeated rows count each and are returned each; without training tokens every token is
 unknown; an empty table gives no row; extra columns are ignored. N-grams are told apart by 64-bit hashes.
 """
 
@@ -28,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from votemill.llm.common import materialize
+from votemill.llm.common import materialize, small
 from votemill.llm.shingles import U, mix, ngrams, word_hashes
 
 ORDER, MU = 2, (0.0, 60.0, 8.0)
 GROUP_BYTES, BUCKET_ENTRIES = 8_000_000, 1_500_000
+COPIES = 4096
 END = mix(np.array([1], U))[0]
 
 
@@ -100,20 +101,21 @@ def bucket_cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.append(np.searchsorted(keys, np.array(edge, U)), len(keys))
 
 
-def group_batch(tables) -> tuple[list, list[str]]:
-    ids, texts = [], []
+def group_batch(tables) -> tuple[list, list[str], list[int]]:
+    ids, texts, copies = [], [], []
     for batch in tables:
         ids += batch.column("doc_id").to_pylist()
         texts += batch.column("text").to_pylist()
+        copies += batch.column("copies").to_pylist()
     order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i] or ""))
-    return [ids[i] for i in order], [texts[i] for i in order]
+    return [ids[i] for i in order], [texts[i] for i in order], [copies[i] for i in order]
 
 
-def asked(ids: list, texts: list[str]):
+def asked(ids: list, texts: list[str], copies: list[int] | None = None):
     """Offsets of the tokens, then distinct n-grams, orders and own counts, then place and order of every n-gram."""
     h, off = tokens_of(texts)
     hashes, orders, owner = all_ngrams(h, off)
-    train = np.array([not held_out(i) for i in ids], bool)
+    train = np.array([0 if held_out(i) else n for i, n in zip(ids, copies or [1] * len(ids))], np.int64)
     keys, kinds, counts, place = distinct(hashes, orders, train[owner])
     return off, keys, kinds, counts, place, orders
 
@@ -122,8 +124,8 @@ def ask(buckets: int):
     """From a group of documents: a row a bucket, with the n-grams asked for and the group's own counts."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, texts = group_batch([table])
-        _, keys, orders, counts, *_ = asked(ids, texts)
+        ids, texts, copies = group_batch([table])
+        _, keys, orders, counts, *_ = asked(ids, texts, copies)
         cut = bucket_cuts(keys, buckets)
         rows = {"bucket": [], "g": [], "keys": [], "orders": [], "counts": []}
         for b in range(buckets):
@@ -242,16 +244,16 @@ class Automaton:
         return out
 
 
-SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, copies long"
 
 
 def scorer(tokens: int, types: int, singles: int):
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
         names = [x.split()[0] for x in SCORES.split(", ")]
-        schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), *((c, pa.int64()) for c in names[2:5]), *((c, pa.float64()) for c in names[5:])])
+        schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), *((c, pa.int64()) for c in names[2:5]), *((c, pa.float64()) for c in names[5:7]), ("copies", pa.int64())])
         if not docs.num_rows:
             return schema.empty_table()
-        ids, texts = group_batch([docs])
+        ids, texts, copies = group_batch([docs])
         off, _, _, _, place, orders = asked(ids, texts)
         parts = sorted(zip(replies.column("bucket").to_pylist(), replies.column("counts").to_pylist()))
         counts = np.concatenate([unpack(p) for _, p in parts]).astype(np.int64)
@@ -261,22 +263,39 @@ def scorer(tokens: int, types: int, singles: int):
         base_score = np.add.reduceat(base, off[:-1])
         known = np.add.reduceat((seen > 0).astype(np.int64), off[:-1])
         n = len(ids)
-        return pa.table([pa.array(ids, pa.int64()), pa.array([held_out(i) for i in ids]), np.diff(off), known, np.full(n, tokens), base_score, score], schema=schema)
+        return pa.table([pa.array(ids, pa.int64()), pa.array([held_out(i) for i in ids]), np.diff(off), known, np.full(n, tokens), base_score, score, pa.array(copies, pa.int64())], schema=schema)
 
     return run
 
 
+def counted(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """docs with equal rows as one and their number (copies), and whether there are equal rows."""
+    key = F.xxhash64("doc_id", "text").alias("__key")
+    twice = materialize(docs.groupBy(key).count().filter("count > 1").select("__key"), "twice")
+    if twice.isEmpty():
+        return docs.withColumn("copies", F.lit(1).cast("long")), False
+    keyed, twice = docs.select("*", key), small(twice)
+    once = keyed.join(twice, "__key", "left_anti").select("doc_id", "text", F.lit(1).cast("long").alias("copies"))
+    more = keyed.join(twice, "__key", "left_semi").groupBy("doc_id", "text").agg(F.count("*").alias("copies"))
+    return once.unionByName(more), True
+
+
 def lm_scores(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs, repeated = counted(docs)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-size // GROUP_BYTES))
     # About a word in six bytes, and as many n-grams as words for each order at most.
     buckets = max(1, -(-(size // 6) * ORDER // BUCKET_ENTRIES))
-    key = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(groups)).cast("int")
+    key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int")
     dealt = docs.withColumn("g", key).repartition(groups, "g")
     request = dealt.groupBy("g").applyInArrow(ask(buckets), "bucket int, g int, keys binary, orders binary, counts binary")
     reply = request.groupBy("bucket").applyInArrow(answer, "g int, bucket int, counts binary, tokens long, types long, singles long")
     reply = materialize(reply, "counts")
     tokens, types, singles = reply.filter("g = -1").agg(F.sum("tokens"), F.sum("types"), F.sum("singles")).first()
     right = reply.filter("g >= 0").select("g", "bucket", "counts")
-    return dealt.groupBy("g").cogroup(right.groupBy("g")).applyInArrow(scorer(tokens or 0, types or 0, singles or 0), SCORES)
+    out = dealt.groupBy("g").cogroup(right.groupBy("g")).applyInArrow(scorer(tokens or 0, types or 0, singles or 0), SCORES)
+    if repeated:  # in two steps, so that no list is long
+        out = out.withColumn("a", F.explode(F.expr(f"sequence(0L, (copies - 1) div {COPIES})")))
+        out = out.withColumn("b", F.explode(F.expr(f"sequence(1L, least({COPIES}L, copies - a * {COPIES}))"))).drop("a", "b")
+    return out.drop("copies")

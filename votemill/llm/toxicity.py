@@ -6,7 +6,8 @@ weight; pairs of terms interact through the inner product of their factors, so t
 apart, such as an insult and the mention of a group, can mean much together. A text's score is
   sigmoid(b + sum w_i + sum_{i<j} <v_i, v_j>) over the distinct known terms that it has.
 
-The machine is fitted to at most TRAIN_ROWS labelled rows, those with the smallest hash of their id; of their
+The machine is fitted to at most TRAIN_ROWS labelled rows, those with the smallest hash of their id; where ids have
+several rows and these are more, equal rows count once and the ids give a text each in turn. Of their
 terms, those that speak for toxicity by chi-square (above STRENGTH, in MIN_DOCS texts or more) are kept, the TERMS
 strongest ones if there are more. The bounds are parameters; scoring covers every text whole. Ids, languages and sources are never inputs of a score.
 
@@ -22,7 +23,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from votemill.llm.bpe import slices
@@ -116,7 +117,15 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text, y of at most TRAIN_ROWS labelled rows that are not held out."""
     y = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     y = first_by_hash(y.filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2), "doc_id", TRAIN_ROWS)
-    return docs.select("doc_id", "text").join(F.broadcast(y), "doc_id")
+    y = materialize(y, "labels")
+    docs = docs.select("doc_id", "text")
+    if docs.select("doc_id").join(F.broadcast(y), "doc_id").count() <= TRAIN_ROWS:
+        return docs.join(F.broadcast(y), "doc_id")
+    docs = docs.withColumn("place", F.xxhash64("text", "doc_id"))
+    keys = docs.select("doc_id", "place").join(F.broadcast(y), "doc_id").distinct()
+    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("place"))
+    keys = keys.withColumn("turn", turn).filter(F.col("turn") <= TRAIN_ROWS).orderBy("turn", "place", "doc_id").limit(TRAIN_ROWS)
+    return docs.join(F.broadcast(keys), ["doc_id", "place"]).select("doc_id", "text", "y").distinct().limit(TRAIN_ROWS)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Machine]:
@@ -155,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Machine]:
                 lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(place, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a).cast(pa.int64()), batch.column("y").slice(a, b - a), lists], names=["doc_id", "y", "terms"])
 
-    found = in_batches(rows, features, "doc_id long, y int, terms array<int>").orderBy("doc_id").toPandas()
+    found = in_batches(rows, features, "doc_id long, y int, terms array<int>").orderBy("doc_id", "terms").toPandas()
     size = found.terms.map(len).to_numpy(np.int64)
     term = np.concatenate([*found.terms, np.zeros(0, np.int64)]).astype(np.int64)
     machine = Machine(len(vocabulary), positive / n)
