@@ -304,6 +304,26 @@ def test_nearest_recall_and_edges(spark):
     assert abs(nearest.chi_square(np.array([nearest.chi_square_bound(0.95, 10)]), 10)[0] - 0.95) < 1e-6
 
 
+@pytest.mark.parametrize("sets", [100, 1])
+def test_nearest_repeated_rows(spark, monkeypatch, sets):
+    monkeypatch.setattr(nearest, "QUERY_ROWS", 12)
+    monkeypatch.setattr(nearest, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(nearest, "CONFIDENCE", 1 - 1e-9)
+    monkeypatch.setattr(nearest, "SETS_IN_ONE_PLAN", sets)
+    rng = np.random.default_rng(15)
+    same, center = rng.normal(size=64), rng.normal(size=64)
+    items = [(100, same)] * 60 + [(200, center + 0.01 * rng.normal(size=64)) for _ in range(30)] + [(i, center + rng.normal(size=64)) for i in range(40)] + [(0, same)]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in items], "vec_id long, embedding array<double>")
+    got = nearest.nearest(frame, frame.filter("vec_id % 100 = 0 OR vec_id = 7"), 5).toPandas()
+    for q in (0, 7, 100, 200):
+        best = {}
+        for i, v in items:
+            if i != q:
+                best[i] = min(best.get(i, math.inf), *(float(np.sqrt(((v - w) ** 2).sum())) for j, w in items if j == q), math.inf)
+        own = got[got.query_id == q].sort_values("rank")
+        assert list(own.vec_id) == sorted(best, key=lambda i: (best[i], i))[:5] and np.allclose(own.score, [best[i] for i in own.vec_id])
+
+
 def test_token_store_round_trip(spark, docs, odd, library, tmp_path):
     frame = docs.unionByName(odd.filter("doc_id IS NULL OR doc_id IN (3, 4, 8, 9)").select((F.col("doc_id") + 1000000).alias("doc_id"), "text"))
     folder = str(tmp_path / "shards")

@@ -8,13 +8,14 @@ with exact distances. It stops when the chi-square distribution function, at the
 reached over the squared distance of the k-th best so far, is at least CONFIDENCE: a closer point not
 seen yet would then have had to be projected unusually far. Blocks' answers merge to the k nearest.
 
-Every row is indexed, and every query meets every block. Queries are taken in sets of at most QUERY_ROWS rows, so
-what a task holds is bounded. Within a block equal vectors are one entry with its k + 1 smallest ids, which loses
+Every row is indexed, and every query meets every block. Equal rows (id and vector) count once. Blocks are dealt by a
+hash of id and vector, and queries are taken in sets of about QUERY_ROWS / 2 rows by such a hash, so what a task holds
+is bounded. Within a block equal vectors are one entry with its k + 1 smallest ids, which loses
 nothing for the k nearest (ties go to the smaller id).
 
 Edge cases: vectors that are null, zero, empty, hold null or non-finite components, or have another length than
 `dim`, take no part, nor do rows with a null id; rows that share an id count once (that with the smallest
-distance); with fewer candidates than k all are returned; an empty table gives no row; extra columns are ignored.
+distance), as neighbours and as queries; with fewer candidates than k all are returned; an empty table gives no row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from votemill.llm.common import materialize
+
 PROJECTED, CONFIDENCE, LEAF = 10, 0.97, 32
 BLOCK_ROWS, QUERY_ROWS, SEED = 8192, 8192, 7
+#: More sets of queries are answered one by one, each set's k nearest written.
+SETS_IN_ONE_PLAN = 8
 
 
 def chi_square(x: np.ndarray, m: int) -> np.ndarray:
@@ -103,10 +108,21 @@ class Block:
                 keep = distance <= best[-1][0]
                 at, distance = at[keep], distance[keep]
             best += [(d, int(j)) for x, d in zip(at.tolist(), distance.tolist()) for j in self.ids[x] if j != query_id]
-            best = sorted(best)[:k]
+            best = nearest_ids(sorted(best), k)
         return best
 
 
+def nearest_ids(ordered: list[tuple[float, int]], k: int) -> list[tuple[float, int]]:
+    """The first k of (distance, id), each id once."""
+    first: dict[int, float] = {}
+    for d, j in ordered:
+        if j not in first:
+            if len(first) == k:
+                break
+            first[j] = d
+    return [(d, j) for j, d in first.items()]
+
+
 def usable(df: DataFrame, id_col: str, vector_col: str, dim: int) -> DataFrame:
     v = F.col(vector_col).cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
@@ -129,20 +145,25 @@ def searcher(asked, matrix: np.ndarray, k: int, bound: float):
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, dim: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest rows other than itself."""
     spark = rows.sparkSession
-    rows, queries = usable(rows, id_col, vector_col, dim), usable(queries, id_col, vector_col, dim)
+    rows, queries = (usable(x, id_col, vector_col, dim).distinct() for x in (rows, queries))
     blocks = max(1, -(-rows.count() // BLOCK_ROWS))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "v", F.lit(SEED)), F.lit(blocks)).cast("int")).repartition(blocks, "block")
     matrix = np.random.default_rng(SEED).standard_normal((dim, PROJECTED))
     bound = chi_square_bound(CONFIDENCE, PROJECTED)
     sets = max(1, -(-queries.count() * 2 // QUERY_ROWS))
     found = None
     for s in range(sets):
-        own = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(sets)) == s).toPandas() if sets > 1 else queries.toPandas()
-        if len(own) > QUERY_ROWS and sets > 1:
-            raise ValueError("query rows share their ids; make them distinct")
+        own = queries.filter(F.pmod(F.xxhash64("vec_id", "v"), F.lit(sets)) == s).toPandas() if sets > 1 else queries.toPandas()
         asked = spark.sparkContext.broadcast((own.vec_id.to_numpy(np.int64), np.array(own.v.tolist(), np.float64).reshape(len(own), dim)))
         part = dealt.groupBy("block").applyInArrow(searcher(asked, matrix, k, bound), "query_id long, vec_id long, score double")
+        if sets > SETS_IN_ONE_PLAN:
+            part = materialize(ranked(part, k).select("query_id", "vec_id", "score"), "nearest")
+            asked.destroy()
         found = part if found is None else found.unionByName(part)
+    return ranked(found, k)
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     found = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).filter(F.col("rank") <= k)
     return found.select("query_id", "rank", "vec_id", "score")
