@@ -527,6 +527,23 @@ def test_html_blocks():
     assert got == [("Home", False), ("A & B", True), ("one two three", True), ("four five", True), ("six", True), ("seven", True)]
 
 
+@pytest.mark.parametrize(
+    "head",
+    ["<head><meta charset=x><title>t</title><body>", "<head><title>t</title><link href=x>", "<head><title>t<body>", "<HEAD><title>t", "<head><title>a <b>t</b></title>", "<head><title>a <p> t</title><noscript><img src=x>n</noscript></head><body>"],
+)
+def test_html_open_head_ends(head):
+    assert [b.text for b in html_text.blocks(f"<html>{head}<p>one</p><p>two <select><option>no</select>three</p>")] == ["one", "two", "three"]
+
+
+def test_html_text_in_an_open_head():
+    assert [b.text for b in html_text.blocks("<head><title>t</title> plain words<p>more")] == ["plain words", "more"]
+
+
+def test_html_keeps_formulas_and_fallback_text():
+    page = "<article><p>so <math><mi>E</mi><mo>=</mo><mrow><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></mrow></math> holds</p><object data=x><p>a fallback</p></object><p>end</article>"
+    assert [b.text for b in html_text.blocks(page)] == ["so E=mc2 holds", "a fallback", "end"]
+
+
 def test_html_labels_articles(spark):
     pages = [r[0] for r in spark.read.parquet(f"{SF}/pages.parquet").select("html").collect()]
     model = html_text.train(pages[:100])

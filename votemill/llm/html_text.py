@@ -11,7 +11,7 @@ and again with their blocks poured into random layouts, whose labels are known b
 or named containers among menus, headers, footers, sidebars, notices, adverts, forms and reader comments.
 
 Edge cases: a null, empty or tagless page is one block of text or none; without any main block the text is empty;
-unclosed and stray tags are tolerated; character references are decoded once, after tags were found; pages of any length are read whole; repeated rows get
+unclosed and stray tags are tolerated (body, or an element that cannot stand in head, ends an open head); character references are decoded once, after tags were found; pages of any length are read whole; repeated rows get
 equal texts; a null page_id or url is carried through; with no page to learn from, layouts are poured from
 placeholder words; an empty table gives no row; extra columns are ignored.
 """
@@ -36,8 +36,10 @@ DIM = PATH_DIM + WORD_DIM + SHAPE_DIM
 
 #: Elements by their role in HTML.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE |= frozenset("math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics annotation".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN_TEXT = frozenset("script style noscript template textarea select option button title head svg math iframe object".split())
+HIDDEN_TEXT = frozenset("script style noscript template textarea select option button title head svg iframe".split())
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 BOILERPLATE = frozenset("nav header footer aside form dialog menu".split())
 OWN_CLOSE = {"p": frozenset(["p"]), "li": frozenset(["li"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "tr": frozenset(["tr", "td", "th"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"])}
 BLOCKS_CLOSE_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -81,13 +83,22 @@ def blocks(page: str) -> list[Node]:
             state["hidden"] -= tag in HIDDEN_TEXT
         del stack[n:]
 
+    def open_head(tag: str) -> None:
+        """An element that cannot stand in head ends it, and a title left open there; in the head's other hidden elements it does not."""
+        head = next((i for i, (t, _) in enumerate(stack) if t == "head"), None)
+        inside = [t for t, _ in stack[head + 1 :]] if head is not None else []
+        if head is not None and (tag == "body" or not inside or (set(inside) == {"title"} and at > last_title)):
+            close(head)
+
     def text(piece: str) -> None:
+        if stack and stack[-1][0] == "head" and piece.strip():
+            close(len(stack) - 1)
         if piece and not state["hidden"]:
             parts.append(piece)
             if state["links"] > 0:
                 state["linked"] += len(piece.strip())
 
-    at = 0
+    at, last_title = 0, page.lower().rfind("</title")
     for m in _TOKEN.finditer(page):
         if m.start() > at:
             text(page[at : m.start()])
@@ -103,6 +114,8 @@ def blocks(page: str) -> list[Node]:
             if where is not None and (tag not in INLINE or all(t in INLINE for t, _ in stack[where:])):
                 close(where)
             continue
+        if tag not in HEAD and stack and state["hidden"]:
+            open_head(tag)
         if tag == "br":
             text(" ")
             continue
