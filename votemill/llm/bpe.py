@@ -14,25 +14,27 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, filterfalse
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
 from votemill.llm.common import in_batches
 
-#: Bytes of text that one chunk of the encoder takes, and words that its memo holds before it starts anew.
+#: Characters of text that one slice of a column has, and words that the encoder's memo holds.
 CHUNK_CHARS = 1_000_000
-MEMO_WORDS = 250_000
+MEMO_WORDS = 800_000
+#: Rows and bytes of text that the encoder takes at once: the more, the fewer distinct words.
+ENCODE_ROWS, ENCODE_BYTES = 8000, 16 << 20
 NO_PAIR = np.int64(1 << 62)
-#: White space for str.split() but not for the vocabulary.
 _STOPS = frozenset(".,;:!?")
-_CONTROL = re.compile("[\x1c-\x1f]")
+#: Characters that are their own normal form and whose classes no version of Unicode changes.
+_LATIN = re.compile("[\x21-\x7e\xa1-\u024f]+")
 
 
 def byte_symbols() -> list[str]:
@@ -46,6 +48,8 @@ class WordBpe:
     """A word-level BPE with word ends, read from a tokenizer's JSON description."""
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -69,21 +73,16 @@ class WordBpe:
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern)
+        self.library = Tokenizer.from_file(path)
+        self.byte_of = {c: i for i, c in enumerate(chars)}
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))))
         self.forget()
 
     def forget(self) -> None:
-        """The memo: words, and the pieces that they are cut into, by their place in one flat array of ids."""
-        self.at: dict[str, int] = {}
+        """The memo: words between ASCII white space, and where their ids lie in one flat array."""
+        self.known = pa.array([], pa.string())
         self.flat, self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _store(self, keys: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        n = len(self.lengths)
-        self.at.update(zip(keys, range(n, n + len(keys))))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.flat = np.concatenate([self.flat, ids])
-
     def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the memo's entries at, in one array, and where each entry ends."""
         size = self.lengths[at]
@@ -91,25 +90,40 @@ class WordBpe:
         total = int(upto[-1]) if len(upto) else 0
         return self.flat[np.arange(total) + np.repeat(self.starts[at] - (upto - size), size)], upto
 
-    def _learn(self, words: list[str]) -> None:
-        """Put words in normal form, and their pieces, into the memo."""
-        other = list(filterfalse(str.isalpha, words))
-        cut = list(zip(other, map(self.pieces, other)))
-        new = set(filter(str.isalpha, words))
-        new.update(chain.from_iterable(pieces for _, pieces in cut))
-        new = list(new.difference(self.at))
-        special = [p for p in self.added if p in new] if any("<|" in w for w in other) else []
-        if special:
-            self._store(special, np.array([self.added[p] for p in special], np.int32), np.ones(len(special), np.int64))
-            new = [p for p in new if p not in self.added]
-        if new:
-            self._store(new, *self.merge_words([p.encode() for p in new]))
-        cut = [(w, pieces) for w, pieces in cut if w not in self.at]
-        if cut:
-            at = np.array([self.at[p] for _, pieces in cut for p in pieces], np.int64)
-            ids, upto = self._gather(at)
-            ends = np.concatenate([[0], upto])[np.cumsum([0, *(len(pieces) for _, pieces in cut)])]
-            self._store([w for w, _ in cut], ids, np.diff(ends))
+    def _find(self, words: pa.Array) -> np.ndarray:
+        """The memo's entries of distinct words; new ones are learned. A full memo keeps those that are asked for now."""
+        at = pc.index_in(words, value_set=self.known)
+        new = words.filter(at.is_null())
+        if not len(new):
+            return at.to_numpy()
+        if len(self.known) and len(self.known) + len(new) > MEMO_WORDS:
+            here = at.drop_null().to_numpy()
+            kept, (ids, _), lengths = words.filter(at.is_valid()), self._gather(here), self.lengths[here]
+            self.known, self.flat, self.lengths = kept, ids, lengths
+            self.starts = np.cumsum(lengths) - lengths
+        ids, lengths = self.learn(new.to_pylist())
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.flat = np.concatenate([self.flat, ids])
+        self.known = pa.concat_arrays([self.known, new])
+        return pc.index_in(words, value_set=self.known).to_numpy()
+
+    def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in one array, and how many each word has: cut to pieces, and each distinct piece merged once."""
+        cut = [[w.lower()] if w.isascii() and w.isalpha() else self.pieces(w) for w in words]
+        pieces = dict.fromkeys(chain.from_iterable(cut))
+        plain = [p for p in pieces if p not in self.added]
+        ids, lengths = self.merge_words([p.encode() for p in plain])
+        special = [p for p in pieces if p in self.added]
+        ids = np.concatenate([ids, np.array([self.added[p] for p in special], np.int32)])
+        lengths = np.concatenate([lengths, np.ones(len(special), np.int64)])
+        number = dict(zip(chain(plain, special), range(len(lengths))))
+        at = np.array(list(map(number.__getitem__, chain.from_iterable(cut))), np.int64)
+        size, starts = lengths[at], np.cumsum(lengths) - lengths
+        upto = np.cumsum(size)
+        total = int(upto[-1]) if len(upto) else 0
+        out = ids[np.arange(total) + np.repeat(starts[at] - (upto - size), size)]
+        return out, np.diff(np.concatenate([[0], upto])[np.cumsum([0, *map(len, cut)])])
 
     def merge_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in one array, and how many each word has."""
@@ -153,46 +167,41 @@ class WordBpe:
         return sym[order].astype(np.int32), np.bincount(word, minlength=len(words))
 
     def pieces(self, word: str) -> list[str]:
-        """A word (or a whole text) cut as the vocabulary cuts it; special tokens stay whole."""
-        if word[-1:] in _STOPS and word[:-1].isalpha():
-            return [word[:-1], word[-1]] if word.islower() else [self.normal(word[:-1]), word[-1]]
+        """A word cut as the vocabulary cuts it; special tokens stay whole."""
         if "<|" in word and self.special.search(word):
             out, at = [], 0
             for m in self.special.finditer(word):
-                out += self.words.findall(self.normal(word[at : m.start()]))
+                out += self.plain(word[at : m.start()])
                 out.append(m[0])
                 at = m.end()
-            return out + self.words.findall(self.normal(word[at:]))
-        return self.words.findall(self.normal(word))
-
-    def parts(self, text: str) -> list[str]:
-        """A text's words in normal form, by white space: no piece reaches over it. A text with special tokens or controls stays whole."""
-        if _CONTROL.search(text) or "<|" in text:
-            return [text]
-        lower = self.normal(text)
-        if not lower.isascii() and not unicodedata.is_normalized("NFC", lower):
-            return [text]  # its words would change if they came to normal form again
-        return lower.split()
-
-    @staticmethod
-    def normal(text: str) -> str:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-            if "Σ" in text:  # lower case is taken letter by letter, without the final form
-                text = text.replace("Σ", "σ")
-        return text.lower()
+            return out + self.plain(word[at:])
+        return self.plain(word)
+
+    def plain(self, word: str) -> list[str]:
+        """Pieces without special tokens. The library's own normal form and classes cut words beyond Latin letters."""
+        if word[-1:] in _STOPS and word[:-1].isascii() and word[:-1].isalpha():
+            return [word[:-1].lower(), word[-1]]
+        if _LATIN.fullmatch(word):
+            return self.words.findall(word.lower())
+        found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(word))
+        return [bytes(map(self.byte_of.__getitem__, p)).decode() for p, _ in found]
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (null: empty) in one array, and the offsets at which each text starts and the last ends.
+
+        No piece reaches over ASCII white space, so equal words have equal ids in every text.
+        """
+        texts = pc.fill_null(column, "")
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # special tokens are told apart by case
+            texts = pc.ascii_lower(texts)
+        words = pc.ascii_split_whitespace(texts)
+        coded = words.flatten().dictionary_encode()
+        at = self._find(coded.dictionary)
+        ids, upto = self._gather(at[coded.indices.to_numpy()])
+        return ids, np.concatenate([[0], upto])[words.offsets.to_numpy()]
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in one array, and the offsets at which each text starts and the last ends."""
-        split = [self.parts(t) for t in texts]
-        if len(self.at) > MEMO_WORDS:
-            self.forget()
-        words = list(chain.from_iterable(split))
-        new = set(words).difference(self.at)
-        if new:
-            self._learn(list(new))
-        ids, upto = self._gather(np.array(list(map(self.at.__getitem__, words)), np.int64))
-        return ids, np.concatenate([[0], upto])[np.cumsum([0, *map(len, split)])]
+        return self.encode_column(pa.array(texts, pa.string()))
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_batch([text])[0]
@@ -227,29 +236,53 @@ def slices(column: pa.Array, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, in
             yield row + a, row + b, texts[a:b]
 
 
+def parts(column: pa.Array, rows: int = ENCODE_ROWS, limit: int = ENCODE_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """A column of texts in slices of at most rows rows and about limit bytes, one row at least, and where each begins."""
+    size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto = np.cumsum(size)
+    a = 0
+    while a < len(column):
+        b = int(np.searchsorted(upto, upto[a] - size[a] + limit, "right"))
+        b = min(max(b, a + 1), a + rows)
+        yield a, column.slice(a, b - a)
+        a = b
+
+
+def joined(tokens: pa.Array, flat: np.ndarray, off: np.ndarray) -> pa.Array:
+    """Of each text, its tokens' strings joined by one space."""
+    lists = pa.LargeListArray.from_arrays(pa.array(off, pa.int64()), tokens.take(pa.array(flat)))
+    return pc.binary_join(lists, pa.scalar(" ", pa.large_string()))
+
+
+def sha256(texts: pa.Array) -> pa.Array:
+    _, off, data = texts.buffers()
+    off, data = np.frombuffer(off, np.int64)[texts.offset :].tolist(), memoryview(data or b"")
+    return pa.array([hashlib.sha256(data[off[i] : off[i + 1]]).hexdigest() for i in range(len(texts))], pa.string())
+
+
 def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
-    """One row a document: its id, ids (array) and decoded text; with digests, their counts and SHA-256 instead."""
+    """One row a document: its id, ids (array) and decoded text; with digests, their counts and SHA-256 instead.
+
+    Tokens are decoded joined by one space: these vocabularies come without a decoder.
+    """
     columns = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         bpe = load(tokenizer)
-        numbers = [str(i) for i in range(len(bpe.tokens))]
+        tokens = pa.array(bpe.tokens, pa.large_string())
+        numbers = pa.array([str(i) for i in range(len(bpe.tokens))], pa.large_string())
         for batch in batches:
-            keys, column = batch.column(0), batch.column(1)
-            for a, b, texts in slices(column):
-                flat, off = bpe.encode_batch(texts)
-                rows = [flat[s:e].tolist() for s, e in zip(off[:-1], off[1:])]
-                decoded = [bpe.decode(r) for r in rows]
+            keys = batch.column(0)
+            for a, texts in parts(batch.column(1)):
+                flat, off = bpe.encode_column(texts)
+                decoded = joined(tokens, flat, off)
                 if digests:
-                    own = [hashlib.sha256(" ".join(map(numbers.__getitem__, r)).encode()).hexdigest() for r in rows]
-                    back = [hashlib.sha256(d.encode()).hexdigest() for d in decoded]
-                    made = [pa.array(np.diff(off), pa.int64()), pa.array(own, pa.string()), pa.array(back, pa.string())]
+                    made = [pa.array(np.diff(off), pa.int64()), sha256(joined(numbers, flat, off)), sha256(decoded)]
                     names = ["n_tokens", "ids_sha256", "decoded_sha256"]
                 else:
-                    made = [pa.array(rows, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+                    made = [pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat, pa.int32())), decoded.cast(pa.string())]
                     names = ["ids", "decoded"]
-                yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), *made], names=[id_col, *names])
-        bpe.forget()
+                yield pa.RecordBatch.from_arrays([keys.slice(a, len(texts)), *made], names=[id_col, *names])
 
-    return in_batches(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, {columns}")
+    return in_batches(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, {columns}", ENCODE_ROWS)

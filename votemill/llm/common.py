@@ -21,11 +21,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
-def in_batches(df: DataFrame, function, schema) -> DataFrame:
+def in_batches(df: DataFrame, function, schema, rows: int = BATCH_ROWS) -> DataFrame:
     """df.mapInArrow with batches of bounded size, and with freed memory given back when a task ends."""
     conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def run(batches):

@@ -15,9 +15,7 @@ gives no shard and no row; extra columns are ignored. Frames hold whole document
 
 from __future__ import annotations
 
-import json
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -28,80 +26,49 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from votemill.llm.bpe import WordBpe, slices
+from votemill.llm.bpe import ENCODE_ROWS, WordBpe, parts
 from votemill.llm.common import in_batches, materialize, scratch_path
 
 SKIPPABLE = 0x184D2A5E
 ENTRY = struct.Struct("<QQQI")
 TAIL = struct.Struct("<QQQIQBI")
 FRAME_IDS = 1 << 16
-#: Characters outside plain Latin text; Latin letters up to U+024F and these signs are their own normal form.
-_OTHER = re.compile("[^\x00-\x1b\x20-\u024f\u2010-\u2027\u2030-\u205e\u20ac]")
-_WHOLE = "\x1c"
+#: New words in one text for the library.
+MARKED = 2000
 
 
 class LibraryBpe(WordBpe):
-    """The tokenizers library as encoder, with a memo of the words of plain Latin texts.
+    """The tokenizers library as encoder, behind a memo of words.
 
-    The vocabulary cuts texts at word borders before it merges, so a word has the same ids in every text. New
-    words go through the library many at a time, and the tokens that end a word tell their ids apart. Texts with
-    other characters go through it whole, under a key that no word can have.
+    The vocabulary cuts texts at white space before it merges, so a word has the same ids in every text. New
+    words go to the library many in one text, a special token between them to tell their ids apart.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.added: dict[str, int] = {}  # the library finds them itself
+        special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
+        self.mark, self.mark_id = next(iter(special.items()), (None, None))
         self.size = self.library.get_vocab_size()
-        self.ends = np.zeros(self.size, bool)
-        suffix = spec["model"]["end_of_word_suffix"]
-        self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
-        self.words = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
         self.forget()
 
-    def forget(self) -> None:
-        self.held = 0
-        super().forget()
-
-    def parts(self, text: str) -> list[str]:
-        if _OTHER.search(text) or "<|" in text:
-            return [_WHOLE + text]
-        return text.lower().split()
-
-    def pieces(self, word: str) -> list[str]:
-        return [word] if word[0] == _WHOLE else super().pieces(word)
-
-    def merge_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        words = [w.decode() for w in words]
-        self.held += sum(map(len, words))
-        texts = [w[1:] for w in words if w[0] == _WHOLE]
-        if not texts:
-            joined = [" ".join(words[i : i + 1000]) for i in range(0, len(words), 1000)]
-            flat = self._encode(joined)[0]
-            last = np.flatnonzero(self.ends[flat])
-            if len(last) == len(words):
-                return flat, np.diff(last, prepend=-1)
-        return self._encode([w[1:] if w[0] == _WHOLE else w for w in words])
-
-    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        return np.array(list(chain.from_iterable(ids)), np.int32), np.array(list(map(len, ids)), np.int64)
-
-    def encode_batch(self, texts):
-        if self.held > 16_000_000:
-            self.forget()
-        return super().encode_batch(texts)
+    def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if self.mark is None or any("<|" in w for w in words):
+            ids = [self.library.encode(w, add_special_tokens=False).ids for w in words]
+            return np.array(list(chain.from_iterable(ids)), np.int32), np.array(list(map(len, ids)), np.int64)
+        texts = [self.mark.join([*words[i : i + MARKED], ""]) for i in range(0, len(words), MARKED)]
+        ids = np.concatenate([np.array(e.ids, np.int32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)])
+        end = ids == self.mark_id
+        return ids[~end], np.diff(np.flatnonzero(end), prepend=-1) - 1
 
 
 @lru_cache(2)
@@ -121,16 +88,23 @@ class ShardWriter:
         self.ids: list[int | None] = []
         self.counts: list[int] = []
         self.waiting: list[np.ndarray] = []
-        self.size = self.tokens = 0
-
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.ids.append(doc_id)
-        self.counts.append(len(ids))
-        self.waiting.append(ids.astype(self.kind))
-        self.size += len(ids)
-        self.tokens += len(ids)
-        if self.size >= FRAME_IDS:
-            self._flush()
+        self.size = self.tokens = self.docs = 0
+
+    def add(self, doc_ids: list[int | None], flat: np.ndarray, off: np.ndarray) -> None:
+        """Documents with their ids in one array; a frame ends with the document that brings it to FRAME_IDS."""
+        counts = np.diff(off)
+        self.ids += doc_ids
+        self.counts += counts.tolist()
+        flat, at = flat.astype(self.kind), 0
+        self.tokens += len(flat)
+        while at < len(counts):
+            end = int(np.searchsorted(off, off[at] + max(FRAME_IDS - self.size, 1)))
+            full, end = end < len(off), min(end, len(counts))
+            self.waiting.append(flat[off[at] : off[end]])
+            self.docs, self.size = self.docs + end - at, self.size + int(off[end] - off[at])
+            if full:
+                self._flush()
+            at = end
 
     def _frame(self, raw: bytes, docs: int) -> tuple[int, int, int, int]:
         packed = self.zip.compress(raw)
@@ -138,9 +112,9 @@ class ShardWriter:
         return len(packed), len(raw), docs, zlib.crc32(raw)
 
     def _flush(self) -> None:
-        if self.waiting:
-            self.frames.append(self._frame(np.concatenate(self.waiting).tobytes(), len(self.waiting)))
-            self.waiting, self.size = [], 0
+        if self.docs:
+            self.frames.append(self._frame(np.concatenate(self.waiting).tobytes(), self.docs))
+            self.waiting, self.size, self.docs = [], 0, 0
 
     def close(self) -> None:
         self._flush()
@@ -211,11 +185,9 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
                 name = f"{shard:06d}-{uuid.uuid4().hex}.tok"
                 sink = fs.open_output_stream(f"{root}/{name}")
                 out = ShardWriter(sink, width)
-            for a, b, texts in slices(batch.column(1)):
-                flat, off = bpe.encode_batch(texts)
-                for key, s, e in zip(keys[a:b], off[:-1].tolist(), off[1:].tolist()):
-                    out.add(key, np.append(flat[s:e], end_id))
-        bpe.forget()
+            for a, texts in parts(batch.column(1)):
+                flat, off = bpe.encode_column(texts)
+                out.add(keys[a : a + len(texts)], np.insert(flat, off[1:], end_id), off + np.arange(len(off)))
         if sink is not None:
             out.close()
             sink.close()
@@ -223,7 +195,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
 
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = ordered.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions("doc_id", "text")
-    return materialize(in_batches(ordered, run, "shard int, name string, n_docs long, n_tokens long"), "shards")
+    return materialize(in_batches(ordered, run, "shard int, name string, n_docs long, n_tokens long", ENCODE_ROWS), "shards")
 
 
 def read_shards(shards: DataFrame, folder: str) -> DataFrame:
