@@ -2,10 +2,12 @@
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF
 from oracle import rows
@@ -82,6 +84,35 @@ def test_bpe_overlapping_pairs_and_characters(library):
         assert [flat[s:e].tolist() for s, e in zip(off[:-1], off[1:])] == [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def test_bpe_matches_library_on_random_strings(library):
+    own, lib = bpe.WordBpe(queries.tokenizer_path()), token_store.LibraryBpe(queries.tokenizer_path())
+    rng = random.Random(3)
+    points = [c for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    odd = ["a", "B", "é", "\u0301", "\u0327", " ", "\t", "\x1c", "\x85", "\xa0", "'s", "'", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "1", "ᄀ", "ᅡ", "ᆨ", "Σ", "İ", "ǅ", ".", "\u2003", "\x00", "\n"]
+    texts = [f"a{chr(c)}B {chr(c)}'s{chr(c)}1" for c in points[::7]]
+    texts += ["".join(rng.choice(odd) for _ in range(rng.randint(1, 9))) for _ in range(4000)]
+    for base in (0x300, 0x590, 0xC00, 0x10D00, 0x16F00):
+        texts += ["".join(chr(base + rng.randint(0, 255)) for _ in range(rng.randint(1, 6))) for _ in range(1000)]
+    want = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    for coder in (own, lib):
+        for step in (len(texts), 700):
+            got = []
+            for a in range(0, len(texts), step):
+                flat, off = coder.encode_batch(texts[a : a + step])
+                got += [flat[s:e].tolist() for s, e in zip(off[:-1], off[1:])]
+            assert got == want
+
+
+def test_bpe_full_memo(monkeypatch, library):
+    monkeypatch.setattr(bpe, "MEMO_WORDS", 50)
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randint(0, 300)}x" for _ in range(30)) for _ in range(40)]
+    for coder in (bpe.WordBpe(queries.tokenizer_path()), token_store.LibraryBpe(queries.tokenizer_path())):
+        for t in texts:
+            assert coder.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids
+        assert len(coder.known) <= 80
+
+
 def test_bpe_empty(empty):
     assert bpe.encode_documents(empty, queries.tokenizer_path()).count() == 0
 
@@ -439,35 +470,77 @@ def test_toxicity_edges(odd, empty, spark):
     assert toxicity.scored(odd, labels.limit(0)).count() == len(ODD) and toxicity.scored(empty, labels).count() == 0
 
 
-def test_lm_brute_force(spark, docs, monkeypatch):
+def brute_lm(items):
+    """doc_id -> n_tokens, n_known, N, base score and score, from plain counters; items are (id, text)."""
+    words = [(i, [*(t or "").encode().lower().split(), None]) for i, t in items]
+    grams = [Counter() for _ in range(lm.ORDER)]
+    for i, w in words:
+        if i is None or zlib.crc32(str(i).encode()) % 7 != 2:
+            for k in range(lm.ORDER):
+                grams[k].update(zip(*(w[j:] for j in range(k + 1))))
+    n, v, single = sum(grams[0].values()), len(grams[0]), sum(c == 1 for c in grams[0].values())
+    u = (single + 1) / (n + single + 1)
+
+    def p(h, w):
+        if not h:
+            return (1 - u) * grams[0][(w,)] / n if grams[0][(w,)] else u
+        return (grams[len(h)][(*h, w)] + lm.MU[len(h)] * p(h[1:], w)) / (grams[len(h) - 1][h] + lm.MU[len(h)])
+
+    out = {}
+    for i, w in words:
+        base = sum(math.log10((grams[0][(x,)] + 1) / (n + 1 * (v + 1))) for x in w)
+        score = sum(math.log10(p(tuple(w[max(0, k - lm.ORDER + 1) : k]), x)) for k, x in enumerate(w))
+        out[i] = (len(w), sum(grams[0][(x,)] > 0 for x in w), n, base, score)
+    return out
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_lm_brute_force(spark, docs, monkeypatch, order):
+    monkeypatch.setattr(lm, "ORDER", order)
+    monkeypatch.setattr(lm, "MU", (0.0, 60.0, 8.0, 3.0))
     monkeypatch.setattr(lm, "GROUP_BYTES", 50_000)
     monkeypatch.setattr(lm, "BUCKET_ENTRIES", 20_000)
+    monkeypatch.setattr(lm, "LANE", 100)
     items = pairs(docs) + [(10**6, None), (10**6 + 1, "")]
-    got = {r["doc_id"]: r for r in lm.lm_scores(spark.createDataFrame(items, "doc_id long, text string")).collect()}
-    words = {i: [*(t or "").encode().lower().split(), None] for i, t in items}
-    one, two = Counter(), Counter()
-    for i, w in words.items():
-        if zlib.crc32(str(i).encode()) % 7 != 2:
-            one.update(w)
-            two.update(zip(w, w[1:]))
-    n, v, single = sum(one.values()), len(one), sum(c == 1 for c in one.values())
-    u = (single + 1) / (n + single + 1)
-    for i, w in words.items():
-        base = sum(math.log10((one[x] + 1) / (n + 1 * (v + 1))) for x in w)
-        score, before = 0.0, None
-        for k, x in enumerate(w):
-            p = (1 - u) * one[x] / n if one[x] else u
-            if k:
-                p = (two[before, x] + lm.MU[1] * p) / (one[before] + lm.MU[1])
-            score += math.log10(p)
-            before = x
+    # what workers import anew has the module's own constants, so the steps run here
+    tables = {g: pa.table([[x[0] for x in own], [x[1] for x in own], [1] * len(own), [g] * len(own)], names=["doc_id", "text", "copies", "g"]) for g in range(4) if (own := items[g::4])}
+    buckets = lm.Buckets(sum(len(t or "") for _, t in items) // 6, 50)
+    asked = pa.concat_tables([lm.ask(buckets)(t) for t in tables.values()])
+    numbers = np.array(asked.column("bucket").to_pylist())
+    replied = pa.concat_tables([lm.answer(buckets)(asked.filter(pa.array(numbers == b))) for b in np.unique(numbers)])
+    got = {}
+    for g, t in tables.items():
+        own = replied.filter(pa.array(np.array(replied.column("g").to_pylist()) == g))
+        got |= {r["doc_id"]: r for r in lm.scorer(buckets)(t, own).to_pylist()}
+    check_lm(got, items)
+
+
+def check_lm(got, items):
+    want = brute_lm(items)
+    assert got.keys() == want.keys()
+    for i, (n_tokens, n_known, n, base, score) in want.items():
         r = got[i]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(one[x] > 0 for x in w), n)
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n_tokens, n_known, n)
         assert math.isclose(r["base_score"], base, rel_tol=1e-9) and math.isclose(r["score"], score, rel_tol=1e-9)
+
+
+def test_lm_query(spark, docs, monkeypatch):
+    monkeypatch.setattr(lm, "GROUP_BYTES", 50_000)
+    monkeypatch.setattr(lm, "BUCKET_ENTRIES", 20_000)
+    items = pairs(docs) + [(10**6, None), (10**6 + 1, "")]
+    got = {r["doc_id"]: r for r in lm.lm_scores(spark.createDataFrame(items, "doc_id long, text string")).collect()}
+    check_lm(got, items)
     held = [r for r in got.values() if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+@pytest.mark.parametrize("values", [[], [0], [0, 0, 5], [1, 2**40, 2**64 - 1], list(range(3000))])
+def test_lm_packed_numbers(values):
+    x = np.array(values, np.uint64)
+    assert np.array_equal(lm.unpack(lm.pack(x)), x)
+    assert np.array_equal(lm.unpack_keys(lm.pack_keys(np.sort(x)) if values else b""), np.sort(x))
+
+
 def test_lm_groups_of_a_hot_id_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(lm, "GROUP_BYTES", 2_000)
     monkeypatch.setattr(lm, "COPIES", 7)
@@ -494,28 +567,6 @@ def test_lm_groups_of_a_hot_id_are_bounded(spark, monkeypatch):
     assert sum(math.isclose(r["base_score"], base, rel_tol=1e-9) for r in got) == 300
 
 
-def test_lm_longer_histories(monkeypatch):
-    monkeypatch.setattr(lm, "ORDER", 3)
-    texts = ["a b c a b c d", "a b d", "x", "a b c d"]
-    off, keys, kinds, counts, place, orders = lm.asked([None] * 4, texts)
-    grams = [Counter(), Counter(), Counter()]
-    for t in texts:
-        w = [*t.split(), None]
-        for k in range(3):
-            grams[k].update(zip(*(w[i:] for i in range(k + 1))))
-    n, single = sum(grams[0].values()), sum(c == 1 for c in grams[0].values())
-    model = lm.Automaton(off, counts, place, orders, n, single)
-
-    def p(h, w):
-        if not h:
-            return (1 - (single + 1) / (n + single + 1)) * grams[0][(w,)] / n
-        k = len(h)
-        return (grams[k][(*h, w)] + lm.MU[k] * p(h[1:], w)) / (grams[k - 1][h] + lm.MU[k])
-
-    want = [sum(math.log10(p(tuple(w[max(0, i - 2) : i]), x)) for i, x in enumerate(w)) for w in ([*t.split(), None] for t in texts)]
-    assert np.allclose(model.score(), want)
-
-
 def test_lm_edges(odd, empty):
     got = lm.lm_scores(odd).collect()
     assert len(got) == len(ODD) and {r["doc_id"]: r["n_tokens"] for r in got}[3] == 1 and lm.lm_scores(empty).count() == 0

@@ -1,22 +1,25 @@
 """Language-model scoring with a weighted backoff automaton.
 
-The model is an n-gram model with Dirichlet smoothing: for a history h of k words,
+The model is an n-gram model of ORDER words with Dirichlet smoothing: for a history h of k words,
   p(w | h) = (c(h w) + MU_k * p(w | h without its first word)) / (c(h) + MU_k),
 over a unigram level p(w) = (1 - u) * c(w) / N with one class for unknown words, u = (n1 + 1) / (N + n1 + 1)
 (n1: tokens seen once). Every history with a count is a state; a seen n-gram is an arc whose weight is
-log10 p(w | h); an unseen one takes the failure arc to the next shorter history, of weight
-log10(MU_k / (c(h) + MU_k)). Since the numerator is interpolated, this automaton gives exactly p(w | h).
-A document is read once from left to right; its state goes along and the log-probabilities add up.
+log10 p(w | h), to the state of the longest history that it ends with; a state's failure arc leads to the next shorter
+history, of weight log10(MU_k / (c(h) + MU_k)). Since the numerator is interpolated, this automaton gives exactly
+p(w | h). A document is read once from left to right; its state goes along and the log-probabilities add up.
 
 Scale: the model grows with the corpus and is never held whole. Documents are dealt into groups of about
-GROUP_BYTES by a hash of id and text; equal rows are one document with a number. Each group asks for the n-grams that it holds, as sorted hashes cut into
-buckets; a bucket adds up the training counts of all groups and answers each with counts in the order asked;
-each group then builds the part of the automaton that its own texts can reach. N-grams are counted within a
-group before they move, so a frequent one is one entry a group, not a row an occurrence.
+GROUP_BYTES by a hash of id and text; equal rows are one document with a number. Each group asks for the n-grams that
+it holds, as sorted hashes cut into buckets; a bucket adds up the training counts of all groups and answers each with
+counts in the order asked; each group then builds the part of the automaton that its own texts can reach. N-grams are
+counted within a group before they move, so a frequent one is one entry a group, not a row an occurrence. Texts are
+dealt once: asking and scoring read the same exchange. A group sends a row a bucket that it has n-grams in (and one to
+each bucket of single words, to learn the totals).
 
 Edge cases: a null text is an empty one, whose only token is the end; a null id counts as training (its
 remainder is none) and held_out is false; repeated rows count each and are returned each; without training tokens every token is
-unknown; an empty table gives no row; extra columns are ignored. N-grams are told apart by 64-bit hashes.
+unknown; an empty table gives no row; extra columns are ignored. Words are told apart by 64-bit hashes, longer n-grams
+by as many bits as leave odds of 2**-SPARE_BITS that one is taken for another of the corpus.
 """
 
 from __future__ import annotations
@@ -31,9 +34,11 @@ from pyspark.sql import functions as F
 from votemill.llm.common import materialize, small
 from votemill.llm.shingles import U, mix, ngrams, word_hashes
 
-ORDER, MU = 2, (0.0, 60.0, 8.0)
+ORDER, MU = 3, (0.0, 60.0, 8.0)
 GROUP_BYTES, BUCKET_ENTRIES = 8_000_000, 1_500_000
-COPIES = 4096
+COPIES, SPARE_BITS = 4096, 22
+#: Tokens of a text that one lane of the traversal scores.
+LANE = 512
 END = mix(np.array([1], U))[0]
 
 
@@ -48,222 +53,255 @@ def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return out, off + np.arange(n + 1)
 
 
-def all_ngrams(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, order and text of every n-gram up to ORDER that lies within one text."""
-    text = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    hashes, orders, owners = [], [], []
-    for k in range(1, ORDER + 1):
-        g = ngrams(h, k)
-        same = text[: len(g)] == text[len(text) - len(g) :] if len(g) else np.zeros(0, bool)
-        hashes.append(g[same])
-        orders.append(np.full(int(same.sum()), k, np.uint8))
-        owners.append(text[: len(g)][same])
-    return np.concatenate(hashes), np.concatenate(orders), np.concatenate(owners)
-
-
-def distinct(hashes: np.ndarray, orders: np.ndarray, trained: np.ndarray):
-    """Sorted distinct n-grams, their orders, how often they stand in training texts, and the place of each n-gram among them."""
-    order = np.argsort(hashes)
-    s = hashes[order]
-    fresh = np.concatenate([[True], s[1:] != s[:-1]])[: len(s)]
-    first = np.flatnonzero(fresh)
-    counts = np.add.reduceat(trained[order].astype(np.int64), first) if len(s) else np.zeros(0, np.int64)
-    place = np.empty(len(s), np.int64)
-    place[order] = np.cumsum(fresh) - 1
-    return s[first], orders[order][first], counts, place
-
-
 def held_out(doc_id) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2
 
 
 def pack(x: np.ndarray) -> bytes:
-    """Integers by byte planes, so that leading zeros compress."""
+    """Integers by byte planes; the two highest planes, whose values are uneven, are compressed."""
     raw = np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)
     used = 8 - int(np.argmax(raw.any(0)[::-1])) if raw.any() else 1
-    return bytes([used]) + zlib.compress(raw[:, used - 1].tobytes(), 1) if used == 1 else bytes([used + 8]) + raw[:, :used].T.tobytes()
+    out = [len(x).to_bytes(8, "little"), bytes([used])]
+    for k in range(used):
+        plane = raw[:, k].tobytes()
+        if k >= used - 2:
+            plane = zlib.compress(plane, 1)
+            out.append(len(plane).to_bytes(8, "little"))
+        out.append(plane)
+    return b"".join(out)
 
 
 def unpack(data: bytes) -> np.ndarray:
-    used = data[0]
-    if used == 1:
-        return np.frombuffer(zlib.decompress(data[1:]), np.uint8).astype(U)
-    used -= 8
-    planes = np.frombuffer(data, np.uint8, offset=1).reshape(used, -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, :used] = planes.T
+    n, used, at = int.from_bytes(data[:8], "little"), data[8], 9
+    out = np.zeros((n, 8), np.uint8)
+    for k in range(used):
+        if k >= used - 2:
+            size = int.from_bytes(data[at : at + 8], "little")
+            out[:, k] = np.frombuffer(zlib.decompress(data[at + 8 : at + 8 + size]), np.uint8)
+            at += 8 + size
+        else:
+            out[:, k] = np.frombuffer(data, np.uint8, n, at)
+            at += n
     return out.view("<u8").reshape(-1).astype(U)
 
 
-def bucket_cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each of equal ranges of hashes begins in sorted keys."""
-    edge = [U(b * (1 << 64) // buckets) for b in range(buckets)]
-    return np.append(np.searchsorted(keys, np.array(edge, U)), len(keys))
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted hashes as steps, whose leading bytes are zero; the first step is from zero."""
+    return keys[:1].astype("<u8").tobytes() + pack(np.diff(keys))
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, U)
+    return np.cumsum(np.concatenate([np.frombuffer(data[:8], "<u8").astype(U), unpack(data[8:])]), dtype=U)
+
+
+class Group:
+    """The n-grams of a group of documents: for each order k, their sorted distinct hashes (keys), how often they stand
+    in training texts (counts), and for each token the place of the n-gram that starts there (-1 beyond its text)."""
+
+    def __init__(self, tables, bits: int):
+        ids, texts, copies = [], [], []
+        for table in tables:
+            ids += table.column("doc_id").to_pylist()
+            texts += table.column("text").to_pylist()
+            copies += table.column("copies").to_pylist()
+        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i] or ""))
+        self.ids, self.copies = [ids[i] for i in order], [copies[i] for i in order]
+        h, self.off = tokens_of([texts[i] for i in order])
+        size = np.diff(self.off)
+        self.left = np.repeat(self.off[1:], size) - np.arange(len(h))  # tokens of the text from here on
+        train = np.repeat(np.array([0 if held_out(i) else n for i, n in zip(self.ids, self.copies)], np.int64), size)
+        self.keys, self.counts, self.place = [], [], []
+        for k in range(1, ORDER + 1):
+            at = np.flatnonzero(self.left >= k)
+            g = (h if k == 1 else ngrams(h, k) >> U(64 - bits))[at]
+            by = np.argsort(g)
+            s = g[by]
+            fresh = np.concatenate([[True], s[1:] != s[:-1]])[: len(s)]
+            first = np.flatnonzero(fresh)
+            self.keys.append(s[first])
+            self.counts.append(np.add.reduceat(train[at][by], first) if len(s) else np.zeros(0, np.int64))
+            place = np.full(len(h), -1, np.int32)
+            place[at[by]] = np.cumsum(fresh) - 1
+            self.place.append(place)
+
+
+class Buckets:
+    """Ranges of hashes of each order; a bucket's number tells both."""
 
+    def __init__(self, entries: int, bits: int):
+        self.n, self.bits = max(1, -(-entries // BUCKET_ENTRIES)), bits
 
-def group_batch(tables) -> tuple[list, list[str], list[int]]:
-    ids, texts, copies = [], [], []
-    for batch in tables:
-        ids += batch.column("doc_id").to_pylist()
-        texts += batch.column("text").to_pylist()
-        copies += batch.column("copies").to_pylist()
-    order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i] or ""))
-    return [ids[i] for i in order], [texts[i] for i in order], [copies[i] for i in order]
+    def of(self, k: int, keys: np.ndarray) -> list[tuple[int, int, int]]:
+        """(number, begin, end) of the buckets in which sorted keys of order k lie; those of single words all."""
+        space = 64 if k == 1 else self.bits
+        width = U(-(-(1 << space) // self.n)) if self.n > 1 else U((1 << space) - 1)
+        if k == 1:
+            edge = np.searchsorted(keys, np.arange(1, self.n, dtype=U) * width).tolist()
+            return [(b, s, e) for b, (s, e) in enumerate(zip([0, *edge], [*edge, len(keys)]))]
+        number = keys // width if self.n > 1 else np.zeros(len(keys), U)
+        first = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]])[: len(number)])
+        return list(zip(((k - 1) * self.n + number[first].astype(np.int64)).tolist(), first.tolist(), [*first[1:].tolist(), len(keys)]))
 
 
-def asked(ids: list, texts: list[str], copies: list[int] | None = None):
-    """Offsets of the tokens, then distinct n-grams, orders and own counts, then place and order of every n-gram."""
-    h, off = tokens_of(texts)
-    hashes, orders, owner = all_ngrams(h, off)
-    train = np.array([0 if held_out(i) else n for i, n in zip(ids, copies or [1] * len(ids))], np.int64)
-    keys, kinds, counts, place = distinct(hashes, orders, train[owner])
-    return off, keys, kinds, counts, place, orders
+ASKED = pa.schema([("bucket", pa.int64()), ("g", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+ANSWERED = pa.schema([("g", pa.int32()), ("bucket", pa.int64()), ("counts", pa.binary()), ("tokens", pa.int64()), ("types", pa.int64()), ("singles", pa.int64())])
+SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("copies", pa.int64())])
+KINDS = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.float64(): "double", pa.bool_(): "boolean"}
 
 
-def ask(buckets: int):
+def ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {KINDS[f.type]}" for f in schema)
+
+
+def ask(buckets: Buckets):
     """From a group of documents: a row a bucket, with the n-grams asked for and the group's own counts."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, texts, copies = group_batch([table])
-        _, keys, orders, counts, *_ = asked(ids, texts, copies)
-        cut = bucket_cuts(keys, buckets)
-        rows = {"bucket": [], "g": [], "keys": [], "orders": [], "counts": []}
-        for b in range(buckets):
-            s, e = int(cut[b]), int(cut[b + 1])
-            if e > s:
-                for name, value in (("bucket", b), ("g", table.column("g")[0].as_py()), ("keys", pack_keys(keys[s:e])), ("orders", pack(orders[s:e])), ("counts", pack(counts[s:e]))):
-                    rows[name].append(value)
-        return pa.table(rows, schema=pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("keys", pa.binary()), ("orders", pa.binary()), ("counts", pa.binary())]))
+        group, g = Group([table], buckets.bits), table.column("g")[0].as_py()
+        rows = []
+        for k, (keys, counts) in enumerate(zip(group.keys, group.counts), 1):
+            for b, s, e in buckets.of(k, keys):
+                rows.append((b, g, pack_keys(keys[s:e]) if e > s else b"", pack(counts[s:e])))
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), ASKED)], schema=ASKED)
 
     return run
 
 
-def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted hashes: the first as it is, then the steps, whose leading bytes are mostly zero."""
-    return keys[:1].astype("<u8").tobytes() + (pack(np.diff(keys)) if len(keys) > 1 else b"")
+def answer(buckets: Buckets):
+    """Of a bucket: the counts that each group asked for; with those of single words, N, V and n1 of the bucket."""
 
+    def run(table: pa.Table) -> pa.Table:
+        groups, number = table.column("g").to_pylist(), table.column("bucket")[0].as_py()
+        keys = [unpack_keys(x) for x in table.column("keys").to_pylist()]
+        sizes = list(map(len, keys))
+        every = np.concatenate(keys)
+        where = np.argsort(every, kind="stable")
+        s = every[where]
+        del every, keys
+        new = np.concatenate([[True], s[1:] != s[:-1]])[: len(s)]
+        counts = np.concatenate([unpack(x) for x in table.column("counts").to_pylist()])[where].astype(np.int64)
+        total = np.add.reduceat(counts, np.flatnonzero(new)) if len(s) else np.zeros(0, np.int64)
+        of = np.empty(len(s), np.int64)
+        of[where] = total[np.cumsum(new) - 1]
+        word = total[total > 0] if number < buckets.n else total[:0]
+        cut = np.cumsum([0, *sizes])
+        rows = [(g, number, pack(of[a:b]), int(word.sum()), len(word), int((word == 1).sum())) for g, a, b in zip(groups, cut[:-1], cut[1:])]
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), ANSWERED)], schema=ANSWERED)
 
-def unpack_keys(data: bytes) -> np.ndarray:
-    first = np.frombuffer(data[:8], "<u8").astype(U)
-    return np.cumsum(np.concatenate([first, unpack(data[8:])]), dtype=U) if len(data) > 8 else first
-
-
-def answer(table: pa.Table) -> pa.Table:
-    """Of a bucket: the counts that each group asked for, and a row (g = -1) with N, V and n1 of the bucket's words."""
-    rows = table.to_pylist()
-    keys = [unpack_keys(r["keys"]) for r in rows]
-    every = np.concatenate(keys)
-    where = np.argsort(every, kind="stable")
-    s = every[where]
-    new = np.concatenate([[True], s[1:] != s[:-1]])
-    number = np.cumsum(new) - 1
-    counts = np.concatenate([unpack(r["counts"]) for r in rows])[where].astype(np.int64)
-    total = np.add.reduceat(counts, np.flatnonzero(new))
-    of = np.empty(len(every), np.int64)
-    of[where] = total[number]
-    order = np.concatenate([unpack(r["orders"]) for r in rows])[where][new]
-    word = total[(order == 1) & (total > 0)]
-    out = {"g": [-1], "bucket": [rows[0]["bucket"]], "counts": [None], "tokens": [int(word.sum())], "types": [len(word)], "singles": [int((word == 1).sum())]}
-    at = 0
-    for r, k in zip(rows, keys):
-        for name, value in (("g", r["g"]), ("bucket", r["bucket"]), ("counts", pack(of[at : at + len(k)])), ("tokens", 0), ("types", 0), ("singles", 0)):
-            out[name].append(value)
-        at += len(k)
-    return pa.table(out, schema=pa.schema([("g", pa.int32()), ("bucket", pa.int32()), ("counts", pa.binary()), ("tokens", pa.int64()), ("types", pa.int64()), ("singles", pa.int64())]))
+    return run
 
 
 class Automaton:
-    """The part of the model that a group of texts can reach.
+    """The part of the model that a group of texts can reach: states (0 is the empty history), arcs and failure arcs.
 
-    An n-gram of the group that has a training count is an arc, and the state that the arc leads to; its
-    weight is log10 p(last word | the words before). As a history it has a failure arc to the next shorter one.
+    arc_key holds state * words + word of every arc, sorted, arc_to the state it leads to and arc_weight its log10 p;
+    fail_to and fail_weight belong to states. The empty history has an arc for every word of the group, so failing ends.
     """
 
-    def __init__(self, off: np.ndarray, counts: np.ndarray, place: np.ndarray, orders: np.ndarray, tokens: int, singles: int):
-        n, self.off = int(off[-1]), off
-        left = np.repeat(off[1:], np.diff(off)) - np.arange(n)  # tokens of the text from here on
+    def __init__(self, group: Group, counts: list[np.ndarray], tokens: int, singles: int):
+        self.off, self.word = group.off, group.place[0]
+        self.words = max(len(counts[0]), 1)
         unknown = (singles + 1.0) / (tokens + singles + 1.0)
-        self.unknown = np.log10(unknown)
-        self.weight, self.failure = np.full(len(counts), -np.inf), np.zeros(len(counts))
-        #: For each order, the arc of the n-gram that starts at each token, -1 where there is none.
-        self.arc = [np.full(n, -1, np.int64) for _ in range(ORDER + 1)]
-        p = None
+        keys, to, weights = [], [], []
+        self.fail_to, self.fail_weight = [np.zeros(1, np.int64)], [np.zeros(1)]
+        n_states, state, p = 1, [], None
         for k in range(1, ORDER + 1):
-            at = np.flatnonzero(left >= k)
-            arc = place[orders == k]
-            c = counts[arc].astype(np.float64)
+            place, c = group.place[k - 1], counts[k - 1].astype(np.float64)
+            at = np.flatnonzero(place >= 0)
+            start = np.empty(len(c), np.int64)
+            start[place[at]] = at  # a token at which each n-gram starts
+            seen = c > 0
+            shorter = group.place[k - 2][start + 1] if k > 1 else None  # its last k - 1 words
             if k == 1:
-                own = np.where(c > 0, (1 - unknown) * c / max(tokens, 1), unknown)
-                self.seen = counts[arc]
+                own, history, seen_arc = np.where(seen, (1 - unknown) * c / max(tokens, 1), unknown), np.zeros(len(c), np.int64), np.ones(len(c), bool)
             else:
-                state = self.arc[k - 1][at]
-                c_h = np.where(state >= 0, counts[state], 0)
-                own = (c + MU[k - 1] * p[at + 1]) / (c_h + MU[k - 1])
-            p = np.full(n, unknown) if k == 1 else p.copy()
-            p[at] = own
-            self.weight[arc] = np.log10(own)
+                before = group.place[k - 2][start]  # its first k - 1 words
+                own = (c + MU[k - 1] * p[shorter]) / (counts[k - 2][before] + MU[k - 1])
+                history, seen_arc = state[-1][before], seen
             if k < ORDER:
-                self.failure[arc] = np.log10(MU[k] / (c + MU[k]))
-            self.arc[k][at] = np.where(c > 0, arc, -1)
+                mine = np.zeros(len(c), np.int64)
+                mine[seen] = n_states + np.arange(int(seen.sum()))
+                n_states += int(seen.sum())
+                self.fail_to.append(state[-1][shorter[seen]] if k > 1 else np.zeros(int(seen.sum()), np.int64))
+                self.fail_weight.append(np.log10(MU[k] / (c[seen] + MU[k])))
+                state.append(mine)
+                target = mine
+            else:
+                target = state[-1][shorter] if k > 1 else np.zeros(len(c), np.int64)
+            keys.append((history * self.words + self.word[start + k - 1])[seen_arc])
+            to.append(target[seen_arc])
+            weights.append(np.log10(own)[seen_arc])
+            p = own
+        self.fail_to, self.fail_weight = np.concatenate(self.fail_to), np.concatenate(self.fail_weight)
+        key = np.concatenate(keys)
+        order = np.argsort(key)
+        self.arc_key, self.arc_to, self.arc_weight = key[order], np.concatenate(to)[order], np.concatenate(weights)[order]
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each state goes on its word, and the log10 weight: failure arcs until an arc is found."""
+        state, gain = state.copy(), np.zeros(len(state))
+        open_ = np.arange(len(state))
+        while len(open_):
+            key = state[open_] * self.words + word[open_]
+            at = np.minimum(np.searchsorted(self.arc_key, key), len(self.arc_key) - 1)
+            hit = self.arc_key[at] == key
+            there, at = open_[hit], at[hit]
+            gain[there] += self.arc_weight[at]
+            state[there] = self.arc_to[at]
+            open_ = open_[~hit]
+            gain[open_] += self.fail_weight[state[open_]]
+            state[open_] = self.fail_to[state[open_]]
+        return state, gain
 
     def score(self) -> np.ndarray:
         """log10 probability of each text.
 
-        All texts advance together, a token a step, the longest first, so that those still open are a prefix.
-        Each carries its state, the longest known history; where no arc leaves it, its failure arc is taken.
+        Long texts are read in lanes of LANE tokens. A state holds the last ORDER - 1 words at most, so a lane that
+        starts so many tokens early, from the empty history, has the text's own state where it begins to score.
+        Lanes advance together, the longest first, so that those still open are a prefix.
         """
-        n = np.diff(self.off)
-        order = np.argsort(-n, kind="stable")
-        start, left = self.off[:-1][order], n[order]
-        total, size = np.zeros(len(n)), np.zeros(len(n), np.int64)
-        live = len(n)
-        for t in range(int(left[0]) if len(left) else 0):
-            while live and left[live - 1] <= t:
+        size = np.diff(self.off)
+        lanes = -(-size // LANE)
+        text = np.repeat(np.arange(len(size)), lanes)
+        part = np.arange(len(text)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        begin = self.off[:-1][text] + part * LANE
+        end = np.minimum(begin + LANE, self.off[1:][text])
+        early = np.minimum(part * LANE, ORDER - 1)
+        order = np.argsort(-(end - begin + early), kind="stable")
+        text, begin, end, early = text[order], begin[order], end[order], early[order]
+        length, total, state = end - begin + early, np.zeros(len(text)), np.zeros(len(text), np.int64)
+        live = len(text)
+        for t in range(int(length[0]) if len(length) else 0):
+            while live and length[live - 1] <= t:
                 live -= 1
-            at, k, gain = start[:live] + t, size[:live], total[:live]
-            for length in range(ORDER - 1, 0, -1):
-                here = np.flatnonzero(k == length)
-                if len(here):
-                    pos = at[here] - length
-                    miss = self.arc[length + 1][pos] < 0
-                    gain[here[~miss]] += self.weight[self.arc[length + 1][pos[~miss]]]
-                    gain[here[miss]] += self.failure[self.arc[length][pos[miss]]]
-                    k[here[miss]] -= 1
-                    k[here[~miss]] = -length - 1  # done, with a known n-gram of length + 1 words
-            root = np.flatnonzero(k == 0)
-            arc = self.arc[1][at[root]]
-            gain[root] += np.where(arc >= 0, self.weight[arc], self.unknown)
-            k[root] = np.where(arc >= 0, -1, 0)
-            np.minimum(-k, ORDER - 1, out=k)
-            if ORDER > 2:  # the longest suffix of the n-gram just read that is a state
-                for length in range(ORDER - 1, 1, -1):
-                    here = np.flatnonzero(k == length)
-                    k[here[self.arc[length][at[here] - length + 1] < 0]] -= 1
-        out = np.zeros(len(n))
-        out[order] = total
-        return out
-
-
-SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, copies long"
-
-
-def scorer(tokens: int, types: int, singles: int):
+            state[:live], gain = self.step(state[:live], self.word[begin[:live] - early[:live] + t])
+            total[:live] += np.where(early[:live] <= t, gain, 0.0)
+        return np.bincount(text, total, len(size))
+
+
+def counts_of(group: Group, buckets: Buckets, replies: pa.Table) -> tuple[list[np.ndarray], int, int, int]:
+    """Of each order, the training counts of the group's n-grams; then N, V and n1."""
+    rows = sorted(zip(*(replies.column(c).to_pylist() for c in ("bucket", "counts", "tokens", "types", "singles"))))
+    counts = [np.concatenate([np.zeros(0, np.int64), *(unpack(r[1]).astype(np.int64) for r in rows if r[0] // buckets.n == k)]) for k in range(ORDER)]
+    return counts, sum(r[2] for r in rows), sum(r[3] for r in rows), sum(r[4] for r in rows)
+
+
+def scorer(buckets: Buckets):
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        names = [x.split()[0] for x in SCORES.split(", ")]
-        schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), *((c, pa.int64()) for c in names[2:5]), *((c, pa.float64()) for c in names[5:7]), ("copies", pa.int64())])
         if not docs.num_rows:
-            return schema.empty_table()
-        ids, texts, copies = group_batch([docs])
-        off, _, _, _, place, orders = asked(ids, texts)
-        parts = sorted(zip(replies.column("bucket").to_pylist(), replies.column("counts").to_pylist()))
-        counts = np.concatenate([unpack(p) for _, p in parts]).astype(np.int64)
-        model = Automaton(off, counts, place, orders, tokens, singles)
-        score, seen = model.score(), model.seen
+            return SCORED.empty_table()
+        group = Group([docs], buckets.bits)
+        group.keys = None
+        counts, tokens, types, singles = counts_of(group, buckets, replies)
+        score = Automaton(group, counts, tokens, singles).score()
+        seen = counts[0][group.place[0]]
         base = np.log10((seen + 1.0) / (tokens + 1.0 * (types + 1.0)))
-        base_score = np.add.reduceat(base, off[:-1])
-        known = np.add.reduceat((seen > 0).astype(np.int64), off[:-1])
-        n = len(ids)
-        return pa.table([pa.array(ids, pa.int64()), pa.array([held_out(i) for i in ids]), np.diff(off), known, np.full(n, tokens), base_score, score, pa.array(copies, pa.int64())], schema=schema)
+        base_score = np.add.reduceat(base, group.off[:-1])
+        known = np.add.reduceat((seen > 0).astype(np.int64), group.off[:-1])
+        held = pa.array([held_out(i) for i in group.ids])
+        return pa.table([pa.array(group.ids, pa.int64()), held, np.diff(group.off), known, np.full(len(group.ids), tokens), base_score, score, pa.array(group.copies, pa.int64())], schema=SCORED)
 
     return run
 
@@ -285,16 +323,14 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     docs, repeated = counted(docs)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-size // GROUP_BYTES))
-    # About a word in six bytes, and as many n-grams as words for each order at most.
-    buckets = max(1, -(-(size // 6) * ORDER // BUCKET_ENTRIES))
+    # About a word in six bytes; no order has more n-grams than there are words.
+    words = size // 6 + 1
+    buckets = Buckets(words, min(64, (ORDER * words).bit_length() + SPARE_BITS))
     key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int")
     dealt = docs.withColumn("g", key).repartition(groups, "g")
-    request = dealt.groupBy("g").applyInArrow(ask(buckets), "bucket int, g int, keys binary, orders binary, counts binary")
-    reply = request.groupBy("bucket").applyInArrow(answer, "g int, bucket int, counts binary, tokens long, types long, singles long")
-    reply = materialize(reply, "counts")
-    tokens, types, singles = reply.filter("g = -1").agg(F.sum("tokens"), F.sum("types"), F.sum("singles")).first()
-    right = reply.filter("g >= 0").select("g", "bucket", "counts")
-    out = dealt.groupBy("g").cogroup(right.groupBy("g")).applyInArrow(scorer(tokens or 0, types or 0, singles or 0), SCORES)
+    request = dealt.groupBy("g").applyInArrow(ask(buckets), ddl(ASKED))
+    reply = request.groupBy("bucket").applyInArrow(answer(buckets), ddl(ANSWERED))
+    out = dealt.groupBy("g").cogroup(reply.groupBy("g")).applyInArrow(scorer(buckets), ddl(SCORED))
     if repeated:  # in two steps, so that no list is long
         out = out.withColumn("a", F.explode(F.expr(f"sequence(0L, (copies - 1) div {COPIES})")))
         out = out.withColumn("b", F.explode(F.expr(f"sequence(1L, least({COPIES}L, copies - a * {COPIES}))"))).drop("a", "b")
