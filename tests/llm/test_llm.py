@@ -396,23 +396,69 @@ def test_quality_edges(odd, empty):
     assert quality.quality(empty).count() == 0
 
 
+def host_table(spark):
+    rows_ = [("bad", i, i < 90, False) for i in range(100)]  # most fails: blocked
+    rows_ += [("tiny", 1000 + i, i < 2, False) for i in range(3)]  # two of three fail, but too few to tell
+    rows_ += [("clean", 2000 + i, False, i < 2) for i in range(400)]  # hardly any fails: trusted
+    rows_ += [(f"usual{h}", 3000 + 100 * h + i, i < 10, i == 99) for h in range(30) for i in range(100)]
+    return spark.createDataFrame(rows_, "host string, doc_id long, base_failed boolean, soft_failed boolean")
+
+
+def test_quality_host_verdicts(spark):
+    got = quality.judged(host_table(spark)).toPandas()
+    verdicts = got.groupby("host").host_verdict.first()
+    assert verdicts["bad"] == "blocked" and verdicts["clean"] == "trusted" and verdicts["tiny"] == verdicts["usual0"] == "strict"
+    bad, clean, usual, tiny = (got[got.host == h] for h in ("bad", "clean", "usual0", "tiny"))
+    assert not bad.kept.any() and (~bad.base_failed).sum() == 10  # ten documents go for their host alone
+    assert clean.kept.all() and clean.soft_failed.sum() == 2  # two stay for their host alone
+    assert usual.kept.sum() == 89 and tiny.kept.sum() == 1
+
+
+def test_quality_verdict_changes_rows(spark):
+    got = quality.quality(spark.read.parquet(f"{SF}/documents.parquet")).toPandas()
+    assert (got.kept != ~got.base_failed).any()
+
+
+def mixing_table(spark):
+    words = F.repeat(F.lit("word "), F.col("id").cast("int") % 7 + 3)
+    df = spark.range(60_000).select(
+        F.col("id").alias("doc_id"), words.alias("text"),
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % 11).cast("string"))).alias("source"),
+        F.when(F.col("id") % 10 < 7, "en").otherwise("de").alias("lang"), F.when(F.col("id") % 5 == 0, "a").otherwise("b").alias("theme"),
+    )
+    return df
+
+
 def test_mixing_meets_marginals(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    cells = mixing.with_cells(docs).groupBy(*mixing.DIMS).agg(F.sum("m_tokens").alias("tokens")).toPandas()
-    frame = spark.createDataFrame(cells)
-    raked = mixing.rake(frame, rounds=30).toPandas().merge(cells, on=list(mixing.DIMS))
-    s = raked.tokens / raked.tokens.sum()
-    x = s * raked.weight
-    for dim in mixing.DIMS:
-        target = s.groupby(raked[dim]).sum() ** mixing.POWERS[dim[2:]]
-        assert np.allclose(x.groupby(raked[dim]).sum(), target / target.sum(), atol=2e-3)
-    assert abs((raked.p * s).sum() - mixing.FRACTION) < 1e-6
-    distributed = mixing.CELLS_IN_ONE_TASK
-    mixing.CELLS_IN_ONE_TASK = 0
-    try:
-        assert rows(mixing.rake(frame, rounds=2).toPandas())[1] != []
-    finally:
-        mixing.CELLS_IN_ONE_TASK = distributed
+    docs = mixing_table(spark)
+    sources = ["hot", *(f"s{i}" for i in range(11))]
+    for targets in ({"source": 0.5, "lang": 0.7, "topic": 0.7}, {"source": {s: 1.0 for s in sources}, "lang": {"en": 0.6, "de": 0.4}, "topic": {"a": 0.3, "b": 0.7}}):
+        got = mixing.marginals(docs, targets, 0.4, F.col("theme")).toPandas()
+        assert np.allclose(got.target, got.expected, atol=1e-6) and np.allclose(got.target, got["sample"], atol=0.01)
+        if isinstance(targets["lang"], dict):
+            lang = got[got.dim == "lang"].set_index("value").target
+            assert abs(lang["en"] - 0.6) < 1e-9 and abs(lang["de"] - 0.4) < 1e-9
+        kept = mixing.mixed(docs, targets, 0.4, F.col("theme"))
+        share = kept.agg(F.sum(F.size(F.split(F.trim("text"), " ")))).first()[0] / docs.agg(F.sum(F.size(F.split(F.trim("text"), " ")))).first()[0]
+        assert abs(share - 0.4) < 0.01
+
+
+def test_mixing_fills_scarce_values(spark):
+    docs = mixing_table(spark)
+    got = mixing.marginals(docs, {"source": 1.0, "lang": {"de": 1.0, "en": 1.0}, "topic": {"a": 9.0, "b": 1.0}}, 0.5, F.col("theme")).toPandas()
+    topic = got[got.dim == "topic"].set_index("value")
+    # a has a fifth of all tokens, which is two fifths of the sample: more than that it cannot be given
+    assert abs(topic.target["a"] - topic.before["a"] / 0.5) < 1e-9 and np.allclose(got.target, got.expected, atol=2e-3)
+    nothing = mixing.mixed(docs, {"source": 1.0, "lang": {"de": 1.0}, "topic": 1.0}, 0.2, F.col("theme"))
+    assert {r.lang for r in nothing.select("lang").distinct().collect()} == {"de"}
+
+
+def test_mixing_keeps_clashing_columns(spark):
+    own = ["weight", "p", "kept", "m_tokens", "m_source", "row", "t_m_lang", "s", "x", "tokens", "m_draw"]
+    docs = mixing_table(spark).filter("doc_id < 300").select("*", *(F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in own))
+    kept = mixing.mixed(docs)
+    assert kept.columns == docs.columns and kept.count() > 50
+    assert kept.filter(" AND ".join(f"`{c}` = concat('{c}', doc_id)" for c in own)).count() == kept.count()
 
 
 def test_mixing_edges(odd, empty):

@@ -1,8 +1,12 @@
 """Quality rules for documents and hosts, with DataFrame functions only.
 
-Each document gets counts from its own text and fails the base rules if it is short or repeats itself. The
-failures are summed by host (the `source` column), each host's rate is shrunk with a beta prior fitted to
-all hosts by the method of moments, and a document of a host whose shrunk rate is too high is not kept.
+Each document gets counts from its own text and fails the base rules if it is short or repeats itself, the soft rule
+if symbols are more than MAX_SYMBOL_PERCENT of its word characters. Documents that fail any rule are summed by host (the
+`source` column), each host's rate is shrunk with a beta prior fitted to all hosts by the method of moments, and the
+shrunk rate gives the host's verdict, which is joined back to its documents:
+  blocked  above MAX_HOST_RATE: most of what the host has is refuse, so none of its documents is kept;
+  trusted  below TRUSTED_RATE: documents that fail only the soft rule are kept, as symbols have a reason there;
+  strict   any other host: its documents are kept if they pass all rules.
 
 Edge cases: a null text has no words and fails; a null source is a host of its own; a null doc_id is carried
 through; repeated rows count each; with one host, or hosts of equal rates, the prior weighs PRIOR_WEIGHT
@@ -17,7 +21,8 @@ from pyspark.sql import functions as F
 
 from votemill.llm.common import materialize
 
-MIN_WORDS, MAX_REPEAT_PERCENT, MAX_HOST_RATE, PRIOR_WEIGHT = 50, 50, 0.6, 10.0
+MIN_WORDS, MAX_REPEAT_PERCENT, MAX_SYMBOL_PERCENT = 50, 50, 10
+MAX_HOST_RATE, TRUSTED_RATE, PRIOR_WEIGHT = 0.5, 0.05, 10.0
 
 
 def let(value: Column, body) -> Column:
@@ -79,12 +84,14 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     )
     words, repeats = F.col("c.n_words"), F.col("c.n_repeat_words")
     failed = (words < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * words)
-    return df.select("doc_id", "host", words.alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", repeats.alias("n_repeat_words"), failed.alias("base_failed"))
+    soft = 100 * F.col("n_symbols") > MAX_SYMBOL_PERCENT * F.col("word_chars")
+    return df.select("doc_id", "host", words.alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", repeats.alias("n_repeat_words"), failed.alias("base_failed"), soft.alias("soft_failed"))
 
 
 def host_rates(scored: DataFrame) -> DataFrame:
-    """host, host_rate: the shrunk share of its documents that fail the base rules."""
-    hosts = scored.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
+    """host, host_rate: the shrunk share of its documents that fail a rule."""
+    failed = (F.col("base_failed") | F.col("soft_failed")).cast("long")
+    hosts = scored.groupBy("host").agg(F.count("*").alias("n"), F.sum(failed).alias("failed"))
     rate = F.col("failed") / F.col("n")
     prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"))
     weight = F.when(F.col("v") > 1e-12, F.greatest(F.col("m") * (1 - F.col("m")) / F.col("v") - 1, F.lit(0.0))).otherwise(F.lit(PRIOR_WEIGHT))
@@ -92,13 +99,21 @@ def host_rates(scored: DataFrame) -> DataFrame:
     return hosts.select("host", ((F.col("failed") + F.col("m") * F.col("w")) / (F.col("n") + F.col("w"))).alias("host_rate"))
 
 
+def verdict(rate: Column) -> Column:
+    return F.when(rate > MAX_HOST_RATE, "blocked").when(rate < TRUSTED_RATE, "trusted").otherwise("strict")
+
+
+def judged(scored: DataFrame) -> DataFrame:
+    """scored with host_rate, host_verdict and kept."""
+    hosts = host_rates(scored).select(F.col("host").alias("h"), "host_rate", verdict(F.col("host_rate")).alias("host_verdict"))
+    joined = scored.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h")
+    own = (F.col("host_verdict") == "trusted") | ((F.col("host_verdict") == "strict") & ~F.col("soft_failed"))
+    return joined.withColumn("kept", ~F.col("base_failed") & own)
+
+
 def quality(docs: DataFrame) -> DataFrame:
-    scored = materialize(features(docs), "quality")
-    hosts = host_rates(scored).withColumnRenamed("host", "h")
-    kept = ~F.col("base_failed") & (F.col("host_rate") <= MAX_HOST_RATE)
-    return scored.join(hosts, F.col("host").eqNullSafe(F.col("h"))).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.round("host_rate", 9).alias("host_rate")
-    )
+    scored = judged(materialize(features(docs), "quality"))
+    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("host_rate", 9).alias("host_rate"), "host_verdict")
 
 
 SQL = f"""
@@ -112,12 +127,14 @@ s AS (SELECT r, sum(n)::BIGINT AS n FROM p GROUP BY r),
 f AS (SELECT w.doc_id, w.source AS host, len(w.w)::BIGINT AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g'))::BIGINT AS word_chars,
   (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
   coalesce(s.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN s USING (r)),
-b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM f),
-h AS (SELECT host, count(*) AS n, sum(base_failed::INT) AS failed FROM b GROUP BY host),
+b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
+  100 * n_symbols > {MAX_SYMBOL_PERCENT} * word_chars AS soft_failed FROM f),
+h AS (SELECT host, count(*) AS n, sum((base_failed OR soft_failed)::INT) AS failed FROM b GROUP BY host),
 q AS (SELECT avg(failed / n) AS m, var_pop(failed / n) AS v FROM h),
 z AS (SELECT m, CASE WHEN v > 1e-12 THEN greatest(m * (1 - m) / v - 1, 0.0) ELSE {PRIOR_WEIGHT} END AS w FROM q),
-k AS (SELECT host, (failed + m * w) / (n + w) AS host_rate FROM h, z)
+k AS (SELECT host, (failed + m * w) / (n + w) AS host_rate,
+  CASE WHEN (failed + m * w) / (n + w) > {MAX_HOST_RATE} THEN 'blocked' WHEN (failed + m * w) / (n + w) < {TRUSTED_RATE} THEN 'trusted' ELSE 'strict' END AS host_verdict FROM h, z)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND host_rate <= {MAX_HOST_RATE} AS kept, round(host_rate, 9) AS host_rate
+  NOT base_failed AND (host_verdict = 'trusted' OR host_verdict = 'strict' AND NOT soft_failed) AS kept, round(host_rate, 9) AS host_rate, host_verdict
 FROM b JOIN k ON b.host IS NOT DISTINCT FROM k.host
 """
