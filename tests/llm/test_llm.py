@@ -1,8 +1,10 @@
 """The training-data operators against brute force, exact round trips and held-out accuracy, with their edge cases."""
 
 import hashlib
+import itertools
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -188,22 +190,80 @@ def test_components(spark):
     assert components.components(links.limit(0)).count() == 0
 
 
-def test_substring_dedup_brute_force(docs):
-    got = {r["doc_id"]: r for r in substring_dedup.deduplicated(docs).collect()}
-    seen = set()
-    for i, text in sorted(pairs(docs)):
+def plain_units(text):
+    """(start, end, key) of each unit of a text, word by word; only the order of word pairs is taken from the hashes."""
+    words = [(m.start(), re.sub("[A-Z]", lambda x: x[0].lower(), m[0]), text.count("\n", 0, m.start())) for m in re.finditer("[^\x20\x09-\x0d]+", text)]
+    names = [w for _, w, _ in words]
+    pair = [shingles.ngrams(shingles.word_hashes([f"{x} {y}".encode()])[0], 2)[0] for x, y in zip(names, names[1:])]
+    lines, found = [], []
+    for _, group in itertools.groupby(range(len(words)), key=lambda k: words[k][2]):
+        group = list(group)
+        lines.append((group[0], group[-1] + 1))
+    for begin, end in lines:
+        cuts = {begin}
+        for k in range(begin, end - substring_dedup.WINDOW):
+            window = pair[k : k + substring_dedup.WINDOW]
+            cuts.add(k + window.index(min(window)))
+        cuts = sorted(cuts)
+        for f, last in zip(cuts, [*cuts[1:], end]):
+            if last - f >= 8:
+                key = (names[f:last],)
+            elif end - begin >= 8:  # words of its line
+                key = (names[last - 8 : last], last - f) if last - 8 >= begin else (names[begin : begin + 8], last - f, f - begin)
+            else:  # words before, or the start of the text
+                key = (names[max(0, last - 8) : last], last - f, "start" if last < 8 else "")
+            found.append((words[f][0], str(key)))
+    ends = [s for s, _ in found[1:]] + [len(text)]
+    return [(s, e, key) for (s, key), e in zip(found, ends)]
+
+
+def plain_dedup(items):
+    """What is left of each text, by position in items; ids differ and are not null."""
+    seen, out = set(), {}
+    for i, text in sorted(items):
         kept, at = [], 0
-        for _, s, e, hi, lo in zip(*(x.tolist() for x in substring_dedup.units([text]))):
-            if (hi, lo) in seen:
+        for s, e, key in plain_units(text or ""):
+            if key in seen:
                 kept.append(text[at:s])
                 at = e
-            seen.add((hi, lo))
-        assert got[i]["text"] == "".join([*kept, text[at:]])
+            seen.add(key)
+        out[i] = "".join([*kept, text[at:]]) if text is not None else None
+    return out
+
+
+def test_substring_dedup_brute_force(spark, docs):
+    items = [*pairs(docs), (10**7, "Short line\nand more of them\nto end"), (10**7 + 1, "short LINE\nand  more\nto end"), (10**7 + 2, "one"), (10**7 + 3, "One"), (10**7 + 4, None)]
+    got = {r["doc_id"]: r for r in substring_dedup.deduplicated(spark.createDataFrame(items, "doc_id long, text string")).collect()}
+    want = plain_dedup(items)
+    assert {i: r["text"] for i, r in got.items()} == want and want[10**7 + 3] == "" and want[10**7 + 1] == "and  more\nto end"
+    for i, text in items:
         cut, at = [], 0
         for x in got[i]["removed_spans"]:
             cut.append(text[at : x["s"]])
             at = x["e"]
-        assert "".join([*cut, text[at:]]) == got[i]["text"]
+        assert text is None or "".join([*cut, text[at:]]) == got[i]["text"]
+
+
+def test_substring_dedup_spreads_hot_digests(spark, monkeypatch):
+    items = [(i, f"the same line of more than eight words stands in each\nbut number {i} of these is a line with words of its own") for i in range(300)]
+    docs = spark.createDataFrame(items, "doc_id long, text string")
+    want = {r["doc_id"]: r["text"] for r in substring_dedup.deduplicated(docs).collect()}
+    monkeypatch.setattr(substring_dedup, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(substring_dedup, "HOT", 7)
+    seen = []
+    plain = substring_dedup.with_first
+    monkeypatch.setattr(substring_dedup, "with_first", lambda found, first: seen.append(plain(found, first)) or seen[0])
+    assert {r["doc_id"]: r["text"] for r in substring_dedup.deduplicated(docs).collect()} == want == plain_dedup(items)
+    assert seen[0].select("salt").distinct().count() > 20
+
+
+def test_substring_dedup_keeps_clashing_columns(spark):
+    own = ["__cut", "row", "cut", "key", "own", "text_id", "s", "e", "hi", "lo", "n"]
+    docs = spark.createDataFrame([(i, "a line that stands in both of these two documents here") for i in range(2)], "doc_id long, text string")
+    docs = docs.select("*", *(F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in own))
+    got = substring_dedup.deduplicated(docs)
+    assert got.columns == [*docs.columns, "removed_spans"] and got.filter("text = ''").count() == 1
+    assert got.filter(" AND ".join(f"`{c}` = concat('{c}', doc_id)" for c in own)).count() == 2
 
 
 def test_substring_dedup_finds_pasted_passages(spark):

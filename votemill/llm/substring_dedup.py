@@ -8,8 +8,9 @@ it stands, and the part between the first and the last border that its own words
 passage of 50 words at least 50 - 2 * WINDOW). Units are compared in normal form (A-Z in lower case, white space
 runs as one space). A unit of fewer than CONTEXT words says little on its own, so its digest also covers words
 before it up to CONTEXT words, and it goes only where these repeat too: words of its line (for one that ends within
-the line's first CONTEXT words, these words instead), or in a line of fewer words those of the lines before; where
-a text has fewer words up to the end of such a line, the unit stays. Digests are grouped over the whole corpus, the occurrence with the
+the line's first CONTEXT words, these words instead), or in a line of fewer words those of the lines before, back to the
+text's start, which then belongs to the digest. So no unit is exempt for its size, and a clean text does not lose each
+short line or word that some other text has as well. Digests are grouped over the whole corpus, the occurrence with the
 smallest (doc_id, position) is kept and every other one is removed.
 
 Results keep the original offsets: spans are [start, end) in code points of the original text, neighbours
@@ -19,12 +20,14 @@ Edge cases: a null text stays null without spans; an empty text or one of white
 null doc_id ranks after all others, and its units are removed only where a document with an id has them (rows without
 an id have no order); a document is a (doc_id, text digest), so rows that share a doc_id but not a text are cut each at
 its own spans (the smaller digest first), while equal rows count as one and lose the same spans; an empty table gives
-no row; extra columns stay, but for one with the name of the spans column, which is replaced. Texts are read whole.
-Digests have 128 bits.
+no row; extra columns stay whatever their names, but for one with the name of the spans column, which is replaced. Texts
+are read whole. Digests have 128 bits.
 
 Most units occur once. They are left out early: a first pass counts half of each digest alone, a filter of bits (a
 few for each digest that repeats, BITS_MOST at most) tells the second pass which units may repeat, and only these are
-stored with their places and compared by whole digests. The filter lets some others through, but none that repeats out.
+stored with their places and compared by whole digests. The filter lets some others through, but none that repeats out. Repeated digests are
+joined back by broadcast if they were counted to be few; else units of a digest with very many of them are spread over
+salts, and its first occurrence goes to each.
 """
 
 from __future__ import annotations
@@ -36,12 +39,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from votemill.llm.bpe import slices
-from votemill.llm.common import in_batches, materialize
+from votemill.llm.common import BROADCAST_IDS, in_batches, materialize
 from votemill.llm.shingles import U, Words, mix, ngrams
 
 WINDOW, CONTEXT = 12, 8
 #: Bits of the filter: one for so many bytes of text, about 8 for each digest that repeats.
 BYTES_A_BIT, BITS_LEAST, BITS_MOST = 64, 1 << 16, 1 << 28
+#: Units of one digest that a task takes at most, in a corpus of up to HOT_MOST times as many; at most HOT_MOST digests are spread.
+HOT, HOT_MOST = 50_000, 100_000
 #: What tells documents apart.
 DOCUMENT = ("doc_id", "text_id")
 
@@ -76,7 +81,7 @@ def borders(words: Words, lines: np.ndarray) -> np.ndarray:
 
 
 def units(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all units that can go: the text, start and end in code points, and both halves of the digest."""
+    """Of all units: the text, start and end in code points, and both halves of the digest."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     words = Words(raw)
     h, off = words.h, words.off
@@ -104,8 +109,7 @@ def units(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     s = points[words.start[first]] - zero
     same = np.append(text[1:] == text[:-1], False)
     e = np.where(same, np.append(s[1:], 0), ends - zero)
-    ok = stop - begin >= CONTEXT
-    return text[ok], s[ok], e[ok], digest[0][ok], digest[1][ok]
+    return text, s, e, digest[0], digest[1]
 
 
 def text_id():
@@ -155,24 +159,38 @@ def removed_units(docs: DataFrame) -> DataFrame:
     found = materialize(occurrences(docs), "units")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), *DOCUMENT, "s")
     first = found.groupBy("hi", "lo").agg(F.min(rank).alias("keep"), F.count("*").alias("n")).filter("n > 1")
-    first = first.select("hi", "lo", F.col("keep.doc_id").alias("k_doc"), F.col("keep.text_id").alias("k_text"), F.col("keep.s").alias("k_s"))
+    first = first.select("hi", "lo", "n", F.col("keep.doc_id").alias("k_doc"), F.col("keep.text_id").alias("k_text"), F.col("keep.s").alias("k_s"))
+    first = materialize(first, "first")
     same = F.col("doc_id").eqNullSafe(F.col("k_doc")) & (F.col("text_id") == F.col("k_text"))
-    gone = found.join(first, ["hi", "lo"]).filter(~(same & (F.col("s") == F.col("k_s"))))
+    gone = with_first(found, first).filter(~(same & (F.col("s") == F.col("k_s"))))
     return gone.filter("doc_id IS NOT NULL OR k_doc IS NOT NULL").select(*DOCUMENT, "s", "e")
 
 
+def with_first(found: DataFrame, first: DataFrame) -> DataFrame:
+    """found joined to first on the digest."""
+    if first.count() <= BROADCAST_IDS:
+        return found.join(F.broadcast(first), ["hi", "lo"])
+    hot = max(HOT, first.agg(F.sum("n")).first()[0] // HOT_MOST)  # so HOT_MOST digests at most have more
+    salts = F.ceil(F.col("n") / F.lit(hot)).cast("int")
+    many = F.broadcast(first.filter(F.col("n") > hot).select("hi", "lo", salts.alias("salts")))
+    salt = F.pmod(F.xxhash64(*DOCUMENT, "s"), F.coalesce("salts", F.lit(1))).cast("int")
+    dealt = found.join(many, ["hi", "lo"], "left").select(*found.columns, salt.alias("salt"))
+    return dealt.join(first.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))), ["hi", "lo", "salt"])
+
+
 def deduplicated(docs: DataFrame, spans: str = "removed_spans") -> DataFrame:
     """docs with text replaced by what is kept, and the removed spans of the original text in a column of that name."""
     docs = docs.drop(spans)
-    gone = removed_units(docs).groupBy(*DOCUMENT).agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("__cut"))
-    gone = gone.select(F.col("doc_id").alias("__doc"), F.col("text_id").alias("__text"), "__cut")
-    joined = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (text_id() == F.col("__text")), "left").drop("__doc", "__text")
     names = docs.columns
+    gone = removed_units(docs.select("doc_id", "text")).groupBy(*DOCUMENT).agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("cut"))
+    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("key"), text_id().alias("own"))
+    packed = packed.join(gone, F.col("key").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("text_id")), "left").select("row", "cut")
 
     def run(batches):
         kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
         for batch in (whole.slice(a, 512) for whole in batches for a in range(0, whole.num_rows, 512)):
-            texts, cuts = batch.column("text").to_pylist(), batch.column("__cut").to_pylist()
+            columns = dict(zip(names, batch.column(0).flatten()))
+            texts, cuts = columns["text"].to_pylist(), batch.column(1).to_pylist()
             cleaned, merged = [], []
             for t, cut in zip(texts, cuts):
                 own: list[dict] = []
@@ -189,8 +207,8 @@ def deduplicated(docs: DataFrame, spans: str = "removed_spans") -> DataFrame:
                     t = "".join([*parts, t[at:]])
                 cleaned.append(t)
                 merged.append(own)
-            columns = [pa.array(cleaned, pa.string()) if c == "text" else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(merged, kind)], names=[*names, spans])
+            columns["text"] = pa.array(cleaned, pa.string())
+            yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(merged, kind)], names=[*names, spans])
 
     span = T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())])
-    return in_batches(joined, run, T.StructType([*docs.schema.fields, T.StructField(spans, T.ArrayType(span))]))
+    return in_batches(packed, run, T.StructType([*docs.schema.fields, T.StructField(spans, T.ArrayType(span))]))
