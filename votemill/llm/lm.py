@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from votemill.llm.bpe import chunks
 from votemill.llm.common import materialize, small
 from votemill.llm.shingles import U, mix, ngrams, word_hashes
 
@@ -44,7 +45,10 @@ END = mix(np.array([1], U))[0]
 
 def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, an end after each text, and the offsets of the texts."""
-    h, off = word_hashes([(t or "").encode() for t in texts])
+    raw = [(t or "").encode() for t in texts]
+    parts = [word_hashes(raw[a:b]) for a, b in chunks(raw)]
+    h = np.concatenate([np.zeros(0, U), *(p[0] for p in parts)])
+    off = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *(np.diff(p[1]) for p in parts)]))])
     n = len(off) - 1
     out = np.full(len(h) + n, END, U)
     own = np.ones(len(out), bool)
