@@ -392,15 +392,60 @@ def test_nearest_recall_and_edges(spark):
     got = nearest.nearest(frame, frame, 10).toPandas()
     assert set(got.query_id) == set(range(40)) and sorted(got[got.query_id == 0].vec_id) == list(range(1, 11)) and sorted(got[got.query_id == 20].vec_id) == list(range(10))
     assert nearest.nearest(frame.limit(0), frame.limit(0)).count() == 0
+
+
+def exact_nearest(items, queries, k):
+    """query -> [(vec_id, score)] of rows (id, vector), ids once each with their smallest distance."""
+    out = {}
+    for q in {i for i, _ in queries}:
+        best = {}
+        for j, v in items:
+            for x in (x for i, x in queries if i == q and len(x) == len(v) and j != q):
+                best[j] = min(best.get(j, math.inf), math.dist(v, x))
+        out[q] = sorted(best.items(), key=lambda x: (x[1], x[0]))[:k]
+    return {q: x for q, x in out.items() if x}
+
+
+@pytest.mark.parametrize("dim", [1, 2, 12, 64])
+def test_nearest_in_cells(spark, monkeypatch, dim):
+    monkeypatch.setattr(nearest, "BLOCK_ROWS", 60)
+    rng = np.random.default_rng(dim)
+    centres = rng.normal(size=(30, dim)) * 5
+    items = [(i, (centres[i % 30] + rng.normal(size=dim)).tolist()) for i in range(2000)]
+    items += [(i, items[0][1]) for i in range(2000, 2300)]  # one vector of many rows
+    items += [(5, items[7][1]), (5, items[7][1]), (100, items[9][1]), (7000, [1.0] * (dim + 1)), (7100, [2.0] * (dim + 1))]
+    frame = spark.createDataFrame(items, "vec_id long, embedding array<double>")
+    got = nearest.nearest(frame, frame.filter("vec_id % 100 = 0"), 5).orderBy("query_id", "rank").toPandas()
+    want = exact_nearest(items, [x for x in items if x[0] % 100 == 0], 5)
+    hits = total = 0
+    assert set(got.query_id) == set(want)
+    for q, g in got.groupby("query_id"):
+        best = dict(exact_nearest(items, [x for x in items if x[0] == q], len(items))[q])
+        assert list(g["rank"]) == list(range(1, len(g) + 1)) and len(g) == len(want[q]) and g.vec_id.is_unique
+        assert np.allclose(g.score, [best[j] for j in g.vec_id])
+        hits += len({j for j, _ in want[q]} & set(g.vec_id))
+        total += len(want[q])
+    assert hits / total >= 0.9
+
+
+def test_nearest_deals_large_cells(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(nearest, "CELLS_MOST", 3)
+    rng = np.random.default_rng(0)
+    items = [(i, rng.normal(size=4).tolist()) for i in range(900)]
+    frame = spark.createDataFrame(items, "vec_id long, embedding array<double>")
+    got = nearest.nearest(frame, frame.filter("vec_id % 100 = 0"), 5).toPandas()
+    want = exact_nearest(items, [x for x in items if x[0] % 100 == 0], 5)
+    assert np.mean([len({j for j, _ in want[q]} & set(g.vec_id)) / 5 for q, g in got.groupby("query_id")]) >= 0.9
+
+
+def test_nearest_bound():
     assert abs(nearest.chi_square(np.array([nearest.chi_square_bound(0.95, 10)]), 10)[0] - 0.95) < 1e-6
 
 
-@pytest.mark.parametrize("sets", [100, 1])
-def test_nearest_repeated_rows(spark, monkeypatch, sets):
-    monkeypatch.setattr(nearest, "QUERY_ROWS", 12)
+def test_nearest_repeated_rows(spark, monkeypatch):
     monkeypatch.setattr(nearest, "BLOCK_ROWS", 40)
     monkeypatch.setattr(nearest, "CONFIDENCE", 1 - 1e-9)
-    monkeypatch.setattr(nearest, "SETS_IN_ONE_PLAN", sets)
     rng = np.random.default_rng(15)
     same, center = rng.normal(size=64), rng.normal(size=64)
     items = [(100, same)] * 60 + [(200, center + 0.01 * rng.normal(size=64)) for _ in range(30)] + [(i, center + rng.normal(size=64)) for i in range(40)] + [(0, same)]
