@@ -248,7 +248,6 @@ def test_substring_dedup_spreads_hot_digests(spark, monkeypatch):
     items = [(i, f"the same line of more than eight words stands in each\nbut number {i} of these is a line with words of its own") for i in range(300)]
     docs = spark.createDataFrame(items, "doc_id long, text string")
     want = {r["doc_id"]: r["text"] for r in substring_dedup.deduplicated(docs).collect()}
-    monkeypatch.setattr(substring_dedup, "BROADCAST_IDS", 0)
     monkeypatch.setattr(substring_dedup, "HOT", 7)
     seen = []
     plain = substring_dedup.with_first
@@ -746,6 +745,81 @@ def test_html_keeps_formulas_and_fallback_text():
     assert [b.text for b in html_text.blocks(page)] == ["so E=mc2 holds", "a fallback", "end"]
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<p class=it's>Hello world isn't here</p><p>next</p>", ["Hello world isn't here", "next"]),
+        ("<p title=it's>Alpha beta</p>", ["Alpha beta"]),
+        ("<p title='a > b' data-x = \"c>d\" checked>Alpha</p><p a=\"open>beta</p>", ["Alpha", "beta"]),
+        ("<article><p>one</p><noscript><p>two</p></noscript></article>", ["one", "two"]),
+    ],
+)
+def test_html_attributes_and_fallbacks(page, want):
+    assert [b.text for b in html_text.blocks(page)] == want
+
+
+#: Pages written by hand, and their articles.
+HAND = [
+    (
+        """<!DOCTYPE html><html lang=en><head><meta charset=utf-8><title>Bread at home | Kitchen Notes</title><style>p{color:red}</style></head><body>
+<header><a href="/">Kitchen Notes</a><nav><ul><li><a href="/recipes">Recipes</a></li><li><a href="/about">About</a></li></ul></nav></header>
+<div class="cookie-notice">We use cookies to improve your visit. <button>Accept</button></div>
+<main><article><h1>Bread at home</h1><p class=it's>Good bread doesn't need a machine. It takes flour, water, salt &amp; time, and an oven that gets hot.</p>
+<p>Mix the flour and the water in the evening. Leave the dough in a cool place until the morning, then fold it <em>three</em> times.</p>
+<ul><li>500 g of flour</li><li>350 g of water</li></ul>
+<aside class="ad"><p>Buy the best ovens today at half the price!</p></aside>
+<blockquote>A slow dough is a good dough.</blockquote><p>Bake it for forty minutes. Let it cool before you cut it.</p></article></main>
+<section id="comments"><h3>Comments</h3><div class="comment"><p>Great recipe, thank you so much for sharing it with us!</p></div></section>
+<footer><p>Copyright 2021 Kitchen Notes. All rights reserved.</p></footer><script>var x = "<p>no</p>";</script></body></html>""",
+        "Bread at home\nGood bread doesn't need a machine. It takes flour, water, salt & time, and an oven that gets hot.\n"
+        "Mix the flour and the water in the evening. Leave the dough in a cool place until the morning, then fold it three times.\n"
+        "500 g of flour\n350 g of water\nA slow dough is a good dough.\nBake it for forty minutes. Let it cool before you cut it.",
+    ),
+    (
+        """<html><body><div id="header"><a href=/>The Daily</a></div><div class="menu"><a href=/w>World</a> <a href=/s>Sport</a></div>
+<div class="content"><h1>River rises after a week of rain</h1><p>The river rose by two metres on Monday, the town said. Some streets near the old bridge are closed.</p>
+<p>Schools stay open.<br>Buses run as usual, but for line four.<p>The water is expected to fall by the end of the week.</p>
+<table><tr><td>Monday</td><td>2.1 m</td></tr></table></div>
+<div class="sidebar"><h3>Most read</h3><ul><li><a href=/1>Ten tips for the garden</a></li><li><a href=/2>Who won the cup</a></li></ul></div>
+<form action=/n><label>Your e-mail</label><input name=e><p>Sign up for our newsletter and never miss a story again.</p></form>
+<div id="footer">Contact | Imprint | Privacy</div></body></html>""",
+        "River rises after a week of rain\nThe river rose by two metres on Monday, the town said. Some streets near the old bridge are closed.\n"
+        "Schools stay open. Buses run as usual, but for line four.\nThe water is expected to fall by the end of the week.\nMonday\n2.1 m",
+    ),
+    (
+        """<nav><a href=/a>A</a><a href=/b>B</a></nav><article><h2>On sums</h2><p>The sum of the first n odd numbers is <math><msup><mi>n</mi><mn>2</mn></msup></math>, as a square shows.</p>
+<noscript><p>A picture of the square with its rows of dots would stand here, one row for each of the odd numbers.</p></noscript><pre>1 + 3 + 5
+= 9</pre></article><footer>end of page</footer>""",
+        "On sums\nThe sum of the first n odd numbers is n2, as a square shows.\nA picture of the square with its rows of dots would stand here, one row for each of the odd numbers.\n1 + 3 + 5 = 9",
+    ),
+]
+
+
+@pytest.fixture(scope="module")
+def labeller(spark):
+    return html_text.train([r[1] for r in spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html").orderBy("page_id").limit(100).collect()])
+
+
+@pytest.mark.parametrize("page, want", HAND)
+def test_html_pages_written_by_hand(labeller, page, want):
+    assert html_text.extract(labeller, [page]) == [want]
+
+
+def test_html_long_page(labeller):
+    page = "<nav><a href=/>x</a></nav><article>" + "".join(f"<p>block {i} of a long page, with some words.</p>" for i in range(5000)) + "</article>"
+    own = html_text.blocks(page)
+    assert np.allclose(labeller.label([own], 300)[0], labeller.label([own], 10**9)[0], atol=1e-5)
+
+
+def test_html_sample_does_not_depend_on_the_order_of_rows(spark):
+    rows_ = [(7, "u", f"<article><p>text number {i} of one id</p></article>") for i in range(40)] + [(8, "v", "<article><p>other text</p></article>")]
+    ends = []
+    for own in (rows_, rows_[::-1]):
+        frame = spark.createDataFrame(own, "page_id long, url string, html string").repartition(3)
+        ends.append(sorted(map(tuple, html_text.main_text(frame).collect())))
+    assert ends[0] == ends[1] and len(ends[0]) == 41
+
+
 def test_html_labels_articles(spark):
     pages = [r[0] for r in spark.read.parquet(f"{SF}/pages.parquet").select("html").collect()]
     model = html_text.train(pages[:100])
@@ -761,7 +835,7 @@ def test_html_labels_articles(spark):
         y = np.array([b.text.split()[0] in main for b in own])
         for b in own:
             b.text = b.text.split(" ", 1)[-1]
-        right += ((model.label([html_text.vectors(own)])[0] >= 0.5) == y).sum()
+        right += ((model.label([own])[0] >= 0.5) == y).sum()
         total += len(y)
     assert right / total > 0.95
 

@@ -11,7 +11,8 @@ and again with their blocks poured into random layouts, whose labels are known b
 or named containers among menus, headers, footers, sidebars, notices, adverts, forms and reader comments.
 
 Edge cases: a null, empty or tagless page is one block of text or none; without any main block the text is empty;
-unclosed and stray tags are tolerated (body, or an element that cannot stand in head, ends an open head); character references are decoded once, after tags were found; pages of any length are read whole; repeated rows get
+unclosed and stray tags are tolerated (body, or an element that cannot stand in head, ends an open head; a quote opens a
+value only after an equals sign); character references are decoded once, after tags were found; pages of any length are read whole; repeated rows get
 equal texts; a null page_id or url is carried through; with no page to learn from, layouts are poured from
 placeholder words; an empty table gives no row; extra columns are ignored.
 """
@@ -38,13 +39,13 @@ DIM = PATH_DIM + WORD_DIM + SHAPE_DIM
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 INLINE |= frozenset("math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics annotation".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN_TEXT = frozenset("script style noscript template textarea select option button title head svg iframe".split())
+HIDDEN_TEXT = frozenset("script style template textarea select option button title head svg iframe".split())
 HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 BOILERPLATE = frozenset("nav header footer aside form dialog menu".split())
 OWN_CLOSE = {"p": frozenset(["p"]), "li": frozenset(["li"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "tr": frozenset(["tr", "td", "th"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"])}
 BLOCKS_CLOSE_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*'|))*+)>", re.S | re.I)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
@@ -152,16 +153,18 @@ def path_vector(path: tuple[str, ...]) -> tuple[tuple[int, float], ...]:
     return tuple(got.items())
 
 
-def vectors(page: list[Node]) -> np.ndarray:
-    x = np.zeros((len(page), DIM), np.float32)
-    for i, b in enumerate(page):
+def vectors(page: list[Node], begin: int = 0, end: int | None = None) -> np.ndarray:
+    """A row a block of page[begin:end]."""
+    part = page[begin:end]
+    x = np.zeros((len(part), DIM), np.float32)
+    for i, b in enumerate(part):
         for k, v in path_vector(b.path):
             x[i, k] += v
         words = b.text.lower().split()
         where = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % WORD_DIM for w in words), np.int64, len(words))
         x[i, PATH_DIM : PATH_DIM + WORD_DIM] = np.bincount(where, minlength=WORD_DIM) / len(words)
         stops = sum(w[-1] in ".!?" for w in words)
-        x[i, PATH_DIM + WORD_DIM :] = (np.log1p(len(words)) / 4, b.linked / len(b.text), stops / len(words), min(stops, 5) / 5, i / len(page), 1.0)
+        x[i, PATH_DIM + WORD_DIM :] = (np.log1p(len(words)) / 4, b.linked / len(b.text), stops / len(words), min(stops, 5) / 5, (begin + i) / len(page), 1.0)
     return x
 
 
@@ -175,12 +178,13 @@ class Lstm:
             "b": np.repeat(np.array([0, 1, 0, 0], np.float32), HIDDEN),
         }
 
-    def forward(self, x: np.ndarray, mask: np.ndarray):
-        """Hidden states of x (batch, time, DIM); where mask is 0 the state stays."""
+    def forward(self, x: np.ndarray, mask: np.ndarray, start: tuple | None = None, keep: bool = True):
+        """Hidden states of x (batch, time, DIM) from the state start (zero if none); where mask is 0 the state stays.
+        Then what the way back needs, if it is to be kept, else the last state."""
         n, steps, _ = x.shape
         z = x.reshape(-1, DIM) @ self.p["w"] + self.p["b"]
         z = z.reshape(n, steps, -1)
-        h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
+        h, c = start or (np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32))
         out, kept = np.zeros((n, steps, HIDDEN), np.float32), []
         for t in range(steps):
             a = z[:, t] + h @ self.p["u"]
@@ -190,11 +194,12 @@ class Lstm:
             m = mask[:, t : t + 1]
             c_new = f * c + i * g
             tanh = np.tanh(c_new)
-            kept.append((h, c, i, f, o, g, tanh))
+            if keep:
+                kept.append((h, c, i, f, o, g, tanh))
             c = m * c_new + (1 - m) * c
             h = m * o * tanh + (1 - m) * h
             out[:, t] = h
-        return out, kept
+        return out, kept if keep else (h, c)
 
     def backward(self, x: np.ndarray, mask: np.ndarray, kept, d_out: np.ndarray) -> dict[str, np.ndarray]:
         n, steps, _ = x.shape
@@ -232,26 +237,44 @@ class Labeller:
             turn[i, : len(p)] = np.arange(len(p) - 1, -1, -1)
         return x, mask, turn
 
-    def run(self, pages: list[np.ndarray]):
+    def run(self, pages: list[np.ndarray], keep: bool = True):
         x, mask, turn = self.padded(pages)
         rows = np.arange(len(pages))[:, None]
-        one, kept_one = self.ahead.forward(x, mask)
+        one, kept_one = self.ahead.forward(x, mask, keep=keep)
         mirrored = x[rows, turn]
-        two, kept_two = self.back.forward(mirrored, mask)
+        two, kept_two = self.back.forward(mirrored, mask, keep=keep)
         hidden = np.concatenate([one, two[rows, turn]], 2)
-        p = 1 / (1 + np.exp(-(hidden @ self.top["v"] + self.top["d"])))
-        return p, (x, mask, turn, rows, mirrored, kept_one, kept_two, hidden)
-
-    def label(self, pages: list[np.ndarray], room: int = 8192) -> list[np.ndarray]:
+        return self.chance(hidden), (x, mask, turn, rows, mirrored, kept_one, kept_two, hidden)
+
+    def chance(self, hidden: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-(hidden @ self.top["v"] + self.top["d"])))
+
+    def long(self, page: list[Node], step: int) -> np.ndarray:
+        """As label, of one page; the vectors of step blocks at a time, states carried over."""
+        parts = [(a, min(a + step, len(page))) for a in range(0, len(page), step)]
+        hidden = np.zeros((len(page), 2 * HIDDEN), np.float32)
+        for net, where, order in ((self.ahead, slice(0, HIDDEN), 1), (self.back, slice(HIDDEN, None), -1)):
+            state = None
+            for a, b in parts[::order]:
+                x = vectors(page, a, b)[::order][None]
+                out, state = net.forward(x, np.ones(x.shape[:2], np.float32), state, False)
+                hidden[a:b, where] = out[0][::order]
+        return self.chance(hidden)
+
+    def label(self, pages: list[list[Node]], room: int = 8192) -> list[np.ndarray]:
         """Probability of every block, pages of like length together so that little is padded."""
         out: list[np.ndarray] = [np.zeros(0, np.float32)] * len(pages)
         order = sorted((i for i in range(len(pages)) if len(pages[i])), key=lambda i: len(pages[i]))
         at = 0
         while at < len(order):
+            if len(pages[order[at]]) > room:
+                out[order[at]] = self.long(pages[order[at]], room)
+                at += 1
+                continue
             end = at + 1
             while end < len(order) and (end - at + 1) * len(pages[order[end]]) <= room:
                 end += 1
-            p, _ = self.run([pages[i] for i in order[at:end]])
+            p, _ = self.run([vectors(pages[i]) for i in order[at:end]], False)
             for row, i in enumerate(order[at:end]):
                 out[i] = p[row, : len(pages[i])]
             at = end
@@ -358,7 +381,7 @@ def train(pages: list[str]) -> Labeller:
 
 def extract(model: Labeller, pages: list[str | None]) -> list[str]:
     parsed = [blocks(p or "") for p in pages]
-    found = model.label([vectors(b) for b in parsed])
+    found = model.label(parsed)
     return ["\n".join(n.text for n, q in zip(b, p) if q >= 0.5) for b, p in zip(parsed, found)]
 
 
@@ -366,8 +389,9 @@ def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     chosen = first_by_hash(pages.filter(F.length("html") > 0).select("page_id"), "page_id", TRAIN_PAGES).distinct()
-    sample = pages.filter(F.length("html") > 0).join(F.broadcast(chosen), "page_id").select("html").limit(TRAIN_PAGES)  # TRAIN_PAGES ids at most
-    model = pages.sparkSession.sparkContext.broadcast(train([r[0] for r in sample.collect()]))
+    # Of rows that share an id, the one with the smallest hash: TRAIN_PAGES rows at most, the same in any order of rows.
+    sample = pages.filter(F.length("html") > 0).join(F.broadcast(chosen), "page_id").groupBy("page_id").agg(F.min_by("html", F.xxhash64("html")).alias("html"))
+    model = pages.sparkSession.sparkContext.broadcast(train([r[1] for r in sorted(sample.collect())]))
 
     def run(batches):
         for batch in batches:
