@@ -25,9 +25,8 @@ are read whole. Digests have 128 bits.
 
 Most units occur once. They are left out early: a first pass counts half of each digest alone, a filter of bits (a
 few for each digest that repeats, BITS_MOST at most) tells the second pass which units may repeat, and only these are
-stored with their places and compared by whole digests. The filter lets some others through, but none that repeats out. Repeated digests are
-joined back by broadcast if they were counted to be few; else units of a digest with very many of them are spread over
-salts, and its first occurrence goes to each.
+stored with their places and compared by whole digests. The filter lets some others through, but none that repeats out. Units of a digest with
+very many of them are spread over salts, and its first occurrence goes to each.
 """
 
 from __future__ import annotations
@@ -39,14 +38,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from votemill.llm.bpe import slices
-from votemill.llm.common import BROADCAST_IDS, in_batches, materialize
+from votemill.llm.common import in_batches, materialize
 from votemill.llm.shingles import U, Words, mix, ngrams
 
 WINDOW, CONTEXT = 12, 8
 #: Bits of the filter: one for so many bytes of text, about 8 for each digest that repeats.
 BYTES_A_BIT, BITS_LEAST, BITS_MOST = 64, 1 << 16, 1 << 28
 #: Units of one digest that a task takes at most, in a corpus of up to HOT_MOST times as many; at most HOT_MOST digests are spread.
-HOT, HOT_MOST = 50_000, 100_000
+HOT, HOT_MOST = 10_000, 100_000
 #: What tells documents apart.
 DOCUMENT = ("doc_id", "text_id")
 
@@ -168,9 +167,7 @@ def removed_units(docs: DataFrame) -> DataFrame:
 
 def with_first(found: DataFrame, first: DataFrame) -> DataFrame:
     """found joined to first on the digest."""
-    if first.count() <= BROADCAST_IDS:
-        return found.join(F.broadcast(first), ["hi", "lo"])
-    hot = max(HOT, first.agg(F.sum("n")).first()[0] // HOT_MOST)  # so HOT_MOST digests at most have more
+    hot = max(HOT, (first.agg(F.sum("n")).first()[0] or 0) // HOT_MOST)  # so HOT_MOST digests at most have more
     salts = F.ceil(F.col("n") / F.lit(hot)).cast("int")
     many = F.broadcast(first.filter(F.col("n") > hot).select("hi", "lo", salts.alias("salts")))
     salt = F.pmod(F.xxhash64(*DOCUMENT, "s"), F.coalesce("salts", F.lit(1))).cast("int")
