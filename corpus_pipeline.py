@@ -5,12 +5,15 @@ Each stage takes (spark, docs, sf_dir), works on all rows that it gets and retur
 the columns of documents. A stage's result is written as Parquet and read again by the next one.
 
 Edge cases: rows with a null doc_id never link, so they pass stage 2; of rows that share a doc_id one stays (that with
-the smallest text); a text of which all was cut stays as an empty one; the operators' own cases hold besides.
+the smallest text); a text of which all was cut stays as an empty one; extra columns pass through all stages but the
+last, whatever their names; the operators' own cases hold besides.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from itertools import count
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from votemill.llm import mixing, ngram_join, substring_dedup, toxicity
@@ -31,13 +34,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     twice = materialize(twice, "twice")
     if twice.isEmpty():
         return kept
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    once = kept.join(small(twice), "doc_id", "left_semi").withColumn("__n", first).filter("__n = 1").select(*docs.columns)
+    again = kept.join(small(twice), "doc_id", "left_semi").select("doc_id", F.struct(*docs.columns).alias("row"))
+    one = F.min_by("row", F.struct(F.col("row.text"), F.xxhash64(F.to_json("row"))))  # partial: no task holds an id's rows
+    once = again.groupBy("doc_id").agg(one.alias("row")).select("row.*")
     return kept.join(small(twice), "doc_id", "left_anti").select(*docs.columns).unionByName(once)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = substring_dedup.deduplicated(docs, "__spans").select(*docs.columns)
+    spans = next(name for i in count() if (name := f"spans{i}") not in docs.columns)
+    out = substring_dedup.deduplicated(docs, spans).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
