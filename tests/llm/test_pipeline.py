@@ -2,6 +2,7 @@
 
 import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from votemill.llm import ngram_join, substring_dedup
@@ -59,6 +60,17 @@ def test_rows_without_or_with_one_id(spark, steps):
     assert empty.count() == 0
 
 
+def test_extra_columns_pass(spark, steps):
+    own = ["__n", "__spans", "__cut", "spans0", "weight", "p", "kept", "m_tokens", "row", "count", "component_id", "toxic", "score"]
+    docs = steps[0].limit(60).select("*", *(F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in own))
+    docs = docs.unionByName(docs.limit(5))
+    out = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, out, SF).cache()
+        assert out.columns == docs.columns and out.count() > 0
+    assert out.filter(" AND ".join(f"`{c}` = concat('{c}', doc_id)" for c in own)).count() == out.count()
+
+
 def test_run(spark, steps):
     got = {r["doc_id"] for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()}
     assert got == {r["doc_id"] for r in steps[-1].select("doc_id").collect()}
