@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from votemill.operators.sweeps import answers
 from votemill.operators.votes import elect
 
 
@@ -24,7 +23,7 @@ def covered(answers: DataFrame, least: int) -> DataFrame:
     """Only systems with enough problems, and only problems that all of these have."""
     kept = answers.groupBy("system").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("system")
     n = kept.agg(F.count("*").alias("k_"))
-    own = answers.join(F.broadcast(kept), "system")  # a row a system
+    own = answers.join(small_cells(kept), "system")
     full = own.groupBy("id").agg(F.countDistinct("system").alias("c")).join(F.broadcast(n)).filter(F.col("c") == F.col("k_")).select("id")
     return own.join(full, "id", "left_semi")
 
@@ -46,20 +45,21 @@ def union_oracle(answers: DataFrame) -> DataFrame:
 def greedy_cover(answers: DataFrame, steps: int = 6) -> DataFrame:
     """step, system, gain: each step takes the system that solves most problems not solved yet (ties: the larger name).
 
-    A step is one aggregate to a row a system; the problems solved so far stay a plan, cut by a checkpoint a step.
+    One aggregate counts problems by the set of systems that solve them; each step then reads only these counts, of
+    which there are as many as different sets.
     """
     spark = answers.sparkSession
-    solved = answers.filter("ok").select("id", "system").distinct().persist()
-    left, out = solved, []
+    solved = answers.filter("ok").groupBy("id").agg(F.array_sort(F.collect_set("system")).alias("systems"))  # a problem's systems
+    sets = solved.groupBy("systems").agg(F.count("*").alias("n")).persist()
+    out: list[tuple[int, str, int]] = []
     for step in range(1, steps + 1):
-        best = left.groupBy("system").agg(F.count("*").alias("gain")).orderBy(F.desc("gain"), F.desc("system")).first()
+        left = sets.filter(~F.arrays_overlap("systems", F.array(*[F.lit(s) for _, s, _ in out]))) if out else sets
+        best = left.select(F.explode("systems").alias("system"), "n").groupBy("system").agg(F.sum("n").alias("gain")).orderBy(F.desc("gain"), F.desc("system")).first()
         if best is None:
             break
         out.append((step, best["system"], best["gain"]))
-        left = left.join(solved.filter(F.col("system") == best["system"]).select("id"), "id", "left_anti")
-    rows = spark.createDataFrame(out, "step int, system string, gain long")
-    solved.unpersist()
-    return rows
+    sets.unpersist()
+    return spark.createDataFrame(out, "step int, system string, gain long")
 
 
 def wrong_agreement(answers: DataFrame) -> DataFrame:
@@ -84,24 +84,51 @@ def pair_scores(answers: DataFrame, base: str, contrast: float = 0.08) -> DataFr
 
 
 def family_vote(ballots: DataFrame, gold: DataFrame, family: str, k: int = 5) -> DataFrame:
-    """Families pool their ballots to one answer with its weighted share; families then vote, weighted by their
-    accuracy on the other folds. id, equal (shares alone) and reliable (shares times log-odds of accuracy)."""
+    """Families pool their ballots to one answer with its weighted share; families then vote, one column a weighting.
+
+    equal: 1 each; reliable: accuracy on the other folds; odds: its log-odds, 0 at least; diverse: accuracy times one
+    less the mean agreement with the other families; confident: accuracy times the family's share.
+    """
     keys = Window.partitionBy("id", "fam")
     rows = ballots.withColumn("fam", F.col(family)).filter("ans IS NOT NULL")
     rows = rows.withColumn("w", F.exp((F.col("logp") - F.max("logp").over(keys)) * 2))
     tally = rows.groupBy("id", "fam", "ans").agg(F.min("pos").alias("first"), F.round(F.sum("w"), 9).alias("w"))
-    pooled = tally.groupBy("id", "fam").agg(F.max_by("ans", F.struct("w", -F.col("first"))).alias("ans"), (F.max("w") / F.sum("w")).alias("share"), F.min("first").alias("pos"))
+    pooled = tally.groupBy("id", "fam").agg(F.max_by("ans", F.struct("w", -F.col("first"))).alias("ans"), (F.max("w") / F.sum("w")).alias("share"))
     pooled = pooled.join(gold, "id").withColumns({"ok": (F.col("ans") == F.col("gold")).cast("int"), "fold": (F.col("id") % k).cast("int")})
     cells = pooled.groupBy("fam", "fold").agg(F.sum("ok").alias("c"), F.count("*").alias("n"))
     every = Window.partitionBy("fam")
-    p = (F.sum("c").over(every) - F.col("c") + 1) / (F.sum("n").over(every) - F.col("n") + 2)
-    odds = cells.select("fam", "fold", F.greatest(F.lit(0.0), F.log(p / (1 - p)) + 3).alias("odds"))
-    pooled = pooled.join(F.broadcast(odds), ["fam", "fold"])  # a row for each family and fold
-    pos = F.row_number().over(Window.partitionBy("id").orderBy("fam"))
-    pooled = pooled.withColumn("pos", pos)
-    equal = elect(pooled, F.sum("share"), default=None).withColumnRenamed("answer", "equal")
-    reliable = elect(pooled, F.sum(F.col("share") * F.col("odds")), default=None).withColumnRenamed("answer", "reliable")
-    return equal.join(reliable, "id")
+    rel = (F.sum("c").over(every) - F.col("c")) / F.nullif(F.sum("n").over(every) - F.col("n"), F.lit(0))
+    cells = cells.select("fam", "fold", F.coalesce(rel, F.lit(0.0)).alias("rel")).join(diversity(pooled), "fam", "left")
+    weights = small_cells(cells)
+    pooled = pooled.join(weights, ["fam", "fold"])
+    pooled = pooled.withColumn("pos", F.row_number().over(Window.partitionBy("id").orderBy("fam")))
+    p = F.least(F.greatest(F.col("rel"), F.lit(1e-3)), F.lit(1 - 1e-3))
+    scores = {
+        "equal": F.lit(1.0),
+        "reliable": F.col("rel"),
+        "odds": F.greatest(F.log(p / (1 - p)), F.lit(0.0)),
+        "diverse": F.col("rel") * F.coalesce("diversity", F.lit(1.0)),
+        "confident": F.col("rel") * F.col("share"),
+    }
+    votes = pooled.groupBy("id", "ans").agg(F.min("pos").alias("first"), *[F.round(F.sum(v), 9).alias(c) for c, v in scores.items()])
+    return votes.groupBy("id").agg(*[F.max_by("ans", F.struct(c, -F.col("first"))).alias(c) for c in scores])
+
+
+def small_cells(cells: DataFrame, most: int = 100_000) -> DataFrame:
+    """Broadcast if counted to be few."""
+    return F.broadcast(cells) if cells.limit(most + 1).count() <= most else cells
+
+
+def diversity(pooled: DataFrame) -> DataFrame:
+    """fam, diversity: one less the mean, over other families, of the correlation of being right on common problems.
+
+    Pairs are of families on one problem, of which there are few.
+    """
+    a, b = pooled.select("id", F.col("fam").alias("fam"), F.col("ok").alias("x")), pooled.select("id", F.col("fam").alias("other"), F.col("ok").alias("y"))
+    pairs = a.join(b, "id").filter("fam != other").groupBy("fam", "other").agg(F.count("*").alias("n"), *[F.sum(c).alias(k) for c, k in ((F.col("x"), "sx"), (F.col("y"), "sy"), (F.col("x") * F.col("y"), "sxy"))])
+    spread = F.sqrt((F.col("n") * F.col("sx") - F.col("sx") * F.col("sx")) * (F.col("n") * F.col("sy") - F.col("sy") * F.col("sy")).cast("double"))
+    corr = F.when(spread > 0, (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / spread).otherwise(0.0)
+    return pairs.groupBy("fam").agg((1 - F.avg(corr)).alias("diversity"))
 
 
 def specialists(answers: DataFrame, base: str, least: int = 15) -> DataFrame:
@@ -130,14 +157,12 @@ def mcnemar_p(z: float | None) -> float | None:
     return None if z is None else math.erfc(max(0.0, z) / math.sqrt(2))
 
 
-def paired_seed_gate(ballots: DataFrame, gold: DataFrame, rule, base_rule, least: float = 3.0) -> DataFrame:
-    """Per seed the right answers of two rules; accepted if the new one gains on every seed and by `least` on average."""
-    seeds = [r[0] for r in ballots.select("seed").distinct().orderBy("seed").collect()]  # a handful
-    part = lambda f, name: reduce(
-        DataFrame.unionByName, [f(ballots.filter(F.col("seed") == s)).join(gold, "id").agg(flag(F.col("answer") == F.col("gold")).alias(name)).withColumn("seed", F.lit(s)) for s in seeds]
-    )
-    both = part(base_rule, "base").join(part(rule, "new"), "seed").withColumn("gain", F.col("new") - F.col("base"))
-    w = Window.partitionBy()
+def paired_seed_gate(ballots: DataFrame, gold: DataFrame, rule: str, base_rule: str, least: float = 3.0) -> DataFrame:
+    """Per seed the right answers of two named rules; accepted if the new one gains on every seed and by `least` on average."""
+    won = answers(ballots, (rule, base_rule), ("seed", "id")).join(gold, "id")
+    right = lambda r: flag((F.col("rule") == r) & (F.col("answer") == F.col("gold")))
+    both = won.groupBy("seed").agg(right(base_rule).alias("base"), right(rule).alias("new")).withColumn("gain", F.col("new") - F.col("base"))
+    w = Window.partitionBy()  # a row a seed
     return both.select("seed", "base", "new", "gain", ((F.min("gain").over(w) > 0) & (F.avg("gain").over(w) >= least)).alias("accepted"))
 
 

@@ -78,14 +78,18 @@ def digits(ans: Column) -> Column:
 
 def fits_int64(ans: Column) -> Column:
     """Whether |ans| is at most 2**63 - 1, by digits, so that longer numbers do not overflow."""
+    return fits_within(ans, INT64_MAX)
+
+
+def fits_within(ans: Column, most: str) -> Column:
+    """Whether |ans| is at most `most`, by digits."""
     bare = F.regexp_replace(ans, "^-?0*", "")
-    return (F.length(bare) < 19) | ((F.length(bare) == 19) & (bare <= INT64_MAX))
+    return (F.length(bare) < len(most)) | ((F.length(bare) == len(most)) & (bare <= most))
 
 
 def plausible_only(ballots: DataFrame) -> DataFrame:
     """Without answers above 10**12 in absolute value, unless that leaves none."""
-    bare = F.regexp_replace("ans", "^-?0*", "")
-    fine = (F.length(bare) <= 12) | (bare == "1000000000000")
+    fine = fits_within(F.col("ans"), "1000000000000")
     return masked(ballots, fine | ~F.coalesce(F.max(F.when(valid(), fine)).over(by_id()), F.lit(False)))
 
 
@@ -282,11 +286,14 @@ def ranked_ballots(ballots: DataFrame) -> DataFrame:
     return ballots.filter(valid()).withColumn("rank", F.slice(r, 1, 3))
 
 
-def ranked_vote(ballots: DataFrame, scheme: str, k: int = 3) -> DataFrame:
-    """Borda (k - i points for place i) or reciprocal ranks (1 / (i + 1))."""
-    rows = ballots.select("id", "pos", F.posexplode("rank").alias("i", "ans"))
+def ranked_vote(ballots: DataFrame, scheme: str, confident: bool = False) -> DataFrame:
+    """First places, Borda (K - i points for place i of K) or reciprocal ranks (1 / (i + 1)); each may be weighted by confidence."""
+    rows = shifted(ballots).select("id", "pos", "shift", F.size("rank").alias("k"), F.posexplode("rank").alias("i", "ans"))
+    points = {"top1": (F.col("i") == 0).cast("double"), "borda": F.col("k") - F.col("i"), "mrr": 1 / (F.col("i") + 1)}[scheme]
+    if scheme == "top1":
+        rows = rows.filter("i = 0")
     rows = rows.withColumn("pos", F.col("pos") * 10 + F.col("i"))
-    return elect(rows, F.sum(k - F.col("i")) if scheme == "borda" else F.sum(1 / (F.col("i") + 1)), default=None)
+    return elect(rows, F.sum(points * F.exp(F.col("shift") * 2) if confident else points), default=None)
 
 
 def instant_runoff(ballots: DataFrame) -> DataFrame:
@@ -336,30 +343,13 @@ RULES: dict[str, Rule] = {
     "drop_trunc": lambda b: majority(drop_truncated(b)),
     "drop_trunc_weighted": lambda b: weighted(drop_truncated(b)),
     "plausible": lambda b: majority(plausible_only(b)),
-    "trim25": lambda b: majority(trim_lowconf(b)),
-    "trim50": lambda b: majority(trim_lowconf(b, 0.5)),
-    "trim25_weighted": lambda b: weighted(trim_lowconf(b)),
-    "trunc_trim25": lambda b: majority(trim_lowconf(drop_truncated(b))),
-    "length_trim": lambda b: majority(length_trim(b)),
     "len_trim20": lambda b: majority(len_trim(b)),
     "short_half": lambda b: weighted(short_half(b)),
-    "trim_fallback": trim_fallback,
     "prefer_short": prefer_short,
     "tiebreak_conf": tiebreak_conf,
 }
-
-
-def sweep(ballots: DataFrame, gold: DataFrame, rules: dict[str, Rule] = RULES) -> DataFrame:
-    """rule, n, correct of every rule over the same ballots, which are kept (already dealt by id) as all rules read them."""
-    ballots = ballots.repartition("id").persist()
-    won = reduce(DataFrame.unionByName, [f(ballots).select("id", "answer", F.lit(k).alias("rule")) for k, f in rules.items()])
-    return won.join(gold, "id").groupBy("rule").agg(F.count("*").alias("n"), F.sum((F.col("answer") == F.col("gold")).cast("long")).alias("correct"))
-
-
-def rule_ensemble(ballots: DataFrame, members: tuple[str, ...] = ("majority", "weighted2", "weighted1", "weighted4", "trim25", "drop_trunc", "len_trim20")) -> DataFrame:
-    """The answer that most member rules give; of tied ones the weighted rule's, or else the first member's."""
-    ballots = ballots.repartition("id").persist()
-    won = reduce(DataFrame.unionByName, [RULES[k](ballots).select("id", F.lit(i).alias("pos"), F.col("answer").alias("ans")) for i, k in enumerate(members)])
-    heavy = F.max(F.when(F.col("pos") == members.index("weighted2"), F.col("ans"))).over(by_id())
-    won = won.withColumn("own", (F.col("ans") == heavy).cast("int"))
-    return elect(won, count(), F.max("own"))
+RULES |= {f"trim{p}": lambda b, p=p: majority(trim_lowconf(b, p / 100)) for p in (10, 20, 25, 30, 40, 50)}
+RULES |= {f"trim{p}_weighted": lambda b, p=p: weighted(trim_lowconf(b, p / 100)) for p in (10, 20, 25, 30, 40, 50)}
+RULES |= {f"trunc_trim{p}": lambda b, p=p: majority(trim_lowconf(drop_truncated(b), p / 100)) for p in (10, 25, 40)}
+RULES |= {name: lambda b, x=x: majority(length_trim(b, *x)) for name, x in (("length_trim", (10, 90)), ("length_trim_5_95", (5, 95)), ("length_trim_20_80", (20, 80)))}
+RULES |= {name: lambda b, x=x: trim_fallback(b, x) for name, x in (("trim_fallback2", 2), ("trim_fallback", 3), ("trim_fallback4", 4))}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from votemill.operators import contracts, votes
-from votemill.plans.registry import query
+from votemill.plans.registry import SQL, query
 from votemill.plans.voting import RULE_SQL
 from votemill.sources.adapters import BALLOTS_SQL, GOLD_SQL, ballots, gold
 
@@ -31,7 +31,7 @@ def submission_report(spark, d):
     return contracts.submission_report(submission(spark, d), gold(spark, d))
 
 
-@query("submission_verdict")
+@query("submission_verdict", f"SELECT CASE WHEN bool_or(level = 'FAIL') THEN 'FAIL' ELSE 'PASS' END AS verdict, count(*) FILTER (level = 'FAIL') AS failures FROM ({SQL['submission_report']})")
 def submission_verdict(spark, d):
     return contracts.verdict(contracts.submission_report(submission(spark, d), gold(spark, d)))
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from votemill.operators import metrics, rewards, votes
+from votemill.operators import metrics, rewards, sweeps, votes
 from votemill.plans.registry import query
-from votemill.plans.voting import SHIFT, W
+from votemill.plans.voting import RULE_SQL, SHIFT, W, of_seed
 from votemill.sources.adapters import BALLOTS_SQL, GOLD_SQL, ballots, gold
 
 BG = f"{BALLOTS_SQL}, {GOLD_SQL}, j AS (SELECT b.*, gold, category, coalesce(ans = gold, false) AS hit FROM b JOIN g USING (id))"
@@ -95,18 +95,14 @@ def cum_failures(spark, d):
 RULES = ("majority", "weighted2", "trim25", "drop_trunc")
 
 
-@query("category_rule_stability")
+@query(
+    "category_rule_stability",
+    f"WITH {GOLD_SQL}, w AS (" + " UNION ALL ".join(f"SELECT '{r}' AS rule, {k} AS seed, * FROM ({of_seed(RULE_SQL[r], k)})" for r in RULES for k in range(3)) + "), "
+    "c AS (SELECT category, rule, seed, sum((answer = gold)::INT)::BIGINT AS correct FROM w JOIN g USING (id) GROUP BY ALL), t AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY category, seed ORDER BY correct DESC, rule) = 1) "
+    "SELECT category, min(rule) AS winner, count(DISTINCT rule) = 1 AS stable, sum(correct)::BIGINT AS correct FROM t GROUP BY category",
+)
 def category_rule_stability(spark, d):
-    """Per category the best rule of each seed, and whether all seeds agree on it."""
-    from functools import reduce
-
-    from pyspark.sql import DataFrame, Window
-
-    b, g = both(spark, d)
-    parts = [votes.RULES[r](b.filter(F.col("seed") == s)).select("id", "answer", F.lit(r).alias("rule"), F.lit(s).alias("seed")) for r in RULES for s in range(3)]
-    cells = reduce(DataFrame.unionByName, parts).join(g, "id").groupBy("category", "rule", "seed").agg(F.sum((F.col("answer") == F.col("gold")).cast("long")).alias("correct"))
-    best = F.row_number().over(Window.partitionBy("category", "seed").orderBy(F.desc("correct"), "rule"))
-    return cells.withColumn("r", best).filter("r = 1").groupBy("category").agg(F.min("rule").alias("winner"), (F.countDistinct("rule") == 1).alias("stable"), F.sum("correct").alias("correct"))
+    return sweeps.category_stability(*both(spark, d), RULES)
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from votemill.operators import metrics, systems, votes
 from votemill.plans.evaluation import BG
 from votemill.plans.registry import query
-from votemill.plans.voting import RULE_SQL, SHIFT
+from votemill.plans.voting import RULE_SQL, SHIFT, of_seed
 from votemill.sources.adapters import GOLD_SQL, ballots, gold
 
 A = f"{BG}, a AS (SELECT id, 's' || seed AS system, coalesce(arg_max(ans, ROW(n, -f)) FILTER (ans IS NOT NULL), '0') AS answer, any_value(gold) AS gold, any_value(category) AS category FROM (SELECT id, seed, ans, gold, category, count(*) AS n, min(pos) AS f FROM j GROUP BY ALL) GROUP BY id, seed), k AS (SELECT *, answer = gold AS ok FROM a), s AS (SELECT * FROM k WHERE id IN (SELECT id FROM k GROUP BY id HAVING count(*) = 3))"
@@ -28,7 +28,15 @@ def union_oracle(spark, d):
     return systems.union_oracle(by_seed(spark, d))
 
 
-@query("greedy_cover")
+def cover_sql(steps: int) -> str:
+    parts, taken = [A, "o AS (SELECT DISTINCT id, system FROM s WHERE ok)"], "SELECT NULL AS system WHERE false"
+    for i in range(1, steps + 1):
+        parts.append(f"c{i} AS (SELECT {i}::INT AS step, system, count(*) AS gain FROM o WHERE id NOT IN (SELECT id FROM o WHERE system IN ({taken})) GROUP BY system ORDER BY gain DESC, system DESC LIMIT 1)")
+        taken = " UNION ALL ".join(f"SELECT system FROM c{k}" for k in range(1, i + 1))
+    return f"WITH {', '.join(parts)} " + " UNION ALL ".join(f"SELECT * FROM c{i}" for i in range(1, steps + 1))
+
+
+@query("greedy_cover", cover_sql(6))
 def greedy_cover(spark, d):
     return systems.greedy_cover(by_seed(spark, d))
 
@@ -51,9 +59,11 @@ def amateur_score(spark, d):
     "family_vote",
     f"""WITH {BG}, w AS (SELECT *, seed AS fam, exp((logp - max(logp) OVER (PARTITION BY id, seed)) * 2) AS w FROM j WHERE ans IS NOT NULL), t AS (SELECT id, fam, ans, gold, min(pos) AS f, round(sum(w), 9) AS w FROM w GROUP BY ALL),
   p AS (SELECT id, fam, any_value(gold) AS gold, arg_max(ans, ROW(w, -f)) AS ans, max(w) / sum(w) AS share FROM t GROUP BY id, fam), c AS (SELECT fam, id % 5 AS fold, sum((ans = gold)::INT) AS c, count(*) AS n FROM p GROUP BY ALL),
-  o AS (SELECT fam, fold, greatest(0, ln(p / (1 - p)) + 3) AS odds FROM (SELECT fam, fold, (sum(c) OVER (PARTITION BY fam) - c + 1) / (sum(n) OVER (PARTITION BY fam) - n + 2) AS p FROM c)),
-  q AS (SELECT p.*, odds, row_number() OVER (PARTITION BY id ORDER BY p.fam) AS pos FROM p JOIN o ON p.fam = o.fam AND p.id % 5 = o.fold), e AS (SELECT id, ans, min(pos) AS f, round(sum(share), 9) AS s, round(sum(share * odds), 9) AS r FROM q GROUP BY id, ans)
-  SELECT id, arg_max(ans, ROW(s, -f)) AS equal, arg_max(ans, ROW(r, -f)) AS reliable FROM e GROUP BY id""",
+  r AS (SELECT fam, fold, (sum(c) OVER (PARTITION BY fam) - c) / (sum(n) OVER (PARTITION BY fam) - n) AS rel FROM c),
+  e AS (SELECT x.fam, y.fam AS other, coalesce(corr((x.ans = x.gold)::INT, (y.ans = y.gold)::INT), 0) AS k FROM p x JOIN p y ON x.id = y.id AND x.fam <> y.fam GROUP BY ALL), v AS (SELECT fam, 1 - avg(k) AS diversity FROM e GROUP BY fam),
+  q AS (SELECT p.*, rel, least(greatest(rel, 1e-3), 1 - 1e-3) AS b, diversity, row_number() OVER (PARTITION BY id ORDER BY p.fam) AS pos FROM p JOIN r ON p.fam = r.fam AND p.id % 5 = r.fold LEFT JOIN v ON p.fam = v.fam),
+  s AS (SELECT id, ans, min(pos) AS f, round(count(*)::DOUBLE, 9) AS s0, round(sum(rel), 9) AS s1, round(sum(greatest(ln(b / (1 - b)), 0)), 9) AS s2, round(sum(rel * coalesce(diversity, 1)), 9) AS s3, round(sum(rel * share), 9) AS s4 FROM q GROUP BY id, ans)
+  SELECT id, arg_max(ans, ROW(s0, -f)) AS equal, arg_max(ans, ROW(s1, -f)) AS reliable, arg_max(ans, ROW(s2, -f)) AS odds, arg_max(ans, ROW(s3, -f)) AS diverse, arg_max(ans, ROW(s4, -f)) AS confident FROM s GROUP BY id""",
 )
 def family_vote(spark, d):
     return systems.family_vote(ballots(spark, d), gold(spark, d), "seed")
@@ -83,9 +93,14 @@ def marginal_se(spark, d):
     return votes.weighted(ballots(spark, d)).join(gold(spark, d), "id").agg(F.count("*").alias("n"), F.round(p, 9).alias("p"), F.round(F.sqrt(p * (1 - p) / F.count("*")), 9).alias("se"))
 
 
-@query("paired_seed_gate")
+@query(
+    "paired_seed_gate",
+    f"WITH {GOLD_SQL}, w AS (" + " UNION ALL ".join(f"SELECT '{r}' AS rule, {k} AS seed, * FROM ({of_seed(RULE_SQL[r], k)})" for r in ("majority", "trim25") for k in range(3)) + "), "
+    "c AS (SELECT seed, sum((rule = 'majority' AND answer = gold)::INT)::BIGINT AS base, sum((rule = 'trim25' AND answer = gold)::INT)::BIGINT AS new FROM w JOIN g USING (id) GROUP BY seed) "
+    "SELECT seed::BIGINT AS seed, base, new, new - base AS gain, min(new - base) OVER () > 0 AND avg(new - base) OVER () >= 3 AS accepted FROM c",
+)
 def paired_seed_gate(spark, d):
-    return systems.paired_seed_gate(ballots(spark, d), gold(spark, d), votes.RULES["trim25"], votes.RULES["majority"])
+    return systems.paired_seed_gate(ballots(spark, d), gold(spark, d), "trim25", "majority")
 
 
 @query(

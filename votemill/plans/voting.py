@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from votemill.operators import votes
+from votemill.operators import sweeps, votes
 from votemill.plans.registry import query
 from votemill.sources.adapters import BALLOTS_SQL, GOLD_SQL, ballots, gold
 
@@ -31,13 +31,27 @@ def trim_sql(name: str, source: str, frac: float = 0.25) -> str:
     )
 
 
-LENS = "list_sort(list(len) FILTER (ans IS NOT NULL) OVER (PARTITION BY id))"
-LENGTH_TRIM = (
-    f"l0 AS (SELECT *, coalesce({LENS}, []) AS l_ FROM b), "
-    "l1 AS (SELECT *, len(l_) AS n_, len BETWEEN l_[1 + least(floor(len(l_) * 10 / 100), len(l_) - 1)::INT] AND l_[1 + least(floor(len(l_) * 90 / 100), len(l_) - 1)::INT] AS in_ FROM (SELECT * FROM l0)), "
-    f"l2 AS (SELECT *, sum((coalesce(in_, false) AND ans IS NOT NULL)::INT) OVER ({W}) AS k_ FROM l1), "
-    "l AS (SELECT * REPLACE (CASE WHEN in_ OR n_ < 4 OR k_ < 2 THEN ans END AS ans) FROM l2)"
-).replace("len BETWEEN", '"len" BETWEEN').replace("list(len)", 'list("len")')
+
+
+def length_trim_sql(low: int, high: int) -> str:
+    at = lambda p: f"l_[1 + least(floor(len(l_) * {p} / 100), len(l_) - 1)::INT]"
+    return (
+        f'l0 AS (SELECT *, coalesce(list_sort(list("len") FILTER (ans IS NOT NULL) OVER ({W})), []) AS l_ FROM b), '
+        f'l1 AS (SELECT *, len(l_) AS n_, "len" BETWEEN {at(low)} AND {at(high)} AS in_ FROM (SELECT * FROM l0)), '
+        f"l2 AS (SELECT *, sum((coalesce(in_, false) AND ans IS NOT NULL)::INT) OVER ({W}) AS k_ FROM l1), "
+        "l AS (SELECT * REPLACE (CASE WHEN in_ OR n_ < 4 OR k_ < 2 THEN ans END AS ans) FROM l2)"
+    )
+
+
+def fallback_sql(least: int) -> str:
+    return f"""WITH {BALLOTS_SQL}, {IDS}, {trim_sql('x', 'b')},
+  k AS (SELECT id, ans, count(*) AS n, min(pos) AS f FROM x WHERE ans IS NOT NULL GROUP BY ALL),
+  k1 AS (SELECT id, ans, max(n) OVER ({W}) AS top, row_number() OVER ({W} ORDER BY n DESC, f) AS r FROM k),
+  m AS (SELECT id, ans, count(*) AS n, min(pos) AS f FROM b WHERE ans IS NOT NULL GROUP BY ALL),
+  m1 AS (SELECT id, ans, row_number() OVER ({W} ORDER BY n DESC, f) AS r FROM m)
+  SELECT ids.id, coalesce(CASE WHEN k1.top < {least} THEN m1.ans ELSE k1.ans END, '0') AS answer FROM ids LEFT JOIN k1 ON ids.id = k1.id AND k1.r = 1 LEFT JOIN m1 ON ids.id = m1.id AND m1.r = 1"""
+
+
 LEN_TRIM = f"""l0 AS (SELECT *, list_sort(list("len") FILTER (ans IS NOT NULL) OVER ({W})) AS l_ FROM b),
   l AS (SELECT * REPLACE (CASE WHEN "len" >= CASE WHEN len(l_) >= 5 THEN l_[floor(len(l_) * 0.2)::INT] ELSE 0 END THEN ans END AS ans) FROM l0)"""
 SHORT_HALF = f"""h0 AS (SELECT *, count(ans) OVER ({W}) AS n_, row_number() OVER ({W} ORDER BY ans IS NULL, "len", pos) AS r_ FROM b),
@@ -54,22 +68,22 @@ RULE_SQL = {
     "drop_trunc": election([DROP_TRUNC], "d", "count(*)"),
     "drop_trunc_weighted": election([DROP_TRUNC, SHIFT.format("s", "d")], "s", WEIGHT.format(2)),
     "plausible": election([PLAUSIBLE], "p", "count(*)"),
-    "trim25": election([trim_sql("x", "b")], "x", "count(*)"),
-    "trim50": election([trim_sql("x", "b", 0.5)], "x", "count(*)"),
-    "trim25_weighted": election([trim_sql("x", "b"), SHIFT.format("s", "x")], "s", WEIGHT.format(2)),
-    "trunc_trim25": election([DROP_TRUNC, trim_sql("x", "d")], "x", "count(*)"),
-    "length_trim": election([LENGTH_TRIM], "l", "count(*)"),
     "len_trim20": election([LEN_TRIM], "l", "count(*)"),
     "short_half": election([SHORT_HALF, SHIFT.format("s", "h")], "s", WEIGHT.format(2)),
     "prefer_short": election([], "b", "count(*)", '-avg("len")'),
     "tiebreak_conf": election([], "b", "count(*)", "max(logp)"),
-    "trim_fallback": f"""WITH {BALLOTS_SQL}, {IDS}, {trim_sql('x', 'b')},
-  k AS (SELECT id, ans, count(*) AS n, min(pos) AS f FROM x WHERE ans IS NOT NULL GROUP BY ALL),
-  k1 AS (SELECT id, ans, max(n) OVER ({W}) AS top, row_number() OVER ({W} ORDER BY n DESC, f) AS r FROM k),
-  m AS (SELECT id, ans, count(*) AS n, min(pos) AS f FROM b WHERE ans IS NOT NULL GROUP BY ALL),
-  m1 AS (SELECT id, ans, row_number() OVER ({W} ORDER BY n DESC, f) AS r FROM m)
-  SELECT ids.id, coalesce(CASE WHEN k1.top < 3 THEN m1.ans ELSE k1.ans END, '0') AS answer FROM ids LEFT JOIN k1 ON ids.id = k1.id AND k1.r = 1 LEFT JOIN m1 ON ids.id = m1.id AND m1.r = 1""",
 }
+RULE_SQL |= {f"trim{p}": election([trim_sql("x", "b", p / 100)], "x", "count(*)") for p in (10, 20, 25, 30, 40, 50)}
+RULE_SQL |= {f"trim{p}_weighted": election([trim_sql("x", "b", p / 100), SHIFT.format("s", "x")], "s", WEIGHT.format(2)) for p in (10, 20, 25, 30, 40, 50)}
+RULE_SQL |= {f"trunc_trim{p}": election([DROP_TRUNC, trim_sql("x", "d", p / 100)], "x", "count(*)") for p in (10, 25, 40)}
+RULE_SQL |= {f"length_trim{n}": election([length_trim_sql(a, b)], "l", "count(*)") for n, a, b in (("", 10, 90), ("_5_95", 5, 95), ("_20_80", 20, 80))}
+RULE_SQL |= {f"trim_fallback{n}": fallback_sql(k) for n, k in (("2", 2), ("", 3), ("4", 4))}
+
+
+def of_seed(sql: str, seed: int) -> str:
+    """A query over all ballots, over those of one seed."""
+    return sql.replace(BALLOTS_SQL, f"b0{BALLOTS_SQL[1:]}, b AS (SELECT * FROM b0 WHERE seed = {seed})")
+
 
 for _rule, _f in votes.RULES.items():
     query(f"vote_{_rule}", RULE_SQL[_rule])(lambda s, d, f=_f: f(ballots(s, d)))
@@ -87,21 +101,20 @@ def vote_weighted_acc(spark, d):
     f"WITH {GOLD_SQL}, won AS (" + " UNION ALL ".join(f"SELECT '{k}' AS rule, * FROM ({v})" for k, v in RULE_SQL.items()) + ") SELECT rule, count(*) AS n, sum((answer = gold)::INT)::BIGINT AS correct FROM won JOIN g USING (id) GROUP BY rule",
 )
 def rule_sweep(spark, d):
-    return votes.sweep(ballots(spark, d), gold(spark, d))
+    return sweeps.sweep(ballots(spark, d), gold(spark, d))
 
 
-MEMBERS = ("majority", "weighted2", "weighted1", "weighted4", "trim25", "drop_trunc", "len_trim20")
 
 
 @query(
     "vote_rule_ensemble",
-    "WITH v AS (" + " UNION ALL ".join(f"SELECT {i} AS pos, '{k}' AS rule, id, answer AS ans FROM ({RULE_SQL[k]})" for i, k in enumerate(MEMBERS)) + "), "
+    "WITH v AS (" + " UNION ALL ".join(f"SELECT {i} AS pos, '{k}' AS rule, id, answer AS ans FROM ({RULE_SQL[k]})" for i, k in enumerate(sweeps.MEMBERS)) + "), "
     "o AS (SELECT *, (ans = max(CASE WHEN rule = 'weighted2' THEN ans END) OVER (PARTITION BY id))::INT AS own FROM v), "
     "t AS (SELECT id, ans, count(*) AS n, max(own) AS own, min(pos) AS f FROM o GROUP BY id, ans) "
     "SELECT id, ans AS answer FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, own DESC, f) AS r FROM t) WHERE r = 1",
 )
 def vote_rule_ensemble(spark, d):
-    return votes.rule_ensemble(ballots(spark, d))
+    return sweeps.rule_ensemble(ballots(spark, d))
 
 
 @query(
@@ -265,13 +278,27 @@ def temp_mixture(spark, d):
 
 
 RANKED = "k0 AS (SELECT id, pos, unnest(list_distinct_ordered) AS ans, generate_subscripts(list_distinct_ordered, 1) - 1 AS i FROM (SELECT id, pos, list_filter([ans, other::VARCHAR, ((other + 1) % 5)::VARCHAR], lambda x, j: list_position([ans, other::VARCHAR, ((other + 1) % 5)::VARCHAR], x) = j) AS list_distinct_ordered FROM b WHERE ans IS NOT NULL))"
-for _scheme, _points in (("borda", "3 - i"), ("mrr", "1 / (i + 1)")):
-    query(
-        f"vote_{_scheme}",
-        f"WITH {BALLOTS_SQL}, {RANKED}, t AS (SELECT id, ans, round(sum({_points})::DOUBLE, 9) AS s, min(pos * 10 + i) AS f FROM k0 GROUP BY id, ans) SELECT id, ans AS answer FROM (SELECT *, row_number() OVER ({W} ORDER BY s DESC, f) AS r FROM t) WHERE r = 1",
-    )(lambda s, d, x=_scheme: votes.ranked_vote(votes.ranked_ballots(ballots(s, d)), x))
-
-
-@query("vote_irv")
+POINTS = {"top1": "(i = 0)::INT", "borda": "k - i", "mrr": "1 / (i + 1)"}
+for _scheme, _points in POINTS.items():
+    for _conf in (False, True):
+        query(
+            f"vote_{_scheme}{'_weighted' if _conf else ''}",
+            f"WITH {BALLOTS_SQL}, {RANKED}, {SHIFT.format('s', 'b')}, k1 AS (SELECT k0.*, count(*) OVER (PARTITION BY k0.id, k0.pos) AS k, exp(shift * 2) AS w FROM k0 JOIN s ON k0.id = s.id AND k0.pos = s.pos), "
+            f"t AS (SELECT id, ans, round(sum(({_points}){' * w' if _conf else ''})::DOUBLE, 9) AS s, min(pos * 10 + i) AS f FROM k1 {'WHERE i = 0' if _scheme == 'top1' else ''} GROUP BY id, ans) SELECT id, ans AS answer FROM (SELECT *, row_number() OVER ({W} ORDER BY s DESC, f) AS r FROM t) WHERE r = 1",
+        )(lambda s, d, x=_scheme, c=_conf: votes.ranked_vote(votes.ranked_ballots(ballots(s, d)), x, c))
+
+
+def runoff_sql(rounds: int) -> str:
+    """Rounds unrolled: live answers, first choices among them, the winner or who leaves."""
+    parts = [BALLOTS_SQL, RANKED, "l0 AS (SELECT id, ans, min(pos * 10 + i) AS o FROM k0 GROUP BY id, ans)"]
+    for r in range(rounds):
+        parts.append(f"f{r} AS (SELECT k0.id, pos, arg_min(k0.ans, i) AS ans FROM k0 JOIN l{r} USING (id, ans) GROUP BY k0.id, pos)")
+        parts.append(f"n{r} AS (SELECT l.id, l.ans, l.o, count(f.ans) AS n FROM l{r} l LEFT JOIN f{r} f ON l.id = f.id AND l.ans = f.ans GROUP BY ALL)")
+        parts.append(f"w{r} AS (SELECT *, count(*) OVER ({W}) AS live, sum(n) OVER ({W}) AS total, row_number() OVER ({W} ORDER BY n DESC, o) AS best, row_number() OVER ({W} ORDER BY n, ans::INT DESC) AS worst, max(n) OVER ({W}) AS most FROM n{r})")
+        parts.append(f"l{r + 1} AS (SELECT id, ans, o FROM w{r} WHERE live > 1 AND 2 * most <= total AND worst > 1)")
+    return f"WITH {', '.join(parts)} " + " UNION ALL ".join(f"SELECT id, ans AS answer FROM w{r} WHERE best = 1 AND (live = 1 OR 2 * most > total)" for r in range(rounds))
+
+
+@query("vote_irv", runoff_sql(5))
 def vote_irv(spark, d):
     return votes.instant_runoff(votes.ranked_ballots(ballots(spark, d)))
