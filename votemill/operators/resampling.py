@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from votemill.operators.votes import by_id, elect, valid
+from votemill.operators.votes import by_id, elect, rounded, valid
 
 
 def uniform(*keys: Column) -> Column:
@@ -21,13 +21,18 @@ def uniform(*keys: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[k.cast("string") for k in keys])), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+#: The coefficients of the approximation of the normal quantile.
+NORMAL = (
+    (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00),
+    (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0),
+    (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00),
+    (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0),
+)
+
+
 def normal_quantile(p: Column) -> Column:
     """Inverse of the normal distribution function by rational approximation (relative error below 1.2e-9)."""
-    # The coefficients of the approximation.
-    a = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
-    b = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
-    c = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
-    d = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
+    a, b, c, d = NORMAL
     poly = lambda xs, x: _horner(xs, x)
     q = p - 0.5
     r = q * q
@@ -46,27 +51,41 @@ def replicates(rows: DataFrame, n: int) -> DataFrame:
     return rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
-def bootstrap_ci(units: DataFrame, value: str, n: int = 200, seed: str = "b") -> DataFrame:
+def hash_parts(rows: DataFrame, n: int, seed: str, digits: int) -> DataFrame:
+    """rows by n replicates, each with `digits` hexadecimal digits h of its own; one md5 serves 32 / digits replicates.
+
+    Digits compare as texts in the order of their values, so draws need no conversion.
+    """
+    each = 32 // digits
+    blocks = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(-(-n // each) - 1))))
+    blocks = blocks.withColumn("md5", F.md5(F.concat_ws("|", F.lit(seed), F.col("block").cast("string"), F.col("id").cast("string"))))
+    parts = blocks.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(each - 1)))).withColumn("rep", F.col("block") * each + F.col("j")).filter(F.col("rep") < n)
+    return parts.withColumn("h", F.substring("md5", F.col("j") * digits + 1, F.lit(digits))).drop("block", "md5", "j")
+
+
+#: Poisson(1) distribution in 65536ths, for weights 1, 2, ... 6, as hexadecimal digits.
+POISSON = tuple(f"{round(65536 * sum(math.exp(-1) / math.factorial(i) for i in range(k))):04x}" for k in range(1, 7))
+
+
+def bootstrap_ci(units: DataFrame, value: str, n: int = 2000, seed: str = "b") -> DataFrame:
     """Mean and its 95 % interval from index percentiles of Poisson-weighted replicates.
 
     Weights are Poisson(1) draws (cut at 6), so each unit is drawn without a join to a list of indices and the
     replicates' sums are one aggregate with map-side combine.
     """
-    u = uniform(F.lit(seed), F.col("rep"), F.col("id"))
-    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(6)])
-    weight = sum((F.when(u >= float(s), 1).otherwise(0) for s in steps), F.lit(0))
-    reps = replicates(units.select("id", F.col(value).alias("v")), n).withColumn("w", weight)
+    weight = sum((F.when(F.col("h") >= s, 1).otherwise(0) for s in POISSON), F.lit(0))
+    reps = hash_parts(units.select("id", F.col(value).alias("v")), n, seed, 4).withColumn("w", weight)
     means = reps.groupBy("rep").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("m"))
     i = F.row_number().over(Window.orderBy("m", "rep")) - 1
     ends = means.withColumn("i", i).agg(F.max(F.when(F.col("i") == int(n * 0.025), F.col("m"))).alias("low"), F.max(F.when(F.col("i") == int(n * 0.975) - 1, F.col("m"))).alias("high"))
     return units.agg(F.count("*").alias("n"), F.avg(value).alias("mean")).join(F.broadcast(ends))  # one row each
 
 
-def permutation_max(units: DataFrame, n: int = 100, seed: str = "p") -> DataFrame:
+def permutation_max(units: DataFrame, n: int = 2000, seed: str = "p") -> DataFrame:
     """The largest cell mean of `v` over cells, and how often sign-flipped replicates reach it."""
     cells = units.groupBy("cell").agg(F.avg("v").alias("m")).agg(F.max("m").alias("observed"))
-    sign = F.when(uniform(F.lit(seed), F.col("rep"), F.col("id")) < 0.5, 1).otherwise(-1)
-    trial = replicates(units, n).groupBy("rep", "cell").agg(F.avg(F.col("v") * sign).alias("m")).groupBy("rep").agg(F.max("m").alias("top"))
+    sign = F.when(F.col("h") < "8", 1).otherwise(-1)
+    trial = hash_parts(units, n, seed, 1).groupBy("rep", "cell").agg(F.avg(F.col("v") * sign).alias("m")).groupBy("rep").agg(F.max("m").alias("top"))
     return trial.join(F.broadcast(cells)).agg(F.max("observed").alias("observed"), F.count("*").alias("trials"), ((F.count(F.when(F.col("top") >= F.col("observed"), 1)) + 1) / (F.count("*") + 1)).alias("p"))  # cells: one row
 
 
@@ -84,8 +103,8 @@ def power_grid(spark, ns=(250, 500, 1000, 2000), deltas=(0.005, 0.01, 0.02), rat
     return rows.groupBy("n", "delta", "rate").agg(F.avg(hit).alias("power"))
 
 
-def bootstrap_vote(ballots: DataFrame, n: int = 50, scale: float = 2.0, seed: str = "v") -> DataFrame:
-    """The answer that wins most of n resampled weighted votes of its problem.
+def bootstrap_vote(ballots: DataFrame, n: int = 200, scale: float = 2.0, seed: str = "v") -> DataFrame:
+    """The answer that wins most of n resampled weighted votes of its problem, all after one exchange by id.
 
     Each replicate draws as many ballots as there are, with replacement: ballot number floor(u k) of the valid ones.
     """
@@ -98,12 +117,26 @@ def bootstrap_vote(ballots: DataFrame, n: int = 50, scale: float = 2.0, seed: st
     return elect(won.select("id", F.col("rep").alias("pos"), F.col("answer").alias("ans")), F.count("*"), default=None)
 
 
-def subset_accuracy(ballots: DataFrame, gold: DataFrame, ks=(2, 3, 4), draws: int = 20, seed: str = "s") -> DataFrame:
-    """Accuracy of the majority of k ballots drawn without replacement, over draws."""
-    rows = replicates(ballots, draws).withColumn("r", F.row_number().over(Window.partitionBy("rep", "id").orderBy(uniform(F.lit(seed), F.col("rep"), F.col("id"), F.col("pos")))))
-    rows = rows.withColumn("k", F.explode(F.array(*map(F.lit, ks)))).filter(F.col("r") <= F.col("k"))
-    won = elect(rows, F.count("*"), keys=("k", "rep", "id")).join(gold, "id")
-    return won.groupBy("k").agg(F.count("*").alias("trials"), F.avg((F.col("answer") == F.col("gold")).cast("int")).alias("accuracy"))
+def subset_accuracy(ballots: DataFrame, gold: DataFrame, prefix: Column, ks=(2, 3, 4), draws: int = 200, seed: str = "s") -> DataFrame:
+    """Accuracy of three pickers over draws of k ballots without replacement: majority, first finished, best prefix.
+
+    The first finished is the shortest complete ballot (the shortest one if none is complete), null answers included; the
+    best prefix is that of the valid ballot with the highest `prefix`. Draws of a problem stay on its partition.
+    """
+    order = uniform(F.lit(seed), F.col("rep"), F.col("id"), F.col("pos"))
+    rows = ballots.select("id", "pos", "ans", "trunc", "len", rounded(prefix).alias("p"))
+    rows = replicates(rows, draws).withColumn("r", F.row_number().over(Window.partitionBy("id", "rep").orderBy(order, "pos")))
+    rows = rows.filter(F.col("r") <= max(ks)).withColumn("k", F.explode(F.filter(F.array(*map(F.lit, ks)), lambda k: k >= F.col("r"))))
+    tally = rows.groupBy("id", "rep", "k", "ans").agg(
+        F.count("*").alias("n"), F.min("pos").alias("first"), F.min(F.struct("trunc", "len", "pos")).alias("fast"), F.max(F.struct("p", -F.col("pos"))).alias("sure")
+    )
+    some = F.col("ans").isNotNull()
+    won = tally.groupBy("id", "rep", "k").agg(
+        F.coalesce(F.max_by("ans", F.when(some, F.struct("n", -F.col("first")))), F.lit("0")).alias("majority"),
+        F.min_by("ans", "fast").alias("first_finish"), F.max_by("ans", F.when(some, F.col("sure"))).alias("best_prefix"),
+    )
+    right = lambda c: F.avg(F.coalesce(F.col(c) == F.col("gold"), F.lit(False)).cast("int")).alias(c)
+    return won.join(gold, "id").groupBy("k").agg(F.count("*").alias("trials"), *map(right, ("majority", "first_finish", "best_prefix")))
 
 
 def reranker(ballots: DataFrame, gold: DataFrame, strengths=(0.0, 0.5, 1.0, 2.0), seed: str = "r") -> DataFrame:
@@ -111,7 +144,7 @@ def reranker(ballots: DataFrame, gold: DataFrame, strengths=(0.0, 0.5, 1.0, 2.0)
     rows = ballots.filter(valid()).join(gold, "id").withColumn("z", F.explode(F.array(*map(F.lit, strengths))))
     noise = normal_quantile(F.greatest(F.lit(1e-9), uniform(F.lit(seed), F.col("id"), F.col("pos"))))
     ok = (F.col("ans") == F.col("gold")).cast("double")
-    best = rows.withColumns({"s": F.col("z") * ok + noise, "ok": ok}).groupBy("z", "id").agg(F.max_by("ok", F.struct("s", -F.col("pos"))).alias("ok"))
+    best = rows.withColumns({"s": rounded(F.col("z") * ok + noise), "ok": ok}).groupBy("z", "id").agg(F.max_by("ok", F.struct("s", -F.col("pos"))).alias("ok"))
     return best.groupBy("z").agg(F.count("*").alias("n"), F.avg("ok").alias("accuracy"))
 
 

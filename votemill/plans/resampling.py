@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from votemill.operators import resampling, retrieval, votes
-from votemill.plans.evaluation import contested, meta_features
+from votemill.operators import resampling, retrieval, rewards, sweeps, votes
+from votemill.plans.evaluation import MEAN, TOKENS, contested, meta_features
 from votemill.plans.registry import query
 from votemill.plans.voting import RULE_SQL
-from votemill.sources.adapters import GOLD_SQL, ballots, gold, table
+from votemill.sources.adapters import BALLOTS_SQL, GOLD_SQL, ballots, gold, table
 
 
 def correct(spark, d):
@@ -20,48 +17,104 @@ def correct(spark, d):
 
 
 UNIFORM = "('0x' || substr(md5({0}), 1, 13))::BIGINT / 4503599627370496.0"
-STEPS = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)
 HITS = f"won AS ({RULE_SQL['weighted2']}), {GOLD_SQL}, u AS (SELECT id, category, (answer = gold)::INT::DOUBLE AS v FROM won JOIN g USING (id))"
+TRIALS = 2000
+
+
+def parts_sql(source: str, n: int, seed: str, digits: int) -> str:
+    """Rows of source by n replicates with hexadecimal digits h, several replicates an md5."""
+    each = 32 // digits
+    blocks = f"SELECT *, md5('{seed}|' || block || '|' || id) AS md5 FROM {source}, range({-(-n // each)}) t(block)"
+    return f"SELECT * FROM (SELECT * EXCLUDE (md5), block * {each} + j AS rep, substr(md5, (j * {digits} + 1)::INT, {digits}) AS h FROM ({blocks}), range({each}) s(j)) WHERE rep < {n}"
 
 
 @query(
     "bootstrap_ci",
-    f"""WITH {HITS}, r AS (SELECT rep, v, {UNIFORM.format("'b|' || rep || '|' || id")} AS x FROM u, range(100) t(rep)), w AS (SELECT rep, v, {' + '.join(f'(x >= {s})::INT' for s in STEPS)} AS w FROM r),
+    f"""WITH {HITS}, r AS ({parts_sql('u', TRIALS, 'b', 4)}), w AS (SELECT rep, v, {' + '.join(f"(h >= '{s}')::INT" for s in resampling.POISSON)} AS w FROM r),
   m AS (SELECT rep, sum(v * w) / sum(w) AS m FROM w GROUP BY rep), o AS (SELECT m, row_number() OVER (ORDER BY m, rep) - 1 AS i FROM m)
-  SELECT count(*) AS n, round(avg(v), 6) AS mean, round((SELECT m FROM o WHERE i = 2), 6) AS low, round((SELECT m FROM o WHERE i = 96), 6) AS high FROM u""",
+  SELECT count(*) AS n, round(avg(v), 6) AS mean, round((SELECT m FROM o WHERE i = {int(TRIALS * 0.025)}), 6) AS low, round((SELECT m FROM o WHERE i = {int(TRIALS * 0.975) - 1}), 6) AS high FROM u""",
 )
 def bootstrap_ci(spark, d):
-    return resampling.bootstrap_ci(correct(spark, d), "v", 100).select("n", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
+    return resampling.bootstrap_ci(correct(spark, d), "v", TRIALS).select("n", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
 
 
 @query(
     "permutation_max",
-    f"""WITH {HITS}, c AS (SELECT id, category AS cell, v - 0.2 AS v FROM u), o AS (SELECT max(m) AS m FROM (SELECT avg(v) AS m FROM c GROUP BY cell)), t AS (SELECT rep, cell, avg(v * CASE WHEN {UNIFORM.format("'p|' || rep || '|' || id")} < 0.5 THEN 1 ELSE -1 END) AS m FROM c, range(50) t(rep) GROUP BY rep, cell),
+    f"""WITH {HITS}, c AS (SELECT id, category AS cell, v - 0.2 AS v FROM u), o AS (SELECT max(m) AS m FROM (SELECT avg(v) AS m FROM c GROUP BY cell)), t AS (SELECT rep, cell, avg(v * CASE WHEN h < '8' THEN 1 ELSE -1 END) AS m FROM ({parts_sql('c', TRIALS, 'p', 1)}) GROUP BY rep, cell),
   x AS (SELECT rep, max(m) AS top FROM t GROUP BY rep) SELECT round(any_value(o.m), 6) AS observed, count(*) AS trials, round((count(*) FILTER (top >= o.m) + 1) / (count(*) + 1), 6) AS p FROM x, o""",
 )
 def permutation_max(spark, d):
     units = correct(spark, d).select("id", F.col("category").alias("cell"), (F.col("v") - 0.2).alias("v"))
-    return resampling.permutation_max(units, 50).select(F.round("observed", 6).alias("observed"), "trials", F.round("p", 6).alias("p"))
+    return resampling.permutation_max(units, TRIALS).select(F.round("observed", 6).alias("observed"), "trials", F.round("p", 6).alias("p"))
+
+
+def normal_sql(p: str) -> str:
+    """The rational approximation of the normal quantile, as in the operator."""
+
+    def horner(coefficients, x: str) -> str:
+        out = repr(coefficients[0])
+        for k in coefficients[1:]:
+            out = f"({out} * {x} + {k!r})"
+        return out.replace("e-", "e-")
+
+    a, b, c, d = resampling.NORMAL
+    tail = lambda y: f"({horner(c, f'sqrt(-2 * ln({y}))')} / {horner(d, f'sqrt(-2 * ln({y}))')})"
+    q = f"({p} - 0.5)"
+    return f"CASE WHEN {p} < 0.02425 THEN {tail(p)} WHEN {p} > 1 - 0.02425 THEN -{tail(f'(1 - {p})')} ELSE {q} * {horner(a, f'({q} * {q})')} / {horner(b, f'({q} * {q})')} END"
+
+
+def power_sql(trials: int = 100) -> str:
+    u = lambda k: "greatest(1e-9, " + UNIFORM.format(f"concat_ws('|', 'w{k}', rep, n, delta, rate)") + ")"
+    part = lambda p, z: f"greatest(0.0, round_even(n * {p} + {z} * sqrt(n * {p} * (1 - {p})), 0))"
+    return f"""WITH g AS (SELECT n::INT AS n, delta, rate FROM (VALUES (250), (500), (1000), (2000)) a(n), (VALUES (0.005::DOUBLE), (0.01::DOUBLE), (0.02::DOUBLE)) b(delta), (VALUES (0.05::DOUBLE), (0.1::DOUBLE)) c(rate)),
+  u AS (SELECT *, {u('b')} AS u1, {u('c')} AS u2 FROM g, range({trials}) t(rep)), z AS (SELECT *, {normal_sql('u1')} AS z1, {normal_sql('u2')} AS z2, (rate + delta) / 2 AS p1, (rate - delta) / 2 AS p2 FROM u),
+  c AS (SELECT *, {part('p1', 'z1')} AS b, {part('p2', 'z2')} AS c FROM z)
+  SELECT n, delta, rate, avg(CASE WHEN b + c > 0 THEN ((abs(b - c) - 1) / sqrt(b + c) > 1.96)::INT ELSE 0 END) AS power FROM c GROUP BY ALL"""
 
 
-@query("power_grid")
+@query("power_grid", power_sql())
 def power_grid(spark, d):
     return resampling.power_grid(spark)
 
 
-@query("vote_bootstrap")
+@query("normal_quantiles", f"SELECT p, round({normal_sql('p')}, 9) + 0.0 AS z FROM (SELECT i / 100.0::DOUBLE AS p FROM range(1, 100) t(i))")
+def normal_quantiles(spark, d):
+    return spark.range(1, 100).select((F.col("id") / 100).alias("p")).withColumn("z", F.round(resampling.normal_quantile(F.col("p")), 9) + 0.0)
+
+
+@query(
+    "vote_bootstrap",
+    f"""WITH {BALLOTS_SQL}, v AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY id) AS k FROM b WHERE ans IS NOT NULL),
+  d AS (SELECT id, rep, i AS pos, floor({UNIFORM.format("'v|' || id || '|' || rep || '|' || i")} * k) AS at_ FROM v, range(200) t(rep)),
+  s AS (SELECT d.id, rep, d.pos, ans, logp FROM d JOIN v ON d.id = v.id AND d.at_ = v.i), t AS (SELECT id, rep, ans, min(pos) AS f, round(sum(exp(logp * 2)), 9) AS w FROM s GROUP BY ALL),
+  w AS (SELECT id, rep, arg_max(ans, ROW(w, -f)) AS ans FROM t GROUP BY id, rep), n AS (SELECT id, ans, count(*) AS n, min(rep) AS f FROM w GROUP BY id, ans) SELECT id, arg_max(ans, ROW(n, -f)) AS answer FROM n GROUP BY id""",
+)
 def vote_bootstrap(spark, d):
-    return resampling.bootstrap_vote(ballots(spark, d), 20)
+    return resampling.bootstrap_vote(ballots(spark, d), 200)
 
 
-@query("subset_mc")
+@query(
+    "subset_mc",
+    f"""WITH {BALLOTS_SQL}, {GOLD_SQL}, {TOKENS}, d AS (SELECT id, pos, ans, trunc, "len", rep, round({MEAN.format('tlp[1:3]')}, 9) AS p, row_number() OVER (PARTITION BY id, rep ORDER BY {UNIFORM.format("'s|' || rep || '|' || id || '|' || pos")}, pos) AS r FROM k, range(200) t(rep)),
+  e AS (SELECT d.*, x.k FROM d, (VALUES (2), (3), (4)) x(k) WHERE r <= x.k), c AS (SELECT *, count(ans) OVER w AS n, min(pos) OVER w AS f FROM e WINDOW w AS (PARTITION BY id, rep, k, ans)),
+  w AS (SELECT id, rep, k, coalesce(arg_max(ans, ROW(n, -f)) FILTER (ans IS NOT NULL), '0') AS majority, (list(ans ORDER BY trunc, "len", pos))[1] AS first_finish, arg_max(ans, ROW(p, -pos)) FILTER (ans IS NOT NULL) AS best_prefix FROM c GROUP BY ALL)
+  SELECT k::INT AS k, count(*) AS trials, {', '.join(f'round(avg(coalesce({c} = gold, false)::INT), 9) AS {c}' for c in ('majority', 'first_finish', 'best_prefix'))} FROM w JOIN g USING (id) GROUP BY k""",
+)
 def subset_mc(spark, d):
-    return resampling.subset_accuracy(ballots(spark, d), gold(spark, d), draws=5)
+    rows = rewards.with_tokens(ballots(spark, d))
+    out = resampling.subset_accuracy(rows, gold(spark, d), rewards.mean_of(F.slice("tlp", 1, 3)))
+    return out.select("k", "trials", *[F.round(c, 9).alias(c) for c in ("majority", "first_finish", "best_prefix")])
 
 
-@query("reranker_sim")
+@query(
+    "reranker_sim",
+    f"""WITH {BALLOTS_SQL}, {GOLD_SQL}, u AS (SELECT b.id, pos, (ans = gold)::INT::DOUBLE AS ok, greatest(1e-9, {UNIFORM.format("'r|' || b.id || '|' || pos")}) AS u FROM b JOIN g ON b.id = g.id WHERE ans IS NOT NULL),
+  s AS (SELECT *, round(z * ok + {normal_sql('u')}, 9) AS s FROM u, (VALUES (0.0::DOUBLE), (0.5::DOUBLE), (1.0::DOUBLE), (2.0::DOUBLE)) t(z)), t AS (SELECT z, id, arg_max(ok, ROW(s, -pos)) AS ok FROM s GROUP BY z, id)
+  SELECT z, count(*) AS n, round(avg(ok), 9) AS accuracy FROM t GROUP BY z""",
+)
 def reranker_sim(spark, d):
-    return resampling.reranker(ballots(spark, d), gold(spark, d))
+    out = resampling.reranker(ballots(spark, d), gold(spark, d))
+    return out.select("z", "n", F.round("accuracy", 9).alias("accuracy"))
 
 
 NESTED = ("majority", "weighted2", "trim25", "drop_trunc", "prefer_short")
@@ -73,8 +126,7 @@ NESTED = ("majority", "weighted2", "trim25", "drop_trunc", "prefer_short")
     "r AS (SELECT *, sum(c) OVER (PARTITION BY rule) - c AS rest FROM c) SELECT fold::INT AS fold, rule, c AS correct, n FROM r QUALIFY row_number() OVER (PARTITION BY fold ORDER BY rest DESC, rule) = 1",
 )
 def nested_cv(spark, d):
-    b = ballots(spark, d)
-    won = reduce(DataFrame.unionByName, [votes.RULES[r](b).select("id", "answer", F.lit(r).alias("rule")) for r in NESTED]).join(gold(spark, d), "id")
+    won = sweeps.answers(ballots(spark, d), NESTED).join(gold(spark, d), "id")
     return resampling.nested_selection(won.select("id", "rule", (F.col("answer") == F.col("gold")).cast("long").alias("ok"), (F.col("id") % 5).cast("int").alias("fold")))
 
 

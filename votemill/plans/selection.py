@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from votemill.functions import text as T
-from votemill.operators import resampling, rewards, selection
+from votemill.operators import rewards, selection
 from votemill.plans import corpus as corpus_plans
 from votemill.plans.corpus import CASCADE
 from votemill.plans.evaluation import BG, TALLY, TOKENS
@@ -96,11 +96,6 @@ def contrastive_score(spark, d):
     return selection.contrastive(rows).select("id", "pos", (F.round("score", 6) + 0.0).alias("score"))
 
 
-@query("normal_quantiles")
-def normal_quantiles(spark, d):
-    return spark.range(1, 100).select((F.col("id") / 100).alias("p")).withColumn("z", resampling.normal_quantile(F.col("p")))
-
-
 @query("round_sums", f'WITH {BALLOTS_SQL} SELECT id, pos AS round, round(sum(logp) OVER w, 6) + 0.0 AS logp_sum, (sum("len") OVER w)::BIGINT AS len_sum FROM b WINDOW w AS (PARTITION BY id ORDER BY pos ROWS UNBOUNDED PRECEDING)')
 def round_sums(spark, d):
     out = running(ballots(spark, d).withColumnRenamed("pos", "round"))
