@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -296,26 +297,33 @@ def ranked_vote(ballots: DataFrame, scheme: str, confident: bool = False) -> Dat
     return elect(rows, F.sum(points * F.exp(F.col("shift") * 2) if confident else points), default=None)
 
 
+def runoff(ranks: list[list[str]]) -> str | None:
+    """The winner of one problem's rankings, in the order of its ballots."""
+    live = list(dict.fromkeys(a for r in ranks for a in r))
+    while live:
+        first = {a: 0 for a in live}
+        for r in ranks:
+            top = next((a for a in r if a in first), None)
+            if top is not None:
+                first[top] += 1
+        best = max(live, key=first.get)
+        if len(live) == 1 or 2 * first[best] > sum(first.values()):
+            return best
+        live.remove(max(live, key=lambda a: (-first[a], int(a))))
+    return None
+
+
 def instant_runoff(ballots: DataFrame) -> DataFrame:
-    """The answer with the fewest first choices leaves (of equal ones the numerically largest) until one has a majority."""
-    import pandas as pd
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        ranks = [list(r) for r in group.sort_values("pos")["rank"]]
-        live = list(dict.fromkeys(a for r in ranks for a in r))
-        while True:
-            first = {a: 0 for a in live}
-            for r in ranks:
-                top = next((a for a in r if a in first), None)
-                if top is not None:
-                    first[top] += 1
-            total = sum(first.values())
-            best = max(live, key=first.get)
-            if len(live) == 1 or 2 * first[best] > total:
-                return pd.DataFrame({"id": [group["id"].iloc[0]], "answer": [best]})
-            live.remove(max(live, key=lambda a: (-first[a], int(a))))
-
-    return ballots.select("id", "pos", "rank").groupBy("id").applyInPandas(run, "id long, answer string")
+    """The answer with the fewest first choices leaves (of equal ones the numerically largest) until one has a majority.
+
+    Rounds depend on each other, so they run in Python, on the rankings of one problem at a time and many a batch.
+    """
+    @F.pandas_udf("string")
+    def winner(votes: pd.Series) -> pd.Series:
+        return pd.Series([runoff([list(x["rank"]) for x in v]) for v in votes])
+
+    packed = ballots.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "rank"))).alias("votes"))  # a problem's samples
+    return packed.select("id", winner("votes").alias("answer"))
 
 
 def cohesion_vote(vectors: DataFrame, gamma: float) -> DataFrame:

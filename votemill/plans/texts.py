@@ -87,16 +87,22 @@ def teacher_extract(spark, d):
     return solutions(spark, d).select("id", T.extract_teacher(F.col("text")).alias("answer"))
 
 
-@query("boxed_balanced")
+PURE = "box"
+for _junk in ("\\,", "\\!", "\\;", "~", "{,}", ",", " ", "$"):
+    PURE = f"replace({PURE}, '{_junk}', '')"
+
+
+@query(
+    "boxed_balanced",
+    f"""WITH {SOLUTIONS}, x AS (SELECT id, CASE WHEN contains(text, 'boxed{{') THEN string_split(text, 'boxed{{')[-1] END AS tail FROM t),
+  c AS (SELECT id, i, 1 + sum(CASE substr(tail, i, 1) WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) AS depth FROM (SELECT id, tail, unnest(range(1, length(tail) + 1)) AS i FROM x)),
+  e AS (SELECT id, min(i) AS stop FROM c WHERE depth = 0 GROUP BY id), y AS (SELECT x.id, substr(tail, 1, stop - 1) AS box FROM x LEFT JOIN e USING (id)) SELECT id, box, coalesce(regexp_full_match({PURE}, '-?[0-9]+'), false) AS pure FROM y""",
+)
 def boxed_balanced(spark, d):
     box = T.boxed_balanced(F.col("text"))
     return solutions(spark, d).select("id", box.alias("box"), T.is_pure_integer(box).alias("pure"))
 
 
-PURE = "box"
-for _junk in ("\\,", "\\!", "\\;", "~", "{,}", ",", " ", "$"):
-    PURE = f"replace({PURE}, '{_junk}', '')"
-
 
 @query("pure_int_box", rf"WITH {SOLUTIONS}, x AS (SELECT id, list_reverse(regexp_extract_all(text, '{T.BOXED}', 1))[1] AS box FROM t) SELECT id, coalesce(regexp_full_match({PURE}, '-?[0-9]+'), false) AS pure FROM x")
 def pure_int_box(spark, d):
