@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from votemill.plans.registry import query
 from votemill.sources.adapters import table
-from votemill.streaming.completion import completed, completed_batch
-from votemill.streaming.ingest import ingest, sink_rows, todo
+from votemill.streaming.completion import OUT, completed, completed_batch, leftovers
+from votemill.streaming.ingest import append_new, ingest, sink_rows, todo
 
 
 def work(spark) -> str:
-    """A folder for a query's sink and checkpoint, in the shared folder where there is one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="votemill-")
+    """A folder for a query's sink and checkpoint, in the shared folder: spark.checkpoint.dir, else the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/streams-{uuid.uuid4().hex}"
 
 
@@ -33,23 +32,32 @@ def stream_ingest(spark, d):
     return sink_rows(spark, f"{home}/sink", batch.select("event_id", "user_id", "event_type", "value").schema)
 
 
-@query("stream_resume", "SELECT event_id FROM events WHERE event_id % 7 <> 0")
+@query("stream_resume", "SELECT event_id, event_id % 7 <> 0 AS was_new FROM events")
 def stream_resume(spark, d):
-    batch = table(spark, d, "events").select("event_id")
-    return todo(batch, batch.filter("event_id % 7 = 0"), "event_id")
+    """A stream over a sink that has some of its rows but no ledger: the rest is appended, nothing twice."""
+    events, batch = stream(spark, d)
+    home = work(spark)
+    append_new(f"{home}/sink", "event_id")(batch.filter("event_id % 7 = 0").select("event_id", F.lit(False).alias("was_new")), 0)
+    ingest(events.select("event_id", F.lit(True).alias("was_new")), f"{home}/sink", f"{home}/checkpoint", "event_id")
+    lost = todo(batch.select("event_id"), sink_rows(spark, f"{home}/sink", "event_id long, was_new boolean"), "event_id")
+    return sink_rows(spark, f"{home}/sink", "event_id long, was_new boolean").unionByName(lost.withColumn("was_new", F.lit(None).cast("boolean")))
+
 
+GROUPS = "SELECT user_id AS key, count(*)::INT AS n, round(sum(value), 6) AS total, count(*) < {0} AS partial FROM events GROUP BY user_id"
 
-@query("group_complete", "SELECT user_id AS key, count(*)::INT AS n, round(sum(value), 6) AS total, count(*) < 5 AS partial FROM events GROUP BY user_id")
+
+@query("group_complete", GROUPS.format(60))
 def group_complete(spark, d):
-    return completed_batch(table(spark, d, "events"), "user_id", 5).withColumn("total", F.round("total", 6))
+    return completed_batch(table(spark, d, "events"), "user_id", 60).withColumn("total", F.round("total", 6))
 
 
-@query("stream_group_complete")
+@query("stream_group_complete", GROUPS.format(60))
 def stream_group_complete(spark, d):
-    """Complete groups of a drained stream; those still open at its end are in the state, not in the result."""
-    events, _ = stream(spark, d)
+    """Groups of a drained stream: the complete ones as the stream emits them, and those still open at its end as partial."""
+    events, batch = stream(spark, d)
     home = work(spark)
-    out = completed(events, "user_id", 5)
+    out = completed(events, "user_id", 60)
     q = out.writeStream.format("parquet").option("path", f"{home}/sink").option("checkpointLocation", f"{home}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema("key long, n int, total double, partial boolean").parquet(f"{home}/sink")
+    emitted = spark.read.schema(OUT).parquet(f"{home}/sink")
+    return emitted.unionByName(leftovers(batch, emitted, "user_id")).withColumn("total", F.round("total", 6))

@@ -1,4 +1,4 @@
-"""Groups that are emitted once they are complete, and flushed as partial after a time without new rows."""
+"""Groups that are emitted once they are complete, and flushed as partial after a time without new rows or at the end."""
 
 from __future__ import annotations
 
@@ -6,30 +6,29 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "key long, n int, total double, partial boolean"
-STATE = "n int, total double"
+STATE = "n int, total double, done boolean"
 
 
 def completer(n: int, idle_ms: int):
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count, total = state.get if state.exists else (0, 0.0)
+        count, total, done = state.get if state.exists else (0, 0.0, False)
         if state.hasTimedOut:
             state.remove()
-            yield pd.DataFrame({"key": [key[0]], "n": [count], "total": [total], "partial": [True]})
+            if not done:
+                yield pd.DataFrame({"key": [key[0]], "n": [count], "total": [total], "partial": [True]})
             return
         for rows in batches:
             count += len(rows)
             total += float(rows["value"].sum())
-        if count >= n:
-            if state.exists:
-                state.remove()
+        complete = not done and count >= n
+        state.update((count, total, done or complete))
+        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + idle_ms)
+        if complete:
             yield pd.DataFrame({"key": [key[0]], "n": [count], "total": [total], "partial": [False]})
-        else:
-            state.update((count, total))
-            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + idle_ms)
-            yield pd.DataFrame({"key": [], "n": [], "total": [], "partial": []})
 
     return step
 
@@ -37,15 +36,20 @@ def completer(n: int, idle_ms: int):
 def completed(events: DataFrame, key: str, n: int, time: str = "ts", idle: str = "30 minutes", idle_ms: int = 1_800_000) -> DataFrame:
     """key, n, total, partial: a group once it has n rows or more, or with fewer when the watermark left it behind.
 
-    The state of a group is a count and a sum; the watermark bounds how long an incomplete one is held.
+    The state of a group is a count, a sum and whether it was emitted, so that later rows do not emit it again; the
+    watermark bounds how long it is held.
     """
     rows = events.selectExpr(f"{key} AS key", "value", f"CAST({time} AS timestamp) AS ts_").withWatermark("ts_", idle)
     return rows.groupBy("key").applyInPandasWithState(completer(n, idle_ms), OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def leftovers(events: DataFrame, emitted: DataFrame, key: str) -> DataFrame:
+    """Partial groups at the end of a stream: those of its rows whose key was never emitted."""
+    rows = events.select(F.col(key).alias("key"), "value").join(emitted.select("key"), "key", "left_anti")
+    return rows.groupBy("key").agg(F.count("*").cast("int").alias("n"), F.sum("value").alias("total"), F.lit(True).alias("partial"))
+
+
 def completed_batch(events: DataFrame, key: str, n: int) -> DataFrame:
     """The same over a finished table: every group, with whether it stayed incomplete."""
-    from pyspark.sql import functions as F
-
     got = events.groupBy(F.col(key).alias("key")).agg(F.count("*").cast("int").alias("n"), F.sum("value").alias("total"))
     return got.withColumn("partial", F.col("n") < n)

@@ -1,6 +1,7 @@
 """Resumable ingestion: micro-batches into an append-only sink, a parameter fingerprint, self-healing resume.
 
-The stream's checkpoint is the ledger of what was read. A batch that is replayed after a failure is harmless, since
+The stream's checkpoint is the ledger of what was read. Sink rows lie in BUCKETS folders by a hash of their key, and a
+batch reads those folders only that its own keys fall in. A batch that is replayed after a failure is harmless, since
 rows whose key the sink already has are left out; the sink is the truth, so a lost ledger heals itself.
 """
 
@@ -32,21 +33,30 @@ def check_fingerprint(spark: SparkSession, path: str, params: dict, force: bool
         spark.createDataFrame([(json.dumps(params, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
+#: Folders of a sink, and their column.
+BUCKETS, BUCKET = 64, "bucket_"
+
+
 def sink_rows(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The sink's rows with the columns of schema; the folders' column is among them only if it is asked for."""
     try:
-        return spark.read.schema(schema).parquet(path)
+        rows = spark.read.schema(schema).parquet(path)
+        return rows if BUCKET in str(schema) else rows.drop(BUCKET)
     except Exception as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
         return spark.createDataFrame([], schema)
 
 
-def append_new(sink: str, key: str):
+def append_new(sink: str, key: str, buckets: int = BUCKETS):
     """A foreachBatch function: append the batch's first row of each key that the sink does not have."""
 
     def write(batch: DataFrame, _: int) -> None:
-        have = sink_rows(batch.sparkSession, sink, batch.schema).select(key)
-        batch.dropDuplicates([key]).join(have, key, "left_anti").select(*batch.columns).write.mode("append").parquet(sink)
+        rows = batch.dropDuplicates([key]).withColumn(BUCKET, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        touched = [r[0] for r in rows.select(BUCKET).distinct().collect()]  # `buckets` numbers at most
+        have = sink_rows(batch.sparkSession, sink, rows.schema).filter(F.col(BUCKET).isin(touched)).select(BUCKET, key)
+        new = rows.join(have, [BUCKET, key], "left_anti").select(*rows.columns)
+        new.repartition(BUCKET).write.mode("append").partitionBy(BUCKET).parquet(sink)
 
     return write
 
