@@ -6,10 +6,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from votemill.operators.votes import fits_int64
+from votemill.operators.votes import fits_int64, int64_safe
 
 #: The limits of a submission and of a dump.
-ZERO_WARN, ZERO_FAIL, LOST_FAIL, TRUNC_WARN = 0.045, 0.08, 0.01, 0.05
+ZERO_WARN, ZERO_FAIL, LOST_FAIL, TRUNC_WARN, ZERO_SHARE = 0.045, 0.08, 0.01, 0.05, 0.02
 HEADER = ["id", "answer"]
 
 
@@ -64,22 +64,42 @@ def submission_report(submission: DataFrame, want: DataFrame, columns: list[str]
 
 
 def dump_report(ballots: DataFrame, want: DataFrame, n: int | None = None) -> DataFrame:
-    """Checks of a dump of ballots: coverage, samples a problem, lost answers and truncation."""
+    """Checks of a dump of ballots: coverage, repeated (id, pos), samples a problem, lost answers and truncation."""
     per = ballots.groupBy("id").agg(F.count("*").alias("k"))
     sizes = per.agg(F.min("k").alias("least"), F.max("k").alias("most"))
     rates = ballots.agg(F.avg(F.col("ans").isNull().cast("int")).alias("lost"), F.avg(F.col("trunc").cast("int")).alias("cut"))
-    one = coverage(per, want).join(F.broadcast(sizes)).join(F.broadcast(rates))  # one row each
+    twice = ballots.groupBy("id", "pos").agg(F.count("*").alias("n")).filter("n > 1").agg(F.count("*").alias("twice"))
+    one = coverage(per, want).join(F.broadcast(sizes)).join(F.broadcast(rates)).join(F.broadcast(twice))  # one row each
     c = F.col
     short = c("least") < n if n else c("least") != c("most")
     return report(one, [
         row("missing", c("missing"), c("missing") > 0),
         row("extra", c("extra"), c("extra") > 0),
+        row("duplicates", c("twice"), c("twice") > 0),
         row("samples", c("least"), short),
         row("lost_answers", c("lost"), c("lost") > LOST_FAIL),
         row("truncation", c("cut"), F.lit(False), c("cut") > TRUNC_WARN),
     ])
 
 
+def dump_warnings(ballots: DataFrame, want: DataFrame, n: int) -> DataFrame:
+    """Warnings before a submission is made: problems without samples, with fewer than n, without an answer that fits 64
+    bits although they have answers, and answers of zero beyond what is usual (five, or 2 %)."""
+    per = want.select("id").distinct().join(ballots, "id", "left").groupBy("id").agg(F.count("pos").alias("k"), F.count("ans").alias("valid"), F.count(F.when(fits_int64(F.col("ans")), 1)).alias("fit"))
+    zero = int64_safe(ballots).agg(F.count("*").alias("answers"), F.count(F.when(F.col("answer") == "0", 1)).alias("zeros"))
+    one = per.agg(
+        F.count(F.when(F.col("k") == 0, 1)).alias("empty"), F.count(F.when((F.col("k") > 0) & (F.col("k") < n), 1)).alias("short"), F.count(F.when((F.col("valid") > 0) & (F.col("fit") == 0), 1)).alias("oversized")
+    ).join(F.broadcast(zero))  # one row each
+    c = F.col
+    no = F.lit(False)
+    return report(one, [
+        row("empty", c("empty"), no, c("empty") > 0),
+        row("short", c("short"), no, c("short") > 0),
+        row("all_oversized", c("oversized"), no, c("oversized") > 0),
+        row("zeros", c("zeros"), no, c("zeros") > F.greatest(F.lit(5.0), ZERO_SHARE * c("answers"))),
+    ])
+
+
 def verdict(checks: DataFrame) -> DataFrame:
     return checks.agg(F.when(F.max(F.col("level") == "FAIL"), "FAIL").otherwise("PASS").alias("verdict"), F.count(F.when(F.col("level") == "FAIL", 1)).alias("failures"))
 

@@ -92,9 +92,9 @@ def marginal(samples: DataFrame, gold: DataFrame, low: int = 1, high: int = 2, m
     return rows.filter(F.col("n").between(low, high) & (F.col("r") <= most)).select("id", "pos", "len", "n", "r")
 
 
-def preference_pairs(samples: DataFrame, gold: DataFrame, most: int = 2, seed: str = "42") -> DataFrame:
-    """The k-th shortest right solution of a problem against the k-th wrong one in hash order."""
-    rows = samples.filter("ans IS NOT NULL").join(gold, "id").withColumn("ok", F.col("ans") == F.col("gold"))
+def preference_pairs(samples: DataFrame, gold: DataFrame, most: int = 2, seed: str = "42", least: int = 50) -> DataFrame:
+    """The k-th shortest right solution of a problem against the k-th wrong one in hash order; solutions of `least` length."""
+    rows = samples.filter(F.col("ans").isNotNull() & (F.col("len") >= least)).join(gold, "id").withColumn("ok", F.col("ans") == F.col("gold"))
     w = Window.partitionBy("id", "ok")
     k = F.row_number().over(w.orderBy(F.when(F.col("ok"), F.lpad(F.col("len").cast("string"), 9, "0")).otherwise(draw(seed, "id", "pos")), "pos"))
     rows = rows.withColumn("k", k).filter(F.col("k") <= most)
@@ -102,15 +102,29 @@ def preference_pairs(samples: DataFrame, gold: DataFrame, most: int = 2, seed: s
     return rows.groupBy("id", "k").agg(pick(True).alias("chosen"), pick(False).alias("rejected")).filter("chosen IS NOT NULL AND rejected IS NOT NULL")
 
 
-def reward_pairs(samples: DataFrame, gold: DataFrame, most: int = 4, seed: str = "42") -> DataFrame:
-    """Right x wrong pairs of each problem, `most` of them in hash order.
+def reward_pairs(samples: DataFrame, gold: DataFrame, most: int = 4, seed: str = "42", held: float = 0.05, side: int = 8) -> DataFrame:
+    """Right x wrong pairs of each problem, `most` of them in hash order, and whether the problem is held out.
 
-    A problem's samples number as many as were drawn for it (tens), so its pairs stay few.
+    The first `side` samples of each side, in hash order, are paired, so that a problem with many samples stays small.
+    A share `held` of the problems is held out, by the hash of their id.
     """
     rows = samples.filter("ans IS NOT NULL").join(gold, "id").withColumn("ok", F.col("ans") == F.col("gold")).select("id", "pos", "ok")
+    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("id", "ok").orderBy(draw(seed, "id", "pos"), "pos"))).filter(F.col("r") <= side)
     good = rows.filter("ok").select("id", F.col("pos").alias("chosen"))
     bad = rows.filter("NOT ok").select("id", F.col("pos").alias("rejected"))
-    return capped(good.join(bad, "id").withColumn("pair", F.concat_ws("-", "id", "chosen", "rejected")), most, ("id",), seed, "pair").drop("pair")
+    pairs = capped(good.join(bad, "id").withColumn("pair", F.concat_ws("-", "id", "chosen", "rejected")), most, ("id",), seed, "pair").drop("pair")
+    return pairs.withColumn("held_out", F.substring(draw(f"{seed}h", "id"), 1, 4) < f"{int(65536 * held):04x}")
+
+
+def length_bands(pairs: DataFrame, problem: str = "problem", solution: str = "solution") -> DataFrame:
+    """pairs with v1 (solution of 50 to 2500 characters) and v2 (50 to 3000, and a problem of 1500 at most)."""
+    n, p = F.length(strip(F.coalesce(solution, F.lit("")))), F.length(strip(F.coalesce(problem, F.lit(""))))
+    return pairs.withColumns({"v1": n.between(50, 2500), "v2": n.between(50, 3000) & (p <= 1500)})
+
+
+def int64_only(rows: DataFrame, column: str = "ans") -> DataFrame:
+    """Rows whose integer text fits 64 bits, -2**63 included."""
+    return rows.filter(F.col(column).try_cast("bigint").isNotNull())
 
 
 def tagged(samples: DataFrame, gold: DataFrame, cap: int = 200) -> DataFrame:

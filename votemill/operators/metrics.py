@@ -138,3 +138,16 @@ def gain_curve(rows: DataFrame, score: str) -> DataFrame:
     order = Window.orderBy(F.desc(score), "id").rowsBetween(Window.unboundedPreceding, 0)
     run = rows.withColumns({"k": F.row_number().over(Window.orderBy(F.desc(score), "id")), "rescued_cum": F.sum("rescued").over(order), "harmed_cum": F.sum("harmed").over(order)})
     return run.withColumn("net", F.col("rescued_cum") - F.col("harmed_cum"))
+
+
+def gap_correlation(ballots: DataFrame, gold: DataFrame, value: str = "logp") -> DataFrame:
+    """Over problems where gold and the strongest wrong answer have two votes or more each: their number, and the Pearson
+    correlation of the gap of mean lengths with the gap of the mean of `value` (null without spread)."""
+    t = ballots.filter("ans IS NOT NULL").join(gold.select("id", "gold"), "id").groupBy("id", "ans", (F.col("ans") == F.col("gold")).alias("ok")).agg(
+        F.count("*").alias("n"), F.min("pos").alias("first"), F.avg("len").alias("l"), F.avg(value).alias("v")
+    )
+    side = lambda ok: F.max_by(F.struct("n", "l", "v"), F.when(F.col("ok") == ok, F.struct("n", -F.col("first"))))
+    p = t.groupBy("id").agg(side(True).alias("g"), side(False).alias("w")).filter("g.n >= 2 AND w.n >= 2")
+    x, y = F.col("g.l") - F.col("w.l"), F.col("g.v") - F.col("w.v")
+    spread = (F.stddev_pop(x) > 1e-12) & (F.stddev_pop(y) > 1e-12)
+    return p.agg(F.count("*").alias("problems"), F.round(F.avg(x), 6).alias("length_gap"), F.round(F.avg(y), 6).alias("value_gap"), F.round(F.when(spread, F.corr(x, y)), 6).alias("correlation"))

@@ -156,32 +156,6 @@ def nested_selection(correct: DataFrame, k: int = 5) -> DataFrame:
     return rest.withColumn("r", best).filter("r = 1").select("fold", "rule", F.col("c").alias("correct"), "n")
 
 
-def logistic_cv(features: DataFrame, columns: list[str], label: str, k: int = 5, epochs: int = 400, rate: float = 0.35, l2: float = 1e-3) -> DataFrame:
-    """Out-of-fold probabilities of a standardised logistic regression; features: id, fold, columns, label.
-
-    The fit needs sums over rows only, so each epoch could be an aggregate; a fold's training rows (a row a problem) are
-    taken to one task instead, where 400 epochs of numpy take less than one Spark job.
-    """
-    every = features.select("id", "fold", label, *columns)
-    rows = replicates(every, k)  # rep: the fold left out
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        out = group["fold"] == group["rep"]
-        x = group[columns].to_numpy(float)
-        train = ~out.to_numpy()
-        mean, sd = x[train].mean(0), x[train].std(0)
-        x = np.column_stack([(x - mean) / np.where(sd > 0, sd, 1), np.ones(len(x))])
-        y = group[label].to_numpy(float)
-        w = np.zeros(x.shape[1])
-        for _ in range(epochs):
-            p = 1 / (1 + np.exp(-np.clip(x[train] @ w, -30, 30)))
-            w -= rate * (x[train].T @ (p - y[train]) / max(1, train.sum()) + l2 * w)
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        return pd.DataFrame({"id": group["id"][out], "fold": group["fold"][out].astype("int32"), "p": p[out.to_numpy()], "y": y[out.to_numpy()]})
-
-    return rows.groupBy("rep").applyInPandas(fit, "id long, fold int, p double, y double")
-
-
 def replicator(vectors: DataFrame, steps: int = 300, tol: float = 1e-10) -> DataFrame:
     """Replicator dynamics on the clipped cosines of a problem's samples; the answer with the most mass. vectors: id, ans, pos, v."""
 

@@ -43,3 +43,13 @@ def mean_cosines(vectors: DataFrame, label: str) -> DataFrame:
     parts = unit(vectors).select(label, F.posexplode("v").alias("d", "x")).groupBy(label, "d").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
     out = parts.groupBy(label).agg(F.max("n").alias("n"), F.sum(F.col("x") * F.col("x")).alias("s"))
     return out.select(label, "n", F.round((F.col("s") - F.col("n")) / (F.col("n") * (F.col("n") - 1)), 6).alias("cosine"))
+
+
+def cross_cosines(vectors: DataFrame, label: str) -> DataFrame:
+    """Mean cosine between the members of every two labels: the product of the labels' mean unit vectors.
+
+    Pairs are of labels, of which there are few; no pair of vectors is formed.
+    """
+    parts = unit(vectors).select(label, F.posexplode("v").alias("d", "x")).groupBy(label, "d").agg(F.avg("x").alias("x"))
+    a, b = parts.toDF("a", "d", "x"), parts.toDF("b", "d", "y")
+    return a.join(b, "d").filter("a < b").groupBy("a", "b").agg((F.round(F.sum(F.col("x") * F.col("y")), 6) + 0.0).alias("cosine"))

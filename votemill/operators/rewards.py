@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from votemill.operators.votes import by_id, elect, rounded, valid
+from votemill.operators.votes import by_id, elect, rounded, shifted, valid
 
 
 def grpo(ballots: DataFrame, gold: DataFrame, eps: float = 1e-8) -> DataFrame:
@@ -106,3 +106,45 @@ def dynamics_vote(ballots: DataFrame, alpha: float = 0.5, beta: float = 1.0) ->
     rise = window_confidence(0.9, 1.0) - window_confidence(0.0, 0.1)
     rows = ballots.withColumn("c", F.exp(mean_of(F.col("tlp"))) + beta * rise)
     return elect(rows, F.pow(F.count("*"), F.lit(alpha)) * F.avg("c"), default=None)
+
+
+def half_worst(q: float) -> Column:
+    """Half the mean log-probability and half that of the worst share q of the tokens."""
+    return 0.5 * F.col("logp") + 0.5 * worst_mean(q)
+
+
+def token_sweep(ballots: DataFrame, gold: DataFrame, keys: dict[str, Column], scales: tuple[float, ...] = (0.5, 1.0, 2.0, 4.0)) -> DataFrame:
+    """key, scale, correct: the best scale of each token key (the smallest of equal ones), one tally for all of them."""
+    rows = ballots.filter(valid()).withColumn("k", F.explode(F.array(*[F.struct(F.lit(n).alias("key"), v.alias("v")) for n, v in keys.items()]))).select("id", "pos", "ans", "k.*")
+    shift = F.col("v") - F.max("v").over(Window.partitionBy("id", "key"))
+    tally = rows.withColumn("shift", shift).groupBy("id", "key", "ans").agg(F.min("pos").alias("first"), *[rounded(F.sum(F.exp(F.col("shift") * s))).alias(f"w{i}") for i, s in enumerate(scales)])
+    won = tally.groupBy("id", "key").agg(*[F.max_by("ans", F.struct(f"w{i}", -F.col("first"))).alias(f"a{i}") for i in range(len(scales))]).join(gold, "id")
+    right = won.groupBy("key").agg(F.array(*[F.struct(F.sum((F.col(f"a{i}") == F.col("gold")).cast("long")).alias("correct"), F.lit(-s).alias("s")) for i, s in enumerate(scales)]).alias("all"))
+    best = F.array_max("all")
+    return right.select("key", (-best["s"]).alias("scale"), best["correct"].alias("correct"))
+
+
+def implicit_reward(ballots: DataFrame, policy: Column, reference: Column, tokens: Column) -> DataFrame:
+    """The answers of five forms of an implicit reward (log-probability under the policy less that under a reference):
+    best and softmax vote by its sum and by its mean over tokens, and the mean's vote times softmax(2 logp)."""
+    rows = shifted(ballots).filter(valid()).withColumn("sum_", policy - reference)
+    rows = rows.withColumn("mean_", F.col("sum_") / F.greatest(F.lit(1), tokens))
+    e = lambda c: F.exp(F.col(c) - F.max(c).over(by_id()))
+    rows = rows.withColumns({"es": e("sum_"), "em": e("mean_"), "c": F.exp(F.col("shift") * 2)})
+    tally = rows.groupBy("id", "ans").agg(
+        F.min("pos").alias("first"), *[F.max(F.struct(rounded(F.col(c)).alias("r"), -F.col("pos"))).alias(k) for c, k in (("sum_", "bs"), ("mean_", "bm"))],
+        rounded(F.sum("es")).alias("vs"), rounded(F.sum("em")).alias("vm"), rounded(F.sum(F.col("em") * F.col("c"))).alias("vc"),
+    )
+    vote = lambda c: F.max_by("ans", F.struct(c, -F.col("first")))
+    return tally.groupBy("id").agg(F.max_by("ans", "bs").alias("sum_best"), F.max_by("ans", "bm").alias("mean_best"), vote("vs").alias("sum_vote"), vote("vm").alias("mean_vote"), vote("vc").alias("mean_conf"))
+
+
+def dynamics_rules(ballots: DataFrame, alpha: float = 0.5, beta: float = 1.0, a: float = 1.0) -> DataFrame:
+    """The answers of the confidence-dynamics family: votes**alpha times mean confidence (sqrt_conf), times confidence plus
+    beta times its rise (cdg), the last tenth less a times the early part (consilience), and that times votes**alpha."""
+    conf, rise = F.exp(mean_of(F.col("tlp"))), window_confidence(0.9, 1.0) - window_confidence(0.0, 0.1)
+    rows = ballots.filter(valid()).withColumns({"c_": conf, "g_": conf + beta * rise, "s_": window_confidence(0.9, 1.0) - a * window_confidence(0.05, 0.15)})
+    root = F.pow(F.count("*"), F.lit(alpha))
+    scores = {"sqrt_conf": root * F.avg("c_"), "cdg": root * F.avg("g_"), "consilience": F.avg("s_"), "consilience_sqrt": root * F.avg("s_")}
+    tally = rows.groupBy("id", "ans").agg(F.min("pos").alias("first"), *[rounded(v).alias(k) for k, v in scores.items()])
+    return tally.groupBy("id").agg(*[F.max_by("ans", F.struct(k, -F.col("first"))).alias(k) for k in scores])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from votemill.operators import contracts, votes
 from votemill.plans.registry import SQL, query
-from votemill.plans.voting import RULE_SQL
+from votemill.plans.voting import OVERSIZED, RULE_SQL, oversized
 from votemill.sources.adapters import BALLOTS_SQL, GOLD_SQL, ballots, gold
 
 SUB = f"won AS ({RULE_SQL['weighted2']}), sub AS (SELECT id, CASE WHEN id % 501 = 0 THEN NULL WHEN id % 502 = 0 THEN '4.5' WHEN id % 503 = 0 THEN '9223372036854775808' ELSE answer END AS answer FROM won WHERE id % 97 <> 0 UNION ALL SELECT id + 10000000, answer FROM won WHERE id % 499 = 0 UNION ALL SELECT id, answer FROM won WHERE id % 997 = 1)"
@@ -38,8 +38,8 @@ def submission_verdict(spark, d):
 
 @query(
     "coverage_report",
-    f"""WITH {BALLOTS_SQL}, {GOLD_SQL}, p AS (SELECT id, count(*) AS k FROM b GROUP BY id), z AS (SELECT (SELECT count(*) FROM (SELECT DISTINCT id FROM g) x WHERE id NOT IN (SELECT id FROM p)) AS missing, (SELECT count(*) FROM p WHERE id NOT IN (SELECT id FROM g)) AS extra, (SELECT min(k) FROM p) AS least, (SELECT max(k) FROM p) AS most, (SELECT avg((ans IS NULL)::INT) FROM b) AS lost, (SELECT avg(trunc::INT) FROM b) AS cut)
-  SELECT r.check AS "check", r.level AS level, round(r.value, 6) AS value FROM (SELECT unnest([{{'check': 'missing', 'level': CASE WHEN missing > 0 THEN 'FAIL' ELSE 'OK' END, 'value': missing::DOUBLE}}, {{'check': 'extra', 'level': CASE WHEN extra > 0 THEN 'FAIL' ELSE 'OK' END, 'value': extra::DOUBLE}}, {{'check': 'samples', 'level': CASE WHEN least <> most THEN 'FAIL' ELSE 'OK' END, 'value': least::DOUBLE}},
+    f"""WITH {BALLOTS_SQL}, {GOLD_SQL}, p AS (SELECT id, count(*) AS k FROM b GROUP BY id), z AS (SELECT (SELECT count(*) FROM (SELECT DISTINCT id FROM g) x WHERE id NOT IN (SELECT id FROM p)) AS missing, (SELECT count(*) FROM p WHERE id NOT IN (SELECT id FROM g)) AS extra, (SELECT min(k) FROM p) AS least, (SELECT max(k) FROM p) AS most, (SELECT avg((ans IS NULL)::INT) FROM b) AS lost, (SELECT avg(trunc::INT) FROM b) AS cut, (SELECT count(*) FROM (SELECT id, pos FROM b GROUP BY ALL HAVING count(*) > 1)) AS twice)
+  SELECT r.check AS "check", r.level AS level, round(r.value, 6) AS value FROM (SELECT unnest([{{'check': 'missing', 'level': CASE WHEN missing > 0 THEN 'FAIL' ELSE 'OK' END, 'value': missing::DOUBLE}}, {{'check': 'extra', 'level': CASE WHEN extra > 0 THEN 'FAIL' ELSE 'OK' END, 'value': extra::DOUBLE}}, {{'check': 'duplicates', 'level': CASE WHEN twice > 0 THEN 'FAIL' ELSE 'OK' END, 'value': twice::DOUBLE}}, {{'check': 'samples', 'level': CASE WHEN least <> most THEN 'FAIL' ELSE 'OK' END, 'value': least::DOUBLE}},
   {{'check': 'lost_answers', 'level': CASE WHEN lost > 0.01 THEN 'FAIL' ELSE 'OK' END, 'value': lost::DOUBLE}}, {{'check': 'truncation', 'level': CASE WHEN cut > 0.05 THEN 'WARN' ELSE 'OK' END, 'value': cut::DOUBLE}}]) AS r FROM z)""",
 )
 def coverage_report(spark, d):
@@ -50,3 +50,16 @@ def coverage_report(spark, d):
 def prediction_diff(spark, d):
     b = ballots(spark, d)
     return contracts.prediction_diff(votes.RULES["majority"](b), votes.RULES["trim25"](b))
+
+
+@query(
+    "dump_warnings",
+    f"""WITH {BALLOTS_SQL}, {GOLD_SQL}, {OVERSIZED}, p AS (SELECT g.id, count(o.pos) AS k, count(o.ans) AS v, count(TRY_CAST(o.ans AS BIGINT)) AS fit FROM g LEFT JOIN o ON g.id = o.id GROUP BY g.id),
+  t AS (SELECT id, ans, count(*) AS n, min(pos) AS f FROM o GROUP BY ALL), m AS (SELECT id, arg_max(ans, ROW(n, -f)) FILTER (ans IS NOT NULL) AS a, arg_max(ans, ROW(n, -f)) FILTER (TRY_CAST(ans AS BIGINT) IS NOT NULL) AS s FROM t GROUP BY id),
+  z AS (SELECT count(*) AS answers, count(*) FILTER (coalesce(CASE WHEN a IS NULL OR TRY_CAST(a AS BIGINT) IS NOT NULL THEN a ELSE s END, '0') = '0') AS zeros FROM m),
+  c AS (SELECT count(*) FILTER (k = 0) AS empty, count(*) FILTER (k > 0 AND k < 3) AS short, count(*) FILTER (v > 0 AND fit = 0) AS oversized FROM p)
+  SELECT r.check AS "check", r.level AS level, round(r.value, 6) AS value FROM (SELECT unnest([{{'check': 'empty', 'level': CASE WHEN empty > 0 THEN 'WARN' ELSE 'OK' END, 'value': empty::DOUBLE}}, {{'check': 'short', 'level': CASE WHEN short > 0 THEN 'WARN' ELSE 'OK' END, 'value': short::DOUBLE}},
+  {{'check': 'all_oversized', 'level': CASE WHEN oversized > 0 THEN 'WARN' ELSE 'OK' END, 'value': oversized::DOUBLE}}, {{'check': 'zeros', 'level': CASE WHEN zeros > greatest(5, 0.02 * answers) THEN 'WARN' ELSE 'OK' END, 'value': zeros::DOUBLE}}]) AS r FROM c, z)""",
+)
+def dump_warnings(spark, d):
+    return contracts.dump_warnings(oversized(ballots(spark, d)), gold(spark, d), 3)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from votemill.functions import text as T
@@ -95,7 +96,7 @@ def leak_check(spark, d):
 
 @query(
     "dpo_pairs",
-    f"""{RIGHT}, k AS (SELECT id, pos, hit, row_number() OVER (PARTITION BY id, hit ORDER BY CASE WHEN hit THEN lpad("len"::VARCHAR, 9, '0') ELSE md5('42|' || id || '|' || pos) END, pos)::INT AS k FROM s WHERE ans IS NOT NULL)
+    f"""{RIGHT}, k AS (SELECT id, pos, hit, row_number() OVER (PARTITION BY id, hit ORDER BY CASE WHEN hit THEN lpad("len"::VARCHAR, 9, '0') ELSE md5('42|' || id || '|' || pos) END, pos)::INT AS k FROM s WHERE ans IS NOT NULL AND "len" >= 50)
   SELECT a.id, a.k, a.pos AS chosen, b.pos AS rejected FROM k a JOIN k b ON a.id = b.id AND a.k = b.k AND a.hit AND NOT b.hit WHERE a.k <= 2""",
 )
 def dpo_pairs(spark, d):
@@ -104,8 +105,9 @@ def dpo_pairs(spark, d):
 
 @query(
     "reward_pairs",
-    f"""{RIGHT}, p AS (SELECT a.id, a.pos AS chosen, b.pos AS rejected FROM s a JOIN s b ON a.id = b.id AND a.hit AND NOT b.hit AND b.ans IS NOT NULL),
-  r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY md5('42|' || id || '-' || chosen || '-' || rejected), id || '-' || chosen || '-' || rejected) AS r FROM p) SELECT id, chosen, rejected FROM r WHERE r <= 4""",
+    f"""{RIGHT}, h AS (SELECT * FROM (SELECT id, pos, hit, row_number() OVER (PARTITION BY id, hit ORDER BY md5('42|' || id || '|' || pos), pos) AS q FROM s WHERE ans IS NOT NULL) WHERE q <= 8),
+  p AS (SELECT a.id, a.pos AS chosen, b.pos AS rejected FROM h a JOIN h b ON a.id = b.id AND a.hit AND NOT b.hit),
+  r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY md5('42|' || id || '-' || chosen || '-' || rejected), id || '-' || chosen || '-' || rejected) AS r FROM p) SELECT id, chosen, rejected, substr(md5('42h|' || id), 1, 4) < '0ccc' AS held_out FROM r WHERE r <= 4""",
 )
 def reward_pairs(spark, d):
     return corpus.reward_pairs(samples(spark, d), gold(spark, d))
@@ -253,3 +255,30 @@ def cohesion_vote(spark, d):
     return votes.cohesion_vote(v, 1.0)
 
 
+
+
+@query(
+    "cosine_between",
+    f"WITH {UNIT} SELECT a.label AS a, b.label AS b, round(avg(list_dot_product(a.v, b.v)), 6) + 0.0 AS cosine FROM u a JOIN u b ON a.label < b.label GROUP BY ALL",
+)
+def cosine_between(spark, d):
+    return retrieval.cross_cosines(table(spark, d, "embeddings"), "label")
+
+
+@query(
+    "length_bands",
+    """WITH t AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS next_role, lead(text) OVER w AS solution FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+  p AS (SELECT conv_id, turn, length(trim(coalesce(text, ''), E' \\t\\n\\r')) AS p, length(trim(coalesce(solution, ''), E' \\t\\n\\r')) AS n FROM t WHERE role = 'user' AND next_role = 'assistant') SELECT conv_id, turn, n BETWEEN 50 AND 2500 AS v1, n BETWEEN 50 AND 3000 AND p <= 1500 AS v2 FROM p""",
+)
+def length_bands(spark, d):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    t = table(spark, d, "conversations").withColumns({"next_role": F.lead("role").over(w), "solution": F.lead("text").over(w)})
+    return corpus.length_bands(t.filter("role = 'user' AND next_role = 'assistant'"), "text").select("conv_id", "turn", "v1", "v2")
+
+
+EDGES = ("-9223372036854775808", "9223372036854775807", "9223372036854775808", "-9223372036854775809", "12")
+
+
+@query("int64_filter", f"WITH t AS (SELECT p_partkey AS id, list_value({', '.join(repr(e) for e in EDGES)})[(p_partkey % 5 + 1)::INT] AS ans FROM part) SELECT id, ans FROM t WHERE TRY_CAST(ans AS BIGINT) IS NOT NULL")
+def int64_filter(spark, d):
+    return corpus.int64_only(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array(*map(F.lit, EDGES))[(F.col("p_partkey") % 5).cast("int")].alias("ans")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from votemill.operators import metrics, rewards, sweeps, votes
+from votemill.operators import metrics, rewards, selector, sweeps, votes
 from votemill.plans.registry import query
 from votemill.plans.voting import RULE_SQL, SHIFT, W, of_seed
 from votemill.sources.adapters import BALLOTS_SQL, GOLD_SQL, ballots, gold
@@ -241,23 +241,89 @@ def cdg_vote(spark, d):
     return rewards.dynamics_vote(rewards.with_tokens(ballots(spark, d)))
 
 
-SAMPLE_FEATURES = f"""WITH {BALLOTS_SQL}, {SHIFT.format('s', 'b')}, t AS (SELECT id, ans, min(pos) AS f, count(*) AS c, round(sum(exp(shift * 2)), 9) AS w, avg(logp) AS lp, coalesce(var_pop("len"), 0) AS lv, avg(trunc::INT) AS tr FROM s WHERE ans IS NOT NULL GROUP BY id, ans),
-  r AS (SELECT *, row_number() OVER ({W} ORDER BY w DESC, f) AS k, sum(w) OVER ({W}) AS tw, sum(c) OVER ({W}) AS tc, count(*) OVER ({W}) AS u FROM t)"""
+SWEEP_KEYS = {
+    "worst05": MEAN.format("list_sort(tlp)[1:greatest(1, floor(len(tlp) * 0.05)::INT)]"),
+    "worst25": KEYS["worst"],
+    "tail3": KEYS["tail"],
+    "min": KEYS["min"],
+    "half": f"0.5 * logp + 0.5 * ({KEYS['worst']})",
+}
+SCALES = (0.5, 1.0, 2.0, 4.0)
+
+
+@query(
+    "token_conf_sweep",
+    f"""WITH {BALLOTS_SQL}, {GOLD_SQL}, {TOKENS}, q AS ({' UNION ALL '.join(f"SELECT '{k}' AS key, id, pos, ans, {v} AS v FROM k WHERE ans IS NOT NULL" for k, v in SWEEP_KEYS.items())}),
+  s AS (SELECT *, v - max(v) OVER (PARTITION BY id, key) AS shift FROM q), t AS (SELECT key, scale, id, ans, min(pos) AS f, round(sum(exp(shift * scale)), 9) AS w FROM s, (VALUES {', '.join(f'({x}::DOUBLE)' for x in SCALES)}) x(scale) GROUP BY ALL),
+  w AS (SELECT key, scale, id, arg_max(ans, ROW(w, -f)) AS ans FROM t GROUP BY key, scale, id), c AS (SELECT key, scale, sum((ans = gold)::INT)::BIGINT AS correct FROM w JOIN g USING (id) GROUP BY ALL)
+  SELECT key, scale, correct FROM c QUALIFY row_number() OVER (PARTITION BY key ORDER BY correct DESC, scale) = 1""",
+)
+def token_conf_sweep(spark, d):
+    b, g = both(spark, d)
+    keys = {"worst05": rewards.worst_mean(0.05), "worst25": rewards.worst_mean(0.25), "tail3": rewards.tail_mean(3), "min": F.array_min("tlp"), "half": rewards.half_worst(0.25)}
+    return rewards.token_sweep(rewards.with_tokens(b), g, keys, SCALES)
+
+
+@query(
+    "implicit_reward",
+    f"""WITH {BALLOTS_SQL}, {SHIFT.format('h', 'b')}, r AS (SELECT *, (logp + score) * "len" / 100 AS s, (logp + score) * "len" / 100 / greatest(1, "len" // 40) AS m FROM h WHERE ans IS NOT NULL),
+  e AS (SELECT *, exp(s - max(s) OVER ({W})) AS es, exp(m - max(m) OVER ({W})) AS em, exp(shift * 2) AS c FROM r),
+  t AS (SELECT id, ans, min(pos) AS f, max(ROW(round(s, 9), -pos)) AS bs, max(ROW(round(m, 9), -pos)) AS bm, round(sum(es), 9) AS vs, round(sum(em), 9) AS vm, round(sum(em * c), 9) AS vc FROM e GROUP BY id, ans)
+  SELECT id, arg_max(ans, bs) AS sum_best, arg_max(ans, bm) AS mean_best, arg_max(ans, ROW(vs, -f)) AS sum_vote, arg_max(ans, ROW(vm, -f)) AS mean_vote, arg_max(ans, ROW(vc, -f)) AS mean_conf FROM t GROUP BY id""",
+)
+def implicit_reward(spark, d):
+    n = F.col("len") / 100
+    return rewards.implicit_reward(ballots(spark, d), F.col("logp") * n, -F.col("score") * n, F.floor(F.col("len") / 40))
+
+
+EARLY = "exp({0})".format(MEAN.format("tlp[1 + floor(len(tlp) * 0.05)::INT:greatest(floor(len(tlp) * 0.15)::INT, floor(len(tlp) * 0.05)::INT + 1)]"))
+
+
+@query(
+    "dynamics_rules",
+    f"""WITH {BALLOTS_SQL}, {TOKENS}, q AS (SELECT *, exp({MEAN.format('tlp')}) AS c, exp({MEAN.format('tlp')}) + exp(tlp[8]) - exp(tlp[1]) AS g, exp(tlp[8]) - {EARLY} AS s FROM k WHERE ans IS NOT NULL),
+  t AS (SELECT id, ans, min(pos) AS f, round(sqrt(count(*)) * avg(c), 9) AS s1, round(sqrt(count(*)) * avg(g), 9) AS s2, round(avg(s), 9) AS s3, round(sqrt(count(*)) * avg(s), 9) AS s4 FROM q GROUP BY id, ans)
+  SELECT id, arg_max(ans, ROW(s1, -f)) AS sqrt_conf, arg_max(ans, ROW(s2, -f)) AS cdg, arg_max(ans, ROW(s3, -f)) AS consilience, arg_max(ans, ROW(s4, -f)) AS consilience_sqrt FROM t GROUP BY id""",
+)
+def dynamics_rules(spark, d):
+    return rewards.dynamics_rules(rewards.with_tokens(ballots(spark, d)))
+
+
+@query(
+    "gap_correlation",
+    f"""WITH {BG}, t AS (SELECT id, ans, ans = gold AS ok, count(*) AS n, min(pos) AS f, avg("len") AS l, avg(logp) AS v FROM j WHERE ans IS NOT NULL GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY id, ok ORDER BY n DESC, f) AS r FROM t),
+  p AS (SELECT a.l - b.l AS x, a.v - b.v AS y FROM k a JOIN k b ON a.id = b.id AND a.ok AND NOT b.ok AND a.r = 1 AND b.r = 1 AND a.n >= 2 AND b.n >= 2) SELECT count(*) AS problems, round(avg(x), 6) AS length_gap, round(avg(y), 6) AS value_gap, round(corr(x, y), 6) AS correlation FROM p""",
+)
+def gap_correlation(spark, d):
+    return metrics.gap_correlation(*both(spark, d))
+
+
+def tally_sql(name: str, keys: str) -> str:
+    return (
+        f"{name}0 AS (SELECT *, logp - max(CASE WHEN ans IS NOT NULL THEN logp END) OVER (PARTITION BY {keys}) AS shift FROM b), "
+        f"{name}1 AS (SELECT {keys}, ans, min(pos) AS f, round(sum(exp(shift * 2)), 9) AS w, count(*) AS c, avg(logp) AS lp, var_pop(logp) AS lv, avg(\"len\") AS ln, sum(trunc::INT) AS tr FROM {name}0 WHERE ans IS NOT NULL GROUP BY ALL), "
+        f"{name} AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY w DESC, f) AS k, sum(w) OVER (PARTITION BY {keys}) AS tw, sum(c) OVER (PARTITION BY {keys}) AS tc, count(*) OVER (PARTITION BY {keys}) AS u FROM {name}1)"
+    )
+
+
+FEATURE_SQL = {
+    "w_share1": "x.w / x.tw", "w_share2": "y.w / x.tw", "w_gap": "(x.w - y.w) / x.tw", "w_ratio": "y.w / x.w", "c_share1": "x.c / x.tc", "c_gap": "(x.c - y.c) / x.tc", "n_distinct": "x.u / n.n",
+    "lp1_mean": "x.lp", "lp2_mean": "y.lp", "lp_gap": "x.lp - y.lp", "lp1_var": "x.lv", "len1_mean": "x.ln / 2048", "len2_mean": "y.ln / 2048", "len_gap": "(x.ln - y.ln) / 2048", "trunc1": "x.tr / x.c", "trunc2": "y.tr / y.c", "seed_agree": "coalesce(s.agree, 0.5)",
+}
 
 
 @query(
     "meta_features",
-    f"""{SAMPLE_FEATURES} SELECT a.id, round(a.w / a.tw, 6) AS share1, round(b.w / b.tw, 6) AS share2, round((a.w - b.w) / a.tw, 6) AS w_gap, round((a.c - b.c) / a.tc, 6) AS c_gap, round(a.lp - b.lp, 6) + 0.0 AS lp_gap, round(a.lv, 6) AS len_var1, round(b.lv, 6) AS len_var2, round(a.tr - b.tr, 6) AS trunc_gap, a.u AS n_unique
-  FROM r a JOIN r b ON a.id = b.id AND a.k = 1 AND b.k = 2""",
+    f"""WITH {BALLOTS_SQL}, {tally_sql('t', 'id')}, {tally_sql('o', 'seed, id')}, n AS (SELECT id, count(*) AS n FROM b GROUP BY id), s AS (SELECT o.id, avg((o.ans = t.ans)::INT) AS agree FROM o JOIN t ON o.id = t.id AND o.k = 1 AND t.k = 1 GROUP BY o.id)
+  SELECT x.id, x.ans AS a1, y.ans AS a2, {', '.join(f'round({v}, 6) + 0.0 AS {k}' for k, v in FEATURE_SQL.items())} FROM t x JOIN t y ON x.id = y.id AND x.k = 1 AND y.k = 2 JOIN n ON n.id = x.id LEFT JOIN s ON s.id = x.id""",
 )
 def meta_features(spark, d):
     """Contrast of the two heaviest answers of each contested problem."""
-    t = votes.shifted(ballots(spark, d)).filter(votes.valid()).groupBy("id", "ans").agg(
-        F.min("pos").alias("f"), F.count("*").alias("c"), votes.rounded(votes.weight()).alias("w"), F.avg("logp").alias("lp"), F.var_pop("len").alias("lv"), F.avg(F.col("trunc").cast("int")).alias("tr")
-    )
-    r = t.withColumns({"k": F.row_number().over(votes.by_id().orderBy(F.desc("w"), "f")), "tw": F.sum("w").over(votes.by_id()), "tc": F.sum("c").over(votes.by_id()), "u": F.count("*").over(votes.by_id())}).filter("k <= 2")
-    x = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
-    return r.groupBy("id").agg(
-        F.round(x(1, "w") / F.max("tw"), 6).alias("share1"), F.round(x(2, "w") / F.max("tw"), 6).alias("share2"), F.round((x(1, "w") - x(2, "w")) / F.max("tw"), 6).alias("w_gap"), F.round((x(1, "c") - x(2, "c")) / F.max("tc"), 6).alias("c_gap"),
-        (F.round(x(1, "lp") - x(2, "lp"), 6) + 0.0).alias("lp_gap"), F.round(x(1, "lv"), 6).alias("len_var1"), F.round(x(2, "lv"), 6).alias("len_var2"), F.round(x(1, "tr") - x(2, "tr"), 6).alias("trunc_gap"), F.max("u").alias("n_unique"),
-    ).filter("share2 IS NOT NULL")
+    return selector.features(ballots(spark, d))
+
+
+@query("seed_agreement", f"WITH {BALLOTS_SQL}, {tally_sql('t', 'id')}, {tally_sql('o', 'seed, id')} SELECT o.id, round(avg((o.ans = t.ans)::INT), 6) AS agree FROM o JOIN t ON o.id = t.id AND o.k = 1 AND t.k = 1 GROUP BY o.id")
+def seed_agreement(spark, d):
+    b = ballots(spark, d)
+    top = selector.tally(b).filter("k = 1").select("id", F.col("ans").alias("a1"))
+    return selector.agreement(b, top).select("id", F.round("agree", 6).alias("agree"))

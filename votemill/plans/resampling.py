@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from votemill.operators import resampling, retrieval, rewards, sweeps, votes
-from votemill.plans.evaluation import MEAN, TOKENS, contested, meta_features
+from votemill.operators import resampling, retrieval, rewards, selector, sweeps, votes
+from votemill.plans.evaluation import MEAN, TOKENS
 from votemill.plans.registry import query
 from votemill.plans.voting import RULE_SQL
 from votemill.sources.adapters import BALLOTS_SQL, GOLD_SQL, ballots, gold, table
@@ -132,9 +132,16 @@ def nested_cv(spark, d):
 
 @query("meta_selector")
 def meta_selector(spark, d):
-    """Out-of-fold chance that the second answer of a contested problem is the right one."""
-    rows = meta_features(spark, d).join(contested(spark, d).select("id", F.col("rescued").cast("double").alias("y")), "id").withColumn("fold", (F.col("id") % 5).cast("int"))
-    return resampling.logistic_cv(rows, ["share1", "share2", "w_gap", "c_gap", "lp_gap", "len_var1", "len_var2", "trunc_gap", "n_unique"], "y")
+    """Out-of-fold P(rescue) - P(harm) of flipping each contested problem to its second answer."""
+    rows = selector.utility(selector.features(ballots(spark, d)), gold(spark, d))
+    return selector.two_heads(rows).select("id", "fold", "u", F.round("score", 6).alias("score"))
+
+
+@query("meta_selector_nested")
+def meta_selector_nested(spark, d):
+    """What flipping brings, a fold, with the threshold chosen inside the other folds."""
+    rows = selector.utility(selector.features(ballots(spark, d)), gold(spark, d))
+    return selector.flips(selector.two_heads(rows, thresholds=True))
 
 
 @query("replicator")
