@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from votemill.functions.text import strip
+from votemill.operators.ranges import hash_ranks, running
 
 
 def draw(seed: str, *columns: str) -> Column:
@@ -53,9 +54,8 @@ def sample(rows: DataFrame, n: int, seed: str = "123", key: str = "id") -> DataF
 
 def holdout(rows: DataFrame, fraction: float, seed: str = "42", key: str = "id", keys: tuple[str, ...] = ()) -> DataFrame:
     """rows with `held_out`: the first floor(n * fraction) of each group in hash order."""
-    w = Window.partitionBy(*keys)
-    rank = F.row_number().over(w.orderBy(draw(seed, key), key))
-    return rows.withColumn("held_out", rank <= F.floor(F.count("*").over(w) * fraction))
+    ranked = hash_ranks(rows, draw(seed, key), keys, key)
+    return ranked.select(*rows.columns, (F.col("r_") <= F.floor(F.col("n_") * fraction)).alias("held_out"))
 
 
 def folds(rows: DataFrame, k: int, seed: str = "7", key: str = "id") -> DataFrame:
@@ -73,7 +73,8 @@ def balanced(rows: DataFrame, label: str, cap: int, seed: str = "42", key: str =
     """As many positive as negative rows, cap of each at most."""
     sizes = rows.agg(F.least(F.sum(F.col(label).cast("long")), F.sum((1 - F.col(label)).cast("long")), F.lit(cap)).alias("k_"))
     rank = F.row_number().over(Window.partitionBy(label).orderBy(draw(seed, key), key))
-    return rows.withColumn("r_", rank).join(F.broadcast(sizes)).filter(F.col("r_") <= F.col("k_")).drop("r_", "k_")  # sizes is one row
+    first = rows.withColumn("r_", rank).filter(F.col("r_") <= cap)  # a literal bound, so that tasks keep cap rows a label before the exchange
+    return first.join(F.broadcast(sizes)).filter(F.col("r_") <= F.col("k_")).drop("r_", "k_")  # sizes is one row
 
 
 def rejection_sampled(samples: DataFrame, gold: DataFrame, most: int = 3, head: int = 200) -> DataFrame:
@@ -183,8 +184,8 @@ def fewshot(examples: DataFrame, queries: DataFrame, k: int = 2) -> DataFrame:
 
 def chunked(rows: DataFrame, size: int, key: str = "id") -> DataFrame:
     """chunk and place of each row in runs of `size` by key."""
-    n = F.row_number().over(Window.orderBy(key)) - 1
-    return rows.withColumns({"chunk": F.floor(n / size).cast("int"), "place": (n % size).cast("int")})
+    n = F.col("k_") - 1
+    return running(rows, [F.col(key)], {}, "k_").withColumns({"chunk": F.floor(n / size).cast("int"), "place": (n % size).cast("int")}).drop("k_")
 
 
 HEADER = r"(?m)^#{2,4}\s*ID\s*[:：]\s*(\S+)\s*$"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from votemill.operators.ranges import running
 from votemill.operators.votes import by_id, count, rounded, shifted, valid, weight
 
 
@@ -117,17 +118,21 @@ def histogram(ballots: DataFrame, gold: DataFrame) -> DataFrame:
 def index_quantile(values: DataFrame, column: str, q: float) -> DataFrame:
     """The value at index floor(n q) of the sorted column (no interpolation): counts by value, then a running sum."""
     by_value = values.filter(F.col(column).isNotNull()).groupBy(column).agg(count().alias("n"))
-    order = Window.orderBy(column)
-    run = by_value.select(column, F.sum("n").over(order).alias("upto"), F.sum("n").over(Window.partitionBy()).alias("total"))
-    return run.filter(F.col("upto") > F.floor(F.col("total") * q)).agg(F.min(column).alias("quantile"), F.max("total").alias("n"))
+    run = running(by_value, [F.col(column)], {"upto": F.col("n")})
+    total = by_value.agg(F.sum("n").alias("total"))
+    return run.join(F.broadcast(total)).filter(F.col("upto") > F.floor(F.col("total") * q)).agg(F.min(column).alias("quantile"), F.max("total").alias("n"))  # total: one row
 
 
 def auc(rows: DataFrame, score: str, label: Column, keys: tuple[str, ...] = ()) -> DataFrame:
     """Mann-Whitney AUC with ties at one half, from counts by score: no pair of rows is formed."""
     y = label.cast("long")
     by_score = rows.groupBy(*keys, score).agg(F.sum(y).alias("p"), F.sum(1 - y).alias("q"))
-    below = F.sum("q").over(Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1))
-    won = by_score.withColumn("won", F.col("p") * (F.coalesce(below, F.lit(0)) + F.col("q") / 2))
+    if keys:
+        below = F.coalesce(F.sum("q").over(Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    else:
+        by_score = running(by_score, [F.col(score)], {"upto": F.col("q")})
+        below = F.col("upto") - F.col("q")
+    won = by_score.withColumn("won", F.col("p") * (below + F.col("q") / 2))
     total = won.groupBy(*keys).agg(F.sum("won").alias("won"), F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"))
     pairs = F.col("n_pos") * F.col("n_neg")
     return total.select(*keys, "n_pos", "n_neg", F.round(F.when(pairs > 0, F.col("won") / pairs), 9).alias("auc"))
@@ -135,8 +140,7 @@ def auc(rows: DataFrame, score: str, label: Column, keys: tuple[str, ...] = ())
 
 def gain_curve(rows: DataFrame, score: str) -> DataFrame:
     """Rows by falling score with running counts of rescued and harmed and their difference."""
-    order = Window.orderBy(F.desc(score), "id").rowsBetween(Window.unboundedPreceding, 0)
-    run = rows.withColumns({"k": F.row_number().over(Window.orderBy(F.desc(score), "id")), "rescued_cum": F.sum("rescued").over(order), "harmed_cum": F.sum("harmed").over(order)})
+    run = running(rows, [-F.col(score), F.col("id")], {"rescued_cum": F.col("rescued"), "harmed_cum": F.col("harmed")})
     return run.withColumn("net", F.col("rescued_cum") - F.col("harmed_cum"))
 
 

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from votemill.functions.text import terms
 
 
+#: Query terms that are broadcast at most.
+QUERY_TERMS = 200_000
+
+
 def weights(rows: DataFrame, key: str, text: str) -> DataFrame:
     """key, term, tf with tf = 1 + ln f."""
     return rows.select(key, F.explode(terms(F.col(text))).alias("term")).groupBy(key, "term").agg((1 + F.log(F.count("*"))).alias("tf"))
@@ -22,7 +26,10 @@ def tfidf_topk(pool: DataFrame, asked: DataFrame, k: int = 3, common: float = 0.
     norms = docs.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
     queries = weights(asked, "item_id", "text").join(df, "term").withColumn("q", F.col("tf") * F.col("idf"))
     lengths = queries.groupBy("item_id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qn"))
-    hits = queries.filter(F.col("df") <= n * common).select("item_id", "term", "q").join(docs.select("doc_id", "term", "w"), "term")
+    followed = queries.filter(F.col("df") <= n * common).select("item_id", "term", "q")
+    if followed.limit(QUERY_TERMS + 1).count() <= QUERY_TERMS:
+        followed = F.broadcast(followed)  # postings of other terms then go before any exchange, and no frequent term is one task's
+    hits = followed.join(docs.select("doc_id", "term", "w"), "term")
     scores = hits.groupBy("item_id", "doc_id").agg(F.sum(F.col("q") * F.col("w")).alias("s")).join(norms, "doc_id").join(lengths, "item_id")
     scores = scores.withColumn("score", F.round(F.col("s") / (F.col("dn") * F.col("qn")), 6))
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), F.desc("doc_id")))

@@ -21,12 +21,14 @@ def completer(n: int, idle_ms: int):
             if not done:
                 yield pd.DataFrame({"key": [key[0]], "n": [count], "total": [total], "partial": [True]})
             return
+        latest = state.getCurrentWatermarkMs()
         for rows in batches:
             count += len(rows)
             total += float(rows["value"].sum())
+            latest = max(latest, int(rows["ts_"].max().timestamp() * 1000))
         complete = not done and count >= n
         state.update((count, total, done or complete))
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + idle_ms)
+        state.setTimeoutTimestamp(latest + idle_ms)
         if complete:
             yield pd.DataFrame({"key": [key[0]], "n": [count], "total": [total], "partial": [False]})
 
