@@ -131,11 +131,15 @@ def diversity(pooled: DataFrame) -> DataFrame:
     return pairs.groupBy("fam").agg((1 - F.avg(corr)).alias("diversity"))
 
 
-def specialists(answers: DataFrame, base: str, least: int = 15) -> DataFrame:
-    """Per category and system: size, net gain over the base, and net gain a problem against that of the rest."""
+def specialists(answers: DataFrame, base: str, least: int = 15, splits: int = 3) -> DataFrame:
+    """Per category and system: size, net gain over the base, net gain a problem against that of the rest, and whether the
+    net gains of all `splits` parts of the problems (by id) have the sign of the whole."""
     b = answers.filter(F.col("system") == base).select("id", F.col("ok").alias("b_ok"))
     net = (F.col("ok").cast("int") - F.col("b_ok").cast("int")).cast("long")
-    cells = answers.filter(F.col("system") != base).join(b, "id").groupBy("category", "system").agg(F.count("*").alias("n"), F.sum(net).alias("net"))
+    parts = answers.filter(F.col("system") != base).join(b, "id").groupBy("category", "system", (F.col("id") % splits).alias("part")).agg(F.count("*").alias("n"), F.sum(net).alias("net"))
+    sides = F.min(F.signum("net")).alias("low"), F.max(F.signum("net")).alias("high")
+    cells = parts.groupBy("category", "system").agg(F.sum("n").alias("n"), F.sum("net").alias("net"), *sides)
+    cells = cells.withColumn("agree", (F.col("low") == F.col("high")) & (F.col("low") == F.signum("net")) & (F.col("net") != 0)).drop("low", "high")
     w = Window.partitionBy("system")
     rest = (F.sum("net").over(w) - F.col("net")) / F.nullif(F.sum("n").over(w) - F.col("n"), F.lit(0))
     return cells.withColumn("diff", F.round(F.col("net") / F.col("n") - F.coalesce(rest, F.lit(0.0)), 6)).filter(F.col("n") >= least)

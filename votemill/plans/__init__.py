@@ -6,7 +6,7 @@ import importlib
 
 from votemill.plans import registry
 
-for _name in ("voting", "evaluation", "corpus", "texts", "systems", "contracts", "resampling", "selection", "streams"):
+for _name in ("voting", "evaluation", "corpus", "texts", "systems", "contracts", "resampling", "selection", "streams", "files"):
     importlib.import_module(f"votemill.plans.{_name}")
 
 

@@ -71,8 +71,9 @@ def family_vote(spark, d):
 
 @query(
     "specialist_cells",
-    f"""WITH {A}, c AS (SELECT x.category, x.system, count(*) AS n, sum(x.ok::INT - y.ok::INT)::BIGINT AS net FROM s x JOIN s y ON x.id = y.id AND y.system = 's0' AND x.system <> 's0' GROUP BY ALL)
-  SELECT category, system, n, net, round(net / n - coalesce((sum(net) OVER (PARTITION BY system) - net) / nullif(sum(n) OVER (PARTITION BY system) - n, 0), 0), 6) AS diff FROM c QUALIFY n >= 15""",
+    f"""WITH {A}, p AS (SELECT x.category, x.system, x.id % 3 AS part, count(*) AS n, sum(x.ok::INT - y.ok::INT)::BIGINT AS net FROM s x JOIN s y ON x.id = y.id AND y.system = 's0' AND x.system <> 's0' GROUP BY ALL),
+  c AS (SELECT category, system, sum(n)::BIGINT AS n, sum(net)::BIGINT AS net, sum(net) <> 0 AND min(sign(net)) = max(sign(net)) AND min(sign(net)) = sign(sum(net)) AS agree FROM p GROUP BY category, system)
+  SELECT category, system, n, net, agree, round(net / n - coalesce((sum(net) OVER (PARTITION BY system) - net) / nullif(sum(n) OVER (PARTITION BY system) - n, 0), 0), 6) AS diff FROM c QUALIFY n >= 15""",
 )
 def specialist_cells(spark, d):
     return systems.specialists(by_seed(spark, d), "s0")

@@ -180,3 +180,15 @@ def format_reward(spark, d):
     from votemill.operators.rewards import format_reward as shaped
 
     return shaped(solutions(spark, d), T.extract_answer(F.col("text")), F.lit("5")).select("id", F.round("reward", 6).alias("reward"))
+
+
+@query(
+    "verdict_reason",
+    f"WITH {SOLUTIONS}, x AS (SELECT id, CASE WHEN id % 4 = 0 THEN 'Verdict: YES' || chr(10) || 'REASON:  the ' || repeat('long ', id % 90) || chr(10) || 'more' ELSE text END AS text FROM t), "
+    r"y AS (SELECT id, text, substr(string_split(lower(text), 'verdict:')[-1], 1, 12) AS tail FROM x) "
+    r"SELECT id, CASE WHEN contains(lower(text), 'verdict:') THEN CASE WHEN contains(tail, 'yes') THEN true WHEN contains(tail, 'no') THEN false END END AS verdict, substr(trim(regexp_extract(text, 'REASON:\s*([^\n]*)', 1)), 1, 300) AS reason FROM y",
+)
+def verdict_reason(spark, d):
+    own = F.concat(F.lit("Verdict: YES\nREASON:  the "), F.repeat(F.lit("long "), (F.col("id") % 90).cast("int")), F.lit("\nmore"))
+    rows = solutions(spark, d).withColumn("text", F.when(F.col("id") % 4 == 0, own).otherwise(F.col("text")))
+    return rows.select("id", T.verdict_of(F.col("text")).alias("verdict"), T.reason_of(F.col("text")).alias("reason"))
