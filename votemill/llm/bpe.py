@@ -28,9 +28,9 @@ from votemill.llm.common import in_batches
 
 #: Characters of text that one slice of a column has, and words that the encoder's memo holds.
 CHUNK_CHARS = 1_000_000
-MEMO_WORDS = 800_000
+MEMO_WORDS = 300_000
 #: Rows and bytes of text that the encoder takes at once: the more, the fewer distinct words.
-ENCODE_ROWS, ENCODE_BYTES = 8000, 16 << 20
+ENCODE_ROWS, ENCODE_BYTES = 2000, 4 << 20
 NO_PAIR = np.int64(1 << 62)
 _STOPS = frozenset(".,;:!?")
 #: Characters that are their own normal form and whose classes no version of Unicode changes.
@@ -88,7 +88,10 @@ class WordBpe:
         size = self.lengths[at]
         upto = np.cumsum(size)
         total = int(upto[-1]) if len(upto) else 0
-        return self.flat[np.arange(total) + np.repeat(self.starts[at] - (upto - size), size)], upto
+        kind = np.int32 if max(total, len(self.flat)) < 1 << 31 else np.int64
+        where = np.repeat((self.starts[at] - (upto - size)).astype(kind), size)
+        where += np.arange(total, dtype=kind)
+        return self.flat[where], upto
 
     def _find(self, words: pa.Array) -> np.ndarray:
         """The memo's entries of distinct words; new ones are learned. A full memo keeps those that are asked for now."""
@@ -248,6 +251,15 @@ def parts(column: pa.Array, rows: int = ENCODE_ROWS, limit: int = ENCODE_BYTES)
         a = b
 
 
+def token_slices(off: np.ndarray, limit: int = 500_000) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about limit tokens, one text at least."""
+    a = 0
+    while a < len(off) - 1:
+        b = max(int(np.searchsorted(off, off[a] + limit, "right")) - 1, a + 1)
+        yield a, b
+        a = b
+
+
 def joined(tokens: pa.Array, flat: np.ndarray, off: np.ndarray) -> pa.Array:
     """Of each text, its tokens' strings joined by one space."""
     lists = pa.LargeListArray.from_arrays(pa.array(off, pa.int64()), tokens.take(pa.array(flat)))
@@ -275,14 +287,16 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
         for batch in batches:
             keys = batch.column(0)
             for a, texts in parts(batch.column(1)):
-                flat, off = bpe.encode_column(texts)
-                decoded = joined(tokens, flat, off)
-                if digests:
-                    made = [pa.array(np.diff(off), pa.int64()), sha256(joined(numbers, flat, off)), sha256(decoded)]
-                    names = ["n_tokens", "ids_sha256", "decoded_sha256"]
-                else:
-                    made = [pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat, pa.int32())), decoded.cast(pa.string())]
-                    names = ["ids", "decoded"]
-                yield pa.RecordBatch.from_arrays([keys.slice(a, len(texts)), *made], names=[id_col, *names])
+                every, upto = bpe.encode_column(texts)
+                for b, e in token_slices(upto):
+                    flat, off = every[upto[b] : upto[e]], upto[b : e + 1] - upto[b]
+                    decoded = joined(tokens, flat, off)
+                    if digests:
+                        made = [pa.array(np.diff(off), pa.int64()), sha256(joined(numbers, flat, off)), sha256(decoded)]
+                        names = ["n_tokens", "ids_sha256", "decoded_sha256"]
+                    else:
+                        made = [pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat, pa.int32())), decoded.cast(pa.string())]
+                        names = ["ids", "decoded"]
+                    yield pa.RecordBatch.from_arrays([keys.slice(a + b, e - b), *made], names=[id_col, *names])
 
     return in_batches(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, {columns}", ENCODE_ROWS)
