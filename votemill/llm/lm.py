@@ -333,6 +333,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int")
     dealt = docs.withColumn("g", key).repartition(groups, "g")
     request = dealt.groupBy("g").applyInArrow(ask(buckets), ddl(ASKED))
+    request = request.repartition(-(-ORDER * buckets.n // 2), "bucket")  # about two buckets a task, however many there are
     reply = request.groupBy("bucket").applyInArrow(answer(buckets), ddl(ANSWERED))
     out = dealt.groupBy("g").cogroup(reply.groupBy("g")).applyInArrow(scorer(buckets), ddl(SCORED))
     if repeated:  # in two steps, so that no list is long
