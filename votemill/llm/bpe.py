@@ -73,7 +73,8 @@ class WordBpe:
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern)
-        self.library = Tokenizer.from_file(path)
+        # The library's normal form and classes alone, without its vocabulary.
+        self.library = Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "model": model | {"vocab": {}, "merges": []}}))
         self.byte_of = {c: i for i, c in enumerate(chars)}
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))))
         self.forget()
