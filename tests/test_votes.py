@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from votemill.operators import contracts, votes
+from votemill.operators import contracts, sweeps, votes
 
 HUGE = "9" * 2048
 
@@ -77,7 +77,7 @@ def test_irv_and_ensemble(spark):
     b = spark.createDataFrame([(1, p, r) for p, r in enumerate([["1", "2"], ["1", "2"], ["2", "3"], ["3", "2"], ["3", "2"]])], "id long, pos int, rank array<string>")
     # 2 has one first choice and leaves; its ballot goes to 3, which then has a majority.
     assert winner(votes.instant_runoff(b)) == {1: "3"}
-    assert votes.rule_ensemble(frame(spark, {1: plain(["4", "4", "5"])})).first()["answer"] == "4"
+    assert sweeps.rule_ensemble(frame(spark, {1: plain(["4", "4", "5"])})).first()["answer"] == "4"
 
 
 def ids(n, start=0):
@@ -120,3 +120,4 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], "id long, pos int, ans string, logp double, trunc boolean, len int")
     for rule in votes.RULES.values():
         assert rule(empty).count() == 0
+    assert sweeps.answers(empty, tuple(votes.RULES)).count() == 0
