@@ -106,7 +106,8 @@ def test_bpe_matches_library_on_random_strings(library):
 
 
 def test_bpe_full_memo(monkeypatch, library):
-    monkeypatch.setattr(bpe, "MEMO_WORDS", 50)
+    monkeypatch.setattr(bpe.WordBpe, "memo_words", 50)
+    monkeypatch.setattr(token_store.LibraryBpe, "memo_words", 50)
     rng = random.Random(4)
     texts = [" ".join(f"w{rng.randint(0, 300)}x" for _ in range(30)) for _ in range(40)]
     for coder in (bpe.WordBpe(queries.tokenizer_path()), token_store.LibraryBpe(queries.tokenizer_path())):

@@ -47,6 +47,8 @@ def byte_symbols() -> list[str]:
 class WordBpe:
     """A word-level BPE with word ends, read from a tokenizer's JSON description."""
 
+    memo_words = MEMO_WORDS
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -100,7 +102,7 @@ class WordBpe:
         new = words.filter(at.is_null())
         if not len(new):
             return at.to_numpy()
-        if len(self.known) and len(self.known) + len(new) > MEMO_WORDS:
+        if len(self.known) and len(self.known) + len(new) > self.memo_words:
             here = at.drop_null().to_numpy()
             kept, (ids, _), lengths = words.filter(at.is_valid()), self._gather(here), self.lengths[here]
             self.known, self.flat, self.lengths = kept, ids, lengths

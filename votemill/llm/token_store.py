@@ -31,15 +31,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from votemill.llm.bpe import ENCODE_ROWS, WordBpe, parts
+from votemill.llm.bpe import WordBpe, parts
 from votemill.llm.common import in_batches, materialize, scratch_path
 
 SKIPPABLE = 0x184D2A5E
 ENTRY = struct.Struct("<QQQI")
 TAIL = struct.Struct("<QQQIQBI")
 FRAME_IDS = 1 << 16
-#: New words in one text for the library.
+#: New words in one text for the library; rows and bytes that are encoded at once, and words of the memo.
 MARKED = 2000
+ENCODE_ROWS, ENCODE_BYTES, MEMO_WORDS = 8000, 16 << 20, 800_000
 
 
 class LibraryBpe(WordBpe):
@@ -49,6 +50,8 @@ class LibraryBpe(WordBpe):
     words go to the library many in one text, a special token between them to tell their ids apart.
     """
 
+    memo_words = MEMO_WORDS
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -185,7 +188,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
                 name = f"{shard:06d}-{uuid.uuid4().hex}.tok"
                 sink = fs.open_output_stream(f"{root}/{name}")
                 out = ShardWriter(sink, width)
-            for a, texts in parts(batch.column(1)):
+            for a, texts in parts(batch.column(1), ENCODE_ROWS, ENCODE_BYTES):
                 flat, off = bpe.encode_column(texts)
                 out.add(keys[a : a + len(texts)], np.insert(flat, off[1:], end_id), off + np.arange(len(off)))
         if sink is not None:
