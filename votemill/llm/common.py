@@ -66,6 +66,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that materialize wrote and no later step reads."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if f"{scratch_dir(spark)}/votemill/".split(":", 1)[-1].lstrip("/") in path:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def restrict(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows of df joined to ids on key. ids is broadcast only when it was counted to be small."""
     if ids.count() <= BROADCAST_IDS:

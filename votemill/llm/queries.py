@@ -78,11 +78,23 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from votemill.llm.centroids import clustered
+
+    return clustered(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from votemill.llm.importance import resampled
+
+    return resampled(read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "benchmark", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op5_token_store, op6_quality, op8_mixing, op10_lm, op3_substring_dedup, op2_ngram_join, op4_nearest, op7_toxicity, op9_html)}
+    return {f.__name__: f for f in (op1_bpe, op5_token_store, op6_quality, op8_mixing, op10_lm, op3_substring_dedup, op2_ngram_join, op4_nearest, op7_toxicity, op9_html, op11_centroids, op12_importance)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from votemill.llm import mixing, quality
+    from votemill.llm import centroids, importance, mixing, quality
 
-    return {"op6_quality": quality.SQL, "op8_mixing": mixing.sql()}
+    return {"op6_quality": quality.SQL, "op8_mixing": mixing.sql(), "op11_centroids": centroids.sql(), "op12_importance": importance.sql()}
