@@ -90,8 +90,14 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampled(read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "benchmark", "text"))
 
 
+def op13_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from votemill.llm.langid import languages
+
+    return languages(read_table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op5_token_store, op6_quality, op8_mixing, op10_lm, op3_substring_dedup, op2_ngram_join, op4_nearest, op7_toxicity, op9_html, op11_centroids, op12_importance)}
+    return {f.__name__: f for f in (op1_bpe, op5_token_store, op6_quality, op8_mixing, op10_lm, op3_substring_dedup, op2_ngram_join, op4_nearest, op7_toxicity, op9_html, op11_centroids, op12_importance, op13_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
