@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from votemill.operators import contracts, ranges, resampling, selector, sweeps, systems, votes
 from votemill.sources.adapters import ballots, gold
-from votemill.streaming import completion
+from votemill.streaming import completion, ingest
 
 BALLOT = "id long, pos int, ans string, logp double, trunc boolean, len int, seed long, system string, score double, other long"
 
@@ -192,14 +192,14 @@ def test_groups_are_emitted_once(spark, tmp_path):
         spark.createDataFrame(rows, "key long, value double, ts string").coalesce(1).write.mode("append").json(str(home))
 
     def drain():
-        q = completion.completed(source, "key", 3).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-        q.awaitTermination()
-        return spark.read.schema(completion.OUT).parquet(str(tmp_path / "out"))
+        ingest.drain(completion.completed(source, "key", 3), str(tmp_path / "out"), str(tmp_path / "c"))
+        return ingest.sink_rows(spark, str(tmp_path / "out"), completion.OUT)
 
     put([(1, 1.0, "2024-01-01 00:00:00")] * 2 + [(2, 1.0, "2024-01-01 00:00:00")] * 3 + [(3, 2.0, "2024-01-01 00:00:00")])
     drain()
     put([(1, 1.0, "2024-01-01 00:01:00")] * 2 + [(2, 5.0, "2024-01-01 00:01:00")] * 4)
     got = drain()
-    assert {(r["key"], r["n"], r["partial"]) for r in got.collect()} == {(1, 4, False), (2, 3, False)} and got.count() == 2
-    left = completion.leftovers(spark.read.schema(schema).json(str(home)), got, "key").collect()
-    assert [(r["key"], r["n"], r["total"], r["partial"]) for r in left] == [(3, 1, 2.0, True)]
+    assert {(r["key"], r["n"], r["total"], r["partial"]) for r in got.collect()} == {(1, 3, 3.0, False), (2, 3, 3.0, False)} and got.count() == 2
+    put([(4, 0.0, "2024-01-02 00:00:00")])
+    left = [tuple(r) for r in drain().collect() if r["partial"]]
+    assert left == [(3, 1, 2.0, True)]

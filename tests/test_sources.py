@@ -68,7 +68,7 @@ def test_resume(spark, tmp_path):
     put = lambda name, ids: (tmp_path / "in" / name).write_text("".join(json.dumps({"id": i, "v": 1.0}) + "\n" for i in ids))
     put("a.json", range(40))
     run = lambda ledger: ingest.ingest(spark.readStream.schema(schema).json(str(tmp_path / "in")), sink, str(tmp_path / ledger))
-    count = lambda: spark.read.schema(schema).parquet(sink).count()
+    count = lambda: ingest.sink_rows(spark, sink, schema).count()
     run("c1")
     assert count() == 40
     run("c1")
@@ -78,7 +78,7 @@ def test_resume(spark, tmp_path):
     assert count() == 45
     run("c2")  # the ledger is lost: everything is read again, nothing is written twice
     assert count() == 45
-    assert ingest.todo(spark.range(50).toDF("id"), spark.read.parquet(sink)).count() == 5
+    assert ingest.todo(spark.range(50).toDF("id"), ingest.sink_rows(spark, sink, schema)).count() == 5
 
 
 def test_completion_stream_matches_batch(spark, tmp_path):
@@ -88,9 +88,8 @@ def test_completion_stream_matches_batch(spark, tmp_path):
     late = spark.createDataFrame([(9, 0.0, "2024-01-02 00:00:00")], "key long, value double, at string").select("key", "value", F.to_timestamp("at").alias("ts"))
     late.write.mode("append").parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = completion.completed(source, "key", 3).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = {r["key"]: (r["n"], r["total"], r["partial"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    ingest.drain(completion.completed(source, "key", 3), str(tmp_path / "out"), str(tmp_path / "c"))
+    got = {r["key"]: (r["n"], r["total"], r["partial"]) for r in ingest.sink_rows(spark, str(tmp_path / "out"), completion.OUT).collect()}
     want = {r["key"]: (r["n"], r["total"], r["partial"]) for r in completion.completed_batch(df, "key", 3).collect()}
     assert got[1] == want[1] == (3, 6.0, False)
     assert all(got[k] == want[k] for k in got if k != 9)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from votemill.operators import contracts, systems
 from votemill.plans.registry import query
-from votemill.plans.streams import work
+from votemill.sources.scratch import work
 from votemill.plans.systems import A, by_seed
 from votemill.sources import readers, schemas, writers
 from votemill.sources.adapters import BALLOTS_SQL, ballots, gold, table

@@ -1,8 +1,8 @@
 """Resumable ingestion: micro-batches into an append-only sink, a parameter fingerprint, self-healing resume.
 
-The stream's checkpoint is the ledger of what was read. Sink rows lie in BUCKETS folders by a hash of their key, and a
-batch reads those folders only that its own keys fall in. A batch that is replayed after a failure is harmless, since
-rows whose key the sink already has are left out; the sink is the truth, so a lost ledger heals itself.
+The stream's checkpoint is the ledger of what was read, and its state (in RocksDB, by key) of which keys came. A batch goes to a
+folder of its own and then into a manifest of committed batches, by which the sink is read: a batch that is replayed after a
+failure overwrites itself. No batch reads the sink, unless other runs have written to it: then their keys are left out, so a lost ledger heals itself.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class FingerprintError(ValueError):
@@ -33,41 +34,96 @@ def check_fingerprint(spark: SparkSession, path: str, params: dict, force: bool
         spark.createDataFrame([(json.dumps(params, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
-#: Folders of a sink, and their column.
-BUCKETS, BUCKET = 64, "bucket_"
+#: Columns of a sink's folders: the stream that wrote a batch (the id in its checkpoint) and the batch's number.
+RUN, BATCH = "run_", "batch_"
+ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def sink_rows(spark: SparkSession, path: str, schema) -> DataFrame:
-    """The sink's rows with the columns of schema; the folders' column is among them only if it is asked for."""
+def manifest(sink: str) -> str:
+    return f"{sink.rstrip('/')}-manifest"
+
+
+def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
     try:
-        rows = spark.read.schema(schema).parquet(path)
-        return rows if BUCKET in str(schema) else rows.drop(BUCKET)
+        return spark.read.schema(schema).parquet(path)
     except Exception as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
         return spark.createDataFrame([], schema)
 
 
-def append_new(sink: str, key: str, buckets: int = BUCKETS):
-    """A foreachBatch function: append the batch's first row of each key that the sink does not have."""
+def committed(spark: SparkSession, sink: str) -> DataFrame:
+    """run_, batch_ and rows of every committed batch."""
+    return read_or_empty(spark, manifest(sink), f"rows long, {RUN} string, {BATCH} long")
+
+
+def sink_rows(spark: SparkSession, sink: str, schema) -> DataFrame:
+    """The rows of the sink's committed batches, with the columns of schema."""
+    kinds = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    names = [c for c in kinds.fieldNames() if c not in (RUN, BATCH)]
+    rows = read_or_empty(spark, sink, T.StructType([kinds[c] for c in names]).add(RUN, T.StringType()).add(BATCH, T.LongType()))
+    return rows.join(F.broadcast(committed(spark, sink).select(RUN, BATCH)), [RUN, BATCH], "left_semi").select(*kinds.fieldNames())  # a row a batch
+
 
-    def write(batch: DataFrame, _: int) -> None:
-        rows = batch.dropDuplicates([key]).withColumn(BUCKET, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-        touched = [r[0] for r in rows.select(BUCKET).distinct().collect()]  # `buckets` numbers at most
-        have = sink_rows(batch.sparkSession, sink, rows.schema).filter(F.col(BUCKET).isin(touched)).select(BUCKET, key)
-        new = rows.join(have, [BUCKET, key], "left_anti").select(*rows.columns)
-        new.repartition(BUCKET).write.mode("append").partitionBy(BUCKET).parquet(sink)
+def run_of(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark gave the stream of a checkpoint; streams of other checkpoints have others."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
+def commit(sink: str, checkpoint: str, before=None):
+    """A foreachBatch function: a batch's rows go to a folder of its own, then its number into the manifest.
+
+    A batch that comes again after a failure overwrites its folder; rows count once the manifest names their batch.
+    before(batch, run): what is done to the batch's rows first.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        run = run_of(spark, checkpoint)
+        rows = before(batch, run) if before else batch
+        rows.write.mode("overwrite").parquet(f"{sink}/{RUN}={run}/{BATCH}={number}")
+        n = spark.read.schema(rows.schema).parquet(f"{sink}/{RUN}={run}/{BATCH}={number}").count()
+        spark.range(1).select(F.lit(n).alias("rows")).coalesce(1).write.mode("overwrite").parquet(f"{manifest(sink)}/{RUN}={run}/{BATCH}={number}")
 
     return write
 
 
-def ingest(source: DataFrame, sink: str, checkpoint: str, key: str = "id"):
-    """Drain a streaming source into the sink; returns when all that is there has been written."""
-    query = source.writeStream.foreachBatch(append_new(sink, key)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drain(rows: DataFrame, sink: str, checkpoint: str, before=None, mode: str = "append"):
+    """Write all that a stream's source has now into the sink, batch by batch; returns the ended query."""
+    rows.sparkSession.conf.set(*ROCKS)
+    query = rows.writeStream.foreachBatch(commit(sink, checkpoint, before)).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
 
+def put(rows: DataFrame, sink: str, run: str = "batch") -> None:
+    """Append a table to the sink as one committed batch that no stream wrote."""
+    number = committed(rows.sparkSession, sink).filter(F.col(RUN) == run).count()
+    rows.write.mode("overwrite").parquet(f"{sink}/{RUN}={run}/{BATCH}={number}")
+    rows.sparkSession.range(1).select(F.lit(rows.sparkSession.read.schema(rows.schema).parquet(f"{sink}/{RUN}={run}/{BATCH}={number}").count()).alias("rows")).coalesce(1).write.mode("overwrite").parquet(f"{manifest(sink)}/{RUN}={run}/{BATCH}={number}")
+
+
+def new_only(sink: str, key: str):
+    """Leaves out rows whose key the sink has from other runs: the stream's own state knows the keys of its own run.
+
+    The other runs' keys are read only if there are such runs, which is when a ledger was lost or rows were put by hand.
+    """
+
+    def left(batch: DataFrame, run: str) -> DataFrame:
+        spark = batch.sparkSession
+        if committed(spark, sink).filter(F.col(RUN) != run).isEmpty():
+            return batch
+        have = sink_rows(spark, sink, T.StructType([batch.schema[key]]).add(RUN, T.StringType())).filter(F.col(RUN) != run)
+        return batch.join(have.select(key).distinct(), key, "left_anti").select(*batch.columns)
+
+    return left
+
+
+def ingest(source: DataFrame, sink: str, checkpoint: str, key: str = "id"):
+    """Drain a streaming source into the sink, one row a key; returns when all that is there has been written."""
+    return drain(source.dropDuplicates([key]), sink, checkpoint, new_only(sink, key))
+
+
 def todo(want: DataFrame, sink: DataFrame, key: str = "id") -> DataFrame:
     """What the sink still lacks, whatever a ledger says."""
     return want.join(sink.select(key), key, "left_anti")
