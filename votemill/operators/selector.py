@@ -1,23 +1,26 @@
 """Choosing between a problem's two heaviest answers: contrast features, a two-headed utility, nested thresholds.
 
-The heads are logistic regressions fitted on the driver to `most` contested problems at most (a documented bound, the
-smallest hashes of their ids); scores of all problems are column expressions of the fitted weights. Problems of a fold
-are scored by weights that were fitted without them.
+The heads are logistic regressions with a ridge, fitted to all contested problems by Newton's steps from sums over the rows (no
+row reaches the driver); scores are column expressions of the fitted weights. Problems of a fold are scored by weights that were fitted
+without them.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from votemill.operators.votes import by_id, rounded, shifted, valid, weight
+from votemill.sources.scratch import written
 
 COLUMNS = (
     "w_share1", "w_share2", "w_gap", "w_ratio", "c_share1", "c_gap", "n_distinct", "lp1_mean", "lp2_mean", "lp_gap", "lp1_var",
     "len1_mean", "len2_mean", "len_gap", "trunc1", "trunc2", "seed_agree",
 )
-MOST, EPOCHS, RATE, L2 = 20_000, 400, 0.35, 1e-3
+#: Ridge, Newton's steps, bound of a margin, and the deviation up to which a column counts as constant.
+L2, STEPS, CLIP, SAME = 1e-3, 8, 30.0, 1e-9
 LENGTH = 2048.0
 
 
@@ -61,67 +64,89 @@ def utility(rows: DataFrame, gold: DataFrame) -> DataFrame:
     return rows.join(gold.select("id", "gold"), "id").withColumn("u", u).drop("gold")
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    w = np.zeros(x.shape[1])
-    for _ in range(EPOCHS):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w -= RATE * (x.T @ (p - y) / max(1, len(y)) + L2 * w)
-    return w
-
-
-def heads(x: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weights for rescue and for harm; problems where neither answer is right teach nothing."""
-    some = u != 0
-    return logistic(x[some], (u[some] == 1) * 1.0), logistic(x[some], (u[some] == -1) * 1.0)
-
-
-def chance(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-
-
-def threshold(x: np.ndarray, u: np.ndarray, fold: np.ndarray, folds: int = 4) -> float:
-    """The score from which flipping pays most, by scores from outside each inner fold; 1 (no flip) if none pays."""
-    score = np.zeros(len(u))
-    for k in range(folds):
-        out = fold == k
-        if out.any():
-            a, b = heads(x[~out], u[~out])
-            score[out] = chance(x[out], a) - chance(x[out], b)
-    order = np.argsort(-score, kind="stable")
-    cut = np.unique(np.round(score, 3))[::-1]
-    net = np.concatenate([[0], np.cumsum(u[order])])[np.searchsorted(-score[order], -cut, "right")]
-    return float(cut[np.argmax(net)]) if len(cut) and net.max() > 0 else 1.0
-
-
-def standardised(rows: DataFrame) -> DataFrame:
-    """rows with COLUMNS as standard scores over all of them."""
+def prepared(rows: DataFrame, folds: int = 5, inner: int = 4) -> DataFrame:
+    """id, fold, inner, u and x: COLUMNS as standard scores over all rows, and 1. rows: id, u and COLUMNS."""
     stats = rows.agg(*[f(c).alias(f"{n}_{c}") for c in COLUMNS for n, f in (("m", F.avg), ("s", F.stddev_pop))])
-    score = lambda c: (F.col(c) - F.col(f"m_{c}")) / F.when(F.col(f"s_{c}") > 0, F.col(f"s_{c}")).otherwise(1.0)
-    return rows.join(F.broadcast(stats)).select("id", "a1", "a2", "u", *[score(c).alias(c) for c in COLUMNS])  # stats: one row
-
-
-def two_heads(rows: DataFrame, folds: int = 5, inner: int = 4, most: int = MOST, thresholds: bool = False) -> DataFrame:
-    """id, fold, u, score = P(rescue) - P(harm) from outside the fold; with thresholds, flip: the score reaches the threshold
-    that was best inside the other folds. rows: id, a1, a2, u and COLUMNS."""
-    rows = standardised(rows).withColumn("fold", (F.col("id") % folds).cast("int"))
-    place = F.xxhash64("id")
-    sample = np.array([list(map(float, r)) for r in rows.orderBy(place, "id").limit(most).select("id", "fold", "u", *COLUMNS).collect()]).reshape(-1, 3 + len(COLUMNS))
-    x, u, fold = np.column_stack([sample[:, 3:], np.ones(len(sample))]), sample[:, 2], sample[:, 1]
-    nested = (sample[:, 0] // folds) % inner
-    score, cut = F.lit(None).cast("double"), F.lit(None).cast("double")
-    for k in range(folds):
-        train = fold != k
-        a, b = heads(x[train], u[train])
-        score = F.when(F.col("fold") == k, expected(a) - expected(b)).otherwise(score)
-        if thresholds:
-            cut = F.when(F.col("fold") == k, threshold(x[train], u[train], nested[train], inner)).otherwise(cut)
-    out = rows.select("id", "fold", "u", score.alias("score"), cut.alias("cut"))
-    return out.select("id", "fold", "u", "score", *([(F.col("score") >= F.col("cut")).alias("flip")] if thresholds else []))
-
-
-def expected(w: np.ndarray) -> Column:
-    z = sum((F.col(c) * float(v) for c, v in zip(COLUMNS, w)), F.lit(float(w[-1])))
-    return 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))))
+    score = lambda c: (F.col(c) - F.col(f"m_{c}")) / F.when(F.col(f"s_{c}") > SAME, F.col(f"s_{c}")).otherwise(1.0)
+    x = F.array(*[score(c) for c in COLUMNS], F.lit(1.0))
+    scaled = rows.join(F.broadcast(stats))  # stats: one row
+    return scaled.select("id", (F.col("id") % folds).cast("int").alias("fold"), (F.floor(F.col("id") / folds) % inner).cast("int").alias("inner"), "u", x.alias("x"))
+
+
+def newton(rows: DataFrame, fits: list[tuple[int, int | None]], steps: int = STEPS) -> np.ndarray:
+    """Weights of the logistic regressions of u = 1 against u = -1, one for each fit (fold, inner): over the rows outside both.
+
+    A step sends, for each task and fit, the sums of q x x' and of (p - y) x over the task's rows, which add up; the driver solves one
+    system of len(x) equations a fit. No row reaches the driver, and each step reads the table once for all fits.
+    """
+    size = len(COLUMNS) + 1
+    weights = np.zeros((len(fits), size))
+
+    def sums(batches):
+        total, n = np.zeros((len(fits), size, size + 1)), np.zeros(len(fits))
+        for batch in batches:
+            u, fold, own = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("u", "fold", "inner"))
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(len(u), size)
+            for f, (k, j) in enumerate(fits):
+                at = (u != 0) & (fold != k) & ((own != j) if j is not None else True)
+                xs = x[at]
+                p = 1 / (1 + np.exp(-np.clip(xs @ weights[f], -CLIP, CLIP)))
+                total[f, :, :size] += xs.T @ (xs * (p * (1 - p))[:, None])
+                total[f, :, size] += xs.T @ (p - (u[at] == 1))
+                n[f] += at.sum()
+        values = pa.array(list(np.column_stack([total.reshape(len(fits), -1), n])), pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(fits)), pa.int32()), values], names=["fit", "s"])
+
+    for _ in range(steps):
+        parts = rows.select("u", "fold", "inner", "x").mapInArrow(sums, "fit int, s array<double>")
+        found = parts.select("fit", F.posexplode("s").alias("i", "v")).groupBy("fit", "i").agg(F.sum("v").alias("v")).collect()  # fits * size * (size + 1) numbers
+        whole = np.zeros((len(fits), size * (size + 1) + 1))
+        for r in found:
+            whole[r["fit"], r["i"]] = r["v"]
+        for f in range(len(fits)):
+            m, n = whole[f, :-1].reshape(size, size + 1), whole[f, -1]
+            if n:
+                weights[f] -= np.linalg.solve(m[:, :size] / n + L2 * np.eye(size), m[:, size] / n + L2 * weights[f])
+    return weights
+
+
+def expected(weights: Column) -> Column:
+    """P(rescue) - P(harm) of x by weights (arrays): one head is the other's mirror, as neutral rows teach neither."""
+    z = F.aggregate(F.zip_with("x", weights, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    return F.round(2 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-CLIP)), F.lit(CLIP)))) - 1, 9)
+
+
+def thresholds(rows: DataFrame, weights: np.ndarray, fits: list[tuple[int, int | None]], folds: int) -> dict[int, int]:
+    """For each fold the threshold, in thousandths, from which flipping pays most by the scores of the other folds' inner fits; 1000 if none pays."""
+    table = F.array(*[F.array(*map(F.lit, w.tolist())) for w in weights])
+    place = F.create_map(*[v for f, (k, j) in enumerate(fits) if j is not None for v in (F.lit(f"{k},{j}"), F.lit(f))])
+    each = rows.withColumn("k", F.explode(F.array_remove(F.array(*map(F.lit, range(folds))), F.col("fold"))))
+    scored = each.select("k", "u", expected(table[place[F.concat_ws(",", "k", "inner")]]).alias("score"))
+    cells = scored.groupBy("k", F.floor(F.col("score") * 1000).alias("cell")).agg(F.sum("u").alias("u"), F.max(F.round(F.col("score") * 1000)).alias("high"), F.min(F.round(F.col("score") * 1000)).alias("low")).collect()
+    best = {}
+    for k in range(folds):  # 2,001 cells a fold at most
+        own = [r for r in cells if r["k"] == k]
+        gain, found = 0, 1000
+        for c in sorted({int(v) for r in own for v in (r["high"], r["low"])}, reverse=True):
+            net = sum(r["u"] for r in own if r["cell"] >= c)
+            if net > gain:
+                gain, found = net, c
+        best[k] = found
+    return best
+
+
+def two_heads(rows: DataFrame, folds: int = 5, inner: int = 4, nested: bool = False) -> DataFrame:
+    """id, fold, u, score = P(rescue) - P(harm) by a fit outside the fold; nested: and flip, whether the score reaches the threshold
+    that was best inside the other folds. rows: id, u and COLUMNS."""
+    rows = written(prepared(rows, folds, inner))
+    fits = [(k, None) for k in range(folds)] + [(k, j) for k in range(folds) for j in range(inner) if nested]
+    weights = newton(rows, fits)
+    own = F.array(*[F.array(*map(F.lit, w.tolist())) for w in weights[:folds]])[F.col("fold")]
+    out = rows.select("id", "fold", "u", expected(own).alias("score"))
+    if not nested:
+        return out
+    cut = F.array(*[F.lit(c) for _, c in sorted(thresholds(rows, weights, fits, folds).items())])[F.col("fold")]
+    return out.withColumn("flip", F.col("score") * 1000 >= cut)
 
 
 def flips(scored: DataFrame) -> DataFrame:

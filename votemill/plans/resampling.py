@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from votemill.operators import resampling, retrieval, rewards, selector, sweeps, votes
 from votemill.plans.evaluation import MEAN, TOKENS
+from votemill.plans import registry
 from votemill.plans.registry import query
 from votemill.plans.voting import RULE_SQL
 from votemill.sources.adapters import BALLOTS_SQL, GOLD_SQL, ballots, gold, table
@@ -130,18 +131,54 @@ def nested_cv(spark, d):
     return resampling.nested_selection(won.select("id", "rule", (F.col("answer") == F.col("gold")).cast("long").alias("ok"), (F.col("id") % 5).cast("int").alias("fold")))
 
 
-@query("meta_selector")
+def newton_sql(folds: int = 5, inner: int = 4, nested: bool = False) -> str:
+    """Fits of the two heads in SQL: x (standard scores), then for each step sums over rows and one elimination a fit; w<STEPS> has the weights."""
+    size, columns = len(selector.COLUMNS) + 1, selector.COLUMNS
+    scaled = ", ".join(f"(f.{c} - m_{c}) / CASE WHEN s_{c} > {selector.SAME} THEN s_{c} ELSE 1 END" for c in columns)
+    pick = "[" + ", ".join(f"[{', '.join(f'h{min(i, j)}_{max(i, j)} / n' + (f' + {selector.L2}' if i == j else '') for j in range(size))}, g{i} / n + {selector.L2} * w[{i + 1}]]" for i in range(size)) + "]"
+    at = "e[1][1]::INT"
+    pivot = f"list_transform(range(1, {size + 1}), lambda i: CASE WHEN i = {at} THEN list_transform(a[i], lambda v: v / a[i][i]) ELSE list_transform(list_zip(a[i], a[{at}]), lambda z: z[1] - a[i][{at}] / a[{at}][{at}] * z[2]) END)"
+    solved = f"list_reduce([{pick}, {', '.join(f'[[{p}.0::DOUBLE]]' for p in range(1, size + 1))}], lambda a, e: {pivot})"
+    fits = f"SELECT k::INT AS k, NULL::INT AS j FROM range({folds}) t(k)" + (f" UNION ALL SELECT k, j FROM range({folds}) t(k), range({inner}) s(j)" if nested else "")
+    parts = [
+        f"m AS ({registry.SQL['meta_features']})",
+        "f AS (SELECT m.*, CASE WHEN a1 = gold THEN -1 WHEN a2 = gold THEN 1 ELSE 0 END AS u FROM m JOIN g USING (id))",
+        f"st AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in columns)} FROM f)",
+        f"x AS MATERIALIZED (SELECT id, (id % {folds})::INT AS fold, ((id // {folds}) % {inner})::INT AS own, u, [{scaled}, 1.0]::DOUBLE[] AS x FROM f, st)",
+        f"w0 AS (SELECT k, j, list_transform(range({size}), lambda i: 0.0::DOUBLE) AS w FROM ({fits}))",
+    ]
+    for t in range(selector.STEPS):
+        h = ", ".join(f"sum(q * x[{i + 1}] * x[{j + 1}]) AS h{i}_{j}" for i in range(size) for j in range(i, size))
+        g = ", ".join(f"sum((p - y) * x[{i + 1}]) AS g{i}" for i in range(size))
+        margin = f"least(greatest(list_dot_product(x, w), -{selector.CLIP}), {selector.CLIP})"
+        parts.append(f"p{t} AS (SELECT k, j, w, x, (u = 1)::INT AS y, 1 / (1 + exp(-{margin})) AS p, p * (1 - p) AS q FROM x JOIN w{t} ON fold <> k AND (j IS NULL OR own <> j) WHERE u <> 0)")
+        parts.append(f"h{t} AS (SELECT k, j, any_value(w) AS w, count(*) AS n, {h}, {g} FROM p{t} GROUP BY k, j)")
+        parts.append(f"w{t + 1} AS MATERIALIZED (SELECT k, j, list_transform(list_zip(w, {solved}), lambda z: z[1] - z[2][{size + 1}]) AS w FROM h{t})")
+    score = f"round(2 / (1 + exp(-least(greatest(list_dot_product(x, w), -{selector.CLIP}), {selector.CLIP}))) - 1, 9)"
+    parts.append(f"o AS (SELECT id, fold, u, {score} AS score FROM x JOIN w{selector.STEPS} ON fold = k AND j IS NULL)")
+    if nested:
+        parts.append(f"i AS (SELECT k, u, {score} AS score FROM x JOIN w{selector.STEPS} ON fold <> k AND own = j)")
+        parts.append("c AS (SELECT k, cut, coalesce(sum(u) FILTER (floor(score * 1000) >= cut), 0) AS net FROM i JOIN (SELECT DISTINCT k, round(score * 1000) AS cut FROM i) USING (k) GROUP BY k, cut)")
+        parts.append("b AS (SELECT k, CASE WHEN max(net) > 0 THEN arg_max(cut, (net, cut)) ELSE 1000 END AS cut FROM c GROUP BY k)")
+    return f"WITH {GOLD_SQL}, {', '.join(parts)}"
+
+
+@query("meta_selector", f"{newton_sql()} SELECT id, fold, u, round(score, 6) AS score FROM o")
 def meta_selector(spark, d):
     """Out-of-fold P(rescue) - P(harm) of flipping each contested problem to its second answer."""
     rows = selector.utility(selector.features(ballots(spark, d)), gold(spark, d))
     return selector.two_heads(rows).select("id", "fold", "u", F.round("score", 6).alias("score"))
 
 
-@query("meta_selector_nested")
+@query(
+    "meta_selector_nested",
+    f"""{newton_sql(nested=True)} SELECT fold, count(*) FILTER (score * 1000 >= cut) AS flips, count(*) FILTER (score * 1000 >= cut AND u = 1) AS rescued,
+  count(*) FILTER (score * 1000 >= cut AND u = -1) AS harmed, coalesce(sum(u) FILTER (score * 1000 >= cut), 0)::BIGINT AS net FROM o JOIN b ON fold = k GROUP BY fold""",
+)
 def meta_selector_nested(spark, d):
     """What flipping brings, a fold, with the threshold chosen inside the other folds."""
     rows = selector.utility(selector.features(ballots(spark, d)), gold(spark, d))
-    return selector.flips(selector.two_heads(rows, thresholds=True))
+    return selector.flips(selector.two_heads(rows, nested=True))
 
 
 @query("replicator")
