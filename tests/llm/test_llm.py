@@ -105,6 +105,17 @@ def test_bpe_matches_library_on_random_strings(library):
             assert got == want
 
 
+def test_bpe_composes_before_lower_case(library):
+    """Every capital with every combining mark, alone, inside a word and behind another mark."""
+    marks = [chr(c) for c in itertools.chain(range(0x300, 0x370), range(0x1AB0, 0x1AFF), range(0x1DC0, 0x1E00), range(0x20D0, 0x20F1), range(0xFE20, 0xFE30))]
+    texts = [t for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for m in marks for t in (a + m, f"x{a}{m}y {a}{m}\u0301", f"{a}\u0323{m}b")]
+    texts += ["H\u0331 T\u0308 W\u030a Y\u030a J\u030c", "aH\u0331b Tot\u0308T\u0308t", "Plain WORDS and H\u0331ere"]
+    want = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    for coder in (bpe.WordBpe(queries.tokenizer_path()), token_store.LibraryBpe(queries.tokenizer_path())):
+        flat, off = coder.encode_batch(texts)
+        assert [flat[s:e].tolist() for s, e in zip(off[:-1], off[1:])] == want
+
+
 def test_bpe_full_memo(monkeypatch, library):
     monkeypatch.setattr(bpe.WordBpe, "memo_words", 50)
     monkeypatch.setattr(token_store.LibraryBpe, "memo_words", 50)

@@ -44,6 +44,10 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+#: A capital that the normal form may join to a mark; that comes before lower case, and some letters join in lower case only.
+MARKED_CAPITAL = r"[A-Z]\p{M}"
+
+
 class WordBpe:
     """A word-level BPE with word ends, read from a tokenizer's JSON description."""
 
@@ -199,7 +203,8 @@ class WordBpe:
         """
         texts = pc.fill_null(column, "")
         if not pc.any(pc.match_substring(texts, "<|")).as_py():  # special tokens are told apart by case
-            texts = pc.ascii_lower(texts)
+            marked = pc.match_substring_regex(texts, MARKED_CAPITAL)
+            texts = pc.if_else(marked, texts, pc.ascii_lower(texts)) if pc.any(marked).as_py() else pc.ascii_lower(texts)
         words = pc.ascii_split_whitespace(texts)
         coded = words.flatten().dictionary_encode()
         at = self._find(coded.dictionary)
