@@ -499,6 +499,20 @@ def test_token_store_round_trip(spark, docs, odd, library, tmp_path):
         list(token_store.ShardReader(source).frame(0))
 
 
+def test_token_store_splits_equal_ids(spark, library, tmp_path):
+    """A third of the rows without an id and a third of one id, half of them equal: shards hold like numbers of rows."""
+    rows_ = [(None, f"a text {i}") for i in range(600)] + [(7, "one text" if i % 2 else f"text {i}") for i in range(600)] + [(100 + i, "some text") for i in range(600)]
+    frame, folder = spark.createDataFrame(rows_, "doc_id long, text string").repartition(6), str(tmp_path / "shards")
+    shards = token_store.write_shards(frame, folder, queries.tokenizer_path(), 2)
+    sizes = [r["n_docs"] for r in shards.collect()]
+    assert len(sizes) > 1 and max(sizes) <= 2 * np.median(sizes)
+    got = sorted(token_store.read_shards(shards, folder).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [i for i, _ in sorted(rows_, key=lambda x: (x[0] is not None, x[0] or 0))]
+    want = Counter((i, zlib.crc32(np.array(library.encode(t, add_special_tokens=False).ids + [2], "<u4").tobytes())) for i, t in rows_)
+    assert Counter((r["doc_id"], r["ids_crc32"]) for r in got) == want
+    assert all(b["start"] == a["start"] + a["n_tokens"] for a, b in zip(got, got[1:]))
+
+
 def test_token_store_empty(empty):
     assert token_store.token_store(empty, queries.tokenizer_path(), 2).count() == 0
 

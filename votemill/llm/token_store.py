@@ -172,7 +172,7 @@ class ShardReader:
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode, append end_id and write in ascending id order, a shard a range of ids. Returns one row a shard.
+    """Encode, append end_id and write in ascending order of id (then of a hash of the text), a shard a range of it. Returns one row a shard.
 
     A shard's name is unique to the attempt that wrote it; only those of attempts that finished are listed.
     """
@@ -197,7 +197,9 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "name": [name], "n_docs": [len(out.ids)], "n_tokens": [out.tokens]})
 
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = ordered.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions("doc_id", "text")
+    ordered = ordered.withColumns({"hash_": F.xxhash64("text"), "row_": F.monotonically_increasing_id()})  # equal ids, and equal rows, lie in many shards
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash_"), F.col("row_")]
+    ordered = ordered.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     return materialize(in_batches(ordered, run, "shard int, name string, n_docs long, n_tokens long", ENCODE_ROWS), "shards")
 
 
