@@ -503,7 +503,9 @@ def test_token_store_splits_equal_ids(spark, library, tmp_path):
     """A third of the rows without an id and a third of one id, half of them equal: shards hold like numbers of rows."""
     rows_ = [(None, f"a text {i}") for i in range(600)] + [(7, "one text" if i % 2 else f"text {i}") for i in range(600)] + [(100 + i, "some text") for i in range(600)]
     frame, folder = spark.createDataFrame(rows_, "doc_id long, text string").repartition(6), str(tmp_path / "shards")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small as it is, the table would be one shard
     shards = token_store.write_shards(frame, folder, queries.tokenizer_path(), 2)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     sizes = [r["n_docs"] for r in shards.collect()]
     assert len(sizes) > 1 and max(sizes) <= 2 * np.median(sizes)
     got = sorted(token_store.read_shards(shards, folder).collect(), key=lambda r: r["start"])
