@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -9,7 +10,8 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from votemill.operators import contracts, ranges, resampling, selector, sweeps, systems, votes
+from votemill.functions import text
+from votemill.operators import contracts, ranges, resampling, retrieval, selector, sweeps, systems, votes
 from votemill.sources.adapters import ballots, gold
 from votemill.streaming import completion, ingest
 
@@ -171,6 +173,47 @@ def test_selector_without_lessons(spark):
     assert selector.two_heads(rows.limit(0)).count() == 0
 
 
+def plain_topk(pool, asked, k, common=0.25):
+    words = lambda t: [w for w in re.findall("[a-z]{2,}", t.lower()) if w not in text.STOP]
+    n, docs = len(pool), {i: Counter(words(t)) for i, t in pool}
+    df = Counter(w for c in docs.values() for w in c)
+    weigh = lambda c: {w: (1 + math.log(f)) * (math.log((n + 1) / (df[w] + 1)) + 1) for w, f in c.items() if w in df}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    docs = {i: weigh(c) for i, c in docs.items()}
+    out = set()
+    for q, t in asked:
+        v = weigh(Counter(words(t)))
+        scores = {}
+        for i, d in docs.items():
+            s = sum(x * d[w] for w, x in v.items() if w in d and df[w] <= n * common)
+            if s:
+                scores[i] = round(s / norm(d) / norm(v), 6)
+        out |= {(q, r + 1, i, s) for r, (s, i) in enumerate(sorted(((s, i) for i, s in scores.items()), reverse=True)[:k])}
+    return out
+
+
+@pytest.mark.parametrize("block", [1, 4, 128])
+def test_topk_opens_what_it_needs(spark, block):
+    """Blocks that cannot reach the k best stay closed, and the rows are those of all lists; ties and copies included."""
+    rng = random.Random(block)
+    vocabulary = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrt"]
+    draw = lambda n: " ".join(vocabulary[min(int(rng.expovariate(0.05)), len(vocabulary) - 1)] for _ in range(n))
+    asked = [(i, draw(6)) for i in range(12)]
+    pool = [(i, draw(rng.randint(3, 30))) for i in range(700)] + [(1000 + 10 * i + j, t + " " + draw(2)) for i, t in asked for j in range(3)] + [(2000 + j, asked[0][1]) for j in range(5)]
+    best, report = retrieval.topk(spark.createDataFrame(pool, "doc_id long, text string"), spark.createDataFrame(asked, "item_id long, text string"), 3, 0.25, block)
+    assert {tuple(r) for r in best.collect()} == plain_topk(pool, asked, 3)
+    opened, postings = report.agg(F.sum("opened"), F.sum("postings")).first()
+    assert 0 < opened <= postings and (block > 4 or opened < 0.75 * postings)
+
+
+def test_topk_of_few_and_of_none(spark):
+    docs = "doc_id long, text string"
+    pool, asked = [(1, "alpha beta"), (2, "gamma"), (3, None), (4, ""), (5, "alpha gamma delta"), (6, "omega")], [(1, "alpha gamma"), (2, ""), (3, "unknown words")]
+    found = lambda p: {tuple(r) for r in retrieval.tfidf_topk(spark.createDataFrame(p, docs), spark.createDataFrame(asked, "item_id long, text string"), 3, 1.0).collect()}
+    assert found(pool) == plain_topk([(i, t or "") for i, t in pool], asked, 3, 1.0)
+    assert found([]) == set()
+
+
 def test_greedy_cover(spark):
     rng = random.Random(7)
     solved = {s: {i for i in range(80) if rng.random() < 0.2} for s in "abcdefg"}

@@ -1,6 +1,8 @@
 """Readers, writers, resume and streaming on small files."""
 
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -47,7 +49,7 @@ def test_maps_blocks_and_sinks(spark, tmp_path):
     (tmp_path / "t.txt").write_text("intro\n## ID: a\none \\boxed{1}\n### ID： b\ntwo\n## ID: a\nagain\n")
     blocks = corpus.teacher_blocks(readers.blocks(spark, str(tmp_path / "t.txt")))
     assert [(r["id"], r["solution"]) for r in blocks.orderBy("place").collect()] == [("a", "one \\boxed{1}"), ("b", "two"), ("a", "again")]
-    assert readers.count_headers(spark, str(tmp_path / "t.txt")) == 2
+    assert readers.count_headers(spark, str(tmp_path / "t.txt")).first()["n"] == 2
     rows = spark.createDataFrame([(i, f"q{i}", str(i)) for i in range(5)], "id long, question string, answer string")
     writers.chunks(rows, str(tmp_path / "chunks"), str(tmp_path / "keys"), 2)
     text = spark.read.text(str(tmp_path / "chunks"))
@@ -56,6 +58,31 @@ def test_maps_blocks_and_sinks(spark, tmp_path):
     assert json.loads(spark.read.text(str(tmp_path / "m")).first()[0]) == {"acc": 0.5}
 
 
+def test_blocks_of_split_files(spark, tmp_path):
+    """One file in many splits gives the blocks of a plain reading, wherever the splits fall."""
+    rng = random.Random(2)
+    lines = ["before ## ID: no", "", *(rng.choice(["## ID: a{0}", "### ID： b{0}", "#### ID :c{0}", "## Notes {0}", "# ID: x", "text {0}", "", "## ID: two words", "##ID:d{0}  "]).format(i) for i in range(3000))]
+    text = "\n".join(lines) + "\n## ID: last"
+    for name in ("one", "two"):
+        (tmp_path / f"{name}.txt").write_text(text)
+    head = re.compile(r"(?m)^#{2,4}\s*ID\s*[:：]\s*(\S+)[^\S\n]*$")
+    hits = list(head.finditer(text))
+    want = [(m.group(1), text[m.end() : n.start() if n else len(text)].strip()) for m, n in zip(hits, [*hits[1:], None])]
+    for size in ("700", "5000", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            found = readers.blocks(spark, str(tmp_path / "*.txt"))
+            splits = readers.records(spark, str(tmp_path / "*.txt")).select("file", "split").distinct().count()
+            got = corpus.teacher_blocks(found).orderBy("file", "place").collect()
+            n = readers.count_headers(spark, str(tmp_path / "*.txt")).first()["n"]
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert splits == 2 or (size != "128m" and splits > 10)
+        for name in ("one", "two"):
+            assert [(r["id"], r["solution"]) for r in got if name in r["file"]] == want
+        assert n == len({i for i, _ in want})
+
+
 def test_resume(spark, tmp_path):
     params = {"n": 8, "seed": 42}
     ingest.check_fingerprint(spark, str(tmp_path / "f"), params)

@@ -192,9 +192,9 @@ HEADER = r"(?m)^#{2,4}\s*ID\s*[:：]\s*(\S+)\s*$"
 
 
 def teacher_blocks(files: DataFrame) -> DataFrame:
-    """id and solution of each '## ID: x' block of whole files, with the block's place."""
+    """id and solution of each '## ID: x' block of files (file, value), or of blocks that were read by records (with their place)."""
     parts = F.split("value", r"(?m)(?=^#{2,4}\s*ID\s*[:：])")
-    blocks = files.select("file", F.posexplode(parts).alias("place", "block"))
+    blocks = files.select("file", "place", F.col("value").alias("block")) if "place" in files.columns else files.select("file", F.posexplode(parts).alias("place", "block"))
     blocks = blocks.withColumn("id", F.regexp_extract("block", HEADER, 1)).filter("id != ''")
     return blocks.select("file", "place", "id", strip(F.regexp_replace("block", HEADER, "")).alias("solution"))
 

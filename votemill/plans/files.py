@@ -7,7 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import functions as F
 
-from votemill.operators import contracts, systems
+from votemill.operators import contracts, corpus, systems
 from votemill.plans.registry import query
 from votemill.sources.scratch import work
 from votemill.plans.systems import A, by_seed
@@ -115,6 +115,31 @@ def vector_file(spark, d):
     return spark.read.schema("vec_id long, embedding array<float>").parquet(path).select("vec_id", F.size("embedding").alias("n"), (F.round(total, 4) + 0.0).alias("total"))
 
 
+def block_files(spark, d):
+    """Documents as blocks of a few files, every fourth with a heading of its own; the folder."""
+    k = F.col("doc_id")
+    mark = F.element_at(F.array(F.lit("## ID: "), F.lit("###ID： "), F.lit("#### ID :")), (k % 3 + 1).cast("int"))
+    text = F.concat(mark, k.cast("string"), F.lit("\n"), "text", F.when(k % 4 == 0, "\n## Notes\n#ID: 5\nend\n").otherwise(""))
+    path = f"{work(spark)}/blocks"
+    table(spark, d, "documents").filter("doc_id IS NOT NULL AND text IS NOT NULL").select(text.alias("value")).repartition(2).write.text(path)
+    return path
+
+
+STRIPPED = r"regexp_replace(regexp_replace(text || CASE WHEN doc_id % 4 = 0 THEN chr(10) || '## Notes' || chr(10) || '#ID: 5' || chr(10) || 'end' ELSE '' END, '^\s+', ''), '\s+$', '')"
+
+
+@query("block_scan", f"SELECT doc_id, md5({STRIPPED}) AS solution_md5 FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL")
+def block_scan(spark, d):
+    """Blocks of large files, which are read in splits at their records."""
+    found = corpus.teacher_blocks(readers.blocks(spark, block_files(spark, d)))
+    return found.select(F.col("id").cast("long").alias("doc_id"), F.md5("solution").alias("solution_md5"))
+
+
+@query("header_count", "SELECT count(DISTINCT doc_id) AS n FROM documents WHERE text IS NOT NULL")
+def header_count(spark, d):
+    return readers.count_headers(spark, block_files(spark, d))
+
+
 @query("resume_fingerprint", "SELECT * FROM (VALUES ('same', false), ('other n', true), ('forced', false)) t(run, refused)")
 def resume_fingerprint(spark, d):
     """Runs resumed with the same, with other, and with forced parameters, and whether they were refused."""

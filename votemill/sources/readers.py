@@ -1,4 +1,4 @@
-"""Sources: JSON lines (strict, tolerant, last row of a key wins), CSV, globs of dumps, block files, JSON maps, Parquet."""
+"""Sources: JSON lines (strict, tolerant, last row of a key wins), CSV, globs of dumps, block files by records, JSON maps, Parquet."""
 
 from __future__ import annotations
 
@@ -49,9 +49,38 @@ def dumps(spark: SparkSession, glob: str, label: str = r"([^/]+)\.jsonl$", relat
     return rows.withColumn("system", F.regexp_extract(F.input_file_name(), label, 1))
 
 
+#: What parts a block file into records, and the first line of a record that begins a block.
+RECORD, BLOCK_HEADER = "\n##", r"^#{2,4}\s*ID\s*[:：]\s*(\S+)[^\S\n]*(\n|$)"
+#: Splits whose first numbers are broadcast at most.
+SPLITS = 200_000
+
+
+def records(spark: SparkSession, glob: str) -> DataFrame:
+    """file, split (the byte at which the part of the file begins that a task reads), k (order within it) and text of the records of files.
+
+    A file is parted at RECORD, so a large one is read by many tasks; k grows within a split, and splits follow each other by their bytes.
+    """
+    rows = spark.read.option("lineSep", RECORD).text(glob).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
+    rows = rows.withColumn("k", F.monotonically_increasing_id())
+    first = (F.col("split") == 0) & (F.row_number().over(Window.partitionBy("file", "split").orderBy("k")) == 1)
+    return rows.select("file", "split", "k", F.when(first, F.col("value")).otherwise(F.concat(F.lit(RECORD[1:]), "value")).alias("text"))
+
+
 def blocks(spark: SparkSession, glob: str) -> DataFrame:
-    """file and whole text of each block file."""
-    return spark.read.text(glob, wholetext=True).withColumn("file", F.input_file_name())
+    """file, place (from 1, within the file) and value of each block that begins with an id header.
+
+    Records are numbered by the headers up to them: a split counts its own, and the counts of the file's splits before it are added, a row
+    a split. Records without a header, such as other headings, belong to the block before.
+    """
+    rows = records(spark, glob).withColumn("head", F.col("text").rlike(BLOCK_HEADER).cast("long"))
+    upto = F.sum("head").over(Window.partitionBy("file", "split").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
+    counts = rows.groupBy("file", "split").agg(F.sum("head").alias("n_"))
+    before = F.coalesce(F.sum("n_").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # splits of a file
+    counts = counts.select("file", "split", before.alias("before_"))
+    counts = F.broadcast(counts) if counts.limit(SPLITS + 1).count() <= SPLITS else counts
+    placed = rows.withColumn("own_", upto).join(counts, ["file", "split"]).withColumn("place", F.col("own_") + F.col("before_")).filter("place > 0")
+    whole = placed.groupBy("file", "place").agg(F.array_sort(F.collect_list(F.struct("split", "k", "text"))).alias("parts"))  # the records of one block
+    return whole.select("file", "place", F.array_join(F.transform("parts", lambda p: p["text"]), "\n").alias("value"))
 
 
 def json_map(spark: SparkSession, path: str, value: str) -> DataFrame:
@@ -69,7 +98,7 @@ def corrected_key(spark: SparkSession, path: str) -> DataFrame:
     return json_map(spark, path, entry).select(F.col("key").alias("id"), "value.*")
 
 
-def count_headers(spark: SparkSession, glob: str) -> int:
-    """Distinct ids of '## ID' headers in text files."""
-    found = spark.read.text(glob).select(F.regexp_extract("value", r"^#{2,4}\s*ID\s*[:：]\s*(\S+)", 1).alias("id"))
-    return found.filter("id != ''").distinct().count()
+def count_headers(spark: SparkSession, glob: str) -> DataFrame:
+    """n: the number of distinct ids in the headers of block files."""
+    ids = records(spark, glob).select(F.regexp_extract("text", BLOCK_HEADER, 1).alias("id")).filter("id != ''")
+    return ids.agg(F.countDistinct("id").alias("n"))
