@@ -101,7 +101,7 @@ def test_replicator(spark):
         mass = defaultdict(float)
         for (_, a, _, _), m in zip(own, x):
             mass[a] += m
-        assert got[i] == max(mass, key=mass.get)
+        assert got[i] == max(mass, key=lambda a: round(mass[a], 9))  # two samples left share the mass evenly: the first answer wins
 
 
 def plain_logistic(x, y, epochs=400, rate=0.35):

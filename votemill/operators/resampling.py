@@ -156,17 +156,28 @@ def nested_selection(correct: DataFrame, k: int = 5) -> DataFrame:
     return rest.withColumn("r", best).filter("r = 1").select("fold", "rule", F.col("c").alias("correct"), "n")
 
 
-def replicator(vectors: DataFrame, steps: int = 300, tol: float = 1e-10) -> DataFrame:
-    """Replicator dynamics on the clipped cosines of a problem's samples; the answer with the most mass. vectors: id, ans, pos, v."""
+def replicator(vectors: DataFrame, steps: int = 300, tol: float = 1e-10, block: int = 512) -> DataFrame:
+    """Replicator dynamics on the clipped cosines of a problem's samples; the answer with the most mass (the first among equals).
+
+    vectors: id, ans, pos, v, of unit length. The sum of a sample's cosines weighted by x is one product with the weighted sum of the
+    vectors; only cosines below zero, which are clipped, are held one by one. Samples of a problem meet in one task.
+    """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("pos")
         v = np.stack([np.array(a, float) for a in group["v"]])
-        s = np.maximum(v @ v.T, 0)
-        np.fill_diagonal(s, 0)
+        own = (v * v).sum(1)
+        rows, columns, below = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for a in range(0, len(v), block):
+            c = v[a : a + block] @ v.T
+            i, j = np.nonzero(c < 0)
+            rows.append(i + a)
+            columns.append(j)
+            below.append(c[i, j])
+        row, column, less = np.concatenate(rows), np.concatenate(columns), np.concatenate(below)
         x = np.full(len(v), 1 / len(v))
         for _ in range(steps):
-            y = x * (s @ x)
+            y = x * (v @ (v.T @ x) - own * x - np.bincount(row, less * x[column], len(v)))
             if y.sum() <= 0:
                 break
             y /= y.sum()
@@ -177,6 +188,6 @@ def replicator(vectors: DataFrame, steps: int = 300, tol: float = 1e-10) -> Data
         mass: dict = {}
         for a, m in zip(group["ans"], x):
             mass[a] = mass.get(a, 0.0) + m
-        return pd.DataFrame({"id": [group["id"].iloc[0]], "answer": [max(mass, key=mass.get)]})
+        return pd.DataFrame({"id": [group["id"].iloc[0]], "answer": [max(mass, key=lambda a: round(mass[a], 9))]})
 
     return vectors.groupBy("id").applyInPandas(run, "id long, answer int")

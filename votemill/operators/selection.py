@@ -78,6 +78,28 @@ def contrastive(rows: DataFrame, lam: float = 0.5, alpha: float = 0.1) -> DataFr
     return rows.withColumn("score", F.when(F.exp("base") >= alpha * F.exp(best), (1 + lam) * F.col("base") - lam * F.col("amateur")))
 
 
+def log_softmax(x: Column) -> Column:
+    top = F.max(x).over(by_id())
+    return x - top - F.log(F.sum(F.exp(x - top)).over(by_id()))
+
+
+def nucleus(given: DataFrame, free: DataFrame, omega: float = 1.5, tau: float = 1.5, temperature: float = 0.7, top_p: float = 0.8, floor: float = -30.0) -> DataFrame:
+    """id, token, mixed and p of the tokens that stay of two weighted lists (id, token, x), one with and one without the condition.
+
+    The lists are aligned by token (one that a list lacks has weight `floor` there). Where the conditional distribution's entropy is
+    above tau, scores are (1 - omega) free + omega given, else given. Tokens stay in order of probability until those before them
+    hold more than top_p; p adds up to 1 over those that stay. Equal probabilities go by token.
+    """
+    both = given.select("id", "token", F.col("x").alias("g")).join(free.select("id", "token", F.col("x").alias("f")), ["id", "token"], "full")
+    rows = both.select("id", "token", log_softmax(F.coalesce("g", F.lit(floor))).alias("g"), log_softmax(F.coalesce("f", F.lit(floor))).alias("f"))
+    rows = rows.withColumn("mixed", F.round(-F.sum(F.exp("g") * F.col("g")).over(by_id()), 9) > tau)
+    score = F.when(F.col("mixed"), (1 - omega) * F.col("f") + omega * F.col("g")).otherwise(F.col("g")) / temperature
+    rows = rows.withColumn("p", F.round(F.exp(log_softmax(score)), 12))
+    before = F.sum("p").over(by_id().orderBy(F.desc("p"), "token").rowsBetween(Window.unboundedPreceding, 0)) - F.col("p")
+    kept = rows.withColumn("before_", before).filter(F.round("before_", 9) <= top_p)
+    return kept.select("id", "token", "mixed", (F.col("p") / F.sum("p").over(by_id())).alias("p"))
+
+
 def entropy(rows: DataFrame, p: str = "p") -> DataFrame:
     return rows.groupBy("id").agg(F.round(-F.sum(F.when(F.col(p) > 0, F.col(p) * F.log(p)).otherwise(0.0)), 6).alias("entropy"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from votemill.functions import text as T
-from votemill.operators import corpus, retrieval, votes
+from votemill.operators import corpus, packing, retrieval, votes
 from votemill.plans.evaluation import BG
 from votemill.plans.registry import query
 from votemill.sources.adapters import ballots, gold, table
@@ -197,6 +197,27 @@ def fewshot_assembly(spark, d):
     return corpus.fewshot(e, e.select("conv_id", "question")).select("conv_id", F.md5(said).alias("prompt_md5"))
 
 
+RENDERED = "t AS (SELECT conv_id, left(string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text), 2048) AS text FROM conversations GROUP BY conv_id)"
+
+
+@query(
+    "label_masks",
+    f"""WITH {RENDERED}, m AS (SELECT conv_id, length(text)::INT AS length, CASE WHEN contains(text, '<|im_start|>assistant' || chr(10)) THEN length(string_split(text, '<|im_start|>assistant' || chr(10))[-1]) ELSE 0 END::INT AS labelled,
+    ((row_number() OVER (ORDER BY conv_id) - 1) // 8)::INT AS batch, ((row_number() OVER (ORDER BY conv_id) - 1) % 8)::INT AS place FROM t)
+  SELECT conv_id, length, length - labelled AS cut, labelled, batch, place, max(length) OVER (PARTITION BY batch) - length AS padding FROM m""",
+)
+def label_masks(spark, d):
+    """Which part of each conversation is learned, and its padding in batches of eight."""
+    return packing.padded(packing.label_masks(packing.rendered(corpus.conversations(table(spark, d, "conversations")))))
+
+
+@query("packed_batches")
+def packed_batches(spark, d):
+    """Conversations packed into rows of 4,096 characters."""
+    masks = packing.label_masks(packing.rendered(corpus.conversations(table(spark, d, "conversations"))))
+    return packing.packed(masks, 4096).drop("part_")
+
+
 @query("chunk_export", "SELECT p_partkey AS id, ((row_number() OVER (ORDER BY p_partkey) - 1) // 20)::INT AS chunk, ((row_number() OVER (ORDER BY p_partkey) - 1) % 20)::INT AS place FROM part")
 def chunk_export(spark, d):
     return corpus.chunked(table(spark, d, "part").select(F.col("p_partkey").alias("id")), 20)

@@ -181,7 +181,19 @@ def meta_selector_nested(spark, d):
     return selector.flips(selector.two_heads(rows, nested=True))
 
 
-@query("replicator")
+UNITS = "u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings)"
+
+
+@query(
+    "replicator",
+    f"""WITH RECURSIVE {UNITS}, m AS (SELECT vec_id // 16 AS id, list(v ORDER BY vec_id) AS vs, list(label ORDER BY vec_id) AS a FROM u GROUP BY ALL),
+  s AS MATERIALIZED (SELECT id, a, list_transform(range(1, len(vs) + 1), lambda i: list_transform(range(1, len(vs) + 1), lambda j: CASE WHEN i = j THEN 0.0 ELSE greatest(list_dot_product(vs[i], vs[j]), 0.0) END)) AS s FROM m),
+  r AS (SELECT id, 0 AS t, list_transform(a, lambda z: 1.0::DOUBLE / len(a)) AS x, false AS done FROM s UNION ALL
+    SELECT id, t + 1, CASE WHEN total > 0 THEN list_transform(y, lambda z: z / total) ELSE x END, total <= 0 OR list_sum(list_transform(list_zip(x, y), lambda z: abs(z[1] - z[2] / total))) < 1e-10
+    FROM (SELECT *, list_sum(y) AS total FROM (SELECT r.*, list_transform(range(1, len(x) + 1), lambda i: x[i] * list_dot_product(s[i], x)) AS y FROM r JOIN s USING (id) WHERE t < 300 AND NOT done))),
+  e AS (SELECT id, arg_max(x, t) AS x FROM r GROUP BY id), p AS (SELECT id, unnest(x) AS x, unnest(a) AS a, unnest(range(len(a))) AS pos FROM e JOIN s USING (id)),
+  b AS (SELECT id, a, round(sum(x), 9) AS mass, min(pos) AS f FROM p GROUP BY id, a) SELECT id, arg_max(a, (mass, -f)) AS answer FROM b GROUP BY id""",
+)
 def replicator(spark, d):
     v = retrieval.unit(table(spark, d, "embeddings")).select(F.floor(F.col("vec_id") / 16).alias("id"), F.col("label").alias("ans"), (F.col("vec_id") % 16).alias("pos"), "v")
     return resampling.replicator(v)

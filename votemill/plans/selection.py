@@ -110,3 +110,26 @@ def round_sums(spark, d):
 )
 def specialist_router(spark, d):
     return selection.router(ballots(spark, d), gold(spark, d), "O", "F")
+
+
+def log_softmax_sql(source: str, columns: dict[str, str], keep: str) -> str:
+    """source with each of columns as a log-softmax over its id."""
+    tops = ", ".join(f"{v} AS {k}_, max({v}) OVER w AS {k}_top" for k, v in columns.items())
+    return f"SELECT {keep}, {', '.join(f'{k}_ - {k}_top - ln(sum(exp({k}_ - {k}_top)) OVER w) AS {k}' for k in columns)} FROM (SELECT *, {tops} FROM {source} WINDOW w AS (PARTITION BY id)) WINDOW w AS (PARTITION BY id)"
+
+
+@query(
+    "nucleus_mix",
+    f"""WITH {BALLOTS_SQL}, j AS (SELECT coalesce(c.id, u.id) AS id, coalesce(c.pos, u.pos) AS token, coalesce(c.logp * 20, -30.0) AS gx, coalesce(u.x, -30.0) AS fx
+   FROM (SELECT * FROM b WHERE pos % 4 <> 3) c FULL JOIN (SELECT id, pos, -(score * 40) - other / 2 AS x FROM b WHERE pos % 4 <> 2) u ON c.id = u.id AND c.pos = u.pos),
+  l AS ({log_softmax_sql('j', {'g': 'gx', 'f': 'fx'}, 'id, token')}), e AS (SELECT *, round(-sum(exp(g) * g) OVER (PARTITION BY id), 9) > 1.5 AS mixed FROM l),
+  s AS ({log_softmax_sql('e', {'z': 'CASE WHEN mixed THEN -0.5 * f + 1.5 * g ELSE g END / 0.7'}, 'id, token, mixed')}), p AS (SELECT *, round(exp(z), 12) AS p FROM s),
+  k AS (SELECT *, sum(p) OVER (PARTITION BY id ORDER BY p DESC, token ROWS UNBOUNDED PRECEDING) - p AS before FROM p)
+  SELECT id, token, mixed, round(p / sum(p) OVER (PARTITION BY id), 6) AS p FROM k WHERE round(before, 9) <= 0.8""",
+)
+def nucleus_mix(spark, d):
+    """What is left of each problem's ballots as tokens, with and without a condition."""
+    b = ballots(spark, d).withColumn("token", F.col("pos"))
+    given = b.filter("pos % 4 <> 3").select("id", "token", (F.col("logp") * 20).alias("x"))
+    free = b.filter("pos % 4 <> 2").select("id", "token", (-(F.col("score") * 40) - F.col("other") / 2).alias("x"))
+    return selection.nucleus(given, free).withColumn("p", F.round("p", 6))
