@@ -11,7 +11,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from votemill.functions import text
-from votemill.operators import contracts, ranges, resampling, retrieval, selector, sweeps, systems, votes
+from votemill.operators import contracts, corpus, ranges, resampling, retrieval, selector, sweeps, systems, votes
 from votemill.sources.adapters import ballots, gold
 from votemill.streaming import completion, ingest
 
@@ -214,6 +214,38 @@ def test_topk_of_few_and_of_none(spark):
     assert found([]) == set()
 
 
+def test_reward_pairs_are_drawn_evenly(spark):
+    """All pairs where there are few; else four different ones, each pair of a problem as often as any other."""
+    rows = [(i, p, "1" if p < 3 else None if p == 3 else "2", 60) for i in range(3000) for p in range(6)] + [(9000, 0, "1", 60), (9000, 1, "2", 60), (9000, 2, "2", 10), (9001, 0, "1", 60), (9002, 0, "2", 60)]
+    rows += [(9003, p, "1" if p < 300 else "2", 99) for p in range(600)]
+    got = corpus.reward_pairs(spark.createDataFrame(rows, "id long, pos int, ans string, len int"), spark.createDataFrame([(i, "1") for i in {r[0] for r in rows}], "id long, gold string")).collect()
+    by = defaultdict(set)
+    for r in got:
+        assert (r["chosen"], r["rejected"]) not in by[r["id"]]
+        by[r["id"]].add((r["chosen"], r["rejected"]))
+    assert by[9000] == {(0, 1)} and 9001 not in by and 9002 not in by
+    assert len(by[9003]) == 4 and all(a < 300 <= b for a, b in by[9003])
+    seen = Counter(p for i in range(3000) for p in by[i])
+    assert len(seen) == 9 and all(len(by[i]) == 4 for i in range(3000)) and all(abs(n - 3000 * 4 / 9) < 150 for n in seen.values())
+    assert sum(r["held_out"] for r in got) == int(len(got) * 0.05)
+
+
+def test_power_is_that_of_the_simulation(spark):
+    pairs = [("x", "y", 400, 0.2), ("x", "z", 1000, 0.05), ("y", "z", 100, 0.004), ("p", "q", 300, 0.01)]
+    got = {(r["a"], r["b"], r["delta"]): r["power"] for r in resampling.power(spark.createDataFrame(pairs, "a string, b string, n long, discordant double")).collect()}
+    rng = np.random.default_rng(1)
+    for a, b, n, disc in pairs:
+        for delta in (0.005, 0.01, 0.02):
+            p, m = 0.5 + delta / (2 * disc), round(n * disc)
+            if n * disc < 1:
+                assert got[a, b, delta] == 0
+            elif p >= 1:
+                assert got[a, b, delta] is None
+            else:
+                k = rng.binomial(m, p, 40_000)
+                assert got[a, b, delta] == pytest.approx(((np.abs(2 * k - m) - 1) / math.sqrt(m) > 1.959964).mean(), abs=0.02)
+
+
 def test_greedy_cover(spark):
     rng = random.Random(7)
     solved = {s: {i for i in range(80) if rng.random() < 0.2} for s in "abcdefg"}

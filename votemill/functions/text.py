@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 NUMBER = "-?[0-9][0-9,]*(?:[.][0-9]+)?"
 BOXED = r"boxed *\{((?:[^\{\}]|\{[^\{\}]*\})*)\}"
 FRACTION = r"frac *\{ *(-?[0-9]+) *\} *\{ *(-?[0-9]+) *\}"
+JUNK, DOTS = r"[\s\\,$!;:]", r"^\.+|\.+$"
 BOXED_FLAT = r"boxed\{([^\{\}]+)\}"
 TOPICS = [
     ("미적분", r"derivative|integral|\bintegrate\b|limit as|tangent line|f'\(|dy/dx|maxima|minima|monotonic"),
@@ -25,20 +26,21 @@ TOPICS = [
 ]
 OTHER_TOPIC = "기타/문장제"
 FEATURES = [
-    ("modulus", r"\bmod\b|modulo|remainder|divisible|divisor"),
-    ("primes", r"\bprime\b|factoriz|\bfactors?\b|\bgcd\b|\blcm\b|greatest common|least common"),
-    ("counting", r"how many ways|number of ways|permutation|combination|\bchoose\b|arrangement|subsets"),
-    ("chance", r"probability|expected value|at random|\bdice\b|\bcoin\b|randomly"),
-    ("sequences", r"sequence|series|progression|\ba_\{?n|\bs_\{?n|recursive|recurrence"),
-    ("geometry", r"triangle|circle|square|rectangle|polygon|angle|radius|diameter|perimeter|\barea\b|volume|hypotenuse|vertex|vertices"),
-    ("equations", r"polynomial|equation|solve for|roots of|quadratic|inequality"),
-    ("functions", r"\bf\s*\(\s*x|\bg\s*\(\s*x|function|domain of|range of"),
-    ("powers", r"square root|sqrt|\^2|\^3|squared|cubed|\bpower of"),
-    ("rounding", r"floor|ceiling|greatest integer|least integer|rounded down|rounded up"),
-    ("fractions", r"\\frac|\d+\s*/\s*\d+"),
-    ("decimals", r"\d+\.\d+"),
-    ("cases", r"at least|at most|either|otherwise|\bcases\b|if and only if"),
+    ("mod/나머지", r"\bmod\b|modulo|remainder|divisible|divisor"),
+    ("소수/인수", r"\bprime\b|factoriz|\bfactors?\b|\bgcd\b|\blcm\b|greatest common|least common"),
+    ("조합/경우의수", r"how many ways|number of ways|permutation|combination|\bchoose\b|arrangement|subsets"),
+    ("확률/기댓값", r"probability|expected value|at random|\bdice\b|\bcoin\b|randomly"),
+    ("수열/급수", r"sequence|series|progression|\ba_\{?n|\bs_\{?n|recursive|recurrence"),
+    ("기하", r"triangle|circle|square|rectangle|polygon|angle|radius|diameter|perimeter|\barea\b|volume|hypotenuse|vertex|vertices"),
+    ("방정식/다항식", r"polynomial|equation|solve for|roots of|quadratic|inequality"),
+    ("함수 f(x)", r"\bf\s*\(\s*x|\bg\s*\(\s*x|function|domain of|range of"),
+    ("제곱/루트", r"square root|sqrt|\^2|\^3|squared|cubed|\bpower of"),
+    ("floor/ceil", r"floor|ceiling|greatest integer|least integer|rounded down|rounded up"),
+    ("분수", r"\\frac|\d+\s*/\s*\d+"),
+    ("소수점", r"\d+\.\d+"),
+    ("경우분석", r"at least|at most|either|otherwise|\bcases\b|if and only if"),
 ]
+MANY_NUMBERS, BIG_NUMBER, LONG_TEXT = "숫자 8개+", "큰수(4자리+)", "긴 문제(180자+)"
 STOP = "the a an of to in is are and or for that this with be we can if it as by on find such what how many number let where when then all each are".split()
 NO_CORRECT_RATE = {"조합론": 0.400, "수열/급수": 0.294, "정수론": 0.259, "기하": 0.244, "대수/방정식": 0.207, "확률/통계": 0.200, "함수": 0.286, "미적분": 0.667, OTHER_TOPIC: 0.060}
 RATE_CAP, DEGENERATE_PENALTY = 0.30, 0.5
@@ -53,7 +55,7 @@ def canonical(digits: Column) -> Column:
 
 def parse_int(text: Column) -> Column:
     """An integer written with spaces, separators or currency signs, or a float within 1e-6 of one; else null."""
-    t = F.regexp_replace(F.regexp_replace(text, r"[\s\\,$!;:]", ""), r"^\.+|\.+$", "")
+    t = F.regexp_replace(F.regexp_replace(text, JUNK, ""), DOTS, "")
     whole = canonical(F.regexp_replace(t, "_", ""))
     is_float = t.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$")
     f = F.when(is_float, t.try_cast("double"))
@@ -134,7 +136,7 @@ def features(text: Column) -> dict[str, Column]:
     text = F.coalesce(text, F.lit(""))
     low, numbers = F.lower(text), F.regexp_extract_all(text, F.lit(r"\d+"), 0)
     out = {name: low.rlike(pattern) for name, pattern in FEATURES}
-    return out | {"many_numbers": F.size(numbers) >= 8, "big_number": F.exists(numbers, lambda x: F.length(x) >= 4), "long_text": F.length(text) >= 180}
+    return out | {MANY_NUMBERS: F.size(numbers) >= 8, BIG_NUMBER: F.exists(numbers, lambda x: F.length(x) >= 4), LONG_TEXT: F.length(text) >= 180}
 
 
 def degenerate(text: Column) -> Column:

@@ -103,18 +103,29 @@ def preference_pairs(samples: DataFrame, gold: DataFrame, most: int = 2, seed: s
     return rows.groupBy("id", "k").agg(pick(True).alias("chosen"), pick(False).alias("rejected")).filter("chosen IS NOT NULL AND rejected IS NOT NULL")
 
 
-def reward_pairs(samples: DataFrame, gold: DataFrame, most: int = 4, seed: str = "42", held: float = 0.05, side: int = 8) -> DataFrame:
-    """Right x wrong pairs of each problem, `most` of them in hash order, and whether the problem is held out.
+def reward_pairs(samples: DataFrame, gold: DataFrame, most: int = 4, seed: str = "42", held: float = 0.05, least: int = 50) -> DataFrame:
+    """`most` right x wrong pairs of each problem, drawn evenly from all of them without repeats, and whether the pair is held out.
 
-    The first `side` samples of each side, in hash order, are paired, so that a problem with many samples stays small.
-    A share `held` of the problems is held out, by the hash of their id.
+    Samples of fewer than `least` characters do not count; one without an answer is wrong. Of n pairs, numbers 0..n - 1 are drawn by Floyd's
+    method (the i-th draw is a hash below n - most + i + 1, or that bound itself if it was drawn before) and split into the places of the
+    right and the wrong sample, so that no product is formed. A share `held` of the pairs is held out, by hash ranks.
     """
-    rows = samples.filter("ans IS NOT NULL").join(gold, "id").withColumn("ok", F.col("ans") == F.col("gold")).select("id", "pos", "ok")
-    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("id", "ok").orderBy(draw(seed, "id", "pos"), "pos"))).filter(F.col("r") <= side)
-    good = rows.filter("ok").select("id", F.col("pos").alias("chosen"))
-    bad = rows.filter("NOT ok").select("id", F.col("pos").alias("rejected"))
-    pairs = capped(good.join(bad, "id").withColumn("pair", F.concat_ws("-", "id", "chosen", "rejected")), most, ("id",), seed, "pair").drop("pair")
-    return pairs.withColumn("held_out", F.substring(draw(f"{seed}h", "id"), 1, 4) < f"{int(65536 * held):04x}")
+    rows = samples.filter(F.col("len") >= least).join(gold.filter("gold IS NOT NULL"), "id").select("id", "pos", F.coalesce(F.col("ans") == F.col("gold"), F.lit(False)).alias("ok"))
+    rows = rows.withColumn("place", (F.row_number().over(Window.partitionBy("id", "ok").orderBy("pos")) - 1).cast("long"))
+    counts = rows.groupBy("id").agg(F.count(F.when(F.col("ok"), 1)).alias("p"), F.count(F.when(~F.col("ok"), 1)).alias("q")).filter("p > 0 AND q > 0")
+    n = F.col("p") * F.col("q")
+    hashed = lambda i: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("id").cast("string"), i.cast("string"))), 1, 12), 16, 10).cast("long")
+
+    def drawn(found: Column, i: Column) -> Column:
+        top = n - F.least(F.lit(most), n) + i
+        number = hashed(i) % (top + 1)
+        return F.concat(found, F.array(F.when(F.array_contains(found, number), top).otherwise(number)))
+
+    numbers = F.aggregate(F.sequence(F.lit(0), F.least(F.lit(most), n).cast("int") - 1), F.array().cast("array<bigint>"), drawn)
+    pairs = counts.select("id", "q", F.explode(numbers).alias("number")).withColumns({"good": F.call_function("div", F.col("number"), F.col("q")), "bad": F.col("number") % F.col("q")})
+    side = lambda ok, name, to: rows.filter(F.col("ok") == ok).select("id", F.col("place").alias(name), F.col("pos").alias(to))
+    pairs = pairs.join(side(True, "good", "chosen"), ["id", "good"]).join(side(False, "bad", "rejected"), ["id", "bad"])
+    return holdout(pairs.select("id", "chosen", "rejected", F.concat_ws("-", "id", "chosen", "rejected").alias("pair")), held, f"{seed}h", "pair").drop("pair")
 
 
 def length_bands(pairs: DataFrame, problem: str = "problem", solution: str = "solution") -> DataFrame:

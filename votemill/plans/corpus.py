@@ -103,11 +103,16 @@ def dpo_pairs(spark, d):
     return corpus.preference_pairs(samples(spark, d), gold(spark, d))
 
 
+NUMBER = "('0x' || substr(md5('42|' || id || '|' || e[1]), 1, 12))::BIGINT % (p * q - least(4, p * q) + e[1] + 1)"
+
+
 @query(
     "reward_pairs",
-    f"""{RIGHT}, h AS (SELECT * FROM (SELECT id, pos, hit, row_number() OVER (PARTITION BY id, hit ORDER BY md5('42|' || id || '|' || pos), pos) AS q FROM s WHERE ans IS NOT NULL) WHERE q <= 8),
-  p AS (SELECT a.id, a.pos AS chosen, b.pos AS rejected FROM h a JOIN h b ON a.id = b.id AND a.hit AND NOT b.hit),
-  r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY md5('42|' || id || '-' || chosen || '-' || rejected), id || '-' || chosen || '-' || rejected) AS r FROM p) SELECT id, chosen, rejected, substr(md5('42h|' || id), 1, 4) < '0ccc' AS held_out FROM r WHERE r <= 4""",
+    f"""{RIGHT}, h AS (SELECT id, pos, hit, row_number() OVER (PARTITION BY id, hit ORDER BY pos) - 1 AS place FROM (SELECT id, pos, coalesce(hit, false) AS hit FROM s WHERE "len" >= 50)),
+  c AS (SELECT id, count(*) FILTER (hit) AS p, count(*) FILTER (NOT hit) AS q FROM h GROUP BY id),
+  n AS (SELECT id, q, unnest(list_reduce([[]::BIGINT[], [0], [1], [2], [3]], lambda a, e: CASE WHEN e[1] >= p * q THEN a WHEN list_contains(a, {NUMBER}) THEN list_append(a, p * q - least(4, p * q) + e[1]) ELSE list_append(a, {NUMBER}) END)) AS number FROM c WHERE p > 0 AND q > 0),
+  x AS (SELECT n.id, a.pos AS chosen, b.pos AS rejected, n.id || '-' || a.pos || '-' || b.pos AS pair FROM n JOIN h a ON n.id = a.id AND a.hit AND a.place = number // q JOIN h b ON n.id = b.id AND NOT b.hit AND b.place = number % q)
+  SELECT id, chosen, rejected, row_number() OVER (ORDER BY md5('42h|' || pair), pair) <= floor(count(*) OVER () * 0.05) AS held_out FROM x""",
 )
 def reward_pairs(spark, d):
     return corpus.reward_pairs(samples(spark, d), gold(spark, d))

@@ -140,18 +140,18 @@ def header_count(spark, d):
     return readers.count_headers(spark, block_files(spark, d))
 
 
-@query("resume_fingerprint", "SELECT * FROM (VALUES ('same', false), ('other n', true), ('forced', false)) t(run, refused)")
+@query("resume_fingerprint", "SELECT run, problems, refused FROM (SELECT count(*) AS n FROM orders), (VALUES ('same', 0, false), ('one more', 1, true), ('forced', 1, false)) t(run, more, refused), LATERAL (SELECT n + more AS problems)")
 def resume_fingerprint(spark, d):
-    """Runs resumed with the same, with other, and with forced parameters, and whether they were refused."""
-    path, out = f"{work(spark)}/fingerprint", []
-    ingest.check_fingerprint(spark, path, {"n": 8, "seed": 42})
-    for name, n, force in (("same", 8, False), ("other n", 16, False), ("forced", 16, True)):
+    """A run over the problems that is resumed with as many, with one more, and with one more by force; whether it was refused."""
+    path, out, n = f"{work(spark)}/fingerprint", [], table(spark, d, "orders").count()
+    ingest.check_fingerprint(spark, path, {"problems": n, "seed": 42})
+    for name, problems, force in (("same", n, False), ("one more", n + 1, False), ("forced", n + 1, True)):
         try:
-            ingest.check_fingerprint(spark, path, {"n": n, "seed": 42}, force)
-            out.append((name, False))
+            ingest.check_fingerprint(spark, path, {"problems": problems, "seed": 42}, force)
+            out.append((name, problems, False))
         except ingest.FingerprintError:
-            out.append((name, True))
-    return spark.createDataFrame(out, "run string, refused boolean")
+            out.append((name, problems, True))
+    return spark.createDataFrame(out, "run string, problems long, refused boolean")
 
 
 #: erfc by Simpson's rule, an independent way to the p-value.

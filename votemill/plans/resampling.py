@@ -8,6 +8,8 @@ from votemill.operators import resampling, retrieval, rewards, selector, sweeps,
 from votemill.plans.evaluation import MEAN, TOKENS
 from votemill.plans import registry
 from votemill.plans.registry import query
+from votemill.plans.systems import A as SYSTEMS
+from votemill.plans.systems import by_seed
 from votemill.plans.voting import RULE_SQL
 from votemill.sources.adapters import BALLOTS_SQL, GOLD_SQL, ballots, gold, table
 
@@ -64,23 +66,30 @@ def normal_sql(p: str) -> str:
     return f"CASE WHEN {p} < 0.02425 THEN {tail(p)} WHEN {p} > 1 - 0.02425 THEN -{tail(f'(1 - {p})')} ELSE {q} * {horner(a, f'({q} * {q})')} / {horner(b, f'({q} * {q})')} END"
 
 
-def power_sql(trials: int = 100) -> str:
-    u = lambda k: "greatest(1e-9, " + UNIFORM.format(f"concat_ws('|', 'w{k}', rep, n, delta, rate)") + ")"
-    part = lambda p, z: f"greatest(0.0, round_even(n * {p} + {z} * sqrt(n * {p} * (1 - {p})), 0))"
-    return f"""WITH g AS (SELECT n::INT AS n, delta, rate FROM (VALUES (250), (500), (1000), (2000)) a(n), (VALUES (0.005::DOUBLE), (0.01::DOUBLE), (0.02::DOUBLE)) b(delta), (VALUES (0.05::DOUBLE), (0.1::DOUBLE)) c(rate)),
-  u AS (SELECT *, {u('b')} AS u1, {u('c')} AS u2 FROM g, range({trials}) t(rep)), z AS (SELECT *, {normal_sql('u1')} AS z1, {normal_sql('u2')} AS z2, (rate + delta) / 2 AS p1, (rate - delta) / 2 AS p2 FROM u),
-  c AS (SELECT *, {part('p1', 'z1')} AS b, {part('p2', 'z2')} AS c FROM z)
-  SELECT n, delta, rate, avg(CASE WHEN b + c > 0 THEN ((abs(b - c) - 1) / sqrt(b + c) > 1.96)::INT ELSE 0 END) AS power FROM c GROUP BY ALL"""
+def power_sql(trials: int = 4000) -> str:
+    u = UNIFORM.format("concat_ws('|', 'w', rep, a, b, delta)")
+    mass = "exp(lgamma(m + 1) - lgamma(k + 1) - lgamma(m - k + 1) + k * ln(p) + (m - k) * ln(1 - p))"
+    return f"""WITH {SYSTEMS}, rates AS (SELECT x.system AS a, y.system AS b, count(*) AS n, avg((x.ok <> y.ok)::INT) AS d FROM s x JOIN s y ON x.id = y.id AND x.system < y.system GROUP BY ALL),
+  grid AS (SELECT *, round_even(n * d, 0)::BIGINT AS m, 0.5 + delta / (2 * d) AS p FROM rates, (VALUES (0.005::DOUBLE), (0.01::DOUBLE), (0.02::DOUBLE)) t(delta)),
+  tails AS (SELECT a, b, delta, coalesce(sum({mass}) FILTER (2 * k < m), 0) AS low, coalesce(sum({mass}) FILTER (2 * k > m), 0) AS high
+   FROM (SELECT *, unnest(range(m + 1)) AS k FROM grid WHERE n * d >= 1 AND p < 1) WHERE abs(2 * k - m) - 1 > {resampling.CRITICAL} * sqrt(m) GROUP BY ALL),
+  hits AS (SELECT a, b, delta, avg((u < low OR u >= 1 - high)::INT) AS power FROM (SELECT *, {u} AS u FROM tails, range({trials}) x(rep)) GROUP BY ALL)
+  SELECT a, b, n, m AS discordant_pairs, delta, CASE WHEN n * d < 1 THEN 0 WHEN p < 1 THEN round(coalesce(power, 0), 6) END AS power FROM grid LEFT JOIN hits USING (a, b, delta)"""
 
 
 @query("power_grid", power_sql())
 def power_grid(spark, d):
-    return resampling.power_grid(spark)
+    """Power of paired comparisons of every two systems, at the discordance that they have."""
+    ok = by_seed(spark, d).select("id", "system", "ok")
+    x, y = ok.toDF("id", "a", "x"), ok.toDF("id", "b", "y")
+    pairs = x.join(y, "id").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.avg((F.col("x") != F.col("y")).cast("int")).alias("discordant"))  # pairs of systems, of which there are few
+    return resampling.power(pairs).withColumn("power", F.round("power", 6))
 
 
-@query("normal_quantiles", f"SELECT p, round({normal_sql('p')}, 9) + 0.0 AS z FROM (SELECT i / 100.0::DOUBLE AS p FROM range(1, 100) t(i))")
+@query("normal_quantiles", f"SELECT id, round({normal_sql('p')}, 9) + 0.0 AS z FROM (SELECT p_partkey AS id, (p_partkey % 997 + 0.5) / 997.0::DOUBLE AS p FROM part)")
 def normal_quantiles(spark, d):
-    return spark.range(1, 100).select((F.col("id") / 100).alias("p")).withColumn("z", F.round(resampling.normal_quantile(F.col("p")), 9) + 0.0)
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("id"), ((F.col("p_partkey") % 997 + F.lit(0.5)) / F.lit(997.0)).alias("p"))
+    return parts.select("id", (F.round(resampling.normal_quantile(F.col("p")), 9) + 0.0).alias("z"))
 
 
 @query(

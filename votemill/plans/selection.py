@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from votemill.functions import text as T
+from votemill.functions import sql as functions_sql
 from votemill.operators import rewards, selection
 from votemill.plans import corpus as corpus_plans
 from votemill.plans.corpus import CASCADE
 from votemill.plans.evaluation import BG, TALLY, TOKENS
 from votemill.plans.registry import query
-from votemill.plans.texts import EXTRACT, SOLUTIONS, solutions
+from votemill.plans.texts import ASKED, EXTRACT, SOLUTIONS, questions, solutions, topic_sql
+from votemill.plans.voting import RULE_SQL
 from votemill.sources.adapters import BALLOTS_SQL, ballots, gold, table
 from votemill.streaming.ingest import running
 
@@ -133,3 +135,37 @@ def nucleus_mix(spark, d):
     given = b.filter("pos % 4 <> 3").select("id", "token", (F.col("logp") * 20).alias("x"))
     free = b.filter("pos % 4 <> 2").select("id", "token", (-(F.col("score") * 40) - F.col("other") / 2).alias("x"))
     return selection.nucleus(given, free).withColumn("p", F.round("p", 6))
+
+
+def sample_arrays(spark, d):
+    """id and the samples of each problem, as dumps hold them."""
+    b = ballots(spark, d)
+    packed = b.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "ans", "logp", "trunc", "len"))).alias("s"))  # the samples of one problem
+    return packed.select("id", F.transform("s", lambda x: F.struct(x["ans"].alias("ans"), x["logp"].alias("logp"), x["trunc"].alias("trunc"), x["len"].alias("len"))).alias("samples"))
+
+
+@query(
+    "sql_rules",
+    f"""WITH m AS ({RULE_SQL['majority']}), w AS ({RULE_SQL['weighted2']}), t AS ({RULE_SQL['trim25_weighted']}), r AS ({RULE_SQL['drop_trunc']})
+  SELECT m.id, m.answer AS majority, w.answer AS weighted, t.answer AS trimmed, r.answer AS complete FROM m JOIN w USING (id) JOIN t USING (id) JOIN r USING (id)""",
+)
+def sql_rules(spark, d):
+    """Rules called in a query that is written in SQL."""
+    functions_sql.register(spark)
+    return spark.sql(
+        """SELECT id, vote_majority(samples) AS majority, vote_weighted(samples, 2.0) AS weighted,
+          vote_weighted(trim_lowconf(samples, 0.25), 2.0) AS trimmed, vote_majority(drop_truncated(samples)) AS complete FROM {dump}""",
+        dump=sample_arrays(spark, d),
+    )
+
+
+@query(
+    "sql_blocks",
+    f"WITH {ASKED} SELECT id, (id % 3 + 1)::INT AS blocks, {topic_sql('text')} AS topic FROM t",
+)
+def sql_blocks(spark, d):
+    """Blocks of texts by the table function, and the topics of their solutions."""
+    functions_sql.register(spark)
+    block = F.concat(F.lit("### ID: q"), F.col("id").cast("string"), F.lit("\n"), "text", F.lit("\n"))
+    texts = questions(spark, d).select("id", F.concat(F.lit("intro\n"), F.repeat(block, (F.col("id") % 3 + 1).cast("int"))).alias("text"))
+    return spark.sql("SELECT t.id, CAST(count(*) AS INT) AS blocks, min(topic_of(b.solution)) AS topic FROM {texts} t, LATERAL id_blocks(t.text) b GROUP BY t.id", texts=texts)

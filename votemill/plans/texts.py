@@ -157,7 +157,8 @@ def classify_topic(spark, d):
 
 @query(
     "feature_flags",
-    f"WITH {ASKED} SELECT id, " + ", ".join(f"regexp_matches(lower(text), '{p}') AS {n}" for n, p in T.FEATURES) + r", len(regexp_extract_all(text, '\d+')) >= 8 AS many_numbers, len(list_filter(regexp_extract_all(text, '\d+'), lambda x: length(x) >= 4)) > 0 AS big_number, length(text) >= 180 AS long_text FROM t",
+    f"WITH {ASKED} SELECT id, " + ", ".join(f"regexp_matches(lower(text), '{p}') AS \"{n}\"" for n, p in T.FEATURES)
+    + rf""", len(regexp_extract_all(text, '\d+')) >= 8 AS "{T.MANY_NUMBERS}", len(list_filter(regexp_extract_all(text, '\d+'), lambda x: length(x) >= 4)) > 0 AS "{T.BIG_NUMBER}", length(text) >= 180 AS "{T.LONG_TEXT}" FROM t""",
 )
 def feature_flags(spark, d):
     return questions(spark, d).select("id", *[c.alias(n) for n, c in T.features(F.col("text")).items()])
