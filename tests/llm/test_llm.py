@@ -546,9 +546,22 @@ def test_quality_host_verdicts(spark):
     assert usual.kept.sum() == 89 and tiny.kept.sum() == 1
 
 
+def test_quality_shrinkage_saves_a_small_host(spark):
+    """Of two hosts with one rate the large one is blocked, and of two clean ones only the large one is trusted."""
+    rows_ = [("large", i, i < 200, False) for i in range(300)] + [("small", 1000 + i, i < 2, False) for i in range(3)]
+    rows_ += [("spotless", 2000 + i, False, i == 0) for i in range(300)] + [("new", 3000, False, False)]
+    rows_ += [(f"usual{h}", 4000 + 100 * h + i, i < 10 + h % 3, i == 99) for h in range(30) for i in range(100)]
+    got = quality.judged(spark.createDataFrame(rows_, "host string, doc_id long, base_failed boolean, soft_failed boolean")).toPandas().groupby("host")
+    verdicts, kept = got.host_verdict.first(), got.kept.sum()
+    assert (verdicts["large"], verdicts["small"], verdicts["spotless"], verdicts["new"]) == ("blocked", "strict", "trusted", "strict")
+    assert (kept["large"], kept["small"], kept["spotless"], kept["new"]) == (0, 1, 300, 1)
+
+
 def test_quality_verdict_changes_rows(spark):
-    got = quality.quality(spark.read.parquet(f"{SF}/documents.parquet")).toPandas()
-    assert (got.kept != ~got.base_failed).any()
+    """On the documents some hosts are judged otherwise than their documents by themselves."""
+    got = quality.judged(quality.features(spark.read.parquet(f"{SF.rsplit('/', 1)[0]}/sf0.1/documents.parquet"))).toPandas()
+    own = ~got.base_failed & ~got.soft_failed
+    assert (got.kept & ~own).any() and not (own & ~got.kept).any() and got.host_verdict.nunique() > 1
 
 
 def mixing_table(spark):

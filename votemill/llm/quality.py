@@ -3,10 +3,12 @@
 Each document gets counts from its own text and fails the base rules if it is short or repeats itself, the soft rule
 if symbols are more than MAX_SYMBOL_PERCENT of its word characters. Documents that fail any rule are summed by host (the
 `source` column), each host's rate is shrunk with a beta prior fitted to all hosts by the method of moments, and the
-shrunk rate gives the host's verdict, which is joined back to its documents:
-  blocked  above MAX_HOST_RATE: most of what the host has is refuse, so none of its documents is kept;
-  trusted  below TRUSTED_RATE: documents that fail only the soft rule are kept, as symbols have a reason there;
+host's posterior gives its verdict, which is joined back to its documents:
+  blocked  its shrunk rate is above MAX_HOST_RATE: most of what it has is refuse, so none of its documents is kept;
+  trusted  at odds of two to one (TRUST standard deviations of the posterior) its rate is below that of all documents:
+           documents that fail only the soft rule are kept, as symbols have a reason there;
   strict   any other host: its documents are kept if they pass all rules.
+The prior pulls a host with few documents to the usual rate, so that it is neither blocked nor trusted for a few of them.
 
 Edge cases: a null text has no words and fails; a null source is a host of its own; a null doc_id is carried
 through; repeated rows count each; with one host, or hosts of equal rates, the prior weighs PRIOR_WEIGHT
@@ -19,10 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from votemill.llm.common import materialize
+from votemill.llm.common import materialize, small
 
 MIN_WORDS, MAX_REPEAT_PERCENT, MAX_SYMBOL_PERCENT = 50, 50, 10
-MAX_HOST_RATE, TRUSTED_RATE, PRIOR_WEIGHT = 0.5, 0.05, 10.0
+MAX_HOST_RATE, PRIOR_WEIGHT = 0.5, 10.0
+#: The point of the normal distribution that two thirds of it lie below.
+TRUST = 0.4307
 
 
 def let(value: Column, body) -> Column:
@@ -89,24 +93,23 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
 
 
 def host_rates(scored: DataFrame) -> DataFrame:
-    """host, host_rate: the shrunk share of its documents that fail a rule."""
+    """host, host_rate (the shrunk share of its documents that fail a rule) and host_verdict."""
     failed = (F.col("base_failed") | F.col("soft_failed")).cast("long")
     hosts = scored.groupBy("host").agg(F.count("*").alias("n"), F.sum(failed).alias("failed"))
-    rate = F.col("failed") / F.col("n")
-    prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"))
+    own = F.col("failed") / F.col("n")
+    prior = hosts.agg(F.avg(own).alias("m"), F.var_pop(own).alias("v"), (F.sum("failed") / F.sum("n")).alias("corpus"))
     weight = F.when(F.col("v") > 1e-12, F.greatest(F.col("m") * (1 - F.col("m")) / F.col("v") - 1, F.lit(0.0))).otherwise(F.lit(PRIOR_WEIGHT))
-    hosts = hosts.join(F.broadcast(prior.select("m", weight.alias("w"))))  # one row
-    return hosts.select("host", ((F.col("failed") + F.col("m") * F.col("w")) / (F.col("n") + F.col("w"))).alias("host_rate"))
-
-
-def verdict(rate: Column) -> Column:
-    return F.when(rate > MAX_HOST_RATE, "blocked").when(rate < TRUSTED_RATE, "trusted").otherwise("strict")
+    hosts = hosts.join(F.broadcast(prior.select("m", "corpus", weight.alias("w"))))  # one row
+    hosts = hosts.withColumn("host_rate", (F.col("failed") + F.col("m") * F.col("w")) / (F.col("n") + F.col("w")))
+    spread = F.sqrt(F.col("host_rate") * (1 - F.col("host_rate")) / (F.col("n") + F.col("w") + 1))
+    verdict = F.when(F.col("host_rate") > MAX_HOST_RATE, "blocked").when(F.col("host_rate") + TRUST * spread <= F.col("corpus"), "trusted").otherwise("strict")
+    return hosts.select("host", "host_rate", verdict.alias("host_verdict"))
 
 
 def judged(scored: DataFrame) -> DataFrame:
     """scored with host_rate, host_verdict and kept."""
-    hosts = host_rates(scored).select(F.col("host").alias("h"), "host_rate", verdict(F.col("host_rate")).alias("host_verdict"))
-    joined = scored.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h")
+    hosts = materialize(host_rates(scored).withColumnRenamed("host", "h"), "hosts")
+    joined = scored.join(small(hosts), F.col("host").eqNullSafe(F.col("h"))).drop("h")
     own = (F.col("host_verdict") == "trusted") | ((F.col("host_verdict") == "strict") & ~F.col("soft_failed"))
     return joined.withColumn("kept", ~F.col("base_failed") & own)
 
@@ -130,10 +133,10 @@ f AS (SELECT w.doc_id, w.source AS host, len(w.w)::BIGINT AS n_words, length(reg
 b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
   100 * n_symbols > {MAX_SYMBOL_PERCENT} * word_chars AS soft_failed FROM f),
 h AS (SELECT host, count(*) AS n, sum((base_failed OR soft_failed)::INT) AS failed FROM b GROUP BY host),
-q AS (SELECT avg(failed / n) AS m, var_pop(failed / n) AS v FROM h),
-z AS (SELECT m, CASE WHEN v > 1e-12 THEN greatest(m * (1 - m) / v - 1, 0.0) ELSE {PRIOR_WEIGHT} END AS w FROM q),
-k AS (SELECT host, (failed + m * w) / (n + w) AS host_rate,
-  CASE WHEN (failed + m * w) / (n + w) > {MAX_HOST_RATE} THEN 'blocked' WHEN (failed + m * w) / (n + w) < {TRUSTED_RATE} THEN 'trusted' ELSE 'strict' END AS host_verdict FROM h, z)
+q AS (SELECT avg(failed / n) AS m, var_pop(failed / n) AS v, sum(failed) / sum(n) AS corpus FROM h),
+z AS (SELECT m, corpus, CASE WHEN v > 1e-12 THEN greatest(m * (1 - m) / v - 1, 0.0) ELSE {PRIOR_WEIGHT} END AS w FROM q),
+x AS (SELECT host, (failed + m * w) / (n + w) AS host_rate, n + w + 1 AS n, corpus FROM h, z),
+k AS (SELECT host, host_rate, CASE WHEN host_rate > {MAX_HOST_RATE} THEN 'blocked' WHEN host_rate + {TRUST} * sqrt(host_rate * (1 - host_rate) / n) <= corpus THEN 'trusted' ELSE 'strict' END AS host_verdict FROM x)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND (host_verdict = 'trusted' OR host_verdict = 'strict' AND NOT soft_failed) AS kept, round(host_rate, 9) AS host_rate, host_verdict
 FROM b JOIN k ON b.host IS NOT DISTINCT FROM k.host
