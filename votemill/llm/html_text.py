@@ -7,10 +7,11 @@ Blocks labelled main are joined by a line break.
 
 The network is fitted to TRAIN_PAGES pages at most (the smallest hashes of their ids, a documented parameter):
 as they are, with weak labels from their own structure (inside article or main, outside boilerplate elements),
-and again with their blocks poured into random layouts, whose labels are known by construction: articles in plain
-or named containers among menus, headers, footers, sidebars, notices, adverts, forms and reader comments.
+and again with their blocks poured into random layouts, whose labels are known by construction: articles in plain,
+named or oddly named containers, in table cells, in a form over the whole page or in none at all, among menus, headers, footers, sidebars,
+notices, adverts, forms and reader comments.
 
-Edge cases: a null, empty or tagless page is one block of text or none; without any main block the text is empty;
+Edge cases: a null or empty page has no block, a page without tags is one, which is its text; without any main block the text is empty;
 unclosed and stray tags are tolerated (body, or an element that cannot stand in head, ends an open head; a quote opens a
 value only after an equals sign); character references are decoded once, after tags were found; pages of any length are read whole; repeated rows get
 equal texts; a null page_id or url is carried through; with no page to learn from, layouts are poured from
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from votemill.llm.common import first_by_hash, in_batches
 
-TRAIN_PAGES, EPOCHS, HIDDEN, RATE, SEED = 400, 10, 20, 0.01, 5
+TRAIN_PAGES, POURED, EPOCHS, HIDDEN, RATE, SEED = 400, 1200, 10, 20, 0.01, 5
 PATH_DIM, WORD_DIM, SHAPE_DIM = 192, 32, 6
 DIM = PATH_DIM + WORD_DIM + SHAPE_DIM
 
@@ -41,6 +42,8 @@ INLINE |= frozenset("math maction menclose merror mfenced mfrac mi mmultiscripts
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN_TEXT = frozenset("script style template textarea select option button title head svg iframe".split())
 HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+#: Elements within running text whose own text is not shown as text: they do not end a block.
+QUIET = frozenset("button script style template svg".split())
 BOILERPLATE = frozenset("nav header footer aside form dialog menu".split())
 OWN_CLOSE = {"p": frozenset(["p"]), "li": frozenset(["li"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "tr": frozenset(["tr", "td", "th"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"])}
 BLOCKS_CLOSE_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -110,7 +113,7 @@ def blocks(page: str) -> list[Node]:
         tag = tag.lower()
         if m[2]:
             where = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if tag not in INLINE:
+            if tag not in INLINE and tag not in QUIET:
                 flush()
             if where is not None and (tag not in INLINE or all(t in INLINE for t, _ in stack[where:])):
                 close(where)
@@ -120,7 +123,7 @@ def blocks(page: str) -> list[Node]:
         if tag == "br":
             text(" ")
             continue
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in QUIET:
             flush()
             ends = OWN_CLOSE.get(tag)
             if tag in BLOCKS_CLOSE_P:
@@ -311,12 +314,21 @@ class Labeller:
 
 
 def weak_labels(page: list[Node]) -> np.ndarray:
-    return np.array([("article" in b.path or "main" in b.path) and not BOILERPLATE & set(b.path) for b in page], np.float32)
+    """1 for blocks in an article or main element and in no boilerplate element within it (its own header apart): what stands
+    around the article, such as a form over the whole page, tells nothing."""
+
+    def own(path: tuple[str, ...]) -> bool:
+        at = max((i for i, n in enumerate(path) if n in ("article", "main")), default=-1)
+        return at >= 0 and not (BOILERPLATE - {"header"}) & set(path[at:])
+
+    return np.array([own(b.path) for b in page], np.float32)
 
 
 #: How pages name their parts.
 MAIN_OPEN = ["<article>", "<main>", '<div class="content">', '<div id="content">', '<div class="post">', '<div class="entry-content">', '<div class="article-body">', '<section class="story">', '<main><article class="post">', '<div id="main-content">', '<div class="text">', "<section>", "<div>"]
 OTHER_OPEN = ["<nav>", "<header>", "<footer>", "<aside>", '<div class="ad">', '<div class="advert">', '<div class="sidebar">', '<div id="sidebar">', '<div class="menu">', '<ul class="nav">', '<div class="cookie-notice">', '<div class="notice">', '<div class="banner">', '<div class="promo">', '<div class="newsletter">', "<form>", '<div class="related">', '<div class="share">', '<div class="breadcrumb">', '<div id="footer">', '<div id="header">', '<div class="comments">', '<section id="comments">', '<div class="comment">', '<div class="popup">', '<div role="navigation">', '<div class="widget">', '<aside class="sidebar">', '<div class="sponsored">']
+OTHER_OPEN += ['<div id="disqus_thread">', '<div class="reply">', '<div class="replies">', '<ol class="commentlist">', '<div id="respond">', '<div class="legal">', '<div id="legal">', '<div class="copyright">', '<div class="disclaimer">', '<div class="login">', '<form class="login">', '<div class="toolbar">', '<div class="pagination">', '<div class="tags">']
+PAGE_FORM = ['<form action="/page" method="post" id="aspnetForm">', "<form>", '<form method="post" class="page-form"><input type="hidden" name="state">']
 INNER = ["<p>{}</p>", "<p>{}</p>", "<p>{}</p>", "<p>{}", "<h1>{}</h1>", "<h2>{}</h2>", "<ul><li>{}</li></ul>", "<blockquote>{}</blockquote>", "<div>{}</div>", "<pre>{}</pre>", "<p><b>{}<br><p>", "<table><tr><td>{}</td></tr></table>"]
 OTHER_INNER = ["<p>{}</p>", "<div>{}</div>", "<ul><li><a href='/'>{}</a></li></ul>", "<a href='/'>{}</a>", "<span>{}</span>", "{}", "<h3>{}</h3>", "<label>{}</label>"]
 
@@ -338,24 +350,41 @@ def poured(texts: list[str], rng: np.random.Generator) -> tuple[str, set[str]]:
             main.add(mark)
         return template.format(f"{mark} {html.escape(words, quote=False)}")
 
+    def named() -> str:
+        """A container whose name tells nothing."""
+        name = "".join(pick("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(int(rng.integers(2, 9))))
+        return pick(['<div class="x{}">', '<div id="x{}">', '<section class="x{}">', "<div>"]).format(name)
+
     def other() -> str:
-        opened = pick(OTHER_OPEN)
+        kind = rng.random()
+        # A container without a telling name, or a table, has links and labels; others may have sentences, too.
+        opened = named() if kind < 0.25 else "<table><tr>" if kind < 0.32 else pick(OTHER_OPEN)
+        cells, short = opened == "<table><tr>", kind < 0.32
         inside = []
         for _ in range(int(rng.integers(1, 6))):
             words = pick(texts).split()
-            keep = int(rng.integers(1, 9)) if rng.random() < 0.6 else int(rng.integers(5, 60))
-            inside.append(block(pick(OTHER_INNER), " ".join(words[:keep]), False))
+            keep = int(rng.integers(1, 4)) if short else int(rng.integers(1, 9)) if rng.random() < 0.6 else int(rng.integers(5, 60))
+            template = pick(["<td>{}</td>", "<td><a href='/'>{}</a></td>"]) if cells else pick(OTHER_INNER)
+            inside.append(block(template, " ".join(words[:keep]).rstrip(".,") if short else " ".join(words[:keep]), False))
         return opened + "".join(inside) + closing(opened)
 
-    opened = pick(MAIN_OPEN)
-    body = [block("<h1>{}</h1>", " ".join(pick(texts).split()[:8]), True)] if rng.random() < 0.8 else []
+    layout = rng.random()
+    opened = "" if layout < 0.08 else "<table><tr><td>" if layout < 0.16 else named() if layout < 0.38 else pick(MAIN_OPEN)
+    heading = "<header><h1>{}</h1></header>" if rng.random() < 0.2 else "<h1>{}</h1>"
+    body = [block(heading, " ".join(pick(texts).split()[:8]), True)] if rng.random() < 0.8 else []
     for _ in range(int(rng.integers(1, 12))):
         body.append(block(pick(INNER), pick(texts), True))
-        if rng.random() < 0.08:
+        if opened and rng.random() < 0.08:
             body.append(other())
-    page = [other() for _ in range(int(rng.integers(0, 4)))] + [opened, *body, closing(opened)] + [other() for _ in range(int(rng.integers(0, 4)))]
+    around = lambda: [other() for _ in range(int(rng.integers(0, 4)))]
+    page = [*around(), opened, *body, closing(opened), *around()] if opened or rng.random() < 0.5 else body
+    if opened == "<table><tr><td>":
+        side = around() if rng.random() < 0.4 else [block(pick(["<p>{}</p>", "<a href='/'>{}</a><br>", "<div>{}</div>"]), " ".join(pick(texts).split()[: int(rng.integers(1, 4))]).rstrip(".,"), False) for _ in range(int(rng.integers(1, 7)))]
+        page = ["<table><tr><td>", *side, "</td><td>", *body, "</td></tr></table>"]
     if rng.random() < 0.3:
         page = ['<div class="wrapper">', *page, "</div>"]
+    if rng.random() < 0.15:
+        page = [pick(PAGE_FORM), *page, "</form>"]
     return "<html><body>" + "".join(page) + "</body></html>", main
 
 
@@ -366,7 +395,7 @@ def train(pages: list[str]) -> Labeller:
     samples, labels = [vectors(b) for b in parsed], [weak_labels(b) for b in parsed]
     useful = [i for i, y in enumerate(labels) if y.any()]  # no article or main element: nothing to learn from structure
     samples, labels = [samples[i] for i in useful], [labels[i] for i in useful]
-    for _ in range(2 * TRAIN_PAGES):
+    for _ in range(POURED):
         page, main = poured(texts, rng)
         own = blocks(page)
         y = np.array([n.text.split()[0] in main for n in own], np.float32)
@@ -382,7 +411,8 @@ def train(pages: list[str]) -> Labeller:
 def extract(model: Labeller, pages: list[str | None]) -> list[str]:
     parsed = [blocks(p or "") for p in pages]
     found = model.label(parsed)
-    return ["\n".join(n.text for n, q in zip(b, p) if q >= 0.5) for b, p in zip(parsed, found)]
+    plain = [all(not n.path for n in b) for b in parsed]
+    return ["\n".join(n.text for n, q in zip(b, p) if whole or q >= 0.5) for b, p, whole in zip(parsed, found, plain)]
 
 
 def main_text(pages: DataFrame) -> DataFrame:
