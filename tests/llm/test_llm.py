@@ -699,8 +699,11 @@ def test_lm_brute_force(spark, docs, monkeypatch, order):
     asked = pa.concat_tables([lm.ask(buckets)(t) for t in tables.values()])
     numbers = np.array(asked.column("bucket").to_pylist())
     replied = pa.concat_tables([lm.answer(buckets)(asked.filter(pa.array(numbers == b))) for b in np.unique(numbers)])
+    whole = pa.concat_tables([lm.totals(buckets)(asked.filter(pa.array(numbers == b))) for b in np.unique(numbers)])
     got = {}
     for g, t in tables.items():
+        for name in lm.TOTALS.names:
+            t = t.append_column(name, pa.array([sum(whole.column(name).to_pylist())] * t.num_rows))
         own = replied.filter(pa.array(np.array(replied.column("g").to_pylist()) == g))
         got |= {r["doc_id"]: r for r in lm.scorer(buckets)(t, own).to_pylist()}
     check_lm(got, items)
@@ -725,6 +728,17 @@ def test_lm_query(spark, docs, monkeypatch):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_lm_requests_grow_with_the_groups():
+    """However many buckets there are, a group asks those only that it has n-grams in, so requests grow as the groups do."""
+    rng = random.Random(4)
+    group = lambda g: pa.table({"doc_id": [g], "text": [" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(200))], "copies": [1], "g": pa.array([g], pa.int32())})
+    for entries in (1, 10**8, 10**12):
+        buckets = lm.Buckets(entries, 60)
+        rows = [lm.ask(buckets)(group(g)).num_rows for g in range(40)]
+        assert all(lm.ORDER <= r <= min(lm.ORDER * buckets.n, 3 * 201) for r in rows)
+        assert abs(sum(rows) - 2 * sum(rows[:20])) <= 0.05 * sum(rows)
+
+
 @pytest.mark.parametrize("values", [[], [0], [0, 0, 5], [1, 2**40, 2**64 - 1], list(range(3000))])
 def test_lm_packed_numbers(values):
     x = np.array(values, np.uint64)

@@ -13,8 +13,8 @@ GROUP_BYTES by a hash of id and text; equal rows are one document with a number.
 it holds, as sorted hashes cut into buckets; a bucket adds up the training counts of all groups and answers each with
 counts in the order asked; each group then builds the part of the automaton that its own texts can reach. N-grams are
 counted within a group before they move, so a frequent one is one entry a group, not a row an occurrence. Texts are
-dealt once: asking and scoring read the same exchange. A group sends a row a bucket that it has n-grams in (and one to
-each bucket of single words, to learn the totals).
+dealt once: asking and scoring read the same exchange. A group sends a row a bucket that it has n-grams in, so there are never more
+rows than n-grams of groups; the totals N, V and n1 are one row, which the buckets of single words add up to and which is broadcast.
 
 Edge cases: a null text is an empty one, whose only token is the end; a null id counts as training (its
 remainder is none) and held_out is false; repeated rows count each and are returned each; without training tokens every token is
@@ -138,19 +138,16 @@ class Buckets:
         self.n, self.bits = max(1, -(-entries // BUCKET_ENTRIES)), bits
 
     def of(self, k: int, keys: np.ndarray) -> list[tuple[int, int, int]]:
-        """(number, begin, end) of the buckets in which sorted keys of order k lie; those of single words all."""
+        """(number, begin, end) of the buckets in which sorted keys of order k lie."""
         space = 64 if k == 1 else self.bits
-        width = U(-(-(1 << space) // self.n)) if self.n > 1 else U((1 << space) - 1)
-        if k == 1:
-            edge = np.searchsorted(keys, np.arange(1, self.n, dtype=U) * width).tolist()
-            return [(b, s, e) for b, (s, e) in enumerate(zip([0, *edge], [*edge, len(keys)]))]
-        number = keys // width if self.n > 1 else np.zeros(len(keys), U)
+        number = keys // U(-(-(1 << space) // self.n)) if self.n > 1 else np.zeros(len(keys), U)
         first = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]])[: len(number)])
         return list(zip(((k - 1) * self.n + number[first].astype(np.int64)).tolist(), first.tolist(), [*first[1:].tolist(), len(keys)]))
 
 
 ASKED = pa.schema([("bucket", pa.int64()), ("g", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-ANSWERED = pa.schema([("g", pa.int32()), ("bucket", pa.int64()), ("counts", pa.binary()), ("tokens", pa.int64()), ("types", pa.int64()), ("singles", pa.int64())])
+ANSWERED = pa.schema([("g", pa.int32()), ("bucket", pa.int64()), ("counts", pa.binary())])
+TOTALS = pa.schema([("tokens", pa.int64()), ("types", pa.int64()), ("singles", pa.int64())])
 SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("copies", pa.int64())])
 KINDS = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.float64(): "double", pa.bool_(): "boolean"}
 
@@ -167,36 +164,52 @@ def ask(buckets: Buckets):
         rows = []
         for k, (keys, counts) in enumerate(zip(group.keys, group.counts), 1):
             for b, s, e in buckets.of(k, keys):
-                rows.append((b, g, pack_keys(keys[s:e]) if e > s else b"", pack(counts[s:e])))
+                rows.append((b, g, pack_keys(keys[s:e]), pack(counts[s:e])))
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), ASKED)], schema=ASKED)
 
     return run
 
 
+def added_up(table: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """Of a bucket's requests: their sizes, the order that sorts their keys, the number of each sorted key, and each number's count."""
+    keys = [unpack_keys(x) for x in table.column("keys").to_pylist()]
+    sizes = list(map(len, keys))
+    every = np.concatenate(keys)
+    where = np.argsort(every, kind="stable")
+    s = every[where]
+    del every, keys
+    new = np.concatenate([[True], s[1:] != s[:-1]])[: len(s)]
+    counts = np.concatenate([unpack(x) for x in table.column("counts").to_pylist()])[where].astype(np.int64)
+    return sizes, where, np.cumsum(new) - 1, np.add.reduceat(counts, np.flatnonzero(new))
+
+
 def answer(buckets: Buckets):
-    """Of a bucket: the counts that each group asked for; with those of single words, N, V and n1 of the bucket."""
+    """Of a bucket: the counts that each group asked for."""
 
     def run(table: pa.Table) -> pa.Table:
         groups, number = table.column("g").to_pylist(), table.column("bucket")[0].as_py()
-        keys = [unpack_keys(x) for x in table.column("keys").to_pylist()]
-        sizes = list(map(len, keys))
-        every = np.concatenate(keys)
-        where = np.argsort(every, kind="stable")
-        s = every[where]
-        del every, keys
-        new = np.concatenate([[True], s[1:] != s[:-1]])[: len(s)]
-        counts = np.concatenate([unpack(x) for x in table.column("counts").to_pylist()])[where].astype(np.int64)
-        total = np.add.reduceat(counts, np.flatnonzero(new)) if len(s) else np.zeros(0, np.int64)
-        of = np.empty(len(s), np.int64)
-        of[where] = total[np.cumsum(new) - 1]
-        word = total[total > 0] if number < buckets.n else total[:0]
+        sizes, where, key, total = added_up(table)
+        of = np.empty(len(where), np.int64)
+        of[where] = total[key]
         cut = np.cumsum([0, *sizes])
-        rows = [(g, number, pack(of[a:b]), int(word.sum()), len(word), int((word == 1).sum())) for g, a, b in zip(groups, cut[:-1], cut[1:])]
+        rows = [(g, number, pack(of[a:b])) for g, a, b in zip(groups, cut[:-1], cut[1:])]
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), ANSWERED)], schema=ANSWERED)
 
     return run
 
 
+def totals(buckets: Buckets):
+    """Of a bucket of single words: its training tokens, the words among them and those that stand once. Other buckets have none."""
+
+    def run(table: pa.Table) -> pa.Table:
+        if table.column("bucket")[0].as_py() >= buckets.n:
+            return TOTALS.empty_table()
+        total = added_up(table)[3]
+        return pa.table([[int(total.sum())], [int((total > 0).sum())], [int((total == 1).sum())]], schema=TOTALS)
+
+    return run
+
+
 class Automaton:
     """The part of the model that a group of texts can reach: states (0 is the empty history), arcs and failure arcs.
 
@@ -285,11 +298,10 @@ class Automaton:
         return np.bincount(text, total, len(size))
 
 
-def counts_of(group: Group, buckets: Buckets, replies: pa.Table) -> tuple[list[np.ndarray], int, int, int]:
-    """Of each order, the training counts of the group's n-grams; then N, V and n1."""
-    rows = sorted(zip(*(replies.column(c).to_pylist() for c in ("bucket", "counts", "tokens", "types", "singles"))))
-    counts = [np.concatenate([np.zeros(0, np.int64), *(unpack(r[1]).astype(np.int64) for r in rows if r[0] // buckets.n == k)]) for k in range(ORDER)]
-    return counts, sum(r[2] for r in rows), sum(r[3] for r in rows), sum(r[4] for r in rows)
+def counts_of(buckets: Buckets, replies: pa.Table) -> list[np.ndarray]:
+    """Of each order, the training counts of a group's n-grams."""
+    rows = sorted(zip(replies.column("bucket").to_pylist(), replies.column("counts").to_pylist()))
+    return [np.concatenate([np.zeros(0, np.int64), *(unpack(c).astype(np.int64) for b, c in rows if b // buckets.n == k)]) for k in range(ORDER)]
 
 
 def scorer(buckets: Buckets):
@@ -298,7 +310,8 @@ def scorer(buckets: Buckets):
             return SCORED.empty_table()
         group = Group([docs], buckets.bits)
         group.keys = None
-        counts, tokens, types, singles = counts_of(group, buckets, replies)
+        counts = counts_of(buckets, replies)
+        tokens, types, singles = (docs.column(c)[0].as_py() for c in TOTALS.names)
         score = Automaton(group, counts, tokens, singles).score()
         seen = counts[0][group.place[0]]
         base = np.log10((seen + 1.0) / (tokens + 1.0 * (types + 1.0)))
@@ -335,7 +348,8 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     request = dealt.groupBy("g").applyInArrow(ask(buckets), ddl(ASKED))
     request = request.repartition(-(-ORDER * buckets.n // 2), "bucket")  # about two buckets a task, however many there are
     reply = request.groupBy("bucket").applyInArrow(answer(buckets), ddl(ANSWERED))
-    out = dealt.groupBy("g").cogroup(reply.groupBy("g")).applyInArrow(scorer(buckets), ddl(SCORED))
+    whole = request.groupBy("bucket").applyInArrow(totals(buckets), ddl(TOTALS)).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in TOTALS.names])
+    out = dealt.join(F.broadcast(whole)).groupBy("g").cogroup(reply.groupBy("g")).applyInArrow(scorer(buckets), ddl(SCORED))
     if repeated:  # in two steps, so that no list is long
         out = out.withColumn("a", F.explode(F.expr(f"sequence(0L, (copies - 1) div {COPIES})")))
         out = out.withColumn("b", F.explode(F.expr(f"sequence(1L, least({COPIES}L, copies - a * {COPIES}))"))).drop("a", "b")
