@@ -246,6 +246,46 @@ def test_power_is_that_of_the_simulation(spark):
                 assert got[a, b, delta] == pytest.approx(((np.abs(2 * k - m) - 1) / math.sqrt(m) > 1.959964).mean(), abs=0.02)
 
 
+def test_binomial_draws(spark):
+    cases = [(0, 0.5), (7, 0.0), (7, 1.0), (1, 0.3), (12, 0.5), (900, 0.02), (10**6, 0.4), (10**9, 0.9)]
+    df = spark.createDataFrame(cases, "n long, p double")
+    rows = resampling.replicates(df, 3000).withColumn("k", resampling.binomial(F.col("n"), F.col("p"), resampling.uniform(F.col("rep"), F.col("n"), F.col("p"))))
+    got = {(r["n"], r["p"]): r for r in rows.groupBy("n", "p").agg(F.avg("k").alias("m"), F.stddev_pop("k").alias("s"), F.min("k").alias("low"), F.max("k").alias("high")).collect()}
+    for n, p in cases:
+        r, sd = got[n, p], math.sqrt(n * p * (1 - p))
+        assert 0 <= r["low"] <= r["high"] <= n and abs(r["m"] - n * p) <= 4 * sd / math.sqrt(3000) and abs(r["s"] - sd) <= 0.06 * sd
+    one = spark.createDataFrame([(5, 0.5, u) for u in (0.0, 0.031, 0.032, 0.49, 0.9999999)], "n long, p double, u double")
+    assert [r[0] for r in one.orderBy("u").select(resampling.binomial(F.col("n"), F.col("p"), F.col("u"))).collect()] == [0, 0, 1, 2, 5]
+
+
+def test_bootstrap_intervals(spark):
+    rng = np.random.default_rng(6)
+    hits = (rng.random(800) < 0.3).astype(float)
+    df = spark.createDataFrame([(i, float(h), float(x)) for i, (h, x) in enumerate(zip(hits, rng.normal(size=800)))], "id long, v double, x double")
+    means = np.sort(rng.choice(hits, (4000, 800)).mean(1))
+    got = resampling.bootstrap_share(df, "v").first()
+    assert got["n"] == 800 and got["mean"] == pytest.approx(hits.mean())
+    assert got["low"] == pytest.approx(means[100], abs=0.006) and got["high"] == pytest.approx(means[3900], abs=0.006)
+    assert resampling.bootstrap_share(df.filter("id < 0"), "v").count() == 0
+    flat = resampling.bootstrap_share(df.withColumn("v", F.lit(1.0)), "v").first()
+    assert (flat["low"], flat["high"]) == (1.0, 1.0)
+    real = resampling.bootstrap_ci(df, "x", 400).first()
+    x = np.array([r["x"] for r in df.collect()])
+    assert real["mean"] == pytest.approx(x.mean()) and real["high"] - real["low"] == pytest.approx(2 * 1.96 * x.std() / math.sqrt(800), rel=0.2)
+
+
+def test_permutation_of_signs(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, "ab"[i % 2], float(v)) for i, v in enumerate(np.where(rng.random(60) < 0.62, 0.75, -0.25))]
+    got = resampling.permutation_max(spark.createDataFrame(rows, "id long, cell string, v double"), 2000).first()
+    v, cell = np.array([r[2] for r in rows]), np.array([r[1] for r in rows])
+    signs = rng.choice([-1, 1], (20_000, 60)) * v
+    top = np.maximum(signs[:, cell == "a"].mean(1), signs[:, cell == "b"].mean(1))
+    observed = max(v[cell == "a"].mean(), v[cell == "b"].mean())
+    assert got["observed"] == pytest.approx(observed) and got["trials"] == 2000
+    assert got["p"] == pytest.approx((top >= observed - 1e-12).mean(), abs=0.02)
+
+
 def test_greedy_cover(spark):
     rng = random.Random(7)
     solved = {s: {i for i in range(80) if rng.random() < 0.2} for s in "abcdefg"}

@@ -67,6 +67,10 @@ def hash_parts(rows: DataFrame, n: int, seed: str, digits: int) -> DataFrame:
 POISSON = tuple(f"{round(65536 * sum(math.exp(-1) / math.factorial(i) for i in range(k))):04x}" for k in range(1, 7))
 
 
+#: Standard deviations from the mean within which a binomial distribution is added up.
+TERMS_SD = 12
+
+
 def bootstrap_ci(units: DataFrame, value: str, n: int = 2000, seed: str = "b") -> DataFrame:
     """Mean and its 95 % interval from index percentiles of Poisson-weighted replicates.
 
@@ -81,12 +85,50 @@ def bootstrap_ci(units: DataFrame, value: str, n: int = 2000, seed: str = "b") -
     return units.agg(F.count("*").alias("n"), F.avg(value).alias("mean")).join(F.broadcast(ends))  # one row each
 
 
+def binomial(n: Column, p: Column, u: Column) -> Column:
+    """Binomial draws by inversion: the smallest k whose distribution function reaches u. The terms within TERMS_SD deviations of the mean
+    are added up, once for each (n, p) of a batch; what lies beyond is less than u can resolve."""
+
+    @F.pandas_udf("long")
+    def draw(n: pd.Series, p: pd.Series, u: pd.Series) -> pd.Series:
+        out = np.zeros(len(n), np.int64)
+        for (size, chance), at in pd.DataFrame({"n": n, "p": p}).groupby(["n", "p"]).indices.items():
+            out[at] = size if chance >= 1 else 0
+            if 0 < chance < 1:
+                reach = TERMS_SD * math.sqrt(size * chance * (1 - chance)) + 2
+                low, high = max(0, int(size * chance - reach)), min(int(size), int(size * chance + reach))
+                k = np.arange(low, high + 1)
+                first = math.lgamma(size + 1) - math.lgamma(low + 1) - math.lgamma(size - low + 1) + low * math.log(chance) + (size - low) * math.log1p(-chance)
+                logs = first + np.concatenate([[0.0], np.cumsum(np.log(size - k[:-1]) - np.log(k[1:]) + math.log(chance) - math.log1p(-chance))])
+                out[at] = np.minimum(low + np.searchsorted(np.cumsum(np.exp(logs)), u.to_numpy()[at], "left"), high)
+        return pd.Series(out)
+
+    return draw(n.cast("long"), p.cast("double"), u)
+
+
+def bootstrap_share(units: DataFrame, hit: str, n: int = 2000, seed: str = "b") -> DataFrame:
+    """n, mean, low and high: the share of units with `hit` 1 and its 95 % interval from index percentiles of resampled shares.
+
+    Drawing as many units with replacement gives a binomial number of hits, so that a replicate is one row, however many units there are.
+    """
+    own = units.agg(F.count("*").alias("n"), F.avg(hit).alias("mean")).filter("n > 0")  # one row
+    reps = replicates(own, n).withColumn("m", binomial(F.col("n"), F.col("mean"), uniform(F.lit(seed), F.col("rep"))) / F.col("n"))
+    i = F.row_number().over(Window.orderBy("m", "rep")) - 1  # a row a replicate
+    ends = reps.withColumn("i", i).agg(F.max(F.when(F.col("i") == int(n * 0.025), F.col("m"))).alias("low"), F.max(F.when(F.col("i") == int(n * 0.975) - 1, F.col("m"))).alias("high"))
+    return own.join(F.broadcast(ends))  # one row each
+
+
 def permutation_max(units: DataFrame, n: int = 2000, seed: str = "p") -> DataFrame:
-    """The largest cell mean of `v` over cells, and how often sign-flipped replicates reach it."""
-    cells = units.groupBy("cell").agg(F.avg("v").alias("m")).agg(F.max("m").alias("observed"))
-    sign = F.when(F.col("h") < "8", 1).otherwise(-1)
-    trial = hash_parts(units, n, seed, 1).groupBy("rep", "cell").agg(F.avg(F.col("v") * sign).alias("m")).groupBy("rep").agg(F.max("m").alias("top"))
-    return trial.join(F.broadcast(cells)).agg(F.max("observed").alias("observed"), F.count("*").alias("trials"), ((F.count(F.when(F.col("top") >= F.col("observed"), 1)) + 1) / (F.count("*") + 1)).alias("p"))  # cells: one row
+    """The largest cell mean of `v` over cells, and how often sign-flipped replicates reach it.
+
+    Of the c units of a cell with one value, a binomial number keeps its sign, so that a replicate is a row for each cell and value.
+    """
+    kinds = units.groupBy("cell", "v").agg(F.count("*").alias("c"))
+    cells = kinds.groupBy("cell").agg((F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("m")).agg(F.max("m").alias("observed"))
+    kept = binomial(F.col("c"), F.lit(0.5), uniform(F.lit(seed), F.col("rep"), F.col("cell"), F.col("v")))
+    trial = replicates(kinds, n).withColumn("s", F.col("v") * (2 * kept - F.col("c"))).groupBy("rep", "cell").agg((F.sum("s") / F.sum("c")).alias("m")).groupBy("rep").agg(F.max("m").alias("top"))
+    reached = F.round("top", 12) >= F.round("observed", 12)
+    return trial.join(F.broadcast(cells)).agg(F.max("observed").alias("observed"), F.count("*").alias("trials"), ((F.count(F.when(reached, 1)) + 1) / (F.count("*") + 1)).alias("p"))  # cells: one row
 
 
 #: Fixed value: the two-sided 5 % point of the normal distribution, as the power study has it.

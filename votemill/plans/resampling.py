@@ -24,30 +24,32 @@ HITS = f"won AS ({RULE_SQL['weighted2']}), {GOLD_SQL}, u AS (SELECT id, category
 TRIALS = 2000
 
 
-def parts_sql(source: str, n: int, seed: str, digits: int) -> str:
-    """Rows of source by n replicates with hexadecimal digits h, several replicates an md5."""
-    each = 32 // digits
-    blocks = f"SELECT *, md5('{seed}|' || block || '|' || id) AS md5 FROM {source}, range({-(-n // each)}) t(block)"
-    return f"SELECT * FROM (SELECT * EXCLUDE (md5), block * {each} + j AS rep, substr(md5, (j * {digits} + 1)::INT, {digits}) AS h FROM ({blocks}), range({each}) s(j)) WHERE rep < {n}"
+#: Terms of a binomial distribution for k of m, and draws by inversion: the number of its running sums below u.
+MASS = "exp(lgamma({0} + 1) - lgamma(k + 1) - lgamma({0} - k + 1) + k * ln({1}) + ({0} - k) * ln(1 - {1}))"
 
 
 @query(
     "bootstrap_ci",
-    f"""WITH {HITS}, r AS ({parts_sql('u', TRIALS, 'b', 4)}), w AS (SELECT rep, v, {' + '.join(f"(h >= '{s}')::INT" for s in resampling.POISSON)} AS w FROM r),
-  m AS (SELECT rep, sum(v * w) / sum(w) AS m FROM w GROUP BY rep), o AS (SELECT m, row_number() OVER (ORDER BY m, rep) - 1 AS i FROM m)
-  SELECT count(*) AS n, round(avg(v), 6) AS mean, round((SELECT m FROM o WHERE i = {int(TRIALS * 0.025)}), 6) AS low, round((SELECT m FROM o WHERE i = {int(TRIALS * 0.975) - 1}), 6) AS high FROM u""",
+    f"""WITH {HITS}, o AS (SELECT count(*) AS n, avg(v) AS mean FROM u), d AS (SELECT k, sum({MASS.format('n', 'mean')}) OVER (ORDER BY k) AS f FROM (SELECT *, unnest(range(n + 1)) AS k FROM o)),
+  r AS (SELECT rep, {UNIFORM.format("'b|' || rep")} AS x FROM range({TRIALS}) t(rep)), m AS (SELECT rep, count(*) FILTER (f < x) / any_value(n) AS m FROM r, d, o GROUP BY rep),
+  s AS (SELECT m, row_number() OVER (ORDER BY m, rep) - 1 AS i FROM m)
+  SELECT n, round(mean, 6) AS mean, round((SELECT m FROM s WHERE i = {int(TRIALS * 0.025)}), 6) AS low, round((SELECT m FROM s WHERE i = {int(TRIALS * 0.975) - 1}), 6) AS high FROM o""",
 )
 def bootstrap_ci(spark, d):
-    return resampling.bootstrap_ci(correct(spark, d), "v", TRIALS).select("n", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
+    return resampling.bootstrap_share(correct(spark, d), "v", TRIALS).select("n", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
 
 
 @query(
     "permutation_max",
-    f"""WITH {HITS}, c AS (SELECT id, category AS cell, v - 0.2 AS v FROM u), o AS (SELECT max(m) AS m FROM (SELECT avg(v) AS m FROM c GROUP BY cell)), t AS (SELECT rep, cell, avg(v * CASE WHEN h < '8' THEN 1 ELSE -1 END) AS m FROM ({parts_sql('c', TRIALS, 'p', 1)}) GROUP BY rep, cell),
-  x AS (SELECT rep, max(m) AS top FROM t GROUP BY rep) SELECT round(any_value(o.m), 6) AS observed, count(*) AS trials, round((count(*) FILTER (top >= o.m) + 1) / (count(*) + 1), 6) AS p FROM x, o""",
+    f"""WITH {HITS}, c AS (SELECT category AS cell, v, count(*) AS c FROM u GROUP BY ALL), o AS (SELECT max(m) AS m FROM (SELECT sum((v - 0.25) * c) / sum(c) AS m FROM c GROUP BY cell)),
+  d AS (SELECT cell, v, k, sum({MASS.format('c', '0.5')}) OVER (PARTITION BY cell, v ORDER BY k) AS f FROM (SELECT *, unnest(range(c + 1)) AS k FROM c)),
+  r AS (SELECT c.*, rep, {UNIFORM.format("'p|' || rep || '|' || cell || '|' || (v - 0.25)")} AS x FROM c, range({TRIALS}) t(rep)),
+  k AS (SELECT r.cell, r.v, rep, any_value(c) AS c, count(*) FILTER (f < x) AS k FROM r JOIN d ON r.cell = d.cell AND r.v = d.v GROUP BY r.cell, r.v, rep),
+  t AS (SELECT rep, max(m) AS top FROM (SELECT rep, cell, sum((v - 0.25) * (2 * k - c)) / sum(c) AS m FROM k GROUP BY rep, cell) GROUP BY rep)
+  SELECT round(any_value(o.m), 6) AS observed, count(*) AS trials, round((count(*) FILTER (round(top, 12) >= round(o.m, 12)) + 1) / (count(*) + 1), 6) AS p FROM t, o""",
 )
 def permutation_max(spark, d):
-    units = correct(spark, d).select("id", F.col("category").alias("cell"), (F.col("v") - 0.2).alias("v"))
+    units = correct(spark, d).select("id", F.col("category").alias("cell"), (F.col("v") - 0.25).alias("v"))
     return resampling.permutation_max(units, TRIALS).select(F.round("observed", 6).alias("observed"), "trials", F.round("p", 6).alias("p"))
 
 
