@@ -46,7 +46,6 @@ def widened(ballots: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     rows = ballots.withColumns({
         "n_": F.count("ans").over(w),
         "d_": valid() & complete,
-        "l_": F.sort_array(F.collect_list(F.when(valid(), F.col("len"))).over(w)),
         "p_": plausible | ~F.coalesce(F.max(F.when(valid(), plausible)).over(w), F.lit(False)),
         "top_": F.max(F.when(valid(), F.col("logp"))).over(w),
     })
@@ -58,6 +57,9 @@ def widened(ballots: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
         "nd_": F.count(F.when(F.col("d_"), 1)).over(w),
         "topd_": F.max(F.when(F.col("d_"), F.col("logp"))).over(w),
     })
+    ranked = lambda k: F.max(F.when(valid() & (F.col("h_") == k), F.col("len"))).over(w)  # noqa: E731  the k-th shortest valid length
+    cuts = {f"cut{p}_": ranked(F.least(F.floor(F.col("n_") * p / 100), F.col("n_") - 1) + 1) for band in BANDS for p in band}
+    rows = rows.withColumns({**cuts, "cut_": ranked(F.greatest(F.lit(1), F.floor(F.col("n_") * 0.2)))})
     half = F.col("h_") <= F.greatest(F.lit(1), F.floor(F.col("n_") / 2))
     inside = {f"in{low}_": between(low, high) for low, high in BANDS}
     rows = rows.withColumns({"half_": half, "toph_": F.max(F.when(valid() & half, F.col("logp"))).over(w), **inside})
@@ -68,8 +70,7 @@ BANDS = ((10, 90), (5, 95), (20, 80))
 
 
 def between(low: int, high: int) -> Column:
-    at = lambda p: F.element_at("l_", F.greatest(F.lit(1), F.least(F.floor(F.col("n_") * p / 100), F.col("n_") - 1).cast("int") + 1))
-    return F.when(F.col("n_") > 0, F.col("len").between(at(low), at(high))).otherwise(False)
+    return F.when(F.col("n_") > 0, F.col("len").between(F.col(f"cut{low}_"), F.col(f"cut{high}_"))).otherwise(False)
 
 
 def trimmed(frac: float, n: str = "n_", r: str = "r_") -> Column:
@@ -91,7 +92,7 @@ def forms() -> dict[str, Form]:
         "tiebreak_conf": Form(None, pos, (votes, lambda m: F.max(F.when(m, F.col("logp"))))),
         "plausible": Form(F.col("p_"), pos, (votes,)),
         "short_half": Form(F.col("half_"), F.col("h_"), (heavy(2.0, "toph_"),)),
-        "len_trim20": Form(F.col("len") >= F.when(F.col("n_") >= 5, F.element_at("l_", F.greatest(F.lit(1), F.floor(F.col("n_") * 0.2)).cast("int"))).otherwise(0), pos, (votes,)),
+        "len_trim20": Form(F.col("len") >= F.when(F.col("n_") >= 5, F.col("cut_")).otherwise(0), pos, (votes,)),
     }
     for p in (10, 20, 25, 30, 40, 50):
         out[f"trim{p}"] = Form(trimmed(p / 100), by_conf(), (votes,))
