@@ -382,6 +382,25 @@ def test_substring_dedup_edges(odd, empty):
     assert substring_dedup.deduplicated(empty).count() == 0
 
 
+@pytest.mark.parametrize("kind, most", [("embeddings", 0.85), ("concentrated", 0.95), ("clustered", 0.2)])
+def test_nearest_verifies_a_part(spark, kind, most):
+    """The test spares exact distances, the more the less distances concentrate, and nine of ten neighbours are found."""
+    rng = np.random.default_rng(2)
+    if kind == "embeddings":
+        v = np.array([r[0] for r in spark.read.parquet(f"{SF.rsplit('/', 1)[0]}/sf0.1/embeddings.parquet").select("embedding").collect() if r[0] is not None and len(r[0]) == 64], float)
+    else:
+        v = rng.normal(size=(3000, 64)) + (12 * rng.normal(size=(30, 64))[rng.integers(0, 30, 3000)] if kind == "clustered" else 0)
+    block = nearest.Block([[i] for i in range(len(v))], v)
+    bound, found, total = nearest.chi_square_bound(nearest.CONFIDENCE, nearest.PROJECTED), 0, 0
+    asked = range(0, len(v), 50)
+    for q in asked:
+        exact = np.argsort(((v - v[q]) ** 2).sum(1), kind="stable")
+        exact = [i for i in exact if i != q][:10]
+        found += len({j for _, j in block.search(q, v[q], 10, bound)} & set(exact))
+        total += 10
+    assert found >= 0.9 * total and block.verified <= most * len(asked) * len(v)
+
+
 def test_nearest_recall_and_edges(spark):
     table = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
     rng = np.random.default_rng(4)

@@ -4,10 +4,11 @@ Vectors are projected to PROJECTED dimensions with Gaussian coefficients, which
 projected distance of two points, over their squared distance, follows a chi-square law of that many degrees.
 The projections are indexed by a kd-tree in two levels. Its upper level, fitted to SAMPLE vectors at most, cuts the
 projected space into cells of about BLOCK_ROWS rows; each cell's rows are a block with a kd-tree of its own. A query
-takes projected neighbours from a tree in order of distance, a batch of leaves at a time, and verifies them
-with exact distances. It stops when the chi-square distribution function, at the squared projected distance
-reached over the squared distance of the k-th best so far, is at least CONFIDENCE: a closer point not
-seen yet would then have had to be projected unusually far. Cells come under the same test: a query searches the cell
+takes projected neighbours from a tree in order of their leaves' distances, a batch of leaves at a time, and verifies with
+exact distances those of them that pass the chi-square test: the distribution function, at a point's squared projected
+distance over the squared distance of the k-th best so far, is below CONFIDENCE. It stops when no leaf that is left can have
+such a point: a closer one would have had to be projected unusually far. A true neighbour is thus missed with a chance of
+1 - CONFIDENCE at most. Cells come under the same test: a query searches the cell
 that it lies in, and then, with the distance of its k-th best from there, the cells whose bounds do not pass the test.
 
 Every row is indexed. Distinct vectors are entries with their k + 1 smallest ids, which loses nothing for the k nearest
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from votemill.llm.common import first_by_hash, in_batches, materialize
 
-PROJECTED, CONFIDENCE, LEAF = 10, 0.97, 32
+PROJECTED, CONFIDENCE, LEAF = 12, 0.95, 32
 BLOCK_ROWS, SAMPLE, SEED = 16_384, 50_000, 7
 #: Cells at most; beyond BLOCK_ROWS times as many entries, cells are dealt over several blocks.
 CELLS_MOST = 20_000
@@ -141,11 +142,14 @@ class Block:
     def __init__(self, ids: list[list[int]], vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
         self.matrix = matrix_of(vectors.shape[1])
-        self.tree = KdTree(self.vectors @ self.matrix)
+        self.points = self.vectors @ self.matrix
+        self.tree = KdTree(self.points)
+        self.verified = 0  # exact distances computed so far
 
     def search(self, query_id: int, v: np.ndarray, k: int, bound: float, within: float = math.inf) -> list[tuple[float, int]]:
         """The k nearest found, as (distance, id), smallest first; none farther than within."""
-        near = self.tree.leaf_distances(v @ self.matrix)
+        point = v @ self.matrix
+        near = self.tree.leaf_distances(point)
         order = np.argsort(near, kind="stable")
         best: list[tuple[float, int]] = []
         step = 4
@@ -155,6 +159,9 @@ class Block:
             if reached >= bound * limit**2:
                 break
             at = np.concatenate([self.tree.order[a:b] for a, b in (self.tree.leaves[x] for x in order[i : i + step])])
+            gap = self.points[at] - point
+            at = at[(gap * gap).sum(1) < bound * limit**2]
+            self.verified += len(at)
             diff = self.vectors[at] - v
             distance = np.sqrt((diff * diff).sum(1))
             keep = distance <= limit
