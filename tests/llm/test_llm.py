@@ -661,6 +661,39 @@ def test_toxicity_interactions():
     assert score[2] > 0.5 > max(score[0], score[1], score[3]) and machine.v[0] @ machine.v[1] > 0
 
 
+def plain_terms(text):
+    """Distinct terms of a text: words (A-Z in lower case) and their first 4 to 7 bytes, if they are longer."""
+    words = re.findall(rb"[^\x20\x09-\x0d]+", (text or "").encode().lower())
+    return set(words) | {w[:k] for w in words for k in toxicity.PREFIXES if len(w) > k}
+
+
+def test_toxicity_terms_and_pairs(spark):
+    """Scores are those of a plain sum over the weights and over all pairs of factors of a text's known terms."""
+    docs = spark.read.parquet(f"{SF.rsplit('/', 1)[0]}/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF.rsplit('/', 1)[0]}/sf0.01/labels.parquet")
+    vocabulary, machine = toxicity.fit(docs, labels)
+    texts = ["", None, "One two ONE onerous", *(t for _, t in pairs(docs)[:150])]
+    for text in texts:
+        h, _ = toxicity.terms([(text or "").encode()])
+        assert len(set(h.tolist())) == len(plain_terms(text))
+    place, owner = toxicity.known(texts, vocabulary)
+    got = toxicity.sigmoid(machine.margins(place, owner, len(texts))[0])
+    for i in range(len(texts)):
+        own = place[owner == i].tolist()
+        margin = machine.b + sum(machine.w[a] for a in own) + sum(float(machine.v[a] @ machine.v[b]) for a, b in itertools.combinations(own, 2))
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-margin)), abs=1e-9)
+    assert len(vocabulary) and got[0] == got[1] == pytest.approx(1 / (1 + math.exp(-machine.b)))
+
+
+def test_toxicity_on_held_out_labels(spark):
+    """Nearly all toxic texts that were held out are found, and nearly no clean one is flagged."""
+    home = f"{SF.rsplit('/', 1)[0]}/sf0.1"
+    labels = spark.read.parquet(f"{home}/labels.parquet").filter("toxic IS NOT NULL")
+    got = toxicity.scored(spark.read.parquet(f"{home}/documents.parquet"), labels).filter("held_out").join(labels.select("doc_id", "toxic"), "doc_id")
+    n = {(r["toxic"], r["predicted"]): r["count"] for r in got.groupBy("toxic", "predicted").count().collect()}
+    assert n[1, 1] >= 0.85 * (n[1, 1] + n.get((1, 0), 0)) and n.get((0, 1), 0) <= 0.01 * (n[0, 0] + n.get((0, 1), 0))
+
+
 def test_toxicity_training_rows_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "TRAIN_ROWS", 50)
     free = [i for i in range(100) if not toxicity.held_out(i)][:31]

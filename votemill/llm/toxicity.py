@@ -8,8 +8,8 @@ apart, such as an insult and the mention of a group, can mean much together. A t
 
 The machine is fitted to at most TRAIN_ROWS labelled rows, those with the smallest hash of their id; where ids have
 several rows and these are more, equal rows count once and the ids give a text each in turn. Of their
-terms, those that speak for toxicity by chi-square (above STRENGTH, in MIN_DOCS texts or more) are kept, the TERMS
-strongest ones if there are more. The bounds are parameters; scoring covers every text whole. Ids, languages and sources are never inputs of a score.
+terms, all that speak for or against toxicity by chi-square (above STRENGTH, in MIN_DOCS texts or more) are kept, so that the
+model is as large as the sample makes it. The bounds are parameters; scoring covers every text whole. Ids, languages and sources are never inputs of a score.
 
 Edge cases: null and empty texts have no term and score sigmoid(b), the machine's prior; without any usable label,
 or with one label only, every score is that label's smoothed share; a null label is no label; an id with several labels is toxic
@@ -30,7 +30,7 @@ from votemill.llm.bpe import slices
 from votemill.llm.common import first_by_hash, in_batches, materialize
 from votemill.llm.shingles import U, Words, _BYTES, _INV, _P, _power, mix
 
-TRAIN_ROWS, TERMS, MIN_DOCS, STRENGTH, FACTORS = 20_000, 8192, 3, 10.8, 6
+TRAIN_ROWS, MIN_DOCS, STRENGTH, FACTORS = 20_000, 3, 10.8, 6
 EPOCHS, BATCH, RATE, DECAY, SEED = 12, 128, 0.1, 2e-4, 11
 THRESHOLD, PREFIXES, MASK = 0.3, (4, 5, 6, 7), (1 << 64) - 1
 
@@ -152,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Machine]:
     stats = in_batches(rows, counts, "term long, n long, p long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
     expected = F.col("n") * (positive / n)
     strength = (F.col("p") - expected) * (F.col("p") - expected) / (expected + 0.5)
-    kept = stats.filter((F.col("n") >= MIN_DOCS) & (F.col("p") > expected) & (strength > STRENGTH)).orderBy(F.desc(strength), "term").limit(TERMS).select("term").toPandas()
+    kept = stats.filter((F.col("n") >= MIN_DOCS) & (strength > STRENGTH)).select("term").toPandas()  # terms of TRAIN_ROWS rows
     vocabulary = np.sort(kept.term.to_numpy(np.int64).view(U))
     shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
 
