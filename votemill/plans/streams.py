@@ -12,8 +12,8 @@ from votemill.streaming import runs as streams
 from votemill.streaming.completion import OUT, completed, completed_batch
 from votemill.streaming.ingest import drain, ingest, put, sink_rows, todo
 
-#: Steps in which the events arrive, and about how many rows a file of a step has.
-STEPS, FILE_ROWS = 3, 1_000_000
+#: Steps in which the events arrive, about how many rows a file of a step has, and for how many there is a partition of state.
+STEPS, FILE_ROWS, STATE_ROWS = 3, 1_000_000, 250_000
 
 
 def arrivals(spark, events, home, close: bool = False):
@@ -39,11 +39,15 @@ def stream(spark, d, close: bool = False):
     return arrivals(spark, events, home, close), events, home
 
 
+def parts(batch) -> int:
+    return max(4, -(-batch.count() // STATE_ROWS))
+
+
 @query("stream_ingest", "SELECT event_id, user_id, event_type, value FROM events")
 def stream_ingest(spark, d):
     events, batch, home = stream(spark, d)
     rows = events.select("event_id", "user_id", "event_type", "value")
-    ingest(rows, f"{home}/sink", f"{home}/checkpoint", "event_id")
+    ingest(rows, f"{home}/sink", f"{home}/checkpoint", "event_id", parts(batch))
     return sink_rows(spark, f"{home}/sink", batch.select("event_id", "user_id", "event_type", "value").schema)
 
 
@@ -52,7 +56,7 @@ def stream_resume(spark, d):
     """A stream over a sink that has some of its rows but no ledger: the rest is appended, nothing twice."""
     events, batch, home = stream(spark, d)
     put(batch.filter("event_id % 7 = 0").select("event_id", F.lit(False).alias("was_new")), f"{home}/sink")
-    ingest(events.select("event_id", F.lit(True).alias("was_new")), f"{home}/sink", f"{home}/checkpoint", "event_id")
+    ingest(events.select("event_id", F.lit(True).alias("was_new")), f"{home}/sink", f"{home}/checkpoint", "event_id", parts(batch))
     found = sink_rows(spark, f"{home}/sink", "event_id long, was_new boolean")
     return found.unionByName(todo(batch.select("event_id"), found, "event_id").withColumn("was_new", F.lit(None).cast("boolean")))
 
@@ -70,8 +74,8 @@ def group_complete(spark, d):
 @query("stream_group_complete", GROUPS)
 def stream_group_complete(spark, d):
     """Complete groups as soon as they are; partial ones by their timers, when the last file moves the watermark."""
-    events, _, home = stream(spark, d, close=True)
-    drain(completed(events, "user_id", 60, idle_ms=300 * 86_400_000, order=("event_id",)), f"{home}/sink", f"{home}/checkpoint")
+    events, batch, home = stream(spark, d, close=True)
+    drain(completed(events, "user_id", 60, idle_ms=300 * 86_400_000, order=("event_id",)), f"{home}/sink", f"{home}/checkpoint", partitions=parts(batch))
     return sink_rows(spark, f"{home}/sink", OUT).filter("key IS NOT NULL").withColumn("total", F.round("total", 6))
 
 
@@ -94,8 +98,8 @@ def consecutive_failures(spark, d):
 @query("stream_consecutive_failures", f"WITH {STREAKS} SELECT user_id, min(k) AS handled, arg_min(event_id, k) AS tripped_event_id FROM i WHERE streak > {LIMIT} GROUP BY user_id")
 def stream_consecutive_failures(spark, d):
     """The breakers that open, as the stream finds them."""
-    events, _, home = stream(spark, d)
-    drain(streams.breakers(events, "user_id", F.col("event_type") == "error", LIMIT, order=("event_id",)), f"{home}/sink", f"{home}/checkpoint")
+    events, batch, home = stream(spark, d)
+    drain(streams.breakers(events, "user_id", F.col("event_type") == "error", LIMIT, order=("event_id",)), f"{home}/sink", f"{home}/checkpoint", partitions=parts(batch))
     return sink_rows(spark, f"{home}/sink", streams.TRIP).select(F.col("key").alias("user_id"), "handled", F.substring("place", 21, 20).cast("long").alias("tripped_event_id"))
 
 
@@ -124,7 +128,7 @@ def stream_idle_sessions(spark, d):
     """The same from a stream: a session is appended when the watermark has passed its gap."""
     events, batch, home = stream(spark, d, close=True)
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
-    drain(runs.sessions(timed, "user_id", "ts", "2 hours"), f"{home}/sink", f"{home}/checkpoint")
+    drain(runs.sessions(timed, "user_id", "ts", "2 hours"), f"{home}/sink", f"{home}/checkpoint", partitions=parts(batch))
     return watched(sink_rows(spark, f"{home}/sink", "user_id long, started timestamp, ended timestamp, n long").filter("user_id IS NOT NULL"), batch)
 
 
@@ -142,7 +146,7 @@ def distinct_target(spark, d):
 @query("stream_distinct_target", DISTINCT)
 def stream_distinct_target(spark, d):
     """The same from a stream, whose state knows the users that came; only first rows are written and numbered."""
-    events, _, home = stream(spark, d)
-    drain(streams.first_seen(events, "event_type", "user_id", order=("event_id",)), f"{home}/sink", f"{home}/checkpoint")
+    events, batch, home = stream(spark, d)
+    drain(streams.first_seen(events, "event_type", "user_id", order=("event_id",)), f"{home}/sink", f"{home}/checkpoint", partitions=parts(batch))
     first = sink_rows(spark, f"{home}/sink", "group string, key long, place string").withColumnRenamed("group", "event_type")
     return runs.reached(first, "event_type", "key", ["place"], 12).select("event_type", "n_distinct", F.substring("reached_place", 21, 20).cast("long").alias("reached_event_id"))

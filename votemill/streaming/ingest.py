@@ -39,6 +39,9 @@ RUN, BATCH = "run_", "batch_"
 ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+PARTITIONS = "spark.sql.shuffle.partitions"
+
+
 def manifest(sink: str) -> str:
     return f"{sink.rstrip('/')}-manifest"
 
@@ -88,10 +91,19 @@ def commit(sink: str, checkpoint: str, before=None):
     return write
 
 
-def drain(rows: DataFrame, sink: str, checkpoint: str, before=None, mode: str = "append"):
-    """Write all that a stream's source has now into the sink, batch by batch; returns the ended query."""
-    rows.sparkSession.conf.set(*ROCKS)
-    query = rows.writeStream.foreachBatch(commit(sink, checkpoint, before)).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drain(rows: DataFrame, sink: str, checkpoint: str, before=None, mode: str = "append", partitions: int | None = None):
+    """Write all that a stream's source has now into the sink, batch by batch; returns the ended query.
+
+    partitions: of the state, fixed when the checkpoint begins (the session's shuffle partitions, if not given).
+    """
+    spark = rows.sparkSession
+    spark.conf.set(*ROCKS)
+    usual = spark.conf.get(PARTITIONS)
+    spark.conf.set(PARTITIONS, str(partitions or usual))
+    try:  # a stream keeps the settings that it starts with
+        query = rows.writeStream.foreachBatch(commit(sink, checkpoint, before)).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(PARTITIONS, usual)
     query.awaitTermination()
     return query
 
@@ -119,9 +131,9 @@ def new_only(sink: str, key: str):
     return left
 
 
-def ingest(source: DataFrame, sink: str, checkpoint: str, key: str = "id"):
+def ingest(source: DataFrame, sink: str, checkpoint: str, key: str = "id", partitions: int | None = None):
     """Drain a streaming source into the sink, one row a key; returns when all that is there has been written."""
-    return drain(source.dropDuplicates([key]), sink, checkpoint, new_only(sink, key))
+    return drain(source.dropDuplicates([key]), sink, checkpoint, new_only(sink, key), partitions=partitions)
 
 
 def todo(want: DataFrame, sink: DataFrame, key: str = "id") -> DataFrame:
