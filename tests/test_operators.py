@@ -1,5 +1,6 @@
 """Operators whose results SQL does not give, or gives by the same formula, against plain Python."""
 
+import hashlib
 import math
 import random
 import re
@@ -10,8 +11,9 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
+from votemill import plans
 from votemill.functions import text
-from votemill.operators import contracts, corpus, ranges, resampling, retrieval, selector, sweeps, systems, votes
+from votemill.operators import contracts, corpus, draws, ranges, resampling, retrieval, selector, sweeps, systems, votes
 from votemill.sources.adapters import ballots, gold
 from votemill.streaming import completion, ingest
 
@@ -339,3 +341,50 @@ def test_groups_are_emitted_once(spark, tmp_path):
     put([(4, 0.0, "2024-01-02 00:00:00")])
     left = [tuple(r) for r in drain().collect() if r["partial"]]
     assert left == [(3, 1, 2.0, True)]
+
+
+def 
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def draw(*keys) -> float:
+    return int(hashlib.md5("|".join(map(str, keys)).encode()).hexdigest()[:13], 16) / 2**52
+
+
+def drawn_ballots(spark, n: int = 40):
+    rng = random.Random(11)
+    rows = [(i, p, rng.choice(["0", "1", "2", "33", None]), -rng.random(), rng.random() < 0.4, rng.randrange(5), rng.choice([-1.0, -0.5, -0.25])) for i in range(n) for p in range(60 if i == 7 else rng.randrange(1, 8))]
+    return rows, spark.createDataFrame(rows, "id long, pos int, ans string, logp double, trunc boolean, len int, sure double")
+
+
+def test_keys_are_hashed_as_md5_does():
+    tails = [b"|%d|%d" % (i * i * 977, i) for i in range(300)] + [b"|" + b"x" * 70]
+    for part in (tails[:-1], tails):
+        keys = draws.Keys([b"s|"] * len(part), part)
+        for middle in (b"3", b"17", b"4", b"199"):
+            assert [bytes(d) for d in keys.digests(middle)] == [hashlib.md5(b"s|" + middle + t).digest() for t in part]
+            assert keys.leading(middle).tolist() == [int(hashlib.md5(b"s|" + middle + t).hexdigest()[:13], 16) for t in part]
+
+
+def test_subsets_are_drawn_in_arrays(spark):
+    rows, df = drawn_ballots(spark)
+    gold = {i: str(i % 4) for i in range(40)}
+    out = resampling.subset_accuracy(df, spark.createDataFrame(list(gold.items()), "id long, gold string"), F.col("sure"), draws=30)
+    assert "Generate" not in plan_of(out)  # a draw is no row
+    want = {}
+    for k in (2, 3, 4):
+        right = np.zeros(3)
+        for i in range(40):
+            own = [r for r in rows if r[0] == i]
+            for rep in range(30):
+                got = sorted(own, key=lambda r: (draw("s", rep, i, r[1]), r[1]))[:k]
+                some = [r for r in got if r[2] is not None]
+                firsts = {a: (-sum(r[2] == a for r in some), min(r[1] for r in some if r[2] == a)) for a in {r[2] for r in some}}
+                right += [min(firsts, key=firsts.get, default="0") == gold[i], min(got, key=lambda r: (r[4], r[5], r[1]))[2] == gold[i], bool(some) and max(some, key=lambda r: (r[6], -r[1]))[2] == gold[i]]
+        want[k] = right / 1200
+    got = {r["k"]: r for r in out.collect()}
+    assert set(got) == {2, 3, 4}
+    for k in got:
+        assert got[k]["trials"] == 1200 and [got[k][c] for c in ("majority", "first_finish", "best_prefix")] == pytest.approx(list(want[k]))

@@ -10,9 +10,12 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from votemill.operators.draws import Keys, alike, flat, key, replicate_parts
 from votemill.operators.votes import by_id, elect, rounded, valid
 
 
@@ -179,26 +182,75 @@ def bootstrap_vote(ballots: DataFrame, n: int = 200, scale: float = 2.0, seed: s
     return elect(won.select("id", F.col("rep").alias("pos"), F.col("answer").alias("ans")), F.count("*"), default=None)
 
 
+def packed(rows: DataFrame, *columns: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """id, what `by` names, and b: the samples of one problem in order of pos."""
+    return rows.groupBy("id", *by).agg(F.array_sort(F.collect_list(F.struct("pos", *columns))).alias("b"))
+
+
+def unpacked(batch: pa.RecordBatch):
+    """Of a batch of packed problems: how many samples each has, where they begin, and the samples' columns by name."""
+    b = batch.column(batch.schema.get_field_index("b"))
+    sizes = pc.fill_null(pc.list_value_length(b), 0).to_numpy().astype(np.int64)
+    rows = b.flatten()
+    return sizes, np.cumsum(sizes) - sizes, {f.name: c for f, c in zip(rows.type, rows.flatten())}
+
+
+def codes(answers: pa.Array) -> np.ndarray:
+    """Equal numbers for equal answers, -1 for none."""
+    return pc.fill_null(answers.dictionary_encode().indices, -1).to_numpy().astype(np.int64)
+
+
 def subset_accuracy(ballots: DataFrame, gold: DataFrame, prefix: Column, ks=(2, 3, 4), draws: int = 200, seed: str = "s") -> DataFrame:
     """Accuracy of three pickers over draws of k ballots without replacement: majority, first finished, best prefix.
 
     The first finished is the shortest complete ballot (the shortest one if none is complete), null answers included; the
-    best prefix is that of the valid ballot with the highest `prefix`. Draws of a problem stay on its partition.
+    best prefix is that of the valid ballot with the highest `prefix`. A problem's ballots meet in one task, which draws for many problems
+    at once and keeps four sums for each k.
     """
-    order = uniform(F.lit(seed), F.col("rep"), F.col("id"), F.col("pos"))
-    rows = ballots.select("id", "pos", "ans", "trunc", "len", rounded(prefix).alias("p"))
-    rows = replicates(rows, draws).withColumn("r", F.row_number().over(Window.partitionBy("id", "rep").orderBy(order, "pos")))
-    rows = rows.filter(F.col("r") <= max(ks)).withColumn("k", F.explode(F.filter(F.array(*map(F.lit, ks)), lambda k: k >= F.col("r"))))
-    tally = rows.groupBy("id", "rep", "k", "ans").agg(
-        F.count("*").alias("n"), F.min("pos").alias("first"), F.min(F.struct("trunc", "len", "pos")).alias("fast"), F.max(F.struct("p", -F.col("pos"))).alias("sure")
-    )
-    some = F.col("ans").isNotNull()
-    won = tally.groupBy("id", "rep", "k").agg(
-        F.coalesce(F.max_by("ans", F.when(some, F.struct("n", -F.col("first")))), F.lit("0")).alias("majority"),
-        F.min_by("ans", "fast").alias("first_finish"), F.max_by("ans", F.when(some, F.col("sure"))).alias("best_prefix"),
-    )
-    right = lambda c: F.avg(F.coalesce(F.col(c) == F.col("gold"), F.lit(False)).cast("int")).alias(c)
-    return won.join(gold, "id").groupBy("k").agg(F.count("*").alias("trials"), *map(right, ("majority", "first_finish", "best_prefix")))
+    pickers = ("majority", "first_finish", "best_prefix")
+
+    def sums(batches):
+        trials, right = np.zeros(len(ks), np.int64), np.zeros((len(ks), len(pickers)), np.int64)
+        for batch in batches:
+            sizes, starts, samples = unpacked(batch)
+            answer, hit, nothing = codes(samples["ans"]), flat(samples["hit"], bool, False), flat(batch.column(1), bool, False)
+            pos = flat(samples["pos"], np.int64, -1)
+            least = np.iinfo(np.int64).min
+            fast, sure = np.empty(len(pos), np.int64), np.empty(len(pos), np.int64)
+            fast[np.lexsort((pos, flat(samples["len"], np.int64, least), flat(samples["trunc"], np.int64, -1)))] = np.arange(len(pos))
+            sure[np.lexsort((-pos, flat(samples["p"], np.float64, -np.inf)))] = np.arange(len(pos))
+            sure[answer < 0] = -1
+            tails = samples["key"].to_pylist()
+            for group in alike(sizes, np.zeros(len(sizes), np.int64)):
+                m, size = len(group), int(sizes[group[0]])
+                at = starts[group][:, None] + np.arange(size)
+                keys = Keys([f"{seed}|".encode()] * (m * size), [tails[i] for i in at.ravel()])
+                for part in replicate_parts(draws, m * size):
+                    order = np.stack([keys.leading(b"%d" % rep).reshape(m, size) for rep in part]).argsort(2, kind="stable")[:, :, : max(ks)]
+                    drawn = np.take_along_axis(np.broadcast_to(at, (len(part), m, size)), order, 2).reshape(len(part) * m, -1)
+                    zero = np.tile(nothing[group], len(part))
+                    for j, k in enumerate(ks):
+                        own = drawn[:, :k]
+                        rows, given, local = np.arange(len(own)), answer[own], order.reshape(len(own), -1)[:, :k]
+                        count, first = np.zeros(own.shape, np.int64), local.copy()
+                        for other in range(own.shape[1]):
+                            same = given == given[:, other : other + 1]
+                            count += same
+                            np.minimum(first, local[:, other : other + 1], out=first, where=same)
+                        votes = np.where(given < 0, -1, count * (size + 1) - first)
+                        some = (given >= 0).any(1)
+                        trials[j] += len(own)
+                        right[j, 0] += np.where(some, hit[own[rows, votes.argmax(1)]], zero).sum()
+                        right[j, 1] += hit[own[rows, fast[own].argmin(1)]].sum()
+                        right[j, 2] += (some & hit[own[rows, sure[own].argmax(1)]]).sum()
+        yield pa.RecordBatch.from_pydict({"k": np.array(ks, np.int32), "trials": trials} | {name: right[:, i] for i, name in enumerate(pickers)})
+
+    rows = ballots.select("id", F.col("pos").cast("long").alias("pos"), "ans", "trunc", F.col("len").cast("long").alias("len"), rounded(prefix).alias("p")).join(gold.select("id", "gold"), "id")
+    rows = rows.withColumn("hit", F.coalesce(F.col("ans") == F.col("gold"), F.lit(False)))
+    rows = packed(rows, "ans", "trunc", "len", "p", "hit", by=("gold",))
+    rows = rows.select(F.transform("b", lambda x: F.struct(x["pos"].alias("pos"), x["ans"].alias("ans"), x["trunc"].alias("trunc"), x["len"].alias("len"), x["p"].alias("p"), x["hit"].alias("hit"), key(F.col("id"), x["pos"]).alias("key"))).alias("b"), (F.col("gold") == "0").alias("zero"))
+    got = rows.mapInArrow(sums, "k int, trials long, " + ", ".join(f"{p} long" for p in pickers)).groupBy("k").agg(F.sum("trials").alias("trials"), *[F.sum(p).alias(p) for p in pickers])
+    return got.filter("trials > 0").select("k", "trials", *[(F.col(p) / F.col("trials")).alias(p) for p in pickers])
 
 
 def reranker(ballots: DataFrame, gold: DataFrame, strengths=(0.0, 0.5, 1.0, 2.0), seed: str = "r") -> DataFrame:
