@@ -388,3 +388,21 @@ def test_subsets_are_drawn_in_arrays(spark):
     assert set(got) == {2, 3, 4}
     for k in got:
         assert got[k]["trials"] == 1200 and [got[k][c] for c in ("majority", "first_finish", "best_prefix")] == pytest.approx(list(want[k]))
+
+
+def test_votes_are_resampled_in_arrays(spark, monkeypatch):
+    rows, df = drawn_ballots(spark)
+    out = resampling.bootstrap_vote(df, 25)
+    assert "Generate" not in plan_of(out)  # a draw is no row
+    got = {r["id"]: r["answer"] for r in out.collect()}
+    want = {}
+    for i in range(40):
+        own, wins = [r for r in rows if r[0] == i and r[2] is not None], {}
+        for rep in range(25 if own else 0):
+            picked = [own[int(draw("v", i, rep, d) * len(own))] for d in range(len(own))]
+            tally = {a: (round(sum(math.exp(2 * r[3]) for r in picked if r[2] == a), 9), -min(d for d, r in enumerate(picked) if r[2] == a)) for a in {r[2] for r in picked}}
+            best = max(tally, key=tally.get)
+            wins.setdefault(best, []).append(rep)
+        if own:
+            want[i] = max(wins, key=lambda a: (len(wins[a]), -wins[a][0]))
+    assert got == want

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from votemill.operators.draws import Keys, alike, flat, key, replicate_parts
-from votemill.operators.votes import by_id, elect, rounded, valid
+from votemill.operators.votes import rounded, valid
 
 
 def uniform(*keys: Column) -> Column:
@@ -168,20 +168,6 @@ def power(pairs: DataFrame, deltas=(0.005, 0.01, 0.02), trials: int = 4000, seed
     return grid.join(hits, ["a", "b", "delta"], "left").select("a", "b", "n", F.col("m").alias("discordant_pairs"), "delta", F.coalesce("hits", none).alias("power"))
 
 
-def bootstrap_vote(ballots: DataFrame, n: int = 200, scale: float = 2.0, seed: str = "v") -> DataFrame:
-    """The answer that wins most of n resampled weighted votes of its problem, all after one exchange by id.
-
-    Each replicate draws as many ballots as there are, with replacement: ballot number floor(u k) of the valid ones.
-    """
-    rows = ballots.filter(valid()).withColumn("i", F.row_number().over(by_id().orderBy("pos")) - 1)
-    packed = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "ans", "logp"))).alias("b"))  # the samples of one problem
-    reps = replicates(packed, n).select("id", "rep", "b", F.explode(F.sequence(F.lit(0), F.size("b") - 1)).alias("d"))
-    at = F.floor(uniform(F.lit(seed), F.col("id"), F.col("rep"), F.col("d")) * F.size("b")).cast("int")
-    drawn = reps.select("id", "rep", F.col("d").alias("pos"), F.col("b")[at].alias("x")).select("id", "rep", "pos", "x.ans", "x.logp")
-    won = elect(drawn, F.sum(F.exp(F.col("logp") * scale)), default=None, keys=("id", "rep"))
-    return elect(won.select("id", F.col("rep").alias("pos"), F.col("answer").alias("ans")), F.count("*"), default=None)
-
-
 def packed(rows: DataFrame, *columns: str, by: tuple[str, ...] = ()) -> DataFrame:
     """id, what `by` names, and b: the samples of one problem in order of pos."""
     return rows.groupBy("id", *by).agg(F.array_sort(F.collect_list(F.struct("pos", *columns))).alias("b"))
@@ -200,6 +186,50 @@ def codes(answers: pa.Array) -> np.ndarray:
     return pc.fill_null(answers.dictionary_encode().indices, -1).to_numpy().astype(np.int64)
 
 
+def bootstrap_vote(ballots: DataFrame, n: int = 200, scale: float = 2.0, seed: str = "v") -> DataFrame:
+    """The answer that wins most of n resampled weighted votes of its problem, all after one exchange by id.
+
+    Each replicate draws as many ballots as there are, with replacement: ballot number floor(u k) of the valid ones. A task draws for many
+    problems at once, and what leaves it is one row a problem.
+    """
+
+    def winners(batches):
+        for batch in batches:
+            sizes, starts, samples = unpacked(batch)
+            answer, weight = codes(samples["ans"]), np.exp(flat(samples["logp"], np.float64, -np.inf) * scale)
+            head = [f"{seed}{k.decode()}|".encode() for k in batch.column(1).to_pylist()]
+            best = np.zeros(len(sizes), np.int64)
+            for group in alike(sizes, np.fromiter(map(len, head), np.int64, len(head))):
+                m, k = len(group), int(sizes[group[0]])
+                at = starts[group][:, None] + np.arange(k)
+                # answers numbered within each problem; `some` is a ballot with each
+                pairs, some, own = np.unique(np.arange(m)[:, None] * (answer.max() + 1) + answer[at], return_index=True, return_inverse=True)
+                problem = pairs // (answer.max() + 1)
+                own = own.reshape(m, k) - np.searchsorted(problem, np.arange(m))[:, None]
+                kinds, w = int(own.max()) + 1, weight[at]
+                keys = Keys([head[g] for g in group for _ in range(k)], [b"|%d" % d for _ in range(m) for d in range(k)])
+                wins, first = np.zeros((m, kinds), np.int64), np.full((m, kinds), n, np.int64)
+                for part in replicate_parts(n, m * k):
+                    u = np.stack([keys.leading(b"%d" % rep).reshape(m, k) for rep in part]) / float(1 << 52)
+                    drawn = np.floor(u * k).astype(np.int64)  # replicate, problem, draw
+                    place = np.broadcast_to(np.arange(m)[:, None], (m, k))
+                    cell = (np.arange(len(part) * m).reshape(len(part), m, 1) * kinds + own[place, drawn]).ravel()
+                    total = np.round(np.bincount(cell, w[place, drawn].ravel(), len(part) * m * kinds), 9)
+                    seen = np.full(len(total), k, np.int64)
+                    np.minimum.at(seen, cell, np.broadcast_to(np.arange(k), drawn.shape).ravel())
+                    total[seen == k] = -1
+                    total, seen = total.reshape(len(part), m, kinds), seen.reshape(len(part), m, kinds)
+                    won = np.where(total == total.max(2, keepdims=True), seen, k + 1).argmin(2)
+                    np.add.at(wins, (np.arange(m), won), 1)
+                    np.minimum.at(first, (np.arange(m), won), np.array(part)[:, None])
+                most = np.where(wins == wins.max(1, keepdims=True), first, n + 1).argmin(1)
+                best[group] = at.ravel()[some[np.searchsorted(problem, np.arange(m)) + most]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), samples["ans"].take(pa.array(best))], ["id", "answer"])
+
+    rows = packed(ballots.filter(valid()), "ans", "logp").select("id", key(F.col("id")).alias("key"), F.transform("b", lambda x: F.struct(x["ans"].cast("string").alias("ans"), x["logp"].cast("double").alias("logp"))).alias("b"))
+    return rows.mapInArrow(winners, f"id {rows.schema['id'].dataType.simpleString()}, answer string")
+
+
 def subset_accuracy(ballots: DataFrame, gold: DataFrame, prefix: Column, ks=(2, 3, 4), draws: int = 200, seed: str = "s") -> DataFrame:
     """Accuracy of three pickers over draws of k ballots without replacement: majority, first finished, best prefix.
 
