@@ -406,3 +406,16 @@ def test_votes_are_resampled_in_arrays(spark, monkeypatch):
         if own:
             want[i] = max(wins, key=lambda a: (len(wins[a]), -wins[a][0]))
     assert got == want
+
+
+def test_bootstrap_ci_weighs_every_unit_in_every_replicate(spark):
+    rows = [(i * 31, float(i % 3 == 0)) for i in range(90)]
+    out = dict(zip(("n", "mean", "low", "high"), resampling.bootstrap_ci(spark.createDataFrame(rows, "id long, v double"), "v", 80).first()))
+    means = []
+    for rep in range(80):
+        w = [sum(hashlib.md5(f"b|{rep // 8}|{i}".encode()).hexdigest()[rep % 8 * 4 : rep % 8 * 4 + 4] >= c for c in resampling.POISSON) for i, _ in rows]
+        means.append(sum(x * v for x, (_, v) in zip(w, rows)) / sum(w))
+    means.sort()
+    assert (out["low"], out["high"]) == pytest.approx((means[2], means[77])) and out["n"] == 90
+    sql = plans.oracle_sql()["bootstrap_ci"]
+    assert "|| id" in sql and "lgamma" not in sql  # the SQL draws for units too, not once a replicate

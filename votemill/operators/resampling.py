@@ -1,7 +1,7 @@
 """Resampling statistics with hash-seeded draws, and the iterative estimators.
 
-A draw is a hash of (seed, replicate, unit), so replicates are rows and every one can be repeated. Replicates multiply
-the rows of the small tables that they start from (one row a problem or less), never the ballots.
+A draw is a hash of (seed, replicate, unit), so that every one can be repeated. Draws for units and ballots are made inside tasks, in arrays
+(draws.py); only replicates of a few rows are rows.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from votemill.operators.draws import Keys, alike, flat, key, replicate_parts
+from votemill.operators.draws import KEYS, Keys, alike, flat, key, replicate_parts
 from votemill.operators.votes import rounded, valid
 
 
@@ -54,18 +54,6 @@ def replicates(rows: DataFrame, n: int) -> DataFrame:
     return rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
-def hash_parts(rows: DataFrame, n: int, seed: str, digits: int) -> DataFrame:
-    """rows by n replicates, each with `digits` hexadecimal digits h of its own; one md5 serves 32 / digits replicates.
-
-    Digits compare as texts in the order of their values, so draws need no conversion.
-    """
-    each = 32 // digits
-    blocks = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(-(-n // each) - 1))))
-    blocks = blocks.withColumn("md5", F.md5(F.concat_ws("|", F.lit(seed), F.col("block").cast("string"), F.col("id").cast("string"))))
-    parts = blocks.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(each - 1)))).withColumn("rep", F.col("block") * each + F.col("j")).filter(F.col("rep") < n)
-    return parts.withColumn("h", F.substring("md5", F.col("j") * digits + 1, F.lit(digits))).drop("block", "md5", "j")
-
-
 #: Poisson(1) distribution in 65536ths, for weights 1, 2, ... 6, as hexadecimal digits.
 POISSON = tuple(f"{round(65536 * sum(math.exp(-1) / math.factorial(i) for i in range(k))):04x}" for k in range(1, 7))
 
@@ -77,13 +65,26 @@ TERMS_SD = 12
 def bootstrap_ci(units: DataFrame, value: str, n: int = 2000, seed: str = "b") -> DataFrame:
     """Mean and its 95 % interval from index percentiles of Poisson-weighted replicates.
 
-    Weights are Poisson(1) draws (cut at 6), so each unit is drawn without a join to a list of indices and the
-    replicates' sums are one aggregate with map-side combine.
+    Weights are Poisson(1) draws (cut at 6) from four hexadecimal digits a unit and replicate; one md5 serves eight replicates. A task draws
+    them for a batch of units at a time and keeps two sums a replicate.
     """
-    weight = sum((F.when(F.col("h") >= s, 1).otherwise(0) for s in POISSON), F.lit(0))
-    reps = hash_parts(units.select("id", F.col(value).alias("v")), n, seed, 4).withColumn("w", weight)
-    means = reps.groupBy("rep").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("m"))
-    i = F.row_number().over(Window.orderBy("m", "rep")) - 1
+    cuts = np.array([int(s, 16) for s in POISSON], np.uint16)
+
+    def sums(batches):
+        top, weight = np.zeros(-(-n // 8) * 8), np.zeros(-(-n // 8) * 8, np.int64)
+        for batch in batches:
+            tails, v = batch.column(1).to_pylist(), flat(batch.column(0), np.float64, 0.0)
+            for at in range(0, len(tails), KEYS):
+                own, keys = v[at : at + KEYS], Keys([f"{seed}|".encode()] * len(tails[at : at + KEYS]), tails[at : at + KEYS])
+                for block in range(-(-n // 8)):
+                    w = np.searchsorted(cuts, keys.digests(str(block).encode()).view(">u2").astype(np.uint16), "right")
+                    top[block * 8 : block * 8 + 8] += own @ w
+                    weight[block * 8 : block * 8 + 8] += w.sum(0)
+        yield pa.RecordBatch.from_pydict({"rep": np.arange(n, dtype=np.int32), "top": top[:n], "weight": weight[:n]})
+
+    reps = units.select(F.col(value).cast("double").alias("v"), key(F.col("id")).alias("key")).mapInArrow(sums, "rep int, top double, weight long")
+    means = reps.groupBy("rep").agg((F.sum("top") / F.nullif(F.sum("weight"), F.lit(0))).alias("m"))
+    i = F.row_number().over(Window.orderBy("m", "rep")) - 1  # a row a replicate
     ends = means.withColumn("i", i).agg(F.max(F.when(F.col("i") == int(n * 0.025), F.col("m"))).alias("low"), F.max(F.when(F.col("i") == int(n * 0.975) - 1, F.col("m"))).alias("high"))
     return units.agg(F.count("*").alias("n"), F.avg(value).alias("mean")).join(F.broadcast(ends))  # one row each
 
