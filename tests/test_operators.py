@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from votemill import plans
 from votemill.functions import text
 from votemill.operators import contracts, corpus, draws, ranges, resampling, retrieval, selector, sweeps, systems, votes
+from votemill.sources import adapters
 from votemill.sources.adapters import ballots, gold
 from votemill.streaming import completion, ingest
 
@@ -343,8 +344,6 @@ def test_groups_are_emitted_once(spark, tmp_path):
     assert left == [(3, 1, 2.0, True)]
 
 
-def 
-
 def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -419,3 +418,15 @@ def test_bootstrap_ci_weighs_every_unit_in_every_replicate(spark):
     assert (out["low"], out["high"]) == pytest.approx((means[2], means[77])) and out["n"] == 90
     sql = plans.oracle_sql()["bootstrap_ci"]
     assert "|| id" in sql and "lgamma" not in sql  # the SQL draws for units too, not once a replicate
+
+
+def test_ballots_are_dealt_by_rows(spark):
+    """A task's rows, and so its memory, do not grow with the table."""
+    rows = spark.range(5000).withColumn("l_orderkey", F.col("id") % 1700)
+    out = adapters.dealt(rows, "l_orderkey", 250)
+    assert out.rdd.getNumPartitions() == 20
+    assert sorted(r[0] for r in out.select("id").collect()) == list(range(5000))
+    place = out.withColumn("p", F.spark_partition_id())
+    assert place.select("l_orderkey", "p").distinct().count() == 1700
+    few = adapters.dealt(rows, "l_orderkey", 5000)
+    assert "RepartitionByExpression" not in few._jdf.queryExecution().optimizedPlan().toString()

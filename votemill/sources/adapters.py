@@ -12,13 +12,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows for which there is a task of its own, and of which its sorts, windows and tallies hold several copies.
+TASK_ROWS = 250_000
+
+
+def dealt(rows: DataFrame, key: str, most: int = TASK_ROWS) -> DataFrame:
+    """rows by key, `most` a task on average, where there are more of them than the cores take at once.
+
+    Otherwise a task gets as many rows as fit a number of compressed bytes, so that its memory grows with the table.
+    """
+    parts = -(-rows.count() // most)
+    return rows.repartition(parts, key) if parts > rows.sparkSession.sparkContext.defaultParallelism else rows
+
+
 def ballots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a sampled answer: id, pos, ans (canonical integer text or null), logp, trunc, len, seed, system, score.
 
     pos counts from 0 in a total order of the line's columns, as line numbers repeat within an order.
     """
     pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)) - 1
-    return table(spark, sf_dir, "lineitem").select(
+    return dealt(table(spark, sf_dir, "lineitem"), "l_orderkey").select(
         F.col("l_orderkey").alias("id"),
         pos.alias("pos"),
         F.when(F.col("l_linenumber") != 7, (F.col("l_partkey") % 5).cast("string")).alias("ans"),
