@@ -430,3 +430,26 @@ def test_ballots_are_dealt_by_rows(spark):
     assert place.select("l_orderkey", "p").distinct().count() == 1700
     few = adapters.dealt(rows, "l_orderkey", 5000)
     assert "RepartitionByExpression" not in few._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_range_of_a_value_is_the_number_of_cuts_passed(spark):
+    rng = random.Random(4)
+    kinds = spark.createDataFrame([], "a int, b long").schema
+    df = spark.createDataFrame([(rng.randrange(30), i) for i in range(200)], "a int, b long").select(F.struct(F.col("a").alias("a"), F.col("b").alias("b")).alias("at"))
+    for n in (0, 1, 2, 3, 9, 40):
+        cuts = sorted((rng.randrange(30), rng.randrange(200)) for _ in range(n))
+        for r in df.select("at", ranges.passed(cuts, kinds, F.col("at")).alias("n")).collect():
+            assert r["n"] == sum(c <= tuple(r["at"]) for c in cuts)
+
+
+def test_running_works_its_rows_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(2000).mapInArrow(count, "id long")
+    assert ranges.running(df, [F.col("id")], {"s": F.col("id")}, most=0, ranges=7).agg(F.max("s")).first()[0] == 1999000
+    assert seen.value == 2000
