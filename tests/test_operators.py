@@ -12,7 +12,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from votemill import plans
-from votemill.functions import text
+from votemill.functions import sql, text
 from votemill.operators import contracts, corpus, draws, ranges, resampling, retrieval, selector, sweeps, systems, votes
 from votemill.sources import adapters
 from votemill.sources.adapters import ballots, gold
@@ -453,3 +453,12 @@ def test_running_works_its_rows_out_once(spark):
     df = spark.range(2000).mapInArrow(count, "id long")
     assert ranges.running(df, [F.col("id")], {"s": F.col("id")}, most=0, ranges=7).agg(F.max("s")).first()[0] == 1999000
     assert seen.value == 2000
+
+
+def test_whole_numbers_are_taken_as_they_are(spark):
+    odd = ["0", "-0", "00", "007", "-7", "- 7", "5\n", "\n5", "12.0", "12.5", "1e3", "1_000", "1__0", "", ".", "-", "$1,234", "9" * 40, "-" + "9" * 40, "abc", "1 2", "+5", "5.", "?", "٣", None]
+    df = spark.createDataFrame([(x,) for x in odd], "t string")
+    sql.register(spark)
+    for r in df.select("t", text.parse_int(F.col("t")).alias("a"), F.expr("parse_int(t)").alias("b"), text.parse_int(F.concat(F.lit(" "), F.col("t"))).alias("c")).collect():
+        assert r["a"] == r["b"] == r["c"], r
+    assert text.CANONICAL[:-2] in plan_of(df.select(text.parse_int(F.col("t"))))  # one test serves most texts

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 NUMBER = "-?[0-9][0-9,]*(?:[.][0-9]+)?"
 BOXED = r"boxed *\{((?:[^\{\}]|\{[^\{\}]*\})*)\}"
 FRACTION = r"frac *\{ *(-?[0-9]+) *\} *\{ *(-?[0-9]+) *\}"
+CANONICAL = r"^(?:0|-?[1-9][0-9]*)\z"
 JUNK, DOTS = r"[\s\\,$!;:]", r"^\.+|\.+$"
 BOXED_FLAT = r"boxed\{([^\{\}]+)\}"
 TOPICS = [
@@ -60,7 +61,8 @@ def parse_int(text: Column) -> Column:
     is_float = t.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$")
     f = F.when(is_float, t.try_cast("double"))
     near = F.when(F.abs(f - F.rint(f)) < 1e-6, F.rint(f).try_cast("bigint").cast("string"))
-    return F.when(t.rlike("^[+-]?[0-9]+(?:_[0-9]+)*$"), whole).otherwise(near)
+    slow = F.when(t.rlike("^[+-]?[0-9]+(?:_[0-9]+)*$"), whole).otherwise(near)
+    return F.when(text.rlike(CANONICAL), text).when(text.rlike("[0-9]"), slow)  # most are canonical already, or have no digit
 
 
 def first_known(values: Column) -> Column:
@@ -73,7 +75,7 @@ def last_number(text: Column) -> Column:
 
 def fraction(text: Column) -> Column:
     a, b = F.regexp_extract(text, FRACTION, 1).try_cast("bigint"), F.regexp_extract(text, FRACTION, 2).try_cast("bigint")
-    return F.when((b != 0) & (F.try_mod(a, b) == 0), F.call_function("div", a, F.when(b != 0, b)).cast("string"))
+    return F.when(F.contains(text, F.lit("frac")), F.when((b != 0) & (F.try_mod(a, b) == 0), F.call_function("div", a, F.when(b != 0, b)).cast("string")))
 
 
 def extract_answer(text: Column) -> Column:
