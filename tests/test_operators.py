@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from votemill import plans
 from votemill.functions import sql, text
 from votemill.operators import contracts, corpus, draws, ranges, resampling, retrieval, selector, sweeps, systems, votes
+from votemill.plans import files
 from votemill.sources import adapters
 from votemill.sources.adapters import ballots, gold
 from votemill.streaming import completion, ingest
@@ -455,6 +456,16 @@ def test_running_works_its_rows_out_once(spark):
     assert seen.value == 2000
 
 
+def test_block_files_are_as_many_as_their_rows_ask_for(spark, monkeypatch):
+    """No task is given half of the documents to write, and the blocks are those of one file."""
+    monkeypatch.setattr(files, "FILE_ROWS", 30)
+    path = files.block_files(spark, SF)
+    found = spark.read.text(path, wholetext=True).count()
+    docs = adapters.table(spark, SF, "documents").filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    assert found >= docs.count() / 30 > 2
+    assert files.header_count(spark, SF).first()[0] == docs.select("doc_id").distinct().count()
+
+
 def test_whole_numbers_are_taken_as_they_are(spark):
     odd = ["0", "-0", "00", "007", "-7", "- 7", "5\n", "\n5", "12.0", "12.5", "1e3", "1_000", "1__0", "", ".", "-", "$1,234", "9" * 40, "-" + "9" * 40, "abc", "1 2", "+5", "5.", "?", "٣", None]
     df = spark.createDataFrame([(x,) for x in odd], "t string")

@@ -115,13 +115,17 @@ def vector_file(spark, d):
     return spark.read.schema("vec_id long, embedding array<float>").parquet(path).select("vec_id", F.size("embedding").alias("n"), (F.round(total, 4) + 0.0).alias("total"))
 
 
+#: Blocks of a file at most: a file is larger than a split, and is written by the task that read its documents.
+FILE_ROWS = 100_000
+
+
 def block_files(spark, d):
-    """Documents as blocks of a few files, every fourth with a heading of its own; the folder."""
+    """Documents as blocks of files, every fourth with a heading of its own; the folder."""
     k = F.col("doc_id")
     mark = F.element_at(F.array(F.lit("## ID: "), F.lit("###ID： "), F.lit("#### ID :")), (k % 3 + 1).cast("int"))
     text = F.concat(mark, k.cast("string"), F.lit("\n"), "text", F.when(k % 4 == 0, "\n## Notes\n#ID: 5\nend\n").otherwise(""))
     path = f"{work(spark)}/blocks"
-    table(spark, d, "documents").filter("doc_id IS NOT NULL AND text IS NOT NULL").select(text.alias("value")).repartition(2).write.text(path)
+    table(spark, d, "documents").filter("doc_id IS NOT NULL AND text IS NOT NULL").select(text.alias("value")).write.option("maxRecordsPerFile", FILE_ROWS).text(path)
     return path
 
 
