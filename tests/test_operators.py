@@ -473,3 +473,41 @@ def test_whole_numbers_are_taken_as_they_are(spark):
     for r in df.select("t", text.parse_int(F.col("t")).alias("a"), F.expr("parse_int(t)").alias("b"), text.parse_int(F.concat(F.lit(" "), F.col("t"))).alias("c")).collect():
         assert r["a"] == r["b"] == r["c"], r
     assert text.CANONICAL[:-2] in plan_of(df.select(text.parse_int(F.col("t"))))  # one test serves most texts
+
+
+def test_systems_stand_beside_the_base_after_one_sort(spark):
+    """No join of the answers with themselves: each would hold two more sorts in a task of a large table."""
+    rng = random.Random(21)
+    rows = [(i, s, rng.choice("012"), rng.choice([True, False, False, None])) for i in range(90) for s in ("s0", "s1", "s2") if rng.random() < 0.9]
+    rows += [(500 + i, "rare", "1", True) for i in range(5)] + [(None, s, "1", True) for s in ("s0", "s1", "s2")]
+    answers = spark.createDataFrame(rows, "id long, system string, answer string, ok boolean")
+    by = defaultdict(dict)
+    for i, s, a, ok in rows:
+        if i is not None and s in ("s0", "s1", "s2"):
+            by[i][s] = (a, ok)
+    full = {i: p for i, p in by.items() if len(p) == 3}
+    own = systems.covered(answers, 50)
+    assert own.columns == answers.columns
+    key = lambda r: (r[0], r[1])
+    assert sorted(map(tuple, own.collect()), key=key) == sorted(((i, s, *v) for i, p in full.items() for s, v in p.items()), key=key)
+    pairs = {s: [(p[s], p["s0"]) for p in full.values()] for s in ("s1", "s2")}
+    only = lambda x, y: bool(x) and y is False
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for f in (lambda x: systems.pair_scores(x, "s0"),):
+            plan = plan_of(f(systems.covered(answers, 50)))
+            assert "SortMergeJoin" not in plan and plan.count(" Sort [") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    got = {r["system"]: r.asDict() for r in systems.rescue_harm(own, "s0").collect()}
+    for s, both in pairs.items():
+        assert got.pop(s) == {"system": s, "n": len(both), "rescued": sum(only(x[1], y[1]) for x, y in both), "harmed": sum(only(y[1], x[1]) for x, y in both), "differing": sum(x[0] != y[0] for x, y in both)}
+    assert not got
+    for s in pairs:
+        r = systems.mcnemar(own, "s0", s).first()
+        assert (r["b"], r["c"]) == (sum(only(y[1], x[1]) for x, y in pairs[s]), sum(only(x[1], y[1]) for x, y in pairs[s]))
+    same = systems.mcnemar(own, "s0", "s0").first()
+    assert (same["b"], same["c"]) == (0, 0)
+    wrong = {s: [x[0] == y[0] for x, y in both if x[1] is False and y[1] is False] for s, both in pairs.items()}
+    assert {r["system"]: r["wrong_same"] for r in systems.pair_scores(own, "s0").collect()} == {s: pytest.approx(sum(w) / len(w), abs=1e-6) for s, w in wrong.items()}

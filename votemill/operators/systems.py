@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from votemill.operators.sweeps import answers
-from votemill.operators.votes import elect
+from votemill.operators.votes import by_id, elect
 
 
 def flag(c: Column) -> Column:
@@ -20,12 +20,20 @@ def answers_by_system(ballots: DataFrame, gold: DataFrame, system: str = "system
 
 
 def covered(answers: DataFrame, least: int) -> DataFrame:
-    """Only systems with enough problems, and only problems that all of these have."""
+    """Only systems with enough problems, and only problems that all of these have.
+
+    Problems are told by a window over the answers of each, so that one sort does what joins of the table with itself did.
+    """
     kept = answers.groupBy("system").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("system")
     n = kept.agg(F.count("*").alias("k_"))
-    own = answers.join(small_cells(kept), "system")
-    full = own.groupBy("id").agg(F.countDistinct("system").alias("c")).join(F.broadcast(n)).filter(F.col("c") == F.col("k_")).select("id")
-    return own.join(full, "id", "left_semi")
+    own = answers.join(small_cells(kept.join(F.broadcast(n))), "system").select(*answers.columns, "k_")
+    return own.withColumn("c_", F.size(F.collect_set("system").over(by_id()))).filter("c_ = k_ AND id IS NOT NULL").drop("c_", "k_")
+
+
+def with_base(answers: DataFrame, base: str) -> DataFrame:
+    """answers (a row a problem and system) with b_answer and b_ok, the base's on the same problem; only problems that the base has."""
+    of_base = F.max(F.when(F.col("system") == base, F.struct("answer", "ok"))).over(by_id())
+    return answers.withColumn("b_", of_base).filter("b_ IS NOT NULL AND id IS NOT NULL").select(*answers.columns, F.col("b_.answer").alias("b_answer"), F.col("b_.ok").alias("b_ok"))
 
 
 def rescue_harm(answers: DataFrame, base: str) -> DataFrame:
@@ -74,10 +82,9 @@ def wrong_agreement(answers: DataFrame) -> DataFrame:
 
 def pair_scores(answers: DataFrame, base: str, contrast: float = 0.08) -> DataFrame:
     """How well each system contrasts with the base: agreement in error less twice the share of its rescues."""
-    b = answers.filter(F.col("system") == base).select("id", F.col("answer").alias("y"), F.col("ok").alias("b_ok"))
-    both = answers.filter(F.col("system") != base).join(b, "id")
+    both = with_base(answers, base).filter(F.col("system") != base)
     wrong = ~F.col("ok") & ~F.col("b_ok")
-    wa = F.sum((wrong & (F.col("answer") == F.col("y"))).cast("double")) / F.sum(wrong.cast("double"))
+    wa = F.sum((wrong & (F.col("answer") == F.col("b_answer"))).cast("double")) / F.sum(wrong.cast("double"))
     rr = F.avg((F.col("ok") & ~F.col("b_ok")).cast("int"))
     gap = F.avg(F.col("b_ok").cast("int")) - F.avg(F.col("ok").cast("int"))
     return both.groupBy("system").agg(F.round(wa, 6).alias("wrong_same"), F.round(rr, 6).alias("rescue_rate"), F.round(wa - 2 * rr, 6).alias("score"), (gap >= contrast).alias("contrasts"))
