@@ -495,7 +495,7 @@ def test_systems_stand_beside_the_base_after_one_sort(spark):
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        for f in (lambda x: systems.rescue_harm(x, "s0"), lambda x: systems.pair_scores(x, "s0")):
+        for f in (lambda x: systems.rescue_harm(x, "s0"), lambda x: systems.pair_scores(x, "s0"), lambda x: systems.mcnemar(x, "s0", "s1")):
             plan = plan_of(f(systems.covered(answers, 50)))
             assert "SortMergeJoin" not in plan and plan.count(" Sort [") == 1
     finally:

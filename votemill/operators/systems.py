@@ -140,9 +140,8 @@ def diversity(pooled: DataFrame) -> DataFrame:
 def specialists(answers: DataFrame, base: str, least: int = 15, splits: int = 3) -> DataFrame:
     """Per category and system: size, net gain over the base, net gain a problem against that of the rest, and whether the
     net gains of all `splits` parts of the problems (by id) have the sign of the whole."""
-    b = answers.filter(F.col("system") == base).select("id", F.col("ok").alias("b_ok"))
     net = (F.col("ok").cast("int") - F.col("b_ok").cast("int")).cast("long")
-    parts = answers.filter(F.col("system") != base).join(b, "id").groupBy("category", "system", (F.col("id") % splits).alias("part")).agg(F.count("*").alias("n"), F.sum(net).alias("net"))
+    parts = with_base(answers, base).filter(F.col("system") != base).groupBy("category", "system", (F.col("id") % splits).alias("part")).agg(F.count("*").alias("n"), F.sum(net).alias("net"))
     sides = F.min(F.signum("net")).alias("low"), F.max(F.signum("net")).alias("high")
     cells = parts.groupBy("category", "system").agg(F.sum("n").alias("n"), F.sum("net").alias("net"), *sides)
     cells = cells.withColumn("agree", (F.col("low") == F.col("high")) & (F.col("low") == F.signum("net")) & (F.col("net") != 0)).drop("low", "high")
@@ -153,9 +152,8 @@ def specialists(answers: DataFrame, base: str, least: int = 15, splits: int = 3)
 
 def mcnemar(answers: DataFrame, a: str, b: str) -> DataFrame:
     """Problems only a solves, only b solves, their difference, the corrected z and the smallest detectable difference."""
-    x = answers.filter(F.col("system") == a).select("id", F.col("ok").alias("x"))
-    y = answers.filter(F.col("system") == b).select("id", F.col("ok").alias("y"))
-    got = x.join(y, "id").agg(flag(F.col("x") & ~F.col("y")).alias("b"), flag(~F.col("x") & F.col("y")).alias("c"))
+    both = with_base(answers, b).filter(F.col("system") == a)
+    got = both.agg(flag(F.col("ok") & ~F.col("b_ok")).alias("b"), flag(~F.col("ok") & F.col("b_ok")).alias("c"))
     n, d = F.col("b") + F.col("c"), F.col("b") - F.col("c")
     return got.select("b", "c", d.alias("diff"), F.round(F.when(n > 0, (F.abs(d) - 1) / F.sqrt(n)), 6).alias("z"), F.round(1.96 * F.sqrt(n) + 1, 6).alias("mdd"))
 
