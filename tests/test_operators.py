@@ -511,3 +511,18 @@ def test_systems_stand_beside_the_base_after_one_sort(spark):
     assert (same["b"], same["c"]) == (0, 0)
     wrong = {s: [x[0] == y[0] for x, y in both if x[1] is False and y[1] is False] for s, both in pairs.items()}
     assert {r["system"]: r["wrong_same"] for r in systems.pair_scores(own, "s0").collect()} == {s: pytest.approx(sum(w) / len(w), abs=1e-6) for s, w in wrong.items()}
+
+
+@pytest.mark.parametrize("name", ["policy_mix_1_3", "policy_mix_3_1", "category_accuracy", "nested_cv"])
+def test_no_step_by_problem_leaves_the_dealt_tasks(spark, monkeypatch, name):
+    """Windows, tallies, unions and joins by problem take as many tasks as the ballots were dealt to, whatever the session's shuffle partitions."""
+    monkeypatch.setattr(adapters.dealt, "__defaults__", (500,))
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(plans.queries()[name](spark, SF))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    found = re.findall(r"hashpartitioning\((?:l_orderkey|o_orderkey|id)#\d+L?, (\d+)\)", plan)
+    assert found and {int(n) for n in found} == {-(-lines // 500)}
