@@ -408,6 +408,53 @@ def test_votes_are_resampled_in_arrays(spark, monkeypatch):
     assert got == want
 
 
+def task_of(monkeypatch, make):
+    """The function that a plan runs in its tasks, and the batches that it gets."""
+    seen = []
+    kind, real = type(make()), type(make()).mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda df, f, schema: seen.append((f, df)) or real(df, f, schema))
+    make()
+    return seen[-1][0], seen[-1][1].coalesce(1).toArrow().to_batches(max_chunksize=16)
+
+
+def test_problems_of_all_sizes_are_hashed_together(monkeypatch):
+    sizes = np.array([3, 1, 60, 2, 3, 0, 7, 2] * 20)
+    starts, tails = np.cumsum(sizes) - sizes, [b"|%d" % (i * 977) for i in range(sizes.sum())]
+    keys, calls, real = draws.Keys([b"s|"] * len(tails), tails), [], draws.Keys.leading
+    monkeypatch.setattr(draws.Keys, "leading", lambda self, middle: calls.append(len(self.tail)) or real(self, middle))
+    monkeypatch.setattr(draws, "KEYS", 1000)
+    seen = {}
+    for problems, reps, u in draws.drawn(keys, starts, sizes, np.flatnonzero(sizes), range(5, 9)):
+        for r, rep in enumerate(reps):
+            seen |= {(p, rep): u[r, :, i].tolist() for i, p in enumerate(problems)}
+    assert seen == {(p, rep): [int(hashlib.md5(b"s|%d" % rep + tails[starts[p] + i]).hexdigest()[:13], 16) for i in range(sizes[p])] for p in np.flatnonzero(sizes) for rep in range(5, 9)}
+    assert sum(calls) == 4 * sizes.sum() and len(calls) <= 4 * 2  # not a call for each size
+
+
+def test_votes_stop_only_when_the_answer_is_settled(spark, monkeypatch):
+    """Two ballots of equal weight tie in half of the replicates; one heavy ballot of four wins nearly all."""
+    light = [(i, p, a, -0.5, i) for i in range(60) for p, a in enumerate("ab" if i < 40 else "abba" if i < 50 else "aabbcbca" * 3)]
+    df = spark.createDataFrame(light + [(100, p, "xyzz"[p], 0.0 if p == 0 else -9.0, 0) for p in range(4)] + [(101, p, "q", -1.0, 0) for p in range(3)], "id long, pos int, ans string, logp double, len int")
+    f, batches = task_of(monkeypatch, lambda: resampling.bootstrap_vote(df, 200))
+    made, real = {}, draws.Keys.leading
+    monkeypatch.setattr(draws.Keys, "leading", lambda self, middle: [made.update({h: made.get(h, 0) + 1}) for h in self.head.tolist()] and real(self, middle))
+    got = {r["id"]: r["answer"] for out in f(iter(batches)) for r in out.to_pylist()}
+    own = {}
+    for r in df.orderBy("id", "pos").collect():
+        own.setdefault(r["id"], []).append(r)
+    for i, b in own.items():
+        wins = {}
+        for rep in range(200):
+            picked = [b[int(draw("v", i, rep, d) * len(b))] for d in range(len(b))]
+            tally = {a: (round(sum(math.exp(2 * r["logp"]) for r in picked if r["ans"] == a), 9), -min(d for d, r in enumerate(picked) if r["ans"] == a)) for a in {r["ans"] for r in picked}}
+            wins.setdefault(max(tally, key=tally.get), []).append(rep)
+        ranked = sorted(wins, key=lambda a: (-len(wins[a]), wins[a][0]))
+        assert got[i] == ranked[0]
+        if len(ranked) > 1 and len(wins[ranked[0]]) - len(wins[ranked[1]]) < 5:
+            assert made[b"v|%d|" % i] == 200 * len(b)  # a close vote is drawn to its end
+    assert made[b"v|100|"] < 200 * 4 and b"v|101|" not in made
+
+
 def test_bootstrap_ci_weighs_every_unit_in_every_replicate(spark):
     rows = [(i * 31, float(i % 3 == 0)) for i in range(90)]
     out = dict(zip(("n", "mean", "low", "high"), resampling.bootstrap_ci(spark.createDataFrame(rows, "id long, v double"), "v", 80).first()))

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from votemill.operators.draws import KEYS, Keys, alike, flat, key, replicate_parts
+from votemill.operators.draws import KEYS, Keys, alike, drawn, flat, key, replicate_parts
 from votemill.operators.votes import rounded, valid
 
 
@@ -174,6 +174,22 @@ def packed(rows: DataFrame, *columns: str, by: tuple[str, ...] = ()) -> DataFram
     return rows.groupBy("id", *by).agg(F.array_sort(F.collect_list(F.struct("pos", *columns))).alias("b"))
 
 
+#: Packed problems that are drawn for together, in several batches of Arrow.
+TOGETHER = 50_000
+
+
+def joined(batches):
+    """Batches put together to TOGETHER problems or a few more, so that many keys are hashed at once."""
+    some = []
+    for batch in batches:
+        some.append(batch)
+        if sum(map(len, some)) >= TOGETHER:
+            yield pa.concat_batches(some)
+            some = []
+    if some:
+        yield pa.concat_batches(some)
+
+
 def unpacked(batch: pa.RecordBatch):
     """Of a batch of packed problems: how many samples each has, where they begin, and the samples' columns by name."""
     b = batch.column(batch.schema.get_field_index("b"))
@@ -187,44 +203,87 @@ def codes(answers: pa.Array) -> np.ndarray:
     return pc.fill_null(answers.dictionary_encode().indices, -1).to_numpy().astype(np.int64)
 
 
+#: Replicates between two looks at which problems are decided, once more than half of all are drawn, and samples of a problem up to which
+#: draws are counted by comparison.
+LOOK, COMPARED = 20, 16
+
+
+def resampled_winners(u: np.ndarray, own: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Number of the answer that wins each resampled vote, by problem and replicate.
+
+    u: hashes by replicate, sample and problem; own, weight: each sample's answer and weight, by sample and problem. Sums are products of weights
+    and of how often each sample is drawn; among equal sums, the answer that is drawn first wins.
+    """
+    n, k, m = u.shape
+    pick = (u.astype(np.float64) * (k / (1 << 52))).astype(np.min_scalar_type(k)).transpose(1, 2, 0).copy()  # draw, problem, replicate
+    if k <= COMPARED:
+        times = np.empty((m, k, n))
+        for i in range(k):
+            count = (pick[0] == i).astype(np.uint8)
+            for d in range(1, k):
+                count += pick[d] == i
+            times[:, i] = count
+    else:
+        cell = (np.arange(m)[:, None] * k + pick) * n + np.arange(n)
+        times = np.bincount(cell.ravel(), minlength=m * k * n).reshape(m, k, n).astype(np.float64)
+    kinds = int(own.max()) + 1
+    share = np.where(own == np.arange(kinds)[:, None, None], weight, 0.0).transpose(2, 0, 1)
+    total = np.rint(np.ascontiguousarray(share) @ times * 1e9)  # problem, answer, replicate
+    top, won, tied = total[:, 0].copy(), np.zeros((m, n), np.int64), np.zeros((m, n), bool)
+    for j in range(1, kinds):
+        more = total[:, j] > top
+        tied &= ~more
+        tied |= total[:, j] == top
+        won[more] = j
+        np.maximum(top, total[:, j], top)
+    p, r = np.nonzero(tied)
+    for d in reversed(range(k if len(p) else 0)):
+        answer = own[pick[d, p, r], p]
+        best = total[p, answer, r] == top[p, r]
+        won[p[best], r[best]] = answer[best]
+    return won
+
+
 def bootstrap_vote(ballots: DataFrame, n: int = 200, scale: float = 2.0, seed: str = "v") -> DataFrame:
     """The answer that wins most of n resampled weighted votes of its problem, all after one exchange by id.
 
     Each replicate draws as many ballots as there are, with replacement: ballot number floor(u k) of the valid ones. A task draws for many
-    problems at once, and what leaves it is one row a problem.
+    problems at once, and what leaves it is one row a problem. Only draws that cannot change the answer are left out: those of problems with
+    one answer, and those of problems where one answer leads by more replicates than are left.
     """
 
     def winners(batches):
-        for batch in batches:
+        for batch in joined(batches):
             sizes, starts, samples = unpacked(batch)
             answer, weight = codes(samples["ans"]), np.exp(flat(samples["logp"], np.float64, -np.inf) * scale)
             head = [f"{seed}{k.decode()}|".encode() for k in batch.column(1).to_pylist()]
-            best = np.zeros(len(sizes), np.int64)
-            for group in alike(sizes, np.fromiter(map(len, head), np.int64, len(head))):
-                m, k = len(group), int(sizes[group[0]])
-                at = starts[group][:, None] + np.arange(k)
-                # answers numbered within each problem; `some` is a ballot with each
-                pairs, some, own = np.unique(np.arange(m)[:, None] * (answer.max() + 1) + answer[at], return_index=True, return_inverse=True)
-                problem = pairs // (answer.max() + 1)
-                own = own.reshape(m, k) - np.searchsorted(problem, np.arange(m))[:, None]
-                kinds, w = int(own.max()) + 1, weight[at]
-                keys = Keys([head[g] for g in group for _ in range(k)], [b"|%d" % d for _ in range(m) for d in range(k)])
-                wins, first = np.zeros((m, kinds), np.int64), np.full((m, kinds), n, np.int64)
-                for part in replicate_parts(n, m * k):
-                    u = np.stack([keys.leading(b"%d" % rep).reshape(m, k) for rep in part]) / float(1 << 52)
-                    drawn = np.floor(u * k).astype(np.int64)  # replicate, problem, draw
-                    place = np.broadcast_to(np.arange(m)[:, None], (m, k))
-                    cell = (np.arange(len(part) * m).reshape(len(part), m, 1) * kinds + own[place, drawn]).ravel()
-                    total = np.round(np.bincount(cell, w[place, drawn].ravel(), len(part) * m * kinds), 9)
-                    seen = np.full(len(total), k, np.int64)
-                    np.minimum.at(seen, cell, np.broadcast_to(np.arange(k), drawn.shape).ravel())
-                    total[seen == k] = -1
-                    total, seen = total.reshape(len(part), m, kinds), seen.reshape(len(part), m, kinds)
-                    won = np.where(total == total.max(2, keepdims=True), seen, k + 1).argmin(2)
-                    np.add.at(wins, (np.arange(m), won), 1)
-                    np.minimum.at(first, (np.arange(m), won), np.array(part)[:, None])
-                most = np.where(wins == wins.max(1, keepdims=True), first, n + 1).argmin(1)
-                best[group] = at.ravel()[some[np.searchsorted(problem, np.arange(m)) + most]]
+            # answers are numbered within each problem, from its place on; `some` is a ballot with each
+            span = int(answer.max(initial=0)) + 1
+            pairs, some, own = np.unique(np.repeat(np.arange(len(sizes)), sizes) * span + answer, return_index=True, return_inverse=True)
+            problem = pairs // span
+            place, kinds = np.searchsorted(problem, np.arange(len(sizes))), np.bincount(problem, minlength=len(sizes))
+            own = own - np.repeat(place, sizes)
+            wins, first = np.zeros(len(pairs), np.int64), np.full(len(pairs), n, np.int64)
+            numbers, widths = [b"|%d" % d for d in range(int(sizes.max(initial=0)))], np.fromiter(map(len, head), np.int64, len(head))
+            for width in np.unique(widths[kinds > 1]):
+                left = np.flatnonzero((widths == width) & (kinds > 1))
+                keys, begin = Keys([head[p] for p in left for _ in range(sizes[p])], [t for p in left for t in numbers[: sizes[p]]]), np.zeros(len(sizes), np.int64)
+                begin[left] = np.cumsum(sizes[left]) - sizes[left]
+                looks = [0, *range(n // 2 + 1, n, LOOK), n]
+                for done, until in zip(looks, looks[1:]):
+                    for g, reps, u in drawn(keys, begin, sizes, left, range(done, until)):
+                        at = starts[g] + np.arange(u.shape[1])[:, None]
+                        won, most = resampled_winners(u, own[at], weight[at]), int(kinds[g].max())
+                        count = np.bincount((np.arange(len(g))[:, None] * most + won).ravel(), minlength=len(g) * most).reshape(-1, most)
+                        mine = np.arange(most) < kinds[g][:, None]
+                        wins[(place[g][:, None] + np.arange(most))[mine]] += count[mine]
+                        np.minimum.at(first, (place[g][:, None] + won).ravel(), np.tile(np.array(reps), len(g)))  # at() misreads operands that it has to broadcast
+                    pair = np.flatnonzero(np.isin(problem, left))
+                    rank = pair[np.lexsort((-wins[pair], problem[pair]))]
+                    lead = np.flatnonzero(np.diff(problem[rank], prepend=-1))
+                    left = left[wins[rank[lead]] - wins[rank[lead + 1]] <= n - until]
+            order, voted, best = np.lexsort((first, -wins, problem)), kinds > 0, np.zeros(len(sizes), np.int64)
+            best[voted] = some[order[place[voted]]]
             yield pa.RecordBatch.from_arrays([batch.column(0), samples["ans"].take(pa.array(best))], ["id", "answer"])
 
     rows = packed(ballots.filter(valid()), "ans", "logp").select("id", key(F.col("id")).alias("key"), F.transform("b", lambda x: F.struct(x["ans"].cast("string").alias("ans"), x["logp"].cast("double").alias("logp"))).alias("b"))
@@ -256,7 +315,7 @@ def subset_accuracy(ballots: DataFrame, gold: DataFrame, prefix: Column, ks=(2,
                 m, size = len(group), int(sizes[group[0]])
                 at = starts[group][:, None] + np.arange(size)
                 keys = Keys([f"{seed}|".encode()] * (m * size), [tails[i] for i in at.ravel()])
-                for part in replicate_parts(draws, m * size):
+                for part in replicate_parts(range(draws), m * size):
                     order = np.stack([keys.leading(b"%d" % rep).reshape(m, size) for rep in part]).argsort(2, kind="stable")[:, :, : max(ks)]
                     drawn = np.take_along_axis(np.broadcast_to(at, (len(part), m, size)), order, 2).reshape(len(part) * m, -1)
                     zero = np.tile(nothing[group], len(part))
