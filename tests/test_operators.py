@@ -455,6 +455,34 @@ def test_votes_stop_only_when_the_answer_is_settled(spark, monkeypatch):
     assert made[b"v|100|"] < 200 * 4 and b"v|101|" not in made
 
 
+def test_subsets_are_judged_once_and_looked_up(spark, monkeypatch):
+    """Problems of up to 14 samples, with answers that are never right, equal scores and missing answers."""
+    rng = random.Random(5)
+    rows = [(i, p, rng.choice(["0", "1", "2", None]), rng.random() < 0.4, rng.randrange(3), rng.choice([-1.0, -0.5])) for i in range(90) for p in range(1 + i % 14)]
+    gold = {i: str(i % 5) for i in range(90)}
+    df = spark.createDataFrame(rows, "id long, pos int, ans string, trunc boolean, len int, sure double")
+    f, batches = task_of(monkeypatch, lambda: resampling.subset_accuracy(df, spark.createDataFrame(list(gold.items()), "id long, gold string"), F.col("sure"), draws=20))
+    made, real = [], draws.Keys.part
+    monkeypatch.setattr(draws.Keys, "part", lambda self, at: made.extend(self.tail[at].tolist()) or real(self, at))
+    right, trials = np.zeros((3, 3), np.int64), 0
+    for r in (r for out in f(iter(batches)) for r in out.to_pylist()):
+        right[r["k"] - 2] += [r["majority"], r["first_finish"], r["best_prefix"]]
+        trials += r["trials"]
+    want = np.zeros((3, 3), np.int64)
+    for i in range(90):
+        own = [r for r in rows if r[0] == i]
+        for rep in range(20):
+            order = sorted(own, key=lambda r: (draw("s", rep, i, r[1]), r[1]))
+            for k in (2, 3, 4):
+                got = order[:k]
+                some = [r for r in got if r[2] is not None]
+                firsts = {a: (-sum(r[2] == a for r in some), min(r[1] for r in some if r[2] == a)) for a in {r[2] for r in some}}
+                want[k - 2] += [min(firsts, key=firsts.get, default="0") == gold[i], min(got, key=lambda r: (r[3], r[4], r[1]))[2] == gold[i], bool(some) and max(some, key=lambda r: (r[5], -r[1]))[2] == gold[i]]
+    assert trials == 3 * 90 * 20 and right.tolist() == want.tolist()
+    drawn = {int(t.split(b"|")[1]) for t in made}
+    assert drawn and not any(i % 14 < 2 or i % 5 > 2 for i in drawn)  # neither with all samples in each subset, nor without a right one
+
+
 def test_bootstrap_ci_weighs_every_unit_in_every_replicate(spark):
     rows = [(i * 31, float(i % 3 == 0)) for i in range(90)]
     out = dict(zip(("n", "mean", "low", "high"), resampling.bootstrap_ci(spark.createDataFrame(rows, "id long, v double"), "v", 80).first()))

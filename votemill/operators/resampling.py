@@ -7,6 +7,7 @@ A draw is a hash of (seed, replicate, unit), so that every one can be repeated.
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from votemill.operators.draws import KEYS, Keys, alike, drawn, flat, key, replicate_parts
+from votemill.operators.draws import KEYS, Keys, drawn, flat, key
 from votemill.operators.votes import rounded, valid
 
 
@@ -290,18 +291,36 @@ def bootstrap_vote(ballots: DataFrame, n: int = 200, scale: float = 2.0, seed: s
     return rows.mapInArrow(winners, f"id {rows.schema['id'].dataType.simpleString()}, answer string")
 
 
+#: Samples of a problem up to which its subsets are judged once and looked up.
+LISTED = 10
+
+
+def ranks(u: np.ndarray) -> list[np.ndarray]:
+    """How many samples of the problem come before each by hash, or by number where hashes are equal. u: hashes by replicate, sample and problem."""
+    size = u.shape[1]
+    out = [np.full((len(u), u.shape[2]), size - 1 - i, np.uint8) for i in range(size)]
+    for j in range(size):
+        for i in range(j):
+            before = (u[:, i] <= u[:, j]).view(np.uint8)
+            out[j] += before
+            out[i] -= before
+    return out
+
+
 def subset_accuracy(ballots: DataFrame, gold: DataFrame, prefix: Column, ks=(2, 3, 4), draws: int = 200, seed: str = "s") -> DataFrame:
     """Accuracy of three pickers over draws of k ballots without replacement: majority, first finished, best prefix.
 
     The first finished is the shortest complete ballot (the shortest one if none is complete), null answers included; the
     best prefix is that of the valid ballot with the highest `prefix`. A problem's ballots meet in one task, which draws for many problems
-    at once and keeps four sums for each k.
+    at once and keeps four sums for each k. All subsets of a problem are judged first, and a draw looks its own up; where all subsets of
+    each k are judged alike (no ballot is right, or none is left out), every draw counts without being made.
     """
     pickers = ("majority", "first_finish", "best_prefix")
+    bits = np.arange(1 << len(pickers))[:, None] >> np.arange(len(pickers)) & 1
 
     def sums(batches):
         trials, right = np.zeros(len(ks), np.int64), np.zeros((len(ks), len(pickers)), np.int64)
-        for batch in batches:
+        for batch in joined(batches):
             sizes, starts, samples = unpacked(batch)
             answer, hit, nothing = codes(samples["ans"]), flat(samples["hit"], bool, False), flat(batch.column(1), bool, False)
             pos = flat(samples["pos"], np.int64, -1)
@@ -310,29 +329,47 @@ def subset_accuracy(ballots: DataFrame, gold: DataFrame, prefix: Column, ks=(2,
             fast[np.lexsort((pos, flat(samples["len"], np.int64, least), flat(samples["trunc"], np.int64, -1)))] = np.arange(len(pos))
             sure[np.lexsort((-pos, flat(samples["p"], np.float64, -np.inf)))] = np.arange(len(pos))
             sure[answer < 0] = -1
-            tails = samples["key"].to_pylist()
-            for group in alike(sizes, np.zeros(len(sizes), np.int64)):
-                m, size = len(group), int(sizes[group[0]])
-                at = starts[group][:, None] + np.arange(size)
-                keys = Keys([f"{seed}|".encode()] * (m * size), [tails[i] for i in at.ravel()])
-                for part in replicate_parts(range(draws), m * size):
-                    order = np.stack([keys.leading(b"%d" % rep).reshape(m, size) for rep in part]).argsort(2, kind="stable")[:, :, : max(ks)]
-                    drawn = np.take_along_axis(np.broadcast_to(at, (len(part), m, size)), order, 2).reshape(len(part) * m, -1)
-                    zero = np.tile(nothing[group], len(part))
+
+            def judged(own: np.ndarray, zero: np.ndarray) -> np.ndarray:
+                """Which pickers are right on sets of samples, a set a row, as bits; zero: whether no valid answer is right."""
+                rows, given = np.arange(len(own)), answer[own]
+                count, first = np.zeros(own.shape, np.int64), own.copy()
+                for other in range(own.shape[1]):
+                    same = given == given[:, other : other + 1]
+                    count += same
+                    np.minimum(first, own[:, other : other + 1], out=first, where=same)
+                votes, some = np.where(given < 0, -1, count * (len(pos) + 1) - first), (given >= 0).any(1)
+                majority, best = hit[own[rows, votes.argmax(1)]], hit[own[rows, sure[own].argmax(1)]]
+                return np.where(some, majority, zero) | hit[own[rows, fast[own].argmin(1)]].astype(np.uint8) << 1 | (some & best).astype(np.uint8) << 2
+
+            able = nothing | (np.bincount(np.repeat(np.arange(len(sizes)), sizes), hit, len(sizes)) > 0)  # else nothing is ever right
+            open_, row, judgements = able & (sizes > LISTED), np.zeros(len(sizes), np.int64), {}
+            for size in range(1, LISTED + 1):
+                own = np.flatnonzero(able & (sizes == size))
+                table = np.zeros((len(own), 1 << size), np.uint8)
+                for k in ks if len(own) else ():
+                    sets = list(combinations(range(size), min(k, size)))
+                    at = starts[own][:, None, None] + np.array(sets)
+                    made = judged(at.reshape(-1, at.shape[2]), np.repeat(nothing[own], len(sets))).reshape(len(own), -1)
+                    table[:, [sum(1 << i for i in s) for s in sets]] = made
+                    open_[own] |= (made != made[:, :1]).any(1)
+                for j, k in enumerate(ks):
+                    right[j] += draws * (np.bincount(table[~open_[own], (1 << min(k, size)) - 1], minlength=len(bits)) @ bits)
+                row[own], judgements[size] = np.arange(len(own)), table
+            trials += draws * np.count_nonzero(sizes)
+            keys = Keys([f"{seed}|".encode()] * len(pos), samples["key"].to_pylist()) if open_.any() else None
+            for g, reps, u in drawn(keys, starts, sizes, np.flatnonzero(open_), range(draws)):
+                size = u.shape[1]
+                if size <= LISTED:
+                    rank, table = ranks(u), judgements[size]
+                    for j, k in enumerate(ks):
+                        drew = row[g] << size
+                        drew = drew + sum((rank[i] < k) * np.uint16(1 << i) for i in range(size))
+                        right[j] += np.bincount(table.ravel()[drew.ravel()], minlength=len(bits)) @ bits
+                else:
+                    own = (starts[g] + u.argsort(1, kind="stable")[:, : max(ks)]).transpose(0, 2, 1).reshape(len(reps) * len(g), -1)
                     for j, k in enumerate(ks):
-                        own = drawn[:, :k]
-                        rows, given, local = np.arange(len(own)), answer[own], order.reshape(len(own), -1)[:, :k]
-                        count, first = np.zeros(own.shape, np.int64), local.copy()
-                        for other in range(own.shape[1]):
-                            same = given == given[:, other : other + 1]
-                            count += same
-                            np.minimum(first, local[:, other : other + 1], out=first, where=same)
-                        votes = np.where(given < 0, -1, count * (size + 1) - first)
-                        some = (given >= 0).any(1)
-                        trials[j] += len(own)
-                        right[j, 0] += np.where(some, hit[own[rows, votes.argmax(1)]], zero).sum()
-                        right[j, 1] += hit[own[rows, fast[own].argmin(1)]].sum()
-                        right[j, 2] += (some & hit[own[rows, sure[own].argmax(1)]]).sum()
+                        right[j] += np.bincount(judged(own[:, :k], np.tile(nothing[g], len(reps))), minlength=len(bits)) @ bits
         yield pa.RecordBatch.from_pydict({"k": np.array(ks, np.int32), "trials": trials} | {name: right[:, i] for i, name in enumerate(pickers)})
 
     rows = ballots.select("id", F.col("pos").cast("long").alias("pos"), "ans", "trunc", F.col("len").cast("long").alias("len"), rounded(prefix).alias("p")).join(gold.select("id", "gold"), "id")
